@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, sharding
 from .common import table
 
 
+def op1_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=16)
+    law = F.lit("bytes").alias("law")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("mix_size").alias("size"), "source", "source_size", "target", (F.col("copies") * F.col("mix_size")).alias("taken"))
+
+
 QUERIES = {
+    "op1_min_cost_resharding": op1_min_cost_resharding,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_source_mixing": op4_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
