@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding
+from . import bpe, merkle, mixing, sharding
 from .common import table
 
 
@@ -24,10 +24,15 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("mix_size").alias("size"), "source", "source_size", "target", (F.col("copies") * F.col("mix_size")).alias("taken"))
 
 
+def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_min_cost_resharding": op1_min_cost_resharding,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_source_mixing": op4_source_mixing,
+    "op6_merkle_fingerprints": op6_merkle_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
