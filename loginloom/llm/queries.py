@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, mixing, sharding
+from . import bpe, merkle, mixing, sharding, token_tree, topk
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op3_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.col("mix_size").alias("size"), "source", "source_size", "target", (F.col("copies") * F.col("mix_size")).alias("taken"))
@@ -28,11 +32,37 @@ def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of each text (a replacement, an insertion, a deletion at the end), counted from its kept tree."""
+    trees = token_tree.build(table(spark, sf_dir, "documents"))
+    n = F.col("n_chars")
+    spans = [(F.floor(n / 3), F.floor(n / 3) + F.least(F.lit(7), n - F.floor(n / 3)), F.lit(" re-edited")), (F.floor(n / 2) + 8, F.floor(n / 2) + 8, F.lit("2024's ")), (n - F.floor(n / 10), n, F.lit(""))]
+    edits = F.array(*[F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), t.alias("text")) for a, b, t in spans])
+    usable = F.when(n >= 40, edits).otherwise(F.slice(edits, 1, 1))
+    return token_tree.recount(trees.withColumn("edits", usable)).select("doc_id", "n_tokens", "n_tokens_edited", "n_chars", "n_chars_reencoded")
+
+
 QUERIES = {
     "op1_min_cost_resharding": op1_min_cost_resharding,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_branch_and_bound_topk": op3_branch_and_bound_topk,
     "op4_source_mixing": op4_source_mixing,
     "op6_merkle_fingerprints": op6_merkle_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES["op10_edit_aware_token_counts"] = op10_edit_aware_token_counts
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_branch_and_bound_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+    """,
+}
