@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, mixing, sharding, token_tree, topk
+from . import bpe, merkle, mixing, sharding, token_tree, topk, url_filter
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits of each text (a replacement, an insertion, a deletion at the end), counted from its kept tree."""
     trees = token_tree.build(table(spark, sf_dir, "documents"))
@@ -50,6 +54,7 @@ QUERIES = {
     "op6_merkle_fingerprints": op6_merkle_fingerprints,
 }
 
+QUERIES["op7_link_graph_url_filter"] = op7_link_graph_url_filter
 QUERIES["op10_edit_aware_token_counts"] = op10_edit_aware_token_counts
 
 ORACLE_SQL: dict[str, str] = {
