@@ -85,3 +85,40 @@ def column_bytes(array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Each byte's random value, A-Z as a-z; and odd factors of the places in a word, which repeat after as many bytes.
+_BYTE = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_PLACE = np.random.default_rng(12).integers(0, 2**64, 1 << 16, np.uint64) | np.uint64(1)
+
+
+def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length, hash) of every word of the texts raw[at[i]:at[i+1]], words as of WORD, A-Z lower-cased."""
+    inside = ~_SPACE[raw]
+    if not inside.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    starts = np.flatnonzero(begins)
+    where = np.flatnonzero(inside)
+    first = np.searchsorted(where, starts)
+    length = np.diff(np.append(first, len(where)))
+    place = where - np.repeat(starts, length)
+    value = _BYTE[raw[where]] * _PLACE[place & 0xFFFF]
+    hashed = mix(np.add.reduceat(value, first) + length.astype(np.uint64) * M1)
+    return np.searchsorted(at, starts, side="right") - 1, starts, length, hashed
+
+
+def text_chunks(texts, most: int = 2_000_000):
+    """(first row, last row, bytes, offsets) of runs of an Arrow text column of about `most` bytes."""
+    raw, at = column_bytes(texts)
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+        yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        lo = hi

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, mixing, sharding, token_tree, topk, url_filter
+from . import bpe, merkle, mixing, quality, sharding, token_tree, topk, url_filter
 from .common import table
 
 
@@ -36,6 +36,14 @@ def op7_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    rows = quality.score(docs, model)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits of each text (a replacement, an insertion, a deletion at the end), counted from its kept tree."""
     trees = token_tree.build(table(spark, sf_dir, "documents"))
@@ -55,6 +63,7 @@ QUERIES = {
 }
 
 QUERIES["op7_link_graph_url_filter"] = op7_link_graph_url_filter
+QUERIES["op9_attention_mil_quality"] = op9_attention_mil_quality
 QUERIES["op10_edit_aware_token_counts"] = op10_edit_aware_token_counts
 
 ORACLE_SQL: dict[str, str] = {
