@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, mixing, quality, sharding, token_tree, topk, url_filter
+from . import bpe, merkle, mixing, ngram_join, quality, sharding, token_tree, topk, url_filter
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -63,6 +67,7 @@ QUERIES = {
 }
 
 QUERIES["op7_link_graph_url_filter"] = op7_link_graph_url_filter
+QUERIES["op8_ngram_jaccard_join"] = op8_ngram_jaccard_join
 QUERIES["op9_attention_mil_quality"] = op9_attention_mil_quality
 QUERIES["op10_edit_aware_token_counts"] = op10_edit_aware_token_counts
 
@@ -79,4 +84,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
     """,
+    "op8_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ),
+        s AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS items FROM w
+        ),
+        flat AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
+        pair AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.item = b.item AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ),
+        reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM s
+            UNION
+            SELECT r.doc_id, p.b FROM reach r JOIN pair p ON p.a = r.other
+        )
+        SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, min(r.other) AS component_id FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY ALL
+    """,
 }
