@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, mixing, ngram_join, quality, sharding, token_tree, topk, url_filter
+from . import bpe, merkle, mixing, ngram_join, quality, sharding, suffix_dedup, token_tree, topk, url_filter
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op7_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("dedup_bytes", 256).alias("kept_sha256"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES = {
 }
 
 QUERIES["op7_link_graph_url_filter"] = op7_link_graph_url_filter
+QUERIES["op5_suffix_array_dedup"] = op5_suffix_array_dedup
 QUERIES["op8_ngram_jaccard_join"] = op8_ngram_jaccard_join
 QUERIES["op9_attention_mil_quality"] = op9_attention_mil_quality
 QUERIES["op10_edit_aware_token_counts"] = op10_edit_aware_token_counts
@@ -104,4 +110,32 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, min(r.other) AS component_id FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY ALL
     """,
+    "op5_suffix_array_dedup": """
+        WITH t AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ),
+        piece AS (SELECT doc_id, n, h, unnest(range(0, n - 99, 400)) AS base FROM t WHERE n >= 100),
+        short AS (SELECT doc_id, base, least(400, n - 99 - base) AS places, substr(h, 2 * base + 1, 998) AS h FROM piece),
+        place AS (SELECT doc_id, base, h, unnest(range(0, places)) AS k FROM short),
+        w AS (SELECT doc_id, base + k AS i, substr(h, 2 * k + 1, 200) AS s FROM place),
+        late AS (
+            SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+        ),
+        starts AS (
+            SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM late
+        ),
+        numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+        runs AS (SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM numbered GROUP BY ALL),
+        gaps AS (
+            SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM runs
+            UNION ALL
+            SELECT t.doc_id, coalesce(max(hi), 0), any_value(t.n) FROM t LEFT JOIN runs r ON r.doc_id = t.doc_id GROUP BY t.doc_id
+        ),
+        kept AS (
+            SELECT g.doc_id, string_agg(substr(t.h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps g JOIN t ON t.doc_id = g.doc_id GROUP BY g.doc_id
+        )
+        SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(sum(r.hi - r.lo), 0) AS BIGINT) AS n_removed, count(r.run) AS n_spans,
+            any_value(sha256(unhex(k.h))) AS kept_sha256
+        FROM t LEFT JOIN runs r ON r.doc_id = t.doc_id JOIN kept k ON k.doc_id = t.doc_id GROUP BY t.doc_id, t.n
+    """,
 }
