@@ -296,12 +296,15 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """docs with dedup_bytes (what is left of the text, binary), n_bytes, n_removed and n_spans.
+def remove(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and what is left of the text.
+
+    That is dedup_bytes, binary, or with as_text dedup_text, a string without the characters that a span's end cuts.
 
     Documents that lose nothing, told by a bit filter, pass without a shuffle.
     """
-    docs = docs.drop("dedup_bytes", "n_bytes", "n_removed", "n_spans")
+    left = "dedup_text" if as_text else "dedup_bytes"
+    docs = docs.drop(left, "n_bytes", "n_removed", "n_spans")
     versioned = docs.withColumn("version", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     spans = find_spans(versioned.select("doc_id", "version", "text"))
     key = F.xxhash64("doc", "version")
@@ -324,7 +327,7 @@ def remove(docs: DataFrame) -> DataFrame:
     cut = marked.filter("touched").join(spans, ["doc", "version"], "left")
     plain = marked.filter("NOT touched").withColumn("spans", F.lit(None).cast("array<struct<from:bigint,to:bigint>>"))
     both = cut.select(*docs.columns, "spans").union(plain.select(*docs.columns, "spans"))
-    names = [*docs.columns, "dedup_bytes", "n_bytes", "n_removed", "n_spans"]
+    names = [*docs.columns, left, "n_bytes", "n_removed", "n_spans"]
     at, last = docs.columns.index("text"), len(docs.columns)
 
     def apply(batches: Iterator) -> Iterator:
@@ -340,8 +343,10 @@ def remove(docs: DataFrame) -> DataFrame:
                 sizes.append(len(data))
                 removed.append(len(data) - len(kept[-1]))
                 runs.append(len(merged))
-            more = [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
+            if as_text:
+                kept = [x.decode(errors="ignore") for x in kept]
+            more = [pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *more], names)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return both.mapInArrow(apply, f"{schema}, dedup_bytes binary, n_bytes long, n_removed long, n_spans long")
+    return both.mapInArrow(apply, f"{schema}, {left} {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
