@@ -35,7 +35,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     found = ngram_join.classes(docs)
     kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.withColumn("version", F.xxhash64("text")).dropDuplicates(["doc_id", "version"]).select(*docs.columns)
+    return rows.withColumn("_version", F.xxhash64("text")).dropDuplicates(["doc_id", "_version"]).select(*docs.columns)
 
 
 def remove_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ stops at `most` times its source's size and the excess is shared again by weight
 
 Cases: a null or empty text has size 0 and nothing of it is taken. Sources of size 0 have target 0. Repeated rows are
 separate documents. An empty table gives no rows. The driver sees one sum for each source and block: MAX_SOURCES sources
-at most (more are an error), BLOCKS blocks each. Reruns agree: every draw comes from `seed` and hashes of doc_id and text.
+at most (more are an error), BLOCKS blocks each. Reruns agree: every draw comes from `seed` and hashes of doc_id and text. Other columns pass through; names that begin with
+mix_ are the operator's own.
 """
 
 from __future__ import annotations
@@ -120,11 +121,11 @@ def _plan(slim: DataFrame, shards: int, share: float, most: float, seed: int) ->
             ends = last.get(name) if at == whole and inside > 0 else None
             places = [min(int(np.searchsorted(upto[:, 2 * i + k], at, side="right")), shards - 1) for k in (0, 1)]
             rows.append((name, b, sizes[i], goal[i], passes + (at < whole), ends, places))
-    return spark.createDataFrame(rows, "plan_source string, plan_block int, source_size long, target double, copies int, last long, places array<int>")
+    return spark.createDataFrame(rows, "mix_source string, mix_plan int, mix_source_size long, mix_target double, mix_copies int, mix_last long, mix_places array<int>")
 
 
 def mix(docs: DataFrame, shards: int = 16, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """docs with mix_size, source_size, target, copies (0 to `most`) and places, the output shard of each copy.
+    """docs with mix_size, mix_source_size, mix_target, mix_copies (0 to `most`) and mix_places, the output shard of each copy.
 
     One pass over the texts sums the blocks; the plan, a row for each source and block, is broadcast and applied in a
     second pass. Rows repeated in full share a key and so their copies.
@@ -132,15 +133,15 @@ def mix(docs: DataFrame, shards: int = 16, share: float = 1.5, most: float = 2.0
     keyed = _keyed(docs, seed)
     slim = spool(keyed.select("source", "mix_size", "mix_key", "mix_block"), "mix")
     plan = _plan(slim, shards, share, most, seed)
-    rows = keyed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("mix_block") == F.col("plan_block")))
-    more = (F.col("mix_key") <= F.col("last")).cast("int")
-    copies = F.when(F.col("mix_size") == 0, 0).otherwise(F.col("copies") + F.coalesce(more, F.lit(0)))
-    return rows.withColumn("copies", copies).drop("plan_source", "plan_block", "last")
+    rows = keyed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_block") == F.col("mix_plan")))
+    more = (F.col("mix_key") <= F.col("mix_last")).cast("int")
+    copies = F.when(F.col("mix_size") == 0, 0).otherwise(F.col("mix_copies") + F.coalesce(more, F.lit(0)))
+    return rows.withColumn("mix_copies", copies).drop("mix_source", "mix_plan", "mix_last")
 
 
 def draw(mixed: DataFrame, columns: list[str], seed: int = 17) -> DataFrame:
     """The documents of the mix: a row for each copy, dealt to its shard and shuffled there by a hash."""
-    rows = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    rows = rows.withColumns({"shard": F.element_at("places", F.col("copy")), "order": F.xxhash64(F.lit(seed), "mix_key", "copy")})
-    dealt = rows.repartition("shard", F.pmod("order", F.lit(16))).sortWithinPartitions("shard", "order")
+    rows = mixed.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    rows = rows.withColumns({"mix_shard": F.element_at("mix_places", F.col("mix_copy")), "mix_order": F.xxhash64(F.lit(seed), "mix_key", "mix_copy")})
+    dealt = rows.repartition("mix_shard", F.pmod("mix_order", F.lit(16))).sortWithinPartitions("mix_shard", "mix_order")
     return dealt.select(*columns)

@@ -25,7 +25,7 @@ def op3_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("mix_size").alias("size"), "source", "source_size", "target", (F.col("copies") * F.col("mix_size")).alias("taken"))
+    return rows.select("doc_id", F.col("mix_size").alias("size"), "source", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
 def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
