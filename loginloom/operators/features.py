@@ -101,7 +101,7 @@ def with_features(events: DataFrame, names: list[str]) -> DataFrame:
     for key, partner, windows in DISTINCT:
         some = {n: w for n, w in windows.items() if n in names}
         if some:
-            rows = distinct_in_window(rows, key, partner, some)
+            rows = distinct_in_window(rows, key, partner, some, base=events)
     made = {n: EXPRESSIONS[n]() for n in EXPRESSIONS if n in names}
     made |= {n: c for n, c in hour_columns().items() if n in names}
     return rows.withColumns(made).select(*events.columns, *names)

@@ -33,23 +33,24 @@ def first_in_stream(*keys: str) -> Column:
     return (F.row_number().over(Window.partitionBy(*keys).orderBy("t", "event_id")) == 1).cast("int")
 
 
-def distinct_in_window(df: DataFrame, key: str, value: str, windows: dict[str, int], where: str = "true") -> DataFrame:
+def distinct_in_window(df: DataFrame, key: str, value: str, windows: dict[str, int], where: str = "true", base: DataFrame | None = None) -> DataFrame:
     """df with, for each name, the number of distinct `value` of the same `key` in (t-w, t).
 
     For each (key, value) the times are merged into runs that cover the queries (start, end+w); the answer is a running sum
     of run starts less run ends. Linear after one shuffle by key, however many rows a window holds. Only rows that satisfy
-    `where` are counted; every row gets an answer.
+    `where` are counted; every row gets an answer. `base` has the same events as df without the columns that df has gained:
+    the runs then come from it, and the plan that made df stands in the plan once.
     """
-    rows = df.repartition(F.col(key))
     times = Window.partitionBy(key, value).orderBy("t")
-    spans = rows.filter(where).select(key, value, "t").distinct()
+    spans = (df if base is None else base).filter(where).select(key, value, "t").distinct()
     marks = []
     for name, w in windows.items():
         runs = spans.withColumn("opens", F.coalesce(F.col("t") >= F.lag("t").over(times) + w, F.lit(True)))
         runs = runs.withColumn("run", F.sum(F.col("opens").cast("int")).over(times)).groupBy(key, value, "run").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-        for place, sign in ((2 * F.col("a") + 2, 1), (2 * (F.col("b") + w), -1)):
-            marks.append(runs.select(F.col(key), place.alias("_place"), *[F.lit(sign if n == name else 0).alias(f"_{n}") for n in windows]))
-    own = rows.withColumn("_place", 2 * F.col("t") + 1)
+        ends = F.explode(F.array(F.struct((2 * F.col("a") + 2).alias("place"), F.lit(1).alias("sign")), F.struct((2 * (F.col("b") + w)).alias("place"), F.lit(-1).alias("sign")))).alias("m")
+        runs = runs.select(F.col(key), ends)
+        marks.append(runs.select(F.col(key), F.col("m.place").alias("_place"), *[(F.col("m.sign") if n == name else F.lit(0)).alias(f"_{n}") for n in windows]))
+    own = df.withColumn("_place", 2 * F.col("t") + 1)
     for n in windows:
         own = own.withColumn(f"_{n}", F.lit(0))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marks, own)
