@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 
 #: Steps of one recursive query; words with more merges go on in the next.
 STEPS = 40
-#: Words that a Python worker keeps with their ids; it starts anew beyond.
-CACHE = 900_000
+#: Words that a Python worker keeps with their ids; beyond, those of the texts at hand stay.
+CACHE = 350_000
 #: Bytes of text between two queries.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 #: Bytes of new words in one query.
-QUERY_BYTES = 400_000
+QUERY_BYTES = 120_000
 
 
 def vocabulary(path: str) -> list[tuple[bytes, int]]:
@@ -93,7 +93,7 @@ class Codec:
         ranks = dict(pairs)
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.whole = ranks
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         rows = merge_rows(ranks)
         merges = pa.table({"lefty": pa.array([r[0] for r in rows], pa.int32()), "righty": pa.array([r[1] for r in rows], pa.int32()), "merged": pa.array([r[2] for r in rows], pa.int32())})
         words = pa.table({"id": pa.array([r for _, r in pairs], pa.int32()), "hex": [t.hex() for t, _ in pairs]})
@@ -126,9 +126,6 @@ class Codec:
 
     def learn(self, words) -> None:
         """Encodes new words and keeps their ids and what these decode to."""
-        if len(self.ids) + len(words) > CACHE:
-            self.ids.clear()
-            self.back.clear()
         todo = []
         for word in words:
             rank = self.whole.get(raw := word.encode())
@@ -149,6 +146,11 @@ class Codec:
             self.back.update(zip(lines, back))
             lo = hi
 
+    def forget(self, but) -> None:
+        """Drops the words that aren't in `but`."""
+        self.ids = {w: self.ids[w] for w in but if w in self.ids}
+        self.back = {x: self.back[x] for x in self.ids.values()}
+
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of each sequence of ids, put together by an ordered aggregation."""
         self.con.register("given", self.pa.table({"k": self.pa.array(range(len(sequences)), self.pa.int32()), "ids": self.pa.array(sequences, self.pa.list_(self.pa.int32()))}))
@@ -187,10 +189,11 @@ def encode_batches(batches: Iterator, path: str, pattern: str, emit_ids: bool) -
                 total += len(text)
                 hi += 1
             codec = codec_of(path)
-            fresh = set().union(*words).difference(codec.ids)
+            asked = set().union(*words)
+            fresh = asked.difference(codec.ids)
+            if len(codec.ids) + len(fresh) > CACHE:
+                codec.forget(asked)
             if fresh:
-                if len(codec.ids) + len(fresh) > CACHE:
-                    fresh = set().union(*words)
                 codec.learn(fresh)
             of, back = codec.ids.__getitem__, codec.back.__getitem__
             n, ids_sha, decoded_sha, ids = [], [], [], []
