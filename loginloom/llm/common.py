@@ -27,10 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: it outlives lost executors and has no lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet in the shared folder and read again: it outlives lost executors and has no lineage.
+
+    The shuffle files of the write go with it; Spark makes them again if df itself is run once more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_spool(*dfs: DataFrame) -> None:

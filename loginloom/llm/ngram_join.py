@@ -6,9 +6,9 @@ first |x| - ceil(t|x|) + L shingles of each, for every L. Each document chooses
 a longer prefix meets more postings, but more shared shingles are then required before a pair is verified; a pair is held
 to the smaller L of its two documents.
 
-Documents with equal sets are one node. Candidates come in two rounds, so that a group of near copies costs in proportion
-to its size: first each posting's documents are verified against the posting's least document; then, between documents
-that are not yet in one component, every pair of the prefix filter. No link between components is lost, and links within
+Documents with equal sets are one node. Candidates come in rounds, so that a group of near copies costs in proportion
+to its size: in the early ones a document is verified against a head or two of its postings, by least id and then by
+hash; in the last, between documents that are not yet in one component, every pair of the prefix filter. No link between components is lost, and links within
 one change nothing. The sets of candidates are made again from the texts, by a pass over the documents that a bit filter
 lets through; the intersection is exact over 64-bit hashes of the shingles.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import M1, M2, drop_spool, mix, spool, text_chunks, words_of
@@ -33,6 +33,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: Most shared shingles that a document asks for.
 LONGEST = 6
+#: Rounds that verify a few candidates of each document before all that are left.
+EARLY = 3
 #: Counters of the frequency estimate, bits of the filter, and the blocks in which both are summed: sizes fixed for any input.
 CELLS, BITS, BLOCKS = 1 << 20, 1 << 23, 64
 
@@ -227,11 +229,56 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFr
     return linked, [pairs, sets]
 
 
+def _need(n):
+    """Shingles that a partner must share with a set of n, at least."""
+    return F.ceil(n * NUMERATOR / DENOMINATOR)
+
+
 def _near(n, m):
     """Sizes that a link allows."""
     return (F.least(n, m) * DENOMINATOR) >= (F.greatest(n, m) * NUMERATOR)
 
 
+def _least_common(n, m, level):
+    """Matches that a linked pair has within the prefixes of `level`: what lies beyond one of them can't make up for more."""
+    overlap = F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    return F.greatest(level, overlap - F.greatest(_need(n), _need(m)) + level)
+
+
+#: Sizes of one band differ by less than this factor; linked sets lie at most REACH bands apart.
+BAND, REACH = 1.05, 5
+
+
+def _band(n):
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND)) + 1e-9).cast("int")
+
+
+def _possible(open_: DataFrame) -> DataFrame:
+    """node, band, to_band: where a document has postings enough for a link with some size of that band.
+
+    A document's matches with one partner are at most its postings that hold another component in the partner's band. The
+    least that a link needs is, over a band, that of an end of it, since it rises up to the document's own size and then falls.
+    """
+    bands = open_.groupBy("token", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("level").alias("least"))
+    bands = bands.groupBy("token").agg(F.collect_list(F.struct("band", "lo", "hi", "least")).alias("bands"))  # a few hundred bands at most
+    near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) <= REACH) & ((b["lo"] != F.col("component")) | (b["hi"] != F.col("component"))))
+    rows = open_.join(bands, "token").select("node", "band", "n", "level", F.explode(near).alias("b"))
+    rows = rows.groupBy("node", "band", "n", "level", F.col("b.band").alias("to_band")).agg(F.count("*").alias("postings"), F.min("b.least").alias("least"))
+    n = F.col("n")
+    ends = [F.greatest(n * NUMERATOR / DENOMINATOR, F.least(n * DENOMINATOR / NUMERATOR, F.pow(F.lit(BAND), F.col("to_band") + k))) for k in (0, 1)]
+    need = lambda m: (n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR) - F.greatest(n, m) * NUMERATOR / DENOMINATOR
+    # two less: needs are rounded up
+    enough = F.col("postings") >= F.greatest(F.lit(1.0), F.least(*[need(m) for m in ends]) + F.least("level", "least") - 2)
+    return rows.filter(enough).select("node", "band", "to_band")
+
+
+def _still_open(posts: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The postings that hold documents of several components, with `component` and the posting's `major` one."""
+    placed = posts.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("token", "component").count().groupBy("token").agg(F.count("*").alias("n_components"), F.max_by("component", "count").alias("major"))
+    return placed.join(mixed.filter("n_components > 1").select("token", "major"), "token")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every text; n_shingles is the size of its set."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -239,37 +286,61 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = survey.filter("block IS NULL").select("doc_id", "n", "s1", "s2")
     cells = _merged(survey.filter("block IS NOT NULL").select("block", "data"), np.uint32, CELLS, True)
     nodes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
-    posts = _prefixes(docs, cells).join(nodes.filter("node IS NOT NULL").select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi")
-    posts = posts.select(F.col("doc_id").cast("long").alias("node"), "n", "level", F.posexplode("tokens").alias("place", "token"))
-    need = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
-    # the least L whose prefix reaches this place
-    posts = spool(posts.select("token", "node", "n", "level", F.greatest(F.lit(1), F.col("place") + 1 - (F.col("n") - need)).cast("int").alias("reach")), "posts")
-    heads = posts.groupBy("token").agg(F.count("*").alias("n_docs"), F.min(F.struct("node", "n")).alias("head")).filter("n_docs > 1").select("token", "head")
+    known = nodes.filter("node IS NOT NULL").select("node").distinct()
+    prefixes = spool(_prefixes(docs, cells).join(known, F.col("doc_id") == F.col("node"), "left_semi").withColumn("node", F.col("doc_id").cast("long")).drop("doc_id"), "prefixes")
+    about = prefixes.select("node", "n", "level")
+    posts = prefixes.select("node", "n", F.posexplode("tokens").alias("place", "token"))
+    # reach: the least L whose prefix holds this place
+    posts = posts.select("token", "node", F.greatest(F.lit(1), F.col("place") + 1 - (F.col("n") - _need(F.col("n")))).cast("int").alias("reach"))
+    heads = posts.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("token", "head")
     shared = spool(posts.join(heads, "token"), "shared")
-    drop_spool(posts)
-    first = shared.filter((F.col("node") != F.col("head.node")) & _near(F.col("n"), F.col("head.n")))
-    links, used = _verified(docs, first.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
-    one = spool(links, "links")
-    drop_spool(*used)
-    grouped = spool(components(one), "components")
-    # postings that still hold documents of several components
-    placed = shared.drop("head").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = spool(placed, "placed")
-    drop_spool(shared)
-    counts = placed.groupBy("token", "component").count()
-    mixed = counts.groupBy("token").agg(F.count("*").alias("n_components"), F.max_by("component", "count").alias("major")).filter("n_components > 1").select("token", "major")
-    open_ = spool(placed.join(mixed, "token"), "open")
-    drop_spool(placed)
-    x = open_.filter("component <> major").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "level", "reach", "component")])
-    y = open_.select("token", "major", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "level", "reach", "component")])
+    # early rounds: each document with one or two heads of its postings
+    linked, grouped, open_ = None, None, None
+    for k in range(EARLY):
+        if k:
+            held = open_
+            open_ = spool(_still_open(held.drop("major", "component"), grouped), "open")
+            drop_spool(held)
+            head = open_.groupBy("token").agg(F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(k), "token", "node")).alias("h"))
+            met = open_.join(head, "token").filter(F.col("component") != F.col("h.component")).select("node", F.col("h.node").alias("head"))
+        else:
+            met = shared.filter("node <> head").select("node", "head")
+        counts = met.groupBy("node", "head").agg(F.count("*").alias("common"))
+        counts = counts.join(about.select("node", "n"), "node").join(about.select(F.col("node").alias("head"), F.col("n").alias("head_n")), "head").filter(_near(F.col("n"), F.col("head_n")))
+        if not k:
+            counts = counts.filter(F.col("common") * 2 >= _least_common(F.col("n"), F.col("head_n"), F.lit(1)))
+        # a document's candidates here are at most as many as its postings
+        first = Window.partitionBy("node").orderBy(F.desc("common"), "head")
+        best = counts.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= (2 if k else 1))
+        links, used = _verified(docs, best.select(F.col("head").alias("a"), F.col("node").alias("b")))
+        found = spool(links, "links")
+        drop_spool(*used)
+        linked = found if linked is None else linked.union(found)
+        grouped = spool(components(linked), "components")
+        if not k:
+            open_ = spool(_still_open(shared.drop("head"), grouped), "open")
+            drop_spool(shared)
+    # last round: every pair of the prefix filter between components
+    held = open_
+    last = spool(_still_open(held.drop("major", "component"), grouped).join(about, "node"), "open")
+    drop_spool(held)
+    held, open_ = last, last
+    open_ = open_.withColumn("band", _band(F.col("n")))
+    may = spool(_possible(open_), "possible")
+    sides = open_.join(may, ["node", "band"])
+    columns = ("node", "n", "level", "reach", "component", "band", "to_band")
+    x = sides.filter("component <> major").select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = sides.select(F.col("token").alias("y_token"), "major", *[F.col(c).alias(f"y_{c}") for c in columns])
     level = F.least("x_level", "y_level")
     meets = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("major")) | (F.col("x_node") < F.col("y_node"))) & _near(F.col("x_n"), F.col("y_n")) & (F.greatest("x_reach", "y_reach") <= level)
-    pairs = x.join(y, "token").filter(meets).groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), level.alias("level")).agg(F.count("*").alias("common")).filter("common >= level").select("a", "b")
+    same = (F.col("token") == F.col("y_token")) & (F.col("x_to_band") == F.col("y_band")) & (F.col("y_to_band") == F.col("x_band"))
+    pairs = x.join(y, same & meets).groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), (F.col("x_n") + F.col("y_n")).alias("both"), F.greatest("x_n", "y_n").alias("more"), level.alias("level")).agg(F.count("*").alias("common"))
+    pairs = pairs.filter(F.col("common") >= _least_common(F.col("more"), F.col("both") - F.col("more"), F.col("level"))).select("a", "b")
     links, used = _verified(docs, pairs)
     two = spool(links, "links")
-    drop_spool(*used, open_)
+    drop_spool(*used, held, may, prefixes)
     if two.limit(1).count():
-        grouped = components(one.union(two))
+        grouped = components(linked.union(two))
     named = nodes.join(grouped.withColumnRenamed("node", "member"), F.col("node").cast("long") == F.col("member"), "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component_id"))
     out = rows.filter("n > 0").join(named, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id")))
