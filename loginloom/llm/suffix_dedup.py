@@ -14,7 +14,8 @@ Pieces and segments are told apart by 64-bit hashes (a segment by both, 128 bits
 
 Cases: a null text counts as empty; texts shorter than SPAN bytes lose nothing. Rows repeated in full are one document and
 share its spans; texts that share a doc_id are ordered by a hash of theirs. A null doc_id comes first. Repeats within one
-document, also overlapping ones, keep their first start. Other columns pass through `remove`.
+document, also overlapping ones, keep their first start. Other columns pass through `remove`; names that begin with
+dedup_ are its own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import drop_spool, mix, spool, text_chunks
 from .induced import permuted_prefixes, suffix_array
 
-SPAN, GRAM = 100, 32
+SPAN, GRAM = 100, 48
 #: Bits of the filter of repeated pieces, the blocks in which it is merged, and the bits of the filter of cut documents.
 BITS, BLOCKS = 1 << 26, 64
 #: Bytes of a suffix array, and of one piece's segments before they are cut into single strings.
@@ -55,9 +56,9 @@ def _hashed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if not room.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = _BYTE[raw]
-    for k in range(5):
+    for k in range(4):
         h = h[: len(h) - (1 << k)] * _STEP[k] + h[1 << k :]
-    h = mix(h)
+    h = mix((h[:-32] * _STEP[4] + h[16:-16]) * _STEP[4] + h[32:])  # of GRAM bytes, three times 16
     low = _sliding(h, SPAN - GRAM + 1, np.minimum)
     begin = np.zeros(len(low) + 1, np.int64)
     np.add.at(begin, at[:-1][room], 1)
@@ -65,33 +66,45 @@ def _hashed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h, low, np.flatnonzero(np.cumsum(begin[:-1]) > 0)
 
 
-def leaders(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The hash of every piece, place by place, that is the least of a string that holds it."""
-    h, low, places = _hashed(raw, at)
-    if not len(places):
-        return h[:0]
+def _leading(h: np.ndarray, low: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places of the pieces that are the least of a string that holds them."""
     pieces = SPAN - GRAM + 1
     known = np.zeros(len(low) + 2 * (pieces - 1), np.uint64)
     known[pieces - 1 + places] = low[places]
     # no string is above its pieces: a piece is the least of some string if the greatest of its strings equals it
-    return h[(_sliding(known, pieces, np.maximum) == h) & (h != 0)]
+    return np.flatnonzero((_sliding(known, pieces, np.maximum) == h) & (h != 0))
+
+
+def leaders(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of every leading piece, place by place."""
+    h, low, places = _hashed(raw, at)
+    return h[_leading(h, low, places)] if len(places) else h[:0]
+
 
+def segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, start in it, strings, piece hash, segment hash, inner) of the segments of each text.
 
-def segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start in it, strings, piece hash, segment hash) of the segments of each text."""
+    inner: the piece may stand at several places of the segment, whose strings may then repeat each other.
+    """
     h, low, places = _hashed(raw, at)
     if not len(places):
         none = np.zeros(0, np.int64)
-        return none, none, none, h, h
+        return none, none, none, h, h, none.astype(bool)
     windows = len(low)
-    whole = (h[:windows] * _STEP[5] + h[GRAM : GRAM + windows]) * _STEP[6] + (h[2 * GRAM : 2 * GRAM + windows] * _STEP[7] + h[SPAN - GRAM : SPAN - GRAM + windows])
-    low, whole = low[places], whole[places]
+    whole = (h[:windows] * _STEP[5] + h[26 : 26 + windows]) * _STEP[6] + h[SPAN - GRAM : SPAN - GRAM + windows]
+    low_all, low, whole = low, low[places], whole[places]
     doc = np.searchsorted(at, places, side="right") - 1
     cut = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])])
     count = np.diff(np.append(cut, len(places)))
-    inside = np.arange(len(places)) - np.repeat(cut, count)
-    named = mix(np.add.reduceat(mix(whole) * _PLACE[inside & 0xFFFF], cut) + count.astype(np.uint64))
-    return doc[cut], places[cut] - at[doc[cut]], count, low[cut], named
+    nth = np.arange(len(places)) - np.repeat(cut, count)
+    named = mix(np.add.reduceat(mix(whole) * _PLACE[nth & 0xFFFF], cut) + count.astype(np.uint64))
+    pieces = SPAN - GRAM + 1
+    lead = _leading(h, low_all, places)
+    order = lead[np.argsort(h[lead], kind="stable")]
+    close = np.flatnonzero((h[order[1:]] == h[order[:-1]]) & (order[1:] - order[:-1] < pieces))
+    near = np.unique(h[order[close]])
+    inner = (count > pieces) | np.isin(low[cut], near)
+    return doc[cut], places[cut] - at[doc[cut]], count, low[cut], named, inner
 
 
 def _merge_blocks(rows: DataFrame, size: int) -> np.ndarray:
@@ -132,6 +145,22 @@ def _bits(hashes: DataFrame, bits: int) -> np.ndarray:
     return _merge_blocks(hashes.mapInArrow(run, "block int, data binary"), bits // 8)
 
 
+def _with_bit(rows: DataFrame, column: str, filled: np.ndarray, bits: int) -> DataFrame:
+    """The rows whose value has its bit set, so that a join need not move the others."""
+    given = rows.sparkSession.sparkContext.broadcast(filled)
+    at = rows.columns.index(column)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        mask = given.value
+        for batch in batches:
+            place = (batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+            yield batch.filter(pa.array((mask[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _pieces(docs: DataFrame) -> DataFrame:
     """piece, n: at how many places each piece leads a string, summed for each run of texts."""
 
@@ -147,31 +176,31 @@ def _pieces(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, filled: np.ndarray) -> DataFrame:
-    """piece, segment, doc, version, start, strings, and the bytes at its first place in a run of texts."""
+    """piece, segment, doc, version, start, strings, inner, and the bytes at its first place in a run of texts."""
     given = docs.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         bits = given.value
-        names = ["piece", "segment", "doc", "version", "start", "strings", "bytes"]
+        names = ["piece", "segment", "doc", "version", "start", "strings", "inner", "bytes"]
         for batch in batches:
             ids, versions = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             for lo, _, raw, at in text_chunks(batch.column(2), 1_000_000):
-                doc, start, count, piece, named = segments(raw, at)
+                doc, start, count, piece, named, inner = segments(raw, at)
                 place = (piece & np.uint64(BITS - 1)).astype(np.int64)
                 hit = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
                 if not len(hit):
                     continue
-                doc, start, count, piece, named = doc[hit], start[hit], count[hit], piece[hit], named[hit]
+                doc, start, count, piece, named, inner = doc[hit], start[hit], count[hit], piece[hit], named[hit], inner[hit]
                 order = np.lexsort((start, versions[lo + doc], ids[lo + doc], named, piece))
                 fresh = np.ones(len(hit), bool)
                 fresh[order[1:]] = (piece[order[1:]] != piece[order[:-1]]) | (named[order[1:]] != named[order[:-1]])
                 data, first = raw.tobytes(), at[doc] + start
                 text = [data[a : a + c + SPAN - 1] if f else None for a, c, f in zip(first.tolist(), count.tolist(), fresh.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(piece.view(np.int64)), pa.array(named.view(np.int64)), pa.array(ids[lo + doc]), pa.array(versions[lo + doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(text, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(piece.view(np.int64)), pa.array(named.view(np.int64)), pa.array(ids[lo + doc]), pa.array(versions[lo + doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inner), pa.array(text, pa.binary())], names)
 
-    return docs.mapInArrow(run, "piece long, segment long, doc long, version long, start int, strings int, bytes binary")
+    return docs.mapInArrow(run, "piece long, segment long, doc long, version long, start int, strings int, inner boolean, bytes binary")
 
 
 def repeats(texts: list[bytes], doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
@@ -259,11 +288,13 @@ def find_spans(docs: DataFrame) -> DataFrame:
     drop_spool(repeated)
     place = F.struct("doc", "version", "start")
     groups = spool(
-        occ.groupBy("piece", "segment").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("strings").alias("strings"), F.max("bytes").alias("bytes")),
+        occ.groupBy("piece", "segment").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("strings").alias("strings"), F.max("inner").alias("inner"), F.max("bytes").alias("bytes")),
         "segments",
     )
-    weight = groups.groupBy("piece").agg(F.sum(F.col("strings") + SPAN).alias("weight"), F.count("*").alias("kinds"))
-    groups_ = groups.join(weight, "piece")
+    # where a piece has one kind of segment, which repeats nothing in itself, the collapsed segment is all there is to find
+    weight = groups.groupBy("piece").agg(F.sum(F.col("strings") + SPAN).alias("weight"), F.count("*").alias("kinds"), F.max("inner").alias("any_inner"))
+    unsettled = spool(weight.filter("kinds > 1 OR any_inner").select("piece", "weight"), "unsettled")
+    groups_ = _with_bit(groups, "piece", _bits(unsettled.select("piece"), BITS), BITS).join(unsettled, "piece")
     flat = [F.col("first.doc").alias("doc"), F.col("first.version").alias("version"), F.col("first.start").cast("long").alias("start"), "bytes"]
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     even = groups_.filter(F.col("weight") <= HOT).select(F.col("piece").alias("key"), *flat)
@@ -282,7 +313,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     for x in found[1:]:
         every = every.union(x)
     out = spool(every.groupBy("doc", "version").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
-    drop_spool(occ, groups)
+    drop_spool(occ, groups, unsettled)
     return out
 
 
@@ -305,9 +336,11 @@ def remove(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """
     left = "dedup_text" if as_text else "dedup_bytes"
     docs = docs.drop(left, "n_bytes", "n_removed", "n_spans")
-    versioned = docs.withColumn("version", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    spans = find_spans(versioned.select("doc_id", "version", "text"))
-    key = F.xxhash64("doc", "version")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    spans = find_spans(docs.select("doc_id", version.alias("version"), "text"))
+    spans = spans.select(F.col("doc").alias("dedup_doc"), F.col("version").alias("dedup_version"), F.col("spans").alias("dedup_spans"))
+    key = F.xxhash64("dedup_doc", "dedup_version")
     filled = _bits(spans.select(key.alias("key")), 1 << 23)
     given = docs.sparkSession.sparkContext.broadcast(filled)
 
@@ -318,15 +351,14 @@ def remove(docs: DataFrame, as_text: bool = False) -> DataFrame:
         for batch in batches:
             place = (batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << 23) - 1)).astype(np.int64)
             hit = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "touched"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "dedup_touched"])
 
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    marked = versioned.withColumn("doc", doc).withColumn("key", key)
+    marked = docs.withColumns({"dedup_doc": doc, "dedup_version": version}).withColumn("dedup_key", key)
     schema = ", ".join(f"`{c}` {t}" for c, t in marked.dtypes)
-    marked = marked.mapInArrow(touched, f"{schema}, touched boolean").drop("key")
-    cut = marked.filter("touched").join(spans, ["doc", "version"], "left")
-    plain = marked.filter("NOT touched").withColumn("spans", F.lit(None).cast("array<struct<from:bigint,to:bigint>>"))
-    both = cut.select(*docs.columns, "spans").union(plain.select(*docs.columns, "spans"))
+    marked = marked.mapInArrow(touched, f"{schema}, dedup_touched boolean").drop("dedup_key")
+    cut = marked.filter("dedup_touched").join(spans, ["dedup_doc", "dedup_version"], "left")
+    plain = marked.filter("NOT dedup_touched").withColumn("dedup_spans", F.lit(None).cast("array<struct<from:bigint,to:bigint>>"))
+    both = cut.select(*docs.columns, "dedup_spans").union(plain.select(*docs.columns, "dedup_spans"))
     names = [*docs.columns, left, "n_bytes", "n_removed", "n_spans"]
     at, last = docs.columns.index("text"), len(docs.columns)
 
