@@ -33,8 +33,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: Most shared shingles that a document asks for.
 LONGEST = 6
-#: Rounds that verify a few candidates of each document before all that are left.
-EARLY = 3
+#: Rounds that verify a candidate or two of each document before all that are left. More of them found few links more.
+EARLY = 1
 #: Counters of the frequency estimate, bits of the filter, and the blocks in which both are summed: sizes fixed for any input.
 CELLS, BITS, BLOCKS = 1 << 20, 1 << 23, 64
 
