@@ -9,7 +9,8 @@ maps to whole blocks and, where a range ends inside a block, to whole units.
 Law `bytes`: shard sizes are near equal. Size of a row: UTF-8 bytes of the text (null: none) plus 1.
 
 Cases: null texts are equal to each other; their checksum is null. Empty texts have size 1. Rows repeated with one doc_id
-each get a slot. An empty table gives no rows. Other columns are ignored; a null source counts as a source of its own.
+each get a slot. An empty table gives no rows. assign ignores other columns, rewrite carries them; a null source counts as
+a source of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spool, text_key
+from .common import drop_spool, spool, text_key
 
 #: Blocks of one old shard.
 BLOCKS = 256
@@ -71,7 +72,7 @@ def row_size(text: Column) -> Column:
 
 
 def assign(docs: DataFrame, shards: int = 16, old_shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot of every row, under the law `bytes`.
+    """doc_id, size, text_crc32, source, text_hash, old_shard, shard, slot of every row, under the law `bytes`.
 
     A row's old shard is that of its source; new shards 0 to old_shards - 1 are the old ones, grown or shrunk. Bytes that
     stay cost nothing, bytes that move cost 1 each.
@@ -84,6 +85,7 @@ def assign(docs: DataFrame, shards: int = 16, old_shards: int = 8) -> DataFrame:
             row_size(text).alias("size"),
             F.crc32(text).alias("text_crc32"),
             text_key(text).alias("text_key"),
+            "source",
             F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0"))), F.lit(old_shards)).cast("int").alias("old_shard"),
         ),
         "slim",
@@ -143,7 +145,7 @@ def assign(docs: DataFrame, shards: int = 16, old_shards: int = 8) -> DataFrame:
     placed = light.select("text_key", "piece", target.alias("shard"))
     if heavy:
         placed = placed.unionByName(spark.createDataFrame(heavy, "text_key string, piece int, shard int"))
-    rows = spool(slim.join(placed, ["text_key", "piece"]).drop("text_key", "piece").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(NUMBERED)).cast("int")), "placed")
+    rows = spool(slim.join(placed, ["text_key", "piece"]).withColumn("text_hash", F.unhex(F.when(F.col("text_key") != "null", F.col("text_key")))).drop("text_key", "piece").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(NUMBERED)).cast("int")), "placed")
     counts = {(r.shard, r.part): r["count"] for r in rows.groupBy("shard", "part").count().collect()}  # shards * NUMBERED rows at most
     offsets = []
     for j in range(shards):
@@ -153,7 +155,7 @@ def assign(docs: DataFrame, shards: int = 16, old_shards: int = 8) -> DataFrame:
             at += counts.get((j, p), 0)
     offset = spark.createDataFrame(offsets, "shard int, part int, first long")
     order = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    return rows.join(F.broadcast(offset), ["shard", "part"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.row_number().over(order) - 1).alias("slot"))
+    return rows.join(F.broadcast(offset), ["shard", "part"]).select("doc_id", "size", "text_crc32", "source", "text_hash", "old_shard", "shard", (F.col("first") + F.row_number().over(order) - 1).alias("slot"))
 
 
 def affected(placed: DataFrame) -> list[int]:
@@ -165,10 +167,31 @@ def affected(placed: DataFrame) -> list[int]:
 def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Writes the files of the affected shards, each in its folder shard=N, rows in order of slot; returns those shards.
 
-    Needs unique doc_id. The files of the other shards stay as they are.
+    placed is what assign made of docs. The files of the other shards stay as they are; the folder of a shard that has lost
+    all of its rows goes. Columns `shard` and `slot` of docs, as after an earlier rewrite, give way to the new ones; docs may
+    be read from path. Rows are met by doc_id, text and source, repeated ones by their number among equals; all rows of one
+    doc_id and text go to one shard, so it doesn't matter which of them takes which slot.
     """
     shards = affected(placed)
-    if shards:
-        rows = docs.join(placed.filter(F.col("shard").isin(shards)).select("doc_id", "shard", "slot"), "doc_id")
-        rows.repartition("shard", F.expr(f"slot div 100000")).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    if not shards:
+        return shards
+    spark = docs.sparkSession
+    keys = ["doc_id", "text_hash", "source"]
+    carried = [c for c in docs.columns if c not in ("shard", "slot")]
+    # a full order, so that a task that runs again numbers its rows alike
+    whole = F.xxhash64(F.to_json(F.struct(*carried)))
+    number = lambda keys, *by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    own = docs.select(F.struct(*carried).alias("row"), F.col("doc_id").alias("d_id"), F.unhex(F.sha2("text", 256)).alias("d_hash"), F.col("source").alias("d_source"), whole.alias("whole"))
+    own = own.withColumn("d_number", number(["d_id", "d_hash", "d_source"], "whole"))
+    to = placed.select(*keys, "shard", "slot").withColumn("number", number(keys, "shard", "slot")).filter(F.col("shard").isin(shards))
+    same = F.col("doc_id").eqNullSafe(F.col("d_id")) & F.col("text_hash").eqNullSafe(F.col("d_hash")) & F.col("source").eqNullSafe(F.col("d_source")) & (F.col("number") == F.col("d_number"))
+    rows = spool(own.join(to, same).select("row.*", "shard", "slot"), "rewritten")
+    held = {r[0] for r in rows.select("shard").distinct().collect()}
+    rows.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    drop_spool(rows)
+    # dynamic overwriting leaves partitions without new rows alone
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for shard in set(shards) - held:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(conf).delete(folder, True)
     return shards

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from loginloom.llm import bpe, induced, merkle, mixing, ngram_join, quality, queries, sharding, suffix_dedup, token_tree, topk
 from loginloom.llm.common import table
@@ -137,6 +138,22 @@ def test_rewrite_touches_only_affected_shards(spark, tmp_path):
     assert back.count() == placed.filter(placed["shard"].isin(shards)).count()
 
 
+def test_rewrite_keeps_other_shards_and_every_row(spark, tmp_path):
+    rows = [(1, "stays", "a", 0), (2, "goes", "b", 1), (3, "comes", "c", 2), (None, "no id", "c", 2), (None, "no id", "c", 2), (None, None, "c", 2), (4, "twice", "b", 1), (4, "twice", "b", 1), (4, "other text", "b", 1), (5, "rests", None, 3)]
+    path = str(tmp_path / "out")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int").withColumn("size", F.lit("clash"))
+    docs.repartition(1).write.partitionBy("shard").parquet(path)
+    before = {f.name for n in (0, 3) for f in (tmp_path / "out" / f"shard={n}").iterdir()}
+    # shards 0 and 3 keep their rows, all of 1 goes to 2, of 2 to 4
+    new = F.when(F.col("source") == "b", 2).when(F.col("source") == "c", 4)
+    placed = sharding.assign(docs).withColumn("old_shard", F.when(F.col("source") == "b", 1).when(F.col("source") == "c", 2).when(F.col("source") == "a", 0).otherwise(3)).withColumn("shard", F.coalesce(new, "old_shard"))
+    assert sharding.rewrite(spark.read.parquet(path), placed, path) == [1, 2, 4]
+    got = sorted(((r.doc_id, r.text, r.source, r.size, r.shard) for r in spark.read.parquet(path).collect()), key=repr)
+    to = {0: 0, 3: 3, 1: 2, 2: 4}
+    assert got == sorted(((i, t, s, "clash", to[k]) for i, t, s, k in rows), key=repr)
+    assert before == {f.name for n in (0, 3) for f in (tmp_path / "out" / f"shard={n}").iterdir()}
+
+
 def test_mixing_targets(spark):
     rows = mixing.mix(table(spark, SF, "documents")).collect()
     taken, target, most = {}, {}, {}
