@@ -6,6 +6,9 @@ so on, and `tail`, the events of the last day. Both can be written by day or by
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,8 @@ def _kinds(events: DataFrame) -> DataFrame:
     return events.select("t", rows).select("k.*", "t")
 
 
-def advance_day(events: DataFrame, state: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(events with FEATURES, the next state). events: later than all of the state."""
+def advance_day(events: DataFrame, state: dict[str, DataFrame], cut: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(events with FEATURES, the next state). events: later than all of the state. cut: whether the registry's lineage is."""
     known, tail = state["registry"], state["tail"]
     users = known.filter("kind = 'usr'").select(F.col("a").alias("usr"), F.col("n").alias("k_n"), F.col("last_t").alias("k_last"))
     pairs = known.filter("kind = 'pair'").select(F.col("a").alias("usr"), F.col("b").alias("dst"), F.col("n").alias("p_n"), F.col("last_t").alias("p_last"))
@@ -59,4 +62,31 @@ def advance_day(events: DataFrame, state: dict[str, DataFrame]) -> tuple[DataFra
     recent = tail.unionByName(events.select("event_id", "t", "usr", "src", "dst", "success"))
     edge = events.agg(F.max("t").alias("edge"))
     kept = recent.join(F.broadcast(edge), F.col("t") > F.col("edge") - DAY).drop("edge")
-    return out, {"registry": registry.checkpoint() if events.sparkSession.conf.get("spark.checkpoint.dir", None) else registry, "tail": kept}
+    return out, {"registry": registry.checkpoint() if cut and events.sparkSession.conf.get("spark.checkpoint.dir", None) else registry, "tail": kept}
+
+
+def advance_days(events: DataFrame, state: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(events with FEATURES, the last state) over every day of events, each from the state that the days before left.
+
+    Events are dealt by day once; a day's features, registry and tail are written to the shared folder before the next day
+    reads them, so no plan grows with the days. t must not be null.
+    """
+    spark = events.sparkSession
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/days-{uuid.uuid4().hex}"
+    state = state or empty_state(spark)
+    day = F.floor(F.col("t") / DAY).alias("_day")
+    events.select("*", day).write.partitionBy("_day").parquet(f"{root}/events")
+    days = sorted(r[0] for r in events.select(day).distinct().collect())
+    if not days:
+        return advance_day(events, state)
+
+    def stored(rows: DataFrame, path: str) -> DataFrame:
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    for d in days:
+        own = spark.read.schema(events.schema).parquet(f"{root}/events/_day={d}")
+        x, after = advance_day(own, state, cut=False)
+        stored(x, f"{root}/features/day-{d}")
+        state = {k: stored(v, f"{root}/{k}/day-{d}") for k, v in after.items()}
+    return spark.read.schema(x.schema).parquet(*[f"{root}/features/day-{d}" for d in days]), state

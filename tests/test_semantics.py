@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from loginloom.operators import evaluation, features, graph, rules, studies
 from loginloom.operators.windows import global_position, rolling_split, running_totals
+from loginloom.plans import registry
+from loginloom.plans.detection_queries import rounded
+from loginloom.plans.fixtures import auth_sparse
 from loginloom.streaming import streams
 
 E = "event_id long, t long, usr long, src long, dst long, logon_id int, success int, label int"
@@ -86,6 +89,16 @@ def test_split_windows_equal_whole_ones(spark):
     assert {r.event_id: r.n for r in rolling_split(e, 300, ["usr"], {"n": F.count("*")}).collect()} == whole
 
 
+def test_incremental_features_of_all_days_equal_batch(spark):
+    sf, names = "/root/testdata/sf0.001", streams.incremental.FEATURES
+    got = registry.queries()["d24_incremental_features_all_days"](spark, sf).select("event_id", *names).collect()
+    e = auth_sparse(spark, sf)
+    want = {r.event_id: r for r in rounded(features.with_features(e, names), "event_id", *names).collect()}
+    assert e.select(F.floor(F.col("t") / 86_400)).distinct().count() > 3 and len(got) == len(want)
+    for r in got:
+        assert tuple(r)[1:] == pytest.approx(tuple(want[r.event_id])[1:], abs=2e-6)
+
+
 def test_lock_policy_holds(spark):
     a = spark.createDataFrame([(i, i * 10, 7, 1) for i in range(5)], "event_id long, t long, usr long, src long")
     assert studies.lock_policy(a).first().locks == 1
