@@ -325,3 +325,21 @@ def i24(spark, sf_dir):
 def h07(spark, sf_dir):
     rows = scores(spark, sf_dir).select("event_id", "score")
     return rounded(evaluation.percentile_of(rows.filter("event_id % 7 = 1"), rows.filter("event_id % 3 = 0").select("score")), "event_id", "percentile")
+
+
+@registered("h07_empirical_percentile_all", f"{SCORES_CTE} SELECT event_id, round(cume_dist() OVER (ORDER BY score), 6) AS percentile FROM x")
+def h07_all(spark, sf_dir):
+    """Every event against all scores."""
+    rows = scores(spark, sf_dir).select("event_id", "score")
+    return rounded(evaluation.percentile_of(rows, rows.select("score")), "event_id", "percentile")
+
+
+@registered(
+    "f14_related_alerts_search_set",
+    f"""{ALERTS_CTE}, r AS (SELECT DISTINCT event_id, t, x FROM (SELECT event_id, t, unnest(['user:' || usr, 'host:' || src, 'host:' || dst]) AS x FROM a))
+    SELECT q.event_id AS target, r.event_id, r.t, count(*) AS shared FROM r q JOIN r ON r.x = q.x AND r.event_id <> q.event_id WHERE q.event_id % 50 = 0 GROUP BY ALL""",
+)
+def f14_search_set(spark, sf_dir):
+    """The stated search set, as of f13."""
+    rows = alerts(spark, sf_dir)
+    return graph.related_alerts(rows, rows.filter("event_id % 50 = 0").select("event_id"))

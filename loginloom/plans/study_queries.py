@@ -208,3 +208,10 @@ def d24_all_days(spark, sf_dir):
     """Every day, one after another; equals d23_causal_features_sparse in these features."""
     out, _ = incremental.advance_days(auth_sparse(spark, sf_dir))
     return rounded(out, "event_id", *incremental.FEATURES)
+
+
+@registered("j06_host_day_rank_attackers", f"{SCORES_CTE}, b AS (SELECT t // 86400 AS day, src, score FROM x QUALIFY row_number() OVER (PARTITION BY t // 86400, src ORDER BY score DESC, event_id) <= 3), h AS (SELECT day, src, round(avg(score), 9) AS hs FROM b GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY day ORDER BY hs DESC) AS rank FROM h) SELECT day, src, round(hs, 6) AS host_score, CAST(rank AS INTEGER) AS rank FROM r WHERE src IN (SELECT src FROM x WHERE label = 1)")
+def j06_attackers(spark, sf_dir):
+    """Attackers are the hosts that labelled rows leave."""
+    rows = scores(spark, sf_dir)
+    return rounded(studies.host_day_rank(rows, rows.filter("label = 1").select("src").distinct()), "day", "src", "host_score", "rank")
