@@ -28,8 +28,8 @@ ALERT_RISK = 0.85
 ALERTS_CTE = f"{DENSE_SQL}{SCORE_CTE}, a AS (SELECT event_id, t, usr, src, dst, round(risk, 6) AS risk, is_new_pair AS is_new, support, label FROM s WHERE round(risk, 6) >= {ALERT_RISK})"
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).withColumn("risk", F.round("risk", 6)).filter(F.col("risk") >= ALERT_RISK)
+def alerts(spark: SparkSession, sf_dir: str, least: float = ALERT_RISK) -> DataFrame:
+    rows = scored(spark, sf_dir).withColumn("risk", F.round("risk", 6)).filter(F.col("risk") >= least)
     return rows.select("event_id", "t", "usr", "src", "dst", "risk", F.col("is_new_pair").alias("is_new"), "support", "label")
 
 
@@ -343,3 +343,29 @@ def f14_search_set(spark, sf_dir):
     """The stated search set, as of f13."""
     rows = alerts(spark, sf_dir)
     return graph.related_alerts(rows, rows.filter("event_id % 50 = 0").select("event_id"))
+
+
+#: The documented risk floor of paths (FIXTURES.md); edges as of the operator.
+PATH_RISK = 0.8
+WHOLE_PATHS_CTE = PATHS_CTE.replace(f"round(risk, 6) >= {ALERT_RISK}", f"round(risk, 6) >= {PATH_RISK}").replace("p.n < 3", f"p.n < {graph.MAX_EDGES}")
+
+
+@registered("f03_rank_paths_five_edges", f"{WHOLE_PATHS_CTE} SELECT path, n_edges, first_t, last_t FROM scored_paths")
+def f03_five_edges(spark, sf_dir):
+    rows = graph.score_paths(graph.rank_paths(alerts(spark, sf_dir, PATH_RISK), min_risk=PATH_RISK), top_k=None)
+    return rows.select(F.concat_ws("-", "events").alias("path"), "n_edges", "first_t", "last_t")
+
+
+@registered("f04_score_paths_five_edges", f"{WHOLE_PATHS_CTE} SELECT path, n_edges, score FROM scored_paths ORDER BY score DESC, first_t, last_t, events LIMIT 20")
+def f04_five_edges(spark, sf_dir):
+    rows = graph.score_paths(graph.rank_paths(alerts(spark, sf_dir, PATH_RISK), min_risk=PATH_RISK), top_k=20)
+    return rows.select(F.concat_ws("-", "events").alias("path"), "n_edges", "score")
+
+
+@registered("f05_incremental_paths_five_edges", f"{WHOLE_PATHS_CTE}, m AS (SELECT quantile_disc(t, 0.5) AS cut FROM a) SELECT path FROM scored_paths, m WHERE last_t > cut")
+def f05_five_edges(spark, sf_dir):
+    rows = graph.cut_lineage(alerts(spark, sf_dir, PATH_RISK), "alerts")
+    cut = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY t)")).first()[0]
+    first, tail = graph.advance_paths(rows.filter(F.col("t") <= cut), rows.limit(0), rows.select(F.lit("").alias("path_id")).limit(0))
+    second, _ = graph.advance_paths(rows.filter(F.col("t") > cut), tail, first.select("path_id"))
+    return second.select(F.col("path_id").alias("path"))

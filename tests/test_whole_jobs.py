@@ -25,3 +25,10 @@ def equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", ["h07_empirical_percentile_all", "f14_related_alerts_search_set", "j06_host_day_rank_attackers"])
 def test_all_ids_equal_sql(spark, con, name):
     equals_sql(spark, con, name)
+
+
+@pytest.mark.parametrize("name", ["f03_rank_paths_five_edges", "f04_score_paths_five_edges", "f05_incremental_paths_five_edges"])
+def test_long_paths_equal_sql(spark, con, name):
+    sql = registry.oracle_sql()["f03_rank_paths_five_edges"]
+    assert con.execute(f"SELECT max(n_edges) FROM ({sql})").fetchone()[0] > 3
+    equals_sql(spark, con, name)
