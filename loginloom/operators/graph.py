@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,11 +139,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, max_ite
     return mass.select("node", "mass", F.greatest(1 - F.exp(-F.col("mass")), F.col("seed")).alias("risk"))
 
 
-def hop_distance(edges: DataFrame, seeds: DataFrame, most: int = 10) -> DataFrame:
-    """node, hops: breadth first from the seeds along edges (a, b); unreachable nodes have no row."""
+def hop_distance(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """node, hops: breadth first from the seeds along edges (a, b) until nothing new is reached, or for `most` hops;
+    unreachable nodes have no row."""
     reached = seeds.select("node").distinct().withColumn("hops", F.lit(0))
     front = reached
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         step = edges.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
         front = cut_lineage(step.join(reached, "node", "left_anti").withColumn("hops", F.lit(k)), "front")
         if not front.limit(1).count():

@@ -369,3 +369,22 @@ def f05_five_edges(spark, sf_dir):
     first, tail = graph.advance_paths(rows.filter(F.col("t") <= cut), rows.limit(0), rows.select(F.lit("").alias("path_id")).limit(0))
     second, _ = graph.advance_paths(rows.filter(F.col("t") > cut), tail, first.select("path_id"))
     return second.select(F.col("path_id").alias("path"))
+
+
+def _whole_graph(spark, sf_dir):
+    """Edges of all alerts from PATH_RISK on; seeds are the hosts, left or reached, with an alert from ALERT_RISK on."""
+    rows = graph.cut_lineage(alerts(spark, sf_dir, PATH_RISK), "alerts")
+    hosts = rows.filter(F.col("risk") >= ALERT_RISK).select("risk", F.explode(F.array("src", "dst")).alias("node"))
+    return rows.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").cast("double").alias("weight")), hosts.groupBy("node").agg(F.max("risk").alias("seed"))
+
+
+@registered("f08_risk_propagation_converged")
+def f08_converged(spark, sf_dir):
+    """To a change of 1e-6, or 100 rounds; the tests iterate the same in numpy."""
+    return rounded(graph.propagate(*_whole_graph(spark, sf_dir)), "node", "mass", "risk")
+
+
+@registered("f09_hop_distance_all_seeds")
+def f09_all_seeds(spark, sf_dir):
+    """From all seeds until nothing new is reached; the tests search the same in Python."""
+    return graph.hop_distance(*_whole_graph(spark, sf_dir))

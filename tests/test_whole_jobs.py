@@ -1,9 +1,11 @@
 """Queries that do the whole of a job whose registered SQL has a cut."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from loginloom.plans import registry
+from loginloom.operators import graph
+from loginloom.plans import analysis_queries, registry
 from tests.test_registered import SF, TABLES, _plain
 
 
@@ -32,3 +34,33 @@ def test_long_paths_equal_sql(spark, con, name):
     sql = registry.oracle_sql()["f03_rank_paths_five_edges"]
     assert con.execute(f"SELECT max(n_edges) FROM ({sql})").fetchone()[0] > 3
     equals_sql(spark, con, name)
+
+
+def test_distance_has_no_bound(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(13)] + [(13, 5), (20, 12), (30, 31)], "a long, b long")
+    seeds = spark.createDataFrame([(0,), (20,)], "node long")
+    want = {i: min(i, 3 + i - 5) if i > 5 else i for i in range(12)} | {12: 1, 13: 2, 5: 3, 20: 0}
+    assert {r.node: r.hops for r in graph.hop_distance(edges, seeds).collect()} == want
+    alone = graph.hop_distance(edges, seeds.filter("node = 0"))
+    assert {r.node: r.hops for r in alone.collect()} == {i: i for i in range(14)}
+
+
+def test_diffusion_and_distance_of_the_queries(spark):
+    edges, seeds = analysis_queries._whole_graph(spark, SF)
+    edges, seeds = edges.collect(), {r.node: r.seed for r in seeds.collect()}
+    nodes = sorted({x for r in edges for x in (r.a, r.b)} | set(seeds))
+    at = {x: i for i, x in enumerate(nodes)}
+    share, seed = np.zeros((len(nodes), len(nodes))), np.array([seeds.get(x, 0.0) for x in nodes])
+    for r in edges:
+        share[at[r.b], at[r.a]] += r.weight
+    share /= np.maximum(share.sum(0), 1)
+    mass = seed
+    for _ in range(300):
+        mass = 0.15 * seed + 0.85 * share @ mass
+    got = {r.node: r.mass for r in registry.queries()["f08_risk_propagation_converged"](spark, SF).collect()}
+    assert set(got) == set(nodes) and all(abs(got[x] - mass[at[x]]) < 5e-6 for x in nodes)
+    hops, front = dict.fromkeys(seeds, 0), set(seeds)
+    while front:
+        front = {r.b for r in edges if r.a in front} - set(hops)
+        hops |= dict.fromkeys(front, max(hops.values()) + 1)
+    assert {r.node: r.hops for r in registry.queries()["f09_hop_distance_all_seeds"](spark, SF).collect()} == hops
