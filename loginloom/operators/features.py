@@ -6,7 +6,7 @@ place where an earlier row of the same second counts (stream order).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import distinct_in_window, first_in_stream, open_window, stream_past, strict_past
@@ -129,7 +129,7 @@ def featurise_probes(events: DataFrame, probes: DataFrame, names: list[str]) ->
     probes: the columns of events, with event_ids of their own. Expressed as the features of events up to each probe: a
     probe joins the stream with weight 0.
     """
-    both = events.withColumn("_real", F.lit(1)).unionByName(probes.withColumn("_real", F.lit(0)))
+    both = events.withColumn("_real", F.lit(1)).unionByName(probes.withColumn("_real", F.lit(0)), allowMissingColumns=True)
     real = F.col("_real")
     made = {
         "user_seen_before": (F.coalesce(F.sum(real).over(strict_past("usr")), F.lit(0)) > 0).cast("int"),
@@ -142,19 +142,48 @@ def featurise_probes(events: DataFrame, probes: DataFrame, names: list[str]) ->
     return both.withColumns({n: made[n] for n in names}).filter("_real = 0").drop("_real")
 
 
-def counterfactuals(events: DataFrame, share: float = 0.02, seed: int = 1729) -> DataFrame:
-    """Probes: a hashed share of events whose destination is replaced by another event's, never the real pair or a loop.
+#: Kinds of probes of one sampled event, and how many of each.
+PROBE_PLAN = (("dst_popular", 2), ("dst_uniform", 1), ("src_popular", 2))
 
-    The replacement is drawn by rank from the distinct destinations, a dimension table; ids are negative.
+
+def counterfactuals(events: DataFrame, share: float = 0.02, seed: int = 1729, plan=PROBE_PLAN) -> DataFrame:
+    """Probes: the columns of events, kind, real_id; a hashed share of events, each with one end replaced, once for each of plan.
+
+    A popular end is that of a hashed event of the same day, a uniform one any host seen up to that day. A probe that would
+    be the real pair or a loop is drawn again from those hosts. Instead of drawing until it fits, one draw goes over the
+    hosts that fit, which has the same distribution; only a day that knows no third host has no probe. Ids are negative.
     """
-    pick = F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    pool = events.select("dst").distinct()
-    n = pool.count()
     from .windows import global_position
 
-    ranked = global_position(pool, ["dst"], "rank").select(F.col("dst").alias("other"), "rank")
-    rows = events.filter(pick).withColumn("rank", F.pmod(F.xxhash64(F.lit(seed + 1), "event_id"), F.lit(max(n, 1))))
-    return rows.join(ranked, "rank").filter((F.col("other") != F.col("dst")) & (F.col("other") != F.col("src"))).withColumn("dst", F.col("other")).withColumn("event_id", -1 - F.col("event_id")).select(*events.columns)
+    kinds = [kind for kind, n in plan for _ in range(n)]
+    day = F.floor(F.col("t") / DAY)
+    hashed = lambda what, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "real_id", "_j"), n)
+    # events in order of days, hosts in order of the days that they were first seen on
+    drawn = global_position(events.select(day.alias("_day"), "event_id", "src", "dst"), ["_day", "event_id"], "_at")
+    days = drawn.groupBy("_day").agg(F.min("_at").alias("_start"), F.count("*").alias("_n"))
+    hosts = events.select(day.alias("_day"), F.explode(F.array("src", "dst")).alias("host")).groupBy("host").agg(F.min("_day").alias("_day"))
+    hosts = global_position(hosts, ["_day", "host"], "_rank").select("host", "_day", "_rank")
+    known = days.select("_day").join(hosts.groupBy("_day").agg(F.max("_rank").alias("_last")), "_day", "left")
+    days = days.join(known.withColumn("_hosts", F.max("_last").over(Window.partitionBy(F.lit(0)).orderBy("_day")) + 1).select("_day", "_hosts"), "_day")
+
+    pick = F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    plans = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(kind).alias("kind")) for j, kind in enumerate(kinds)])).alias("_p")
+    rows = events.filter(pick).select("*", day.alias("_day"), F.col("event_id").alias("real_id"), plans).select("*", "_p._j", "_p.kind").drop("_p").join(F.broadcast(days), "_day")
+    rows = rows.withColumn("_at", F.col("_start") + hashed("popular", F.col("_n")))
+    rows = rows.join(drawn.select("_at", F.col("src").alias("_p_src"), F.col("dst").alias("_p_dst")), "_at")
+    first = F.when(F.col("kind") == "dst_popular", F.col("_p_dst")).when(F.col("kind") == "src_popular", F.col("_p_src"))
+    rows = rows.withColumn("_end", F.when((first != F.col("src")) & (first != F.col("dst")), first))
+    for end in ("src", "dst"):
+        rows = rows.join(hosts.select(F.col("host").alias(end), F.col("_rank").alias(f"_rank_{end}")), end)
+    low, high = F.least("_rank_src", "_rank_dst"), F.greatest("_rank_src", "_rank_dst")
+    fit = F.col("_hosts") - F.when(low == high, 1).otherwise(2)
+    rows = rows.filter(F.col("_end").isNotNull() | (fit > 0)).withColumn("_draw", hashed("uniform", F.greatest(fit, F.lit(1))))
+    rows = rows.withColumn("_draw", F.col("_draw") + (F.col("_draw") >= low).cast("int"))
+    rows = rows.withColumn("_draw", F.col("_draw") + ((low != high) & (F.col("_draw") >= high)).cast("int"))
+    rows = rows.join(hosts.select(F.col("_rank").alias("_draw"), F.col("host").alias("_other")), "_draw", "left").withColumn("_end", F.coalesce("_end", "_other"))
+    is_src = F.col("kind").startswith("src")
+    made = {"src": F.when(is_src, F.col("_end")).otherwise(F.col("src")), "dst": F.when(is_src, F.col("dst")).otherwise(F.col("_end")), "event_id": -1 - (F.col("event_id") * len(kinds) + F.col("_j"))}
+    return rows.withColumns(made).select(*events.columns, "kind", "real_id")
 
 
 def eda(events: DataFrame, top_k: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loginloom.operators import graph
+from loginloom.operators import evaluation, features, graph
 from loginloom.plans import analysis_queries, registry
 from tests.test_registered import SF, TABLES, _plain
 
@@ -64,3 +64,35 @@ def test_diffusion_and_distance_of_the_queries(spark):
         front = {r.b for r in edges if r.a in front} - set(hops)
         hops |= dict.fromkeys(front, max(hops.values()) + 1)
     assert {r.node: r.hops for r in registry.queries()["f09_hop_distance_all_seeds"](spark, SF).collect()} == hops
+
+
+def test_every_sampled_event_has_its_five_probes(spark):
+    day = 86_400
+    rows = [(i, i % 3 * day, 1, 10 + i % 2, 20 + i % 2) for i in range(60)] + [(60 + i, 3 * day, 1, 30, 31) for i in range(40)]
+    e = spark.createDataFrame(rows, "event_id long, t long, usr long, src long, dst long")
+    probes = features.counterfactuals(e, share=1.0).collect()
+    real = {r[0]: r for r in rows}
+    seen = {d: {x for r in rows if r[1] <= d * day for x in r[3:]} for d in range(4)}
+    kinds = {}
+    for r in probes:
+        _, t, usr, src, dst = real[r.real_id]
+        kinds.setdefault(r.real_id, []).append(r.kind)
+        assert (r.t, r.usr) == (t, usr) and r.src != r.dst and (r.src, r.dst) != (src, dst)
+        assert r.src == src if r.kind.startswith("dst") else r.dst == dst
+        assert {r.src, r.dst} <= seen[t // day]
+    assert set(kinds) == set(real) and all(sorted(k) == ["dst_popular"] * 2 + ["dst_uniform"] + ["src_popular"] * 2 for k in kinds.values())
+    assert len({r.event_id for r in probes}) == 500 and max(r.event_id for r in probes) < 0
+    redrawn = {(r.src, r.dst) for r in probes if r.real_id >= 60}  # the day has one pair, so every popular draw is redrawn
+    assert {d for s, d in redrawn if s == 30} == {10, 11, 20, 21} == {s for s, d in redrawn if d == 31}
+
+
+def test_bootstrap_of_all_replicates(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(s), int(rng.integers(0, 4)), int(rng.integers(0, 30))) for s in range(40)]
+    blocks = spark.createDataFrame(rows, "score double, n_pos long, n_neg long")
+    pos, neg = (np.array([r[c] for r in reversed(rows)]) for c in (1, 2))
+    p, q = (rng.multinomial(x.sum(), x / x.sum(), 20_000).cumsum(1) for x in (pos, neg))
+    want = np.percentile((np.diff(p, axis=1, prepend=0) * p / np.maximum(1, p + q)).sum(1) / pos.sum(), [2.5, 97.5])
+    for chunk in (7, 20_000):
+        got = evaluation.bootstrap(blocks, chunk=chunk).first()
+        assert got.replicates == 2_000 and np.allclose([got.low, got.high], want, atol=0.015)
