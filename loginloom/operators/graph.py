@@ -161,20 +161,67 @@ def alert_hops(alerts: DataFrame) -> DataFrame:
     return alerts.select("event_id", "t", "risk", F.explode(F.array(hop(0, "usr", "src"), hop(1, "src", "dst"))).alias("h")).select("event_id", "t", "risk", "h.*")
 
 
+#: Queries and vectors of a block, and queries that are multiplied at once.
+QUERIES, VECTORS, TOGETHER = 8_192, 16_384, 32
+
+
+def similar_by_blocks(own: DataFrame, asked: DataFrame, k: int, n: int) -> DataFrame:
+    """query_id, vec_id, raw: of each pair of blocks what can be among a query's k best once similarities are rounded.
+
+    Components are summed in their order, as the SQL does. Rows of other length don't match.
+    """
+    n_q, n_v = max(1, -(-n // QUERIES)), max(1, -(-own.count() // VECTORS))
+    block = lambda by, n: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("qb", block(["query_id", "q"], n_q)).withColumn("vb", every(n_v))
+    right = own.withColumn("vb", block(["vec_id", "embedding"], n_v)).withColumn("qb", every(n_q))
+    margin = 3e-6
+
+    def pairs(q, v):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        v = v.dropna(subset=["vec_id"]).sort_values("vec_id")
+        q = q.dropna(subset=["query_id"])
+        for d, some in q.groupby(q["q"].map(len)):
+            met = v[v["embedding"].map(len) == d]
+            if not len(met):
+                continue
+            c = np.stack([np.asarray(x, np.float64) for x in met["embedding"]]).T.copy()
+            ids, norms = met["vec_id"].to_numpy(), met["norm"].to_numpy()
+            for at in range(0, len(some), TOGETHER):
+                part = some.iloc[at : at + TOGETHER]
+                x = np.stack([np.asarray(r, np.float64) for r in part["q"]])
+                raw = np.zeros((len(part), len(ids)))
+                for a in range(d):
+                    raw += c[a] * x[:, a, None]
+                raw = raw / norms / part["q_norm"].to_numpy()[:, None]
+                for query, row in zip(part["query_id"], raw):
+                    rank = np.where(np.isnan(row), np.inf, row)
+                    rank[ids == query] = -np.inf
+                    kth = np.partition(rank, len(rank) - k)[len(rank) - k] if len(rank) > k else -np.inf
+                    near = np.flatnonzero((rank >= kth - margin) & (rank > -np.inf))
+                    # of equal similarities only the k smallest ids count
+                    near = near[pd.Series(rank[near]).groupby(rank[near]).cumcount().to_numpy() < k]
+                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near], "raw": row[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "raw": []})
+
+    kind = {**dict(own.dtypes), **dict(asked.dtypes)}
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pairs, f"query_id {kind['query_id']}, vec_id {kind['vec_id']}, raw double")
+
+
 def similar(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
     """query_id, rank, vec_id, similarity: cosine top-k; zero vectors and the query itself are left out.
 
-    queries is a stated, small set; its size is checked before it is sent to all tasks.
+    Blocks of queries meet blocks of vectors; each pair of blocks gives little more than k rows a query.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     own = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("norm")).filter("norm > 0")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm")).filter("q_norm > 0")
-    if asked.count() > 10_000:
-        raise ValueError("more than 10,000 queries: use an index")
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    rows = own.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(dot / F.col("norm") / F.col("q_norm"), 6)).filter(F.col("similarity") >= least)
+    found = similar_by_blocks(own, asked, k, asked.count()).withColumn("similarity", F.round("raw", 6)).filter(F.col("similarity") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 
 
 def related_alerts(alerts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -193,6 +240,14 @@ def entity_profile(events: DataFrame) -> DataFrame:
     return total.join(by_hour, "usr")
 
 
+def incidents(alerts: DataFrame, gap: int = WINDOW) -> DataFrame:
+    """alerts with `incident`, account and first time: an account's alerts, cut where none came for longer than gap."""
+    order = Window.partitionBy("usr").orderBy("t", "event_id")
+    last = F.lag("t").over(order)
+    opens = F.when(last.isNull() | (F.col("t") - last > gap), F.col("t"))
+    return alerts.withColumn("_opens", opens).withColumn("incident", F.concat_ws("@", "usr", F.max("_opens").over(order))).drop("_opens")
+
+
 def kill_chain(hops: DataFrame, by: str = "incident") -> DataFrame:
     """incident, node, layer, longest: layers relaxed by time-ordered hops, and the incident's longest chronological chain.
 

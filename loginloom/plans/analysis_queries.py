@@ -142,8 +142,8 @@ def f12(spark, sf_dir):
 
 @registered("f10_kill_chain")
 def f10(spark, sf_dir):
-    """Layers and longest chains of each account's hops, hosts under one name whether left or reached."""
-    hops = alerts(spark, sf_dir).select(F.col("usr").alias("incident"), "event_id", "t", F.lit(1).alias("hop"), F.concat(F.lit("host:"), "src").alias("actor"), F.concat(F.lit("host:"), "dst").alias("target"), "risk")
+    """Layers and longest chains of each incident's hops, hosts under one name whether left or reached."""
+    hops = graph.incidents(alerts(spark, sf_dir)).select("incident", "event_id", "t", F.lit(1).alias("hop"), F.concat(F.lit("host:"), "src").alias("actor"), F.concat(F.lit("host:"), "dst").alias("target"), "risk")
     return graph.kill_chain(hops)
 
 

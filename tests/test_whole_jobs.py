@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loginloom.operators import evaluation, features, graph
 from loginloom.plans import analysis_queries, registry
@@ -96,3 +97,21 @@ def test_bootstrap_of_all_replicates(spark):
     for chunk in (7, 20_000):
         got = evaluation.bootstrap(blocks, chunk=chunk).first()
         assert got.replicates == 2_000 and np.allclose([got.low, got.high], want, atol=0.015)
+
+
+def test_similar_by_blocks(spark, con, monkeypatch):
+    monkeypatch.setattr(graph, "QUERIES", 2)
+    monkeypatch.setattr(graph, "VECTORS", 60)
+    equals_sql(spark, con, "f13_similar_entities")
+    many = spark.range(10_001).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") % 7).alias("embedding"))
+    monkeypatch.undo()
+    got = {r.query_id: r.vec_id for r in graph.similar(many, many, k=1).collect()}
+    assert got == {i: i % 7 if i >= 7 else i + 7 for i in range(10_001)}
+
+
+def test_incidents_are_cut_by_gaps(spark):
+    rows = [(1, 7, 0), (2, 7, 1_800), (3, 7, 3_601), (4, 8, 10), (5, 7, 3_601)]
+    a = spark.createDataFrame(rows, "event_id long, usr long, t long")
+    assert {r.event_id: r.incident for r in graph.incidents(a).collect()} == {1: "7@0", 2: "7@0", 3: "7@3601", 4: "8@10", 5: "7@3601"}
+    f10 = registry.queries()["f10_kill_chain"](spark, SF).select("incident").distinct().collect()
+    assert f10 and all("@" in r.incident for r in f10)
