@@ -6,15 +6,21 @@ first |x| - ceil(t|x|) + L shingles of each, for every L. Each document chooses
 a longer prefix meets more postings, but more shared shingles are then required before a pair is verified; a pair is held
 to the smaller L of its two documents.
 
+For a pair both prefixes are cut to what just their two sizes need: of sets of n and m that share at least o shingles, L
+common ones lie in the first n - o + L and m - o + L. Near copies with edits enough to miss the bound begin with rare shingles
+that nothing shares, so they hardly meet.
+
 Documents with equal sets are one node. Candidates come in rounds, so that a group of near copies costs in proportion
-to its size: in the early ones a document is verified against a head or two of its postings, by least id and then by
-hash; in the last, between documents that are not yet in one component, every pair of the prefix filter. No link between components is lost, and links within
-one change nothing. The sets of candidates are made again from the texts, by a pass over the documents that a bit filter
-lets through; the intersection is exact over 64-bit hashes of the shingles.
+to its size: in the first ROUNDS a document is verified against the representatives of its postings (a few drawn by hash) that it
+meets most often, where these lie in another component; in the last, between documents that are not yet in one component,
+every pair of the prefix filter. No link between components is lost, and links within one change nothing. The sets of
+candidates are made again from the texts, by a pass over the documents that a bit filter lets through; the intersection is
+exact over 64-bit hashes of the shingles.
 
 Cases: null, empty and blank texts have empty sets, are linked with nothing and are their own component. Repeated rows are
-one node; so are different texts of one doc_id. A null doc_id takes part, and its component may be null if nothing else
-has its set. Very long texts have as many shingles as words. Other columns are ignored.
+one node; so are different texts of one doc_id. A document with a null doc_id takes part, known by a hash of its text; a
+component's id is the least doc_id that is not null, or null if there is none. Very long texts have as many shingles as
+words. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +39,11 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: Most shared shingles that a document asks for.
 LONGEST = 6
-#: Rounds that verify a candidate or two of each document before all that are left. More of them found few links more.
-EARLY = 1
-#: Counters of the frequency estimate, bits of the filter, and the blocks in which both are summed: sizes fixed for any input.
-CELLS, BITS, BLOCKS = 1 << 20, 1 << 23, 64
+#: Rounds that verify a few representatives for each document before all pairs that are left; representatives of one posting
+#: in a round, and how many of those that it meets a document is verified against.
+ROUNDS, REPRESENTATIVES, TRIED = 3, 4, 4
+#: Counters of the frequency estimate, for each million documents and at most; bits of the filter; the blocks in which both are summed.
+CELLS, MOST_CELLS, BITS, BLOCKS = 1 << 20, 1 << 24, 1 << 23, 64
 
 _FACTOR = np.random.default_rng(21).integers(0, 2**64, WORDS, np.uint64) | np.uint64(1)
 
@@ -98,31 +105,39 @@ def _merged(rows: DataFrame, dtype, size: int, add: bool) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _survey(docs: DataFrame) -> DataFrame:
-    """A row for each text: doc_id, n (set size), s1 and s2 (the set's 128-bit sum); and each task's frequency blocks."""
+def _cells(docs: DataFrame) -> int:
+    """Counters of the frequency estimate: a power of two that grows with the documents, to 64 MB."""
+    cells, millions = CELLS, docs.count() / 1_000_000
+    while cells < min(MOST_CELLS, CELLS * millions):
+        cells *= 2
+    return cells
+
+
+def _survey(docs: DataFrame, n_cells: int) -> DataFrame:
+    """A row for each text: doc_id, key, n (set size), s1 and s2 (the set's 128-bit sum); and each task's frequency blocks."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cells = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "n", "s1", "s2", "block", "data"]
+        cells = np.zeros(n_cells, np.uint32)
+        names = ["doc_id", "key", "n", "s1", "s2", "block", "data"]
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for lo, hi, raw, at in text_chunks(batch.column(1)):
+            for lo, hi, raw, at in text_chunks(batch.column(2)):
                 sets = shingles(raw, at)
                 n = hi - lo
                 every = np.concatenate(sets)
-                cells += np.bincount((every & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                cells += np.bincount((every & np.uint64(n_cells - 1)).astype(np.int64), minlength=n_cells).astype(np.uint32)
                 s1 = np.array([x.sum(dtype=np.uint64) for x in sets]).view(np.int64)
                 s2 = np.array([mix(x * M2).sum(dtype=np.uint64) for x in sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         blocks, n = _blocks("cells", cells)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), blocks["block"], blocks["data"]], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 4, blocks["block"], blocks["data"]], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, block int, data binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, key long, n long, s1 long, s2 long, block int, data binary")
 
 
 def prefix(tokens: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
@@ -149,8 +164,7 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _prefixes(docs: DataFrame, cells: np.ndarray) -> DataFrame:
-    """doc_id, n, level, tokens of every text with a set."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """key, n, level, tokens of every text with a set."""
     # what other shingles add to a cell is taken off, with a margin for its spread
     mean = float(cells.mean())
     load = np.maximum(0.0, cells - 1 - mean - 4 * np.sqrt(mean) * (mean > 0.5)).astype(np.float32)
@@ -161,19 +175,19 @@ def _prefixes(docs: DataFrame, cells: np.ndarray) -> DataFrame:
 
         load = given.value
         for batch in batches:
-            for lo, hi, raw, at in text_chunks(batch.column(1)):
+            for lo, _, raw, at in text_chunks(batch.column(1)):
                 rows = []
                 for i, x in enumerate(shingles(raw, at), lo):
                     if len(x):
-                        tokens, level = prefix(x, load[(x & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.float64))
+                        tokens, level = prefix(x, load[(x & np.uint64(len(load) - 1)).astype(np.int64)].astype(np.float64))
                         rows.append((i, len(x), level, tokens.view(np.int64)))
                 if rows:
                     at_row, n, level, tokens = zip(*rows)
                     flat = pa.array(np.concatenate(tokens))
                     cuts = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_row)), pa.array(n, pa.int64()), pa.array(level, pa.int32()), pa.ListArray.from_arrays(cuts, flat)], ["doc_id", "n", "level", "tokens"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_row)), pa.array(n, pa.int64()), pa.array(level, pa.int32()), pa.ListArray.from_arrays(cuts, flat)], ["key", "n", "level", "tokens"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, level int, tokens array<long>")
+    return docs.select("key", "text").mapInArrow(run, "key long, n long, level int, tokens array<long>")
 
 
 def _bit_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +228,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     cuts = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.ListArray.from_arrays(cuts, flat)], ["node", "members"])
 
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, members array<long>")
+    return docs.select("key", "text").mapInArrow(run, "node long, members array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -229,20 +243,14 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFr
     return linked, [pairs, sets]
 
 
-def _need(n):
-    """Shingles that a partner must share with a set of n, at least."""
-    return F.ceil(n * NUMERATOR / DENOMINATOR)
-
-
 def _near(n, m):
     """Sizes that a link allows."""
     return (F.least(n, m) * DENOMINATOR) >= (F.greatest(n, m) * NUMERATOR)
 
 
-def _least_common(n, m, level):
-    """Matches that a linked pair has within the prefixes of `level`: what lies beyond one of them can't make up for more."""
-    overlap = F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    return F.greatest(level, overlap - F.greatest(_need(n), _need(m)) + level)
+def _overlap(n, m):
+    """Shingles that linked sets of n and m share, at least."""
+    return F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
 
 
 #: Sizes of one band differ by less than this factor; linked sets lie at most REACH bands apart.
@@ -253,94 +261,112 @@ def _band(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND)) + 1e-9).cast("int")
 
 
+def _least_of_band(band, n):
+    """The least size in a band that a set of n can link with."""
+    return F.greatest(F.floor(F.pow(F.lit(BAND), band) - 1e-6), F.floor(n * NUMERATOR / DENOMINATOR))
+
+
 def _possible(open_: DataFrame) -> DataFrame:
-    """node, band, to_band: where a document has postings enough for a link with some size of that band.
+    """node, band, to_band, least: where a document has postings enough for a link with some size of that band.
 
-    A document's matches with one partner are at most its postings that hold another component in the partner's band. The
-    least that a link needs is, over a band, that of an end of it, since it rises up to the document's own size and then falls.
+    A document's matches with one partner are at most its postings that lie in its prefix for that band and hold another
+    component there; a link needs as many as the smaller level of the two.
     """
     bands = open_.groupBy("token", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("level").alias("least"))
     bands = bands.groupBy("token").agg(F.collect_list(F.struct("band", "lo", "hi", "least")).alias("bands"))  # a few hundred bands at most
     near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) <= REACH) & ((b["lo"] != F.col("component")) | (b["hi"] != F.col("component"))))
-    rows = open_.join(bands, "token").select("node", "band", "n", "level", F.explode(near).alias("b"))
-    rows = rows.groupBy("node", "band", "n", "level", F.col("b.band").alias("to_band")).agg(F.count("*").alias("postings"), F.min("b.least").alias("least"))
-    n = F.col("n")
-    ends = [F.greatest(n * NUMERATOR / DENOMINATOR, F.least(n * DENOMINATOR / NUMERATOR, F.pow(F.lit(BAND), F.col("to_band") + k))) for k in (0, 1)]
-    need = lambda m: (n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR) - F.greatest(n, m) * NUMERATOR / DENOMINATOR
-    # two less: needs are rounded up
-    enough = F.col("postings") >= F.greatest(F.lit(1.0), F.least(*[need(m) for m in ends]) + F.least("level", "least") - 2)
-    return rows.filter(enough).select("node", "band", "to_band")
+    rows = open_.join(bands, "token").select("node", "band", "n", "level", "place", F.explode(near).alias("b"))
+    within = F.col("place") < F.col("n") - _overlap(F.col("n"), _least_of_band(F.col("b.band"), F.col("n"))) + F.col("level")
+    rows = rows.filter(within).groupBy("node", "band", "level", F.col("b.band").alias("to_band")).agg(F.count("*").alias("postings"), F.min("b.least").alias("least"))
+    return rows.filter(F.col("postings") >= F.least("level", "least")).select("node", "band", "to_band")
 
 
-def _still_open(posts: DataFrame, grouped: DataFrame) -> DataFrame:
+def _still_open(posts: DataFrame, grouped: DataFrame | None) -> DataFrame:
     """The postings that hold documents of several components, with `component` and the posting's `major` one."""
-    placed = posts.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("token", "component").count().groupBy("token").agg(F.count("*").alias("n_components"), F.max_by("component", "count").alias("major"))
-    return placed.join(mixed.filter("n_components > 1").select("token", "major"), "token")
+    placed = posts.withColumn("component", F.col("node"))
+    if grouped is not None:
+        placed = posts.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = placed.groupBy("token", "component").count().groupBy("token").agg(F.count("*").alias("n_components"), F.max_by("component", "count").alias("major"))
+    return placed.join(counted.filter("n_components > 1").select("token", "major"), "token")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every text; n_shingles is the size of its set."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    survey = spool(_survey(docs), "survey")
-    rows = survey.filter("block IS NULL").select("doc_id", "n", "s1", "s2")
-    cells = _merged(survey.filter("block IS NOT NULL").select("block", "data"), np.uint32, CELLS, True)
-    nodes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
-    known = nodes.filter("node IS NOT NULL").select("node").distinct()
-    prefixes = spool(_prefixes(docs, cells).join(known, F.col("doc_id") == F.col("node"), "left_semi").withColumn("node", F.col("doc_id").cast("long")).drop("doc_id"), "prefixes")
-    about = prefixes.select("node", "n", "level")
-    posts = prefixes.select("node", "n", F.posexplode("tokens").alias("place", "token"))
-    # reach: the least L whose prefix holds this place
-    posts = posts.select("token", "node", F.greatest(F.lit(1), F.col("place") + 1 - (F.col("n") - _need(F.col("n")))).cast("int").alias("reach"))
-    heads = posts.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("token", "head")
-    shared = spool(posts.join(heads, "token"), "shared")
-    # early rounds: each document with one or two heads of its postings
-    linked, grouped, open_ = None, None, None
-    for k in range(EARLY):
-        if k:
-            held = open_
-            open_ = spool(_still_open(held.drop("major", "component"), grouped), "open")
-            drop_spool(held)
-            head = open_.groupBy("token").agg(F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(k), "token", "node")).alias("h"))
-            met = open_.join(head, "token").filter(F.col("component") != F.col("h.component")).select("node", F.col("h.node").alias("head"))
-        else:
-            met = shared.filter("node <> head").select("node", "head")
-        counts = met.groupBy("node", "head").agg(F.count("*").alias("common"))
-        counts = counts.join(about.select("node", "n"), "node").join(about.select(F.col("node").alias("head"), F.col("n").alias("head_n")), "head").filter(_near(F.col("n"), F.col("head_n")))
-        if not k:
-            counts = counts.filter(F.col("common") * 2 >= _least_common(F.col("n"), F.col("head_n"), F.lit(1)))
-        # a document's candidates here are at most as many as its postings
-        first = Window.partitionBy("node").orderBy(F.desc("common"), "head")
-        best = counts.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= (2 if k else 1))
-        links, used = _verified(docs, best.select(F.col("head").alias("a"), F.col("node").alias("b")))
-        found = spool(links, "links")
-        drop_spool(*used)
-        linked = found if linked is None else linked.union(found)
-        grouped = spool(components(linked), "components")
-        if not k:
-            open_ = spool(_still_open(shared.drop("head"), grouped), "open")
-            drop_spool(shared)
-    # last round: every pair of the prefix filter between components
-    held = open_
-    last = spool(_still_open(held.drop("major", "component"), grouped).join(about, "node"), "open")
-    drop_spool(held)
-    held, open_ = last, last
+def _met(x_place, x_n, y_place, y_n, level):
+    """Whether a posting lies in the prefixes of two sets whose sizes allow a link: prefixes for just these sizes and this level."""
+    beyond = level - _overlap(x_n, y_n)
+    return _near(x_n, y_n) & (x_place < x_n + beyond) & (y_place < y_n + beyond)
+
+
+def _with_representatives(open_: DataFrame, round_: int) -> DataFrame:
+    """a, b: each document with the TRIED representatives of its postings, of other components, that it meets most often.
+
+    Every posting has up to REPRESENTATIVES in a round, chosen by hash, so the rows are in proportion to the postings.
+    """
+    drawn = F.xxhash64(F.lit(round_), "node", "token")
+    lot = F.pmod(F.xxhash64(F.lit(-round_), "node"), F.lit(REPRESENTATIVES))
+    chosen = open_.groupBy("token", lot.alias("lot")).agg(F.min_by(F.struct("node", "n", "place", "component"), drawn).alias("r")).drop("lot")
+    level = F.lit(1)
+    meets = (F.col("component") != F.col("r.component")) & _met(F.col("place"), F.col("n"), F.col("r.place"), F.col("r.n"), level)
+    counts = open_.join(chosen, "token").filter(meets).groupBy("node", F.col("r.node").alias("other")).agg(F.count("*").alias("common"))
+    most = Window.partitionBy("node").orderBy(F.desc("common"), F.xxhash64("other"))  # REPRESENTATIVES times a prefix at most
+    best = counts.withColumn("nth", F.row_number().over(most)).filter(F.col("nth") <= TRIED)
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _all_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: every pair of the prefix filter between documents of different components; and a table to drop afterwards."""
     open_ = open_.withColumn("band", _band(F.col("n")))
     may = spool(_possible(open_), "possible")
     sides = open_.join(may, ["node", "band"])
-    columns = ("node", "n", "level", "reach", "component", "band", "to_band")
+    sides = sides.filter(F.col("place") < F.col("n") - _overlap(F.col("n"), _least_of_band(F.col("to_band"), F.col("n"))) + F.col("level"))
+    columns = ("node", "n", "level", "place", "component", "band", "to_band")
     x = sides.filter("component <> major").select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
     y = sides.select(F.col("token").alias("y_token"), "major", *[F.col(c).alias(f"y_{c}") for c in columns])
     level = F.least("x_level", "y_level")
-    meets = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("major")) | (F.col("x_node") < F.col("y_node"))) & _near(F.col("x_n"), F.col("y_n")) & (F.greatest("x_reach", "y_reach") <= level)
+    once = (F.col("y_component") == F.col("major")) | (F.col("x_node") < F.col("y_node"))
+    meets = (F.col("x_component") != F.col("y_component")) & once & _met(F.col("x_place"), F.col("x_n"), F.col("y_place"), F.col("y_n"), level)
     same = (F.col("token") == F.col("y_token")) & (F.col("x_to_band") == F.col("y_band")) & (F.col("y_to_band") == F.col("x_band"))
-    pairs = x.join(y, same & meets).groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), (F.col("x_n") + F.col("y_n")).alias("both"), F.greatest("x_n", "y_n").alias("more"), level.alias("level")).agg(F.count("*").alias("common"))
-    pairs = pairs.filter(F.col("common") >= _least_common(F.col("more"), F.col("both") - F.col("more"), F.col("level"))).select("a", "b")
-    links, used = _verified(docs, pairs)
-    two = spool(links, "links")
-    drop_spool(*used, held, may, prefixes)
-    if two.limit(1).count():
-        grouped = components(linked.union(two))
-    named = nodes.join(grouped.withColumnRenamed("node", "member"), F.col("node").cast("long") == F.col("member"), "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component_id"))
+    pairs = x.join(y, same & meets).groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), level.alias("level")).agg(F.count("*").alias("common"))
+    return pairs.filter(F.col("common") >= F.col("level")).select("a", "b"), may
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every text; n_shingles is the size of its set."""
+    text = F.col("text").cast("string")
+    # a document without a doc_id is known by its text
+    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), text.alias("text"))
+    cells = _cells(docs)
+    survey = spool(_survey(docs, cells), "survey")
+    rows = survey.filter("block IS NULL").select("doc_id", "key", "n", "s1", "s2")
+    counts = _merged(survey.filter("block IS NOT NULL").select("block", "data"), np.uint32, cells, True)
+    nodes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("node"), F.min("doc_id").alias("least_id"))
+    known = nodes.select("node").distinct()
+    prefixes = _prefixes(docs, counts).join(known, F.col("key") == F.col("node"), "left_semi").withColumnRenamed("key", "node")
+    posts = prefixes.select("node", "n", "level", F.posexplode("tokens").alias("place", "token"))
+    posts = spool(posts.select("token", "node", "n", F.col("level").cast("byte"), "place"), "posts")
+    several = posts.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    shared = posts.join(several, "token")
+    linked, grouped, held = None, None, []
+    for k in range(ROUNDS + 1):
+        open_ = spool(_still_open(shared.drop("component", "major"), grouped), "open")
+        if not k:
+            drop_spool(posts)
+        drop_spool(*held)
+        shared, held = open_, [open_]
+        pairs, more = (_with_representatives(open_, k), None) if k < ROUNDS else _all_pairs(open_)
+        links, used = _verified(docs, pairs)
+        found = spool(links, "links")
+        drop_spool(*used, *([more] if more is not None else []))
+        linked = found if linked is None else linked.union(found)
+        if found.limit(1).count():
+            if grouped is not None:
+                drop_spool(grouped)
+            grouped = spool(components(linked), "components")
+        elif grouped is None:
+            grouped = spool(components(linked), "components")
+    drop_spool(*held)
+    member = grouped.select(F.col("node").alias("member"), "component")
+    placed = nodes.join(member, F.col("node") == F.col("member"), "left").select("s1", "s2", "n", "least_id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = placed.join(least, "component").select("s1", "s2", "n", "component_id")
     out = rows.filter("n > 0").join(named, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id")))
