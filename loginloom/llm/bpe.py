@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
 
-The token-position rows of a partition's new words join the merge table; each step of the recursion contracts every
-word's leftmost pair of minimum rank; a word that has no pair left leaves the recursion. Decoding joins the ids with the
-vocabulary and aggregates the bytes in order. A Python worker keeps the words that it has encoded, up to a bound.
-
-Cases: a null or empty text has no ids (n_tokens 0, the digests of nothing). Very long words take several recursive
-queries of STEPS steps, each from where the last one stopped, so that memory stays in proportion to the word. Ranks tie
-only between occurrences of one merged token; the leftmost goes first. Repeated rows give repeated rows. Other columns
-of the input are ignored unless they are named in `keep`.
+Each step of the recursion joins the token-position rows of the words at hand with the merge table and contracts every
+word's leftmost pair of minimum rank; a word that has no pair left leaves the recursion. Every word's ids, also those of a
+word that is a token itself, are then joined with the vocabulary, whose bytes an ordered aggregation puts together: a text
+decodes to the bytes of its words' ids. A task keeps the words that it has encoded, up to a bound; beyond it the older half goes.
+
+Words of more than LONG bytes take a second query that contracts all places of the pair of minimum rank in one step, where
+the merge table shows that this is the same: no pair with the merged token may rank before it.
+
+Cases: a null or empty text has no ids (n_tokens 0, the digests of nothing). Ranks tie only between occurrences of one
+merged token; the leftmost goes first. Words may have any length. Repeated rows give repeated rows. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-#: Steps of one recursive query; words with more merges go on in the next.
-STEPS = 40
-#: Words that a Python worker keeps with their ids; beyond, those of the texts at hand stay.
-CACHE = 350_000
+from .common import kept
+
+#: Bytes of the words that a worker keeps with their ids, and what one costs beside its own bytes and ids.
+CACHE, ENTRY = 110_000_000, 330
 #: Bytes of text between two queries.
-CHUNK = 1_500_000
+CHUNK = 4_000_000
 #: Bytes of new words in one query.
-QUERY_BYTES = 120_000
+QUERY_BYTES = 1_000_000
+#: Longer words contract all places of a pair at once.
+LONG = 48
 
 
 def vocabulary(path: str) -> list[tuple[bytes, int]]:
@@ -44,35 +49,59 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     return rows
 
 
-#: A row's place is its word times 2^24 and its position; a pick is a merged token times 2^24 and the position of its left part.
-RECURSION = f"""
-WITH RECURSIVE step(place, token, n) AS (
-    SELECT place, token, 0 FROM state
-    UNION ALL
+#: A pick is a merged token times 2^24 and the position of its left part; words here are shorter than that.
+RECURSION = """
+WITH RECURSIVE step(word, tokens) USING KEY (word) AS (
+    SELECT word, tokens FROM state
+    UNION
     (
         WITH pair AS (
-            SELECT place, token, n, lead(token) OVER w AS follower, lead(place) OVER w AS after, lag(place) OVER w AS before
-            FROM step WHERE n < {STEPS}
-            WINDOW w AS (ORDER BY place)
+            SELECT word, unnest(tokens[:-2])::BIGINT << 32 | unnest(tokens[2:]) AS pair, unnest(range(1, len(tokens))) AS pos FROM step
         ),
         best AS (
-            SELECT p.place >> 24 AS word, min(m.merged::BIGINT << 24 | (p.place & 16777215)) AS pick
-            FROM pair p JOIN merges m ON m.lefty = p.token AND m.righty = p.follower
-            WHERE p.place >> 24 = p.after >> 24
-            GROUP BY ALL
+            SELECT word, min(merged << 24 | pos) AS pick FROM pair JOIN merges USING (pair) GROUP BY word
         )
-        SELECT p.place, CASE WHEN (p.place & 16777215) = (b.pick & 16777215) THEN (b.pick >> 24)::INTEGER ELSE p.token END, p.n + 1
-        FROM pair p JOIN best b ON b.word = p.place >> 24
-        WHERE p.before IS NULL OR p.before <> (b.word << 24 | (b.pick & 16777215))
+        SELECT word, tokens[:(pick & 16777215) - 1] || [(pick >> 24)::INTEGER] || tokens[(pick & 16777215) + 2:] FROM step JOIN best USING (word)
     )
 )
-SELECT s.* FROM step s JOIN (SELECT place >> 24 AS word, max(n) AS n FROM step GROUP BY ALL) m ON m.word = s.place >> 24 AND m.n = s.n
+SELECT word, tokens FROM step
 """
 
-#: The ids of finished words, and the bytes that they stand for.
-LINES = f"""
-SELECT place >> 24 AS word, string_agg(token::VARCHAR, ',' ORDER BY place) AS line, string_agg(v.hex, '' ORDER BY place) AS hex
-FROM done JOIN vocab v ON v.id = token WHERE n < {STEPS} GROUP BY ALL
+#: All places of the least pair at once, from the left, each token in one of them; the leftmost only if the merge isn't `alone`.
+LONG_RECURSION = """
+WITH RECURSIVE step(word, tokens) USING KEY (word) AS (
+    SELECT word, tokens FROM state
+    UNION
+    (
+        WITH place AS (
+            SELECT word, unnest(tokens) AS token, unnest(tokens[2:]) AS follower, unnest(range(1, len(tokens) + 1)) AS pos FROM step
+        ),
+        hit AS (
+            SELECT word, pos, merged, alone FROM place JOIN merges ON pair = (token::BIGINT << 32 | follower)
+        ),
+        least AS (
+            SELECT word, pos, merged, alone, row_number() OVER (PARTITION BY word ORDER BY pos) AS k
+            FROM hit JOIN (SELECT word, min(merged) AS merged FROM hit GROUP BY word) USING (word, merged)
+        ),
+        chosen AS (
+            SELECT word, pos, merged FROM least WHERE alone OR k = 1
+            QUALIFY row_number() OVER (PARTITION BY word, pos - k ORDER BY pos) % 2 = 1
+        )
+        SELECT p.word, list(coalesce(c.merged::INTEGER, p.token) ORDER BY p.pos)
+        FROM place p LEFT JOIN chosen c ON c.word = p.word AND c.pos = p.pos
+        WHERE p.word IN (SELECT word FROM chosen) AND NOT EXISTS (SELECT 1 FROM chosen d WHERE d.word = p.word AND d.pos + 1 = p.pos)
+        GROUP BY p.word
+    )
+)
+SELECT word, tokens FROM step
+"""
+
+#: The ids of words at their fixpoint, and the bytes that they stand for.
+LINES = """
+SELECT word, line, text FROM (SELECT word, array_to_string(tokens, ',') AS line FROM done) JOIN (
+    SELECT word, unhex(string_agg(hex, '' ORDER BY pos)) AS text
+    FROM (SELECT word, unnest(tokens) AS id, generate_subscripts(tokens, 1) AS pos FROM done) JOIN vocab USING (id) GROUP BY word
+) USING (word)
 """
 
 DECODE = """
@@ -82,7 +111,7 @@ FROM (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM given
 
 
 class Codec:
-    """The merge table and the vocabulary in a DuckDB of one task, and the words already encoded."""
+    """The merge table and the vocabulary in a DuckDB of one worker, and the words that it has encoded."""
 
     def __init__(self, path: str):
         import duckdb
@@ -93,63 +122,73 @@ class Codec:
         ranks = dict(pairs)
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.whole = ranks
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        # no temp folder: queries are small, and nothing may spill to a machine's own disk
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         rows = merge_rows(ranks)
-        merges = pa.table({"lefty": pa.array([r[0] for r in rows], pa.int32()), "righty": pa.array([r[1] for r in rows], pa.int32()), "merged": pa.array([r[2] for r in rows], pa.int32())})
+        least: dict[int, int] = {}
+        for left, right, merged in rows:
+            least[left] = min(merged, least.get(left, merged))
+            least[right] = min(merged, least.get(right, merged))
+        alone = [least.get(m, m) >= m for _, _, m in rows]
+        merges = pa.table({"pair": pa.array([a << 32 | b for a, b, _ in rows], pa.int64()), "merged": pa.array([r[2] for r in rows], pa.int64()), "alone": pa.array(alone, pa.bool_())})
         words = pa.table({"id": pa.array([r for _, r in pairs], pa.int32()), "hex": [t.hex() for t, _ in pairs]})
         self.con.register("given_merges", merges)
         self.con.register("given_vocab", words)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given_merges")
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM given_vocab")
-        self.ids: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
+        #: word to its ids, written with commas, and the bytes that these decode to
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.held = 0
 
-    def contract(self, words: list[bytes]) -> tuple[list[str], list[bytes]]:
-        """The ids of each word, written with commas, and the bytes that these decode to. Words are shorter than 2^24 bytes."""
+    def contract(self, words: list[bytes], whole: bool = False, long: bool = False) -> list[tuple[str, bytes]]:
+        """The ids of each word, written with commas, and the bytes that these decode to. whole: all words are tokens, which stay so."""
         import numpy as np
 
-        lines, back = [""] * len(words), [b""] * len(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        starts = np.cumsum(size) - size
-        place = np.arange(len(raw)) + np.repeat((np.arange(len(words)) << 24) - starts, size)
-        state = self.pa.table({"place": place, "token": np.asarray(self.single, np.int32)[raw]})
-        while state.num_rows:
-            self.con.register("state", state)
-            self.con.execute(f"CREATE OR REPLACE TEMP TABLE done AS {RECURSION}")
-            self.con.unregister("state")
-            got = self.con.sql(LINES).to_arrow_table()
-            for w, line, text in zip(got["word"].to_pylist(), got["line"].to_pylist(), got["hex"].to_pylist()):
-                lines[w], back[w] = line, bytes.fromhex(text)
-            state = self.con.sql(f"SELECT place, token FROM done WHERE n >= {STEPS}").to_arrow_table()
-        return lines, back
+        pa, single = self.pa, np.asarray(self.single, np.int32)
+        if whole:
+            cuts, tokens = np.arange(len(words) + 1), np.array([self.whole[w] for w in words], np.int32)
+        else:
+            cuts, tokens = np.cumsum([0, *map(len, words)]), single[np.frombuffer(b"".join(words), np.uint8)]
+        state = pa.table({"word": pa.array(np.arange(len(words)), pa.int32()), "tokens": pa.LargeListArray.from_arrays(cuts, tokens)})
+        self.con.register("state", state)
+        self.con.execute(f"CREATE OR REPLACE TEMP TABLE done AS {LONG_RECURSION if long else RECURSION}")
+        self.con.unregister("state")
+        got = self.con.sql(LINES).to_arrow_table()
+        out: list[tuple[str, bytes]] = [("", b"")] * len(words)
+        for w, line, text in zip(got["word"].to_pylist(), got["line"].to_pylist(), got["text"].to_pylist()):
+            out[w] = line, text
+        return out
 
     def learn(self, words) -> None:
         """Encodes new words and keeps their ids and what these decode to."""
-        todo = []
-        for word in words:
-            rank = self.whole.get(raw := word.encode())
-            if rank is None:
-                todo.append((len(raw), raw, word))
-            else:
-                self.ids[word] = str(rank)
-                self.back[str(rank)] = raw
-        todo.sort()
-        lo = 0
-        while lo < len(todo):
-            total, hi = 0, lo
-            while hi < len(todo) and (hi == lo or total + todo[hi][0] <= QUERY_BYTES):
-                total += todo[hi][0]
-                hi += 1
-            lines, back = self.contract([x[1] for x in todo[lo:hi]])
-            self.ids.update(zip((x[2] for x in todo[lo:hi]), lines))
-            self.back.update(zip(lines, back))
-            lo = hi
-
-    def forget(self, but) -> None:
-        """Drops the words that aren't in `but`."""
-        self.ids = {w: self.ids[w] for w in but if w in self.ids}
-        self.back = {x: self.back[x] for x in self.ids.values()}
+        raws = {w: w.encode() for w in words}
+        alike: dict[tuple[bool, bool], list[str]] = {}
+        for word, raw in raws.items():
+            alike.setdefault((raw in self.whole, len(raw) > LONG), []).append(word)
+        for (whole, long), some in alike.items():
+            some.sort(key=lambda w: len(raws[w]))
+            lo = 0
+            while lo < len(some):
+                total, hi = 0, lo
+                while hi < len(some) and (hi == lo or total + len(raws[some[hi]]) <= QUERY_BYTES):
+                    total += len(raws[some[hi]])
+                    hi += 1
+                self.known.update(zip(some[lo:hi], self.contract([raws[w] for w in some[lo:hi]], whole, long)))
+                self.held += ENTRY * (hi - lo) + 4 * total
+                lo = hi
+
+    def ready(self, asked: set[str]) -> None:
+        """Learns what is new of the words asked for; before, if there would be too many, the older half of the others goes."""
+        fresh = asked.difference(self.known)
+        if self.held + ENTRY * len(fresh) > CACHE:
+            old = list(self.known)
+            for word in old[: len(old) // 2]:
+                if word not in asked:
+                    del self.known[word]
+            self.known = dict(self.known)
+            self.held = sum(ENTRY + 4 * len(x) for _, x in self.known.values())
+        if fresh:
+            self.learn(fresh)
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of each sequence of ids, put together by an ordered aggregation."""
@@ -162,16 +201,6 @@ class Codec:
         return out
 
 
-#: The codecs of this Python worker, by path: the tasks that Spark runs in one worker share the words.
-CODECS: dict[str, Codec] = {}
-
-
-def codec_of(path: str) -> Codec:
-    if path not in CODECS:
-        CODECS[path] = Codec(path)
-    return CODECS[path]
-
-
 def encode_batches(batches: Iterator, path: str, pattern: str, emit_ids: bool) -> Iterator:
     """Arrow batches (doc_id, text) with the digests of each text; with emit_ids also its ids."""
     import pyarrow as pa
@@ -180,6 +209,7 @@ def encode_batches(batches: Iterator, path: str, pattern: str, emit_ids: bool) -
     find = regex.compile(pattern).findall
     for batch in batches:
         docs, texts = batch.column(0), batch.column(1)
+        codec = kept(("bpe", path), lambda: Codec(path))
         lo = 0
         while lo < len(texts):
             words, total, hi = [], 0, lo
@@ -188,21 +218,15 @@ def encode_batches(batches: Iterator, path: str, pattern: str, emit_ids: bool) -
                 words.append(find(text))
                 total += len(text)
                 hi += 1
-            codec = codec_of(path)
-            asked = set().union(*words)
-            fresh = asked.difference(codec.ids)
-            if len(codec.ids) + len(fresh) > CACHE:
-                codec.forget(asked)
-            if fresh:
-                codec.learn(fresh)
-            of, back = codec.ids.__getitem__, codec.back.__getitem__
+            codec.ready(set().union(*words))
+            of = codec.known.__getitem__
             n, ids_sha, decoded_sha, ids = [], [], [], []
             for w in words:
-                parts = list(map(of, w))
-                line = ",".join(parts)
+                lines, parts = zip(*map(of, w)) if w else ((), ())
+                line = ",".join(lines)
                 n.append(line.count(",") + 1 if line else 0)
                 ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(b"".join(map(back, parts))).hexdigest())
+                decoded_sha.append(hashlib.sha256(b"".join(parts)).hexdigest())
                 if emit_ids:
                     ids.append(list(map(int, line.split(","))) if line else [])
             columns = [docs.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
@@ -237,9 +261,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        codec = codec_of(path)
+        codec = kept(("bpe", path), lambda: Codec(path))
+        known = set(codec.whole.values())
         for batch in batches:
-            known = set(codec.whole.values())
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids = [x or [] for x in part.column(1).to_pylist()]

@@ -58,6 +58,45 @@ def text_key(text):
     return F.coalesce(F.sha2(text, 256), F.lit("null"))
 
 
+#: What an operator keeps in a Python worker from one task to the next.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """What this worker keeps under `key`, made if it is new; what it keeps under other keys goes."""
+    if key not in _KEPT:
+        give_back()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Drops what operators keep in this worker and gives free memory back to the system, which Python, Arrow and C would hold."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run):
+    """`run`, a function of a task's batches, with give_back() before and after."""
+
+    def whole(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xBF58476D1CE4E5B9)
 M3 = np.uint64(0x94D049BB133111EB)

@@ -22,10 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 #: Pre-tokens of a leaf.
 LEAF = 32
 #: Pre-tokens whose counts a Python worker keeps.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 class Counts(dict):
@@ -49,13 +51,8 @@ class Counts(dict):
         return n
 
 
-WORKER: dict[tuple[str, str], Counts] = {}
-
-
 def counts_of(path: str, pattern: str) -> Counts:
-    if (path, pattern) not in WORKER:
-        WORKER[path, pattern] = Counts(path, pattern)
-    return WORKER[path, pattern]
+    return kept(("counts", path, pattern), lambda: Counts(path, pattern))
 
 
 def leaves(text: str, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
