@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M1, M2, drop_spool, mix, spool, text_chunks, words_of
+from .common import M1, M2, drop_spool, mix, spool, text_chunks, tidy, words_of
 from .graph import components
 
 WORDS = 5
@@ -100,7 +100,7 @@ def _merged(rows: DataFrame, dtype, size: int, add: bool) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "data"])
 
     out = np.zeros(size, dtype).reshape(BLOCKS, -1)
-    for r in rows.repartition(BLOCKS // 4, "block").mapInArrow(run, "block int, data binary").collect():
+    for r in rows.repartition(BLOCKS // 4, "block").mapInArrow(tidy(run), "block int, data binary").collect():
         out[r.block] = np.frombuffer(zlib.decompress(r.data), dtype)
     return out.reshape(-1)
 
@@ -137,7 +137,7 @@ def _survey(docs: DataFrame, n_cells: int) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 4, blocks["block"], blocks["data"]], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, key long, n long, s1 long, s2 long, block int, data binary")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, key long, n long, s1 long, s2 long, block int, data binary")
 
 
 def prefix(tokens: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
@@ -187,7 +187,7 @@ def _prefixes(docs: DataFrame, cells: np.ndarray) -> DataFrame:
                     cuts = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_row)), pa.array(n, pa.int64()), pa.array(level, pa.int32()), pa.ListArray.from_arrays(cuts, flat)], ["key", "n", "level", "tokens"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, n long, level int, tokens array<long>")
+    return docs.select("key", "text").mapInArrow(tidy(run), "key long, n long, level int, tokens array<long>")
 
 
 def _bit_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_arrays([blocks["block"], blocks["data"]], ["block", "data"])
 
-    packed = _merged(nodes.select("node").mapInArrow(mark, "block int, data binary"), np.uint8, BITS // 8, False)
+    packed = _merged(nodes.select("node").mapInArrow(tidy(mark), "block int, data binary"), np.uint8, BITS // 8, False)
     given = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator) -> Iterator:
@@ -228,7 +228,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     cuts = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.ListArray.from_arrays(cuts, flat)], ["node", "members"])
 
-    return docs.select("key", "text").mapInArrow(run, "node long, members array<long>")
+    return docs.select("key", "text").mapInArrow(tidy(run), "node long, members array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

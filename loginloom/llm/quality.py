@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, words_of
+from .common import text_chunks, tidy, words_of
 
 PASSAGE = 48
 #: Labelled rows, and passages of them, that a model is fitted on.
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
     # `sample` rows at most on this side
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
-    found = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, x binary, quality double")
+    found = rows.mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, x binary, quality double")
     bags, answers, total = [], [], 0
     for r in found.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(sample).toLocalIterator():
         total += r.n
@@ -187,4 +187,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y, pa.float64())], [*part.schema.names, "quality_score"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, quality_score double")
+    return docs.mapInArrow(tidy(run), f"{schema}, quality_score double")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_spool, mix, spool, text_chunks
+from .common import drop_spool, mix, spool, text_chunks, tidy
 from .induced import permuted_prefixes, suffix_array
 
 SPAN, GRAM = 100, 48
@@ -123,7 +123,7 @@ def _merge_blocks(rows: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "data"])
 
     out = np.zeros((BLOCKS, size // BLOCKS), np.uint8)
-    for r in rows.repartition(BLOCKS // 4, "block").mapInArrow(run, "block int, data binary").toLocalIterator():
+    for r in rows.repartition(BLOCKS // 4, "block").mapInArrow(tidy(run), "block int, data binary").toLocalIterator():
         out[r.block] = np.frombuffer(zlib.decompress(r.data), np.uint8)
     return out.reshape(-1)
 
@@ -142,7 +142,7 @@ def _bits(hashes: DataFrame, bits: int) -> np.ndarray:
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "data"])
 
-    return _merge_blocks(hashes.mapInArrow(run, "block int, data binary"), bits // 8)
+    return _merge_blocks(hashes.mapInArrow(tidy(run), "block int, data binary"), bits // 8)
 
 
 def _with_bit(rows: DataFrame, column: str, filled: np.ndarray, bits: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _with_bit(rows: DataFrame, column: str, filled: np.ndarray, bits: int) -> Da
             place = (batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
             yield batch.filter(pa.array((mask[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def _pieces(docs: DataFrame) -> DataFrame:
                 piece, n = np.unique(leaders(raw, at), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(piece.view(np.int64)), pa.array(n, pa.int64())], ["piece", "n"])
 
-    return docs.select("text").mapInArrow(run, "piece long, n long")
+    return docs.select("text").mapInArrow(tidy(run), "piece long, n long")
 
 
 def _occurrences(docs: DataFrame, filled: np.ndarray) -> DataFrame:
@@ -200,7 +200,7 @@ def _occurrences(docs: DataFrame, filled: np.ndarray) -> DataFrame:
                 text = [data[a : a + c + SPAN - 1] if f else None for a, c, f in zip(first.tolist(), count.tolist(), fresh.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(piece.view(np.int64)), pa.array(named.view(np.int64)), pa.array(ids[lo + doc]), pa.array(versions[lo + doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inner), pa.array(text, pa.binary())], names)
 
-    return docs.mapInArrow(run, "piece long, segment long, doc long, version long, start int, strings int, inner boolean, bytes binary")
+    return docs.mapInArrow(tidy(run), "piece long, segment long, doc long, version long, start int, strings int, inner boolean, bytes binary")
 
 
 def repeats(texts: list[bytes], doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
@@ -265,7 +265,7 @@ def _sorted_shards(groups: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return groups.mapInArrow(run, "doc long, version long, from long, to long")
+    return groups.mapInArrow(tidy(run), "doc long, version long, from long, to long")
 
 
 def _single_strings(hot: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ def remove(docs: DataFrame, as_text: bool = False) -> DataFrame:
 
     marked = docs.withColumns({"dedup_doc": doc, "dedup_version": version}).withColumn("dedup_key", key)
     schema = ", ".join(f"`{c}` {t}" for c, t in marked.dtypes)
-    marked = marked.mapInArrow(touched, f"{schema}, dedup_touched boolean").drop("dedup_key")
+    marked = marked.mapInArrow(tidy(touched), f"{schema}, dedup_touched boolean").drop("dedup_key")
     cut = marked.filter("dedup_touched").join(spans, ["dedup_doc", "dedup_version"], "left")
     plain = marked.filter("NOT dedup_touched").withColumn("dedup_spans", F.lit(None).cast("array<struct<from:bigint,to:bigint>>"))
     both = cut.select(*docs.columns, "dedup_spans").union(plain.select(*docs.columns, "dedup_spans"))
@@ -381,4 +381,4 @@ def remove(docs: DataFrame, as_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *more], names)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return both.mapInArrow(apply, f"{schema}, {left} {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    return both.mapInArrow(tidy(apply), f"{schema}, {left} {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
