@@ -11,7 +11,7 @@ common ones lie in the first n - o + L and m - o + L. Near copies with edits eno
 that nothing shares, so they hardly meet.
 
 Documents with equal sets are one node. Candidates come in rounds, so that a group of near copies costs in proportion
-to its size: in the first ROUNDS a document is verified against the representatives of its postings (a few drawn by hash) that it
+to its size: in the first ones a document is verified against the representatives of its postings (a few drawn by hash) that it
 meets most often, where these lie in another component; in the last, between documents that are not yet in one component,
 every pair of the prefix filter. No link between components is lost, and links within one change nothing. The sets of
 candidates are made again from the texts, by a pass over the documents that a bit filter lets through; the intersection is
@@ -38,12 +38,15 @@ WORDS = 5
 #: Share of the union that two linked sets have in common, as a fraction.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Most shared shingles that a document asks for.
-LONGEST = 6
-#: Rounds that verify a few representatives for each document before all pairs that are left; representatives of one posting
-#: in a round, and how many of those that it meets a document is verified against.
-ROUNDS, REPRESENTATIVES, TRIED = 3, 4, 4
-#: Counters of the frequency estimate, for each million documents and at most; bits of the filter; the blocks in which both are summed.
-CELLS, MOST_CELLS, BITS, BLOCKS = 1 << 20, 1 << 24, 1 << 23, 64
+LONGEST = 3
+#: Representatives of one posting in the first round and at most; a round has four times those of the one before, and as a
+#: document is verified against some of those that it meets, twice as many in each round.
+REPRESENTATIVES, MOST_REPRESENTATIVES, TRIED = 4, 64, 2
+#: Rounds of representatives go on while more than this share of the pairs that one verifies link.
+WORTH = 0.02
+#: Counters of the frequency estimate for each million documents, and at most; filters have eight bits for each of them. The
+#: blocks in which both are summed.
+CELLS, MOST_CELLS, BLOCKS = 1 << 20, 1 << 24, 64
 
 _FACTOR = np.random.default_rng(21).integers(0, 2**64, WORDS, np.uint64) | np.uint64(1)
 
@@ -69,7 +72,7 @@ def shingles(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _blocks(kind: str, array: np.ndarray):
+def _blocks(array: np.ndarray):
     import pyarrow as pa
     import zlib
 
@@ -133,7 +136,7 @@ def _survey(docs: DataFrame, n_cells: int) -> DataFrame:
                 s1 = np.array([x.sum(dtype=np.uint64) for x in sets]).view(np.int64)
                 s2 = np.array([mix(x * M2).sum(dtype=np.uint64) for x in sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        blocks, n = _blocks("cells", cells)
+        blocks, n = _blocks(cells)
         if n:
             yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 4, blocks["block"], blocks["data"]], names)
 
@@ -190,26 +193,60 @@ def _prefixes(docs: DataFrame, cells: np.ndarray) -> DataFrame:
     return docs.select("key", "text").mapInArrow(tidy(run), "key long, n long, level int, tokens array<long>")
 
 
-def _bit_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _postings(prefixes: DataFrame, several: DataFrame, bits: int) -> DataFrame:
+    """token, node, n, level, place of the prefixes' tokens that several hold, and of few others, told by a filter of `bits` bits."""
+
+    def mark(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)] = True
+        blocks, n = _blocks(np.packbits(seen))
+        if n:
+            yield pa.RecordBatch.from_arrays([blocks["block"], blocks["data"]], ["block", "data"])
+
+    packed = _merged(several.select("token").coalesce(BLOCKS).mapInArrow(tidy(mark), "block int, data binary"), np.uint8, bits // 8, False)
+    given = prefixes.sparkSession.sparkContext.broadcast(packed)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        mask = given.value
+        for batch in batches:
+            tokens = batch.column(3)
+            count = np.diff(tokens.offsets.to_numpy())
+            flat = tokens.flatten().to_numpy(zero_copy_only=False)
+            at = (mix(flat.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+            hit = np.flatnonzero(mask[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            owner = np.repeat(np.arange(len(count)), count)[hit]
+            place = hit - (np.cumsum(count) - count)[owner]
+            rows = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), *(batch.column(k).take(rows) for k in range(3)), pa.array(place.astype(np.int32))], ["token", "node", "n", "level", "place"])
+
+    return prefixes.select("node", "n", "level", "tokens").mapInArrow(tidy(run), "token long, node long, n long, level int, place int")
+
+
+def _bit_places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(ids.view(np.uint64) + M1)
-    return (h & np.uint64(BITS - 1)).astype(np.int64), (h >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64)
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, n_bits: int) -> DataFrame:
     """node, members: the sets of the documents in nodes (a long column `node`), and of few others."""
 
     def mark(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bits = np.zeros(BITS, bool)
+        bits = np.zeros(n_bits, bool)
         for batch in batches:
-            for places in _bit_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+            for places in _bit_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n_bits):
                 bits[places] = True
-        blocks, n = _blocks("bits", np.packbits(bits))
+        blocks, n = _blocks(np.packbits(bits))
         if n:
             yield pa.RecordBatch.from_arrays([blocks["block"], blocks["data"]], ["block", "data"])
 
-    packed = _merged(nodes.select("node").mapInArrow(tidy(mark), "block int, data binary"), np.uint8, BITS // 8, False)
+    packed = _merged(nodes.select("node").coalesce(BLOCKS).mapInArrow(tidy(mark), "block int, data binary"), np.uint8, n_bits // 8, False)
     given = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator) -> Iterator:
@@ -218,7 +255,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         bits = np.unpackbits(given.value).view(bool)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            one, two = _bit_places(ids)
+            one, two = _bit_places(ids, n_bits)
             chosen = np.flatnonzero(bits[one] & bits[two])
             for lo in range(0, len(chosen), 512):
                 part = batch.take(pa.array(chosen[lo : lo + 512]))
@@ -231,16 +268,12 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("key", "text").mapInArrow(tidy(run), "node long, members array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The pairs (a, b) whose sets link, and what to drop afterwards."""
-    pairs = spool(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = spool(_sets(docs, nodes).join(nodes, "node", "left_semi"), "sets")
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets, rows (node, members), link."""
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    linked = both.filter(common * DENOMINATOR >= (F.size("of_a") + F.size("of_b") - common) * NUMERATOR).select("a", "b")
-    return linked, [pairs, sets]
+    return both.filter(common * DENOMINATOR >= (F.size("of_a") + F.size("of_b") - common) * NUMERATOR).select("a", "b")
 
 
 def _near(n, m):
@@ -297,18 +330,19 @@ def _met(x_place, x_n, y_place, y_n, level):
 
 
 def _with_representatives(open_: DataFrame, round_: int) -> DataFrame:
-    """a, b: each document with the TRIED representatives of its postings, of other components, that it meets most often.
+    """a, b: each document with those representatives of its postings, of other components, that it meets most often.
 
-    Every posting has up to REPRESENTATIVES in a round, chosen by hash, so the rows are in proportion to the postings.
+    A posting has a bounded number of representatives in a round, chosen by hash, so the rows are in proportion to the postings. The
+    documents of a posting's largest component only wait for those of the others.
     """
-    drawn = F.xxhash64(F.lit(round_), "node", "token")
-    lot = F.pmod(F.xxhash64(F.lit(-round_), "node"), F.lit(REPRESENTATIVES))
+    drawn = F.xxhash64(F.lit(round_), "node")  # alike for all postings, so that a document meets one representative often
+    lots = min(MOST_REPRESENTATIVES, REPRESENTATIVES * 4 ** (round_ - 1))
+    lot = F.pmod(F.xxhash64(F.lit(-round_), "node"), F.lit(lots))
     chosen = open_.groupBy("token", lot.alias("lot")).agg(F.min_by(F.struct("node", "n", "place", "component"), drawn).alias("r")).drop("lot")
-    level = F.lit(1)
-    meets = (F.col("component") != F.col("r.component")) & _met(F.col("place"), F.col("n"), F.col("r.place"), F.col("r.n"), level)
-    counts = open_.join(chosen, "token").filter(meets).groupBy("node", F.col("r.node").alias("other")).agg(F.count("*").alias("common"))
-    most = Window.partitionBy("node").orderBy(F.desc("common"), F.xxhash64("other"))  # REPRESENTATIVES times a prefix at most
-    best = counts.withColumn("nth", F.row_number().over(most)).filter(F.col("nth") <= TRIED)
+    meets = (F.col("component") != F.col("r.component")) & _met(F.col("place"), F.col("n"), F.col("r.place"), F.col("r.n"), F.lit(1))
+    counts = open_.filter("component <> major").join(chosen, "token").filter(meets).groupBy("node", F.col("r.node").alias("other")).agg(F.count("*").alias("common"))
+    most = Window.partitionBy("node").orderBy(F.desc("common"), F.xxhash64("other"))  # the representatives of a prefix at most
+    best = counts.withColumn("nth", F.row_number().over(most)).filter(F.col("nth") <= TRIED * 2 ** (round_ - 1))
     return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -323,10 +357,11 @@ def _all_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     y = sides.select(F.col("token").alias("y_token"), "major", *[F.col(c).alias(f"y_{c}") for c in columns])
     level = F.least("x_level", "y_level")
     once = (F.col("y_component") == F.col("major")) | (F.col("x_node") < F.col("y_node"))
-    meets = (F.col("x_component") != F.col("y_component")) & once & _met(F.col("x_place"), F.col("x_n"), F.col("y_place"), F.col("y_n"), level)
+    place = [F.col(c) for c in ("x_place", "x_n", "y_place", "y_n")]
+    meets = (F.col("x_component") != F.col("y_component")) & once & _met(*place, level)
     same = (F.col("token") == F.col("y_token")) & (F.col("x_to_band") == F.col("y_band")) & (F.col("y_to_band") == F.col("x_band"))
-    pairs = x.join(y, same & meets).groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), level.alias("level")).agg(F.count("*").alias("common"))
-    return pairs.filter(F.col("common") >= F.col("level")).select("a", "b"), may
+    pairs = x.join(y, same & meets).groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), level.alias("level")).agg(F.count("*").alias("common"), F.max(_met(*place, F.lit(1))).alias("met"))
+    return pairs.filter(F.col("met") & (F.col("common") >= F.col("level"))).select("a", "b"), may
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -340,30 +375,37 @@ def classes(docs: DataFrame) -> DataFrame:
     counts = _merged(survey.filter("block IS NOT NULL").select("block", "data"), np.uint32, cells, True)
     nodes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("node"), F.min("doc_id").alias("least_id"))
     known = nodes.select("node").distinct()
-    prefixes = _prefixes(docs, counts).join(known, F.col("key") == F.col("node"), "left_semi").withColumnRenamed("key", "node")
-    posts = prefixes.select("node", "n", "level", F.posexplode("tokens").alias("place", "token"))
-    posts = spool(posts.select("token", "node", "n", F.col("level").cast("byte"), "place"), "posts")
-    several = posts.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
-    shared = posts.join(several, "token")
-    linked, grouped, held = None, None, []
-    for k in range(ROUNDS + 1):
-        open_ = spool(_still_open(shared.drop("component", "major"), grouped), "open")
-        if not k:
-            drop_spool(posts)
-        drop_spool(*held)
-        shared, held = open_, [open_]
-        pairs, more = (_with_representatives(open_, k), None) if k < ROUNDS else _all_pairs(open_)
-        links, used = _verified(docs, pairs)
-        found = spool(links, "links")
-        drop_spool(*used, *([more] if more is not None else []))
-        linked = found if linked is None else linked.union(found)
-        if found.limit(1).count():
+    prefixes = spool(_prefixes(docs, counts).join(known, F.col("key") == F.col("node"), "left_semi").withColumnRenamed("key", "node"), "prefixes")
+    several = spool(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1").select("token"), "several")
+    posts = _postings(prefixes, several, 8 * cells)
+    shared = spool(posts.join(several, "token", "left_semi"), "shared")
+    drop_spool(prefixes, several)
+    sets = spool(_sets(docs, shared.select("node").distinct(), 8 * cells), "sets")
+    linked = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    grouped, open_, k = None, shared, 0
+    while True:
+        after = spool(_still_open(open_.drop("component", "major"), grouped), "open")
+        drop_spool(open_)
+        open_, k = after, k + 1
+        pairs = spool(_with_representatives(open_, k), "pairs")
+        found = spool(_verified(sets, pairs), "links")
+        linked = linked.union(found)
+        n_found, n_tried = found.count(), pairs.count()
+        drop_spool(pairs)
+        if n_found:
             if grouped is not None:
                 drop_spool(grouped)
             grouped = spool(components(linked), "components")
-        elif grouped is None:
-            grouped = spool(components(linked), "components")
-    drop_spool(*held)
+        if n_found <= WORTH * n_tried:
+            break
+    after = spool(_still_open(open_.drop("component", "major"), grouped), "open")
+    drop_spool(open_)
+    pairs, may = _all_pairs(after)
+    found = spool(_verified(sets, pairs), "links")
+    linked = linked.union(found)
+    drop_spool(after, may, sets)
+    if grouped is None or found.limit(1).count():
+        grouped = spool(components(linked), "components")
     member = grouped.select(F.col("node").alias("member"), "component")
     placed = nodes.join(member, F.col("node") == F.col("member"), "left").select("s1", "s2", "n", "least_id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
