@@ -88,19 +88,20 @@ def _induce_rows(t: list[int], s: list[bool], lms: list[int], starts: list[int],
     c = t[n - 1]
     sa[heads[c]] = n - 1
     heads[c] += 1
-    for k in range(n):
-        i = sa[k] - 1
-        if i >= 0 and not s[i]:
+    for i in sa:  # what the loop puts further on, it meets there
+        if i > 0 and not s[i - 1]:
+            i -= 1
             c = t[i]
-            sa[heads[c]] = i
-            heads[c] += 1
+            k = heads[c]
+            sa[k] = i
+            heads[c] = k + 1
     at = ends[:]
-    for k in range(n - 1, -1, -1):
-        i = sa[k] - 1
-        if i >= 0 and s[i]:
+    for i in reversed(sa):
+        if i > 0 and s[i - 1]:
+            i -= 1
             c = t[i]
-            at[c] -= 1
-            sa[at[c]] = i
+            at[c] = k = at[c] - 1
+            sa[k] = i
     return sa
 
 

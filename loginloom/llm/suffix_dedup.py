@@ -32,9 +32,9 @@ from .induced import permuted_prefixes, suffix_array
 
 SPAN, GRAM = 100, 48
 #: Bits of the filter of repeated pieces, the blocks in which it is merged, and the bits of the filter of cut documents.
-BITS, BLOCKS = 1 << 26, 64
+BITS, BLOCKS, TOUCHED = 1 << 26, 64, 1 << 22
 #: Bytes of a suffix array, and of one piece's segments before they are cut into single strings.
-SHARD, HOT = 700_000, 4_000_000
+SHARD, HOT = 700_000, 2_000_000
 
 _BYTE = np.random.default_rng(31).integers(0, 2**64, 256, np.uint64)
 _STEP = np.random.default_rng(32).integers(0, 2**64, 8, np.uint64) | np.uint64(1)
@@ -135,10 +135,11 @@ def _bits(hashes: DataFrame, bits: int) -> np.ndarray:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        seen = np.zeros(bits, bool)
+        seen = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            seen[(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)] = True
-        for i, x in enumerate(np.split(np.packbits(seen), BLOCKS)):
+            place = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+            np.bitwise_or.at(seen, place >> 3, np.uint8(128) >> (place & 7).astype(np.uint8))
+        for i, x in enumerate(np.split(seen, BLOCKS)):
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "data"])
 
@@ -340,25 +341,15 @@ def remove(docs: DataFrame, as_text: bool = False) -> DataFrame:
     version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     spans = find_spans(docs.select("doc_id", version.alias("version"), "text"))
     spans = spans.select(F.col("doc").alias("dedup_doc"), F.col("version").alias("dedup_version"), F.col("spans").alias("dedup_spans"))
-    key = F.xxhash64("dedup_doc", "dedup_version")
-    filled = _bits(spans.select(key.alias("key")), 1 << 23)
-    given = docs.sparkSession.sparkContext.broadcast(filled)
-
-    def touched(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        bits = given.value
-        for batch in batches:
-            place = (batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << 23) - 1)).astype(np.int64)
-            hit = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "dedup_touched"])
-
-    marked = docs.withColumns({"dedup_doc": doc, "dedup_version": version}).withColumn("dedup_key", key)
-    schema = ", ".join(f"`{c}` {t}" for c, t in marked.dtypes)
-    marked = marked.mapInArrow(tidy(touched), f"{schema}, dedup_touched boolean").drop("dedup_key")
-    cut = marked.filter("dedup_touched").join(spans, ["dedup_doc", "dedup_version"], "left")
-    plain = marked.filter("NOT dedup_touched").withColumn("dedup_spans", F.lit(None).cast("array<struct<from:bigint,to:bigint>>"))
-    both = cut.select(*docs.columns, "dedup_spans").union(plain.select(*docs.columns, "dedup_spans"))
+    # the bit of a document's key, looked up in a filter of fixed size that a scalar subquery gives to every task
+    place = F.pmod(F.xxhash64("dedup_doc", "dedup_version"), F.lit(TOUCHED))
+    words = np.packbits(np.unpackbits(_bits(spans.select(place.alias("place")), TOUCHED)), bitorder="little").view(np.int64)
+    filter_ = docs.sparkSession.createDataFrame([(words.tolist(),)], "words array<long>")
+    marked = docs.withColumns({"dedup_doc": doc, "dedup_version": version})
+    word = F.element_at(filter_.select("words").scalar(), (F.shiftright(place, 6) + 1).cast("int"))
+    marked = marked.withColumn("dedup_touched", F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
+    cut = marked.filter("dedup_touched").join(spans, ["dedup_doc", "dedup_version"], "left").select(*docs.columns, "dedup_spans")
+    plain = marked.filter("NOT dedup_touched")
     names = [*docs.columns, left, "n_bytes", "n_removed", "n_spans"]
     at, last = docs.columns.index("text"), len(docs.columns)
 
@@ -381,4 +372,8 @@ def remove(docs: DataFrame, as_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *more], names)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return both.mapInArrow(tidy(apply), f"{schema}, {left} {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    cut = cut.mapInArrow(tidy(apply), f"{schema}, {left} {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    zero = F.lit(0).cast("long")
+    whole = text if as_text else text.cast("binary")
+    return cut.union(plain.select(*docs.columns, whole.alias(left), F.octet_length(text).cast("long"), zero, zero))
