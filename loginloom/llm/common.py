@@ -171,3 +171,53 @@ def text_chunks(texts, most: int = 2_000_000):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+
+
+#: The blocks in which the bits of all tasks are merged.
+BIT_BLOCKS = 64
+
+
+def _merge_bits(rows: DataFrame, size: int) -> np.ndarray:
+    """Bit blocks of all tasks, joined on the executors; `size` bytes reach the driver, packed."""
+    import zlib
+
+    def run(batches):
+        import pyarrow as pa
+
+        merged: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(zlib.decompress(data), np.uint8)
+                merged[block] = merged[block] | x if block in merged else x
+        for block, x in merged.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "data"])
+
+    out = np.zeros((BIT_BLOCKS, size // BIT_BLOCKS), np.uint8)
+    for r in rows.repartition(BIT_BLOCKS // 4, "block").mapInArrow(tidy(run), "block int, data binary").toLocalIterator():
+        out[r.block] = np.frombuffer(zlib.decompress(r.data), np.uint8)
+    return out.reshape(-1)
+
+
+def bits_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A packed bit array with a bit set for each value, modulo `bits`, of the one long column."""
+    import zlib
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            place = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+            np.bitwise_or.at(seen, place >> 3, np.uint8(128) >> (place & 7).astype(np.uint8))
+        for i, x in enumerate(np.split(seen, BIT_BLOCKS)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "data"])
+
+    return _merge_bits(hashes.mapInArrow(tidy(run), "block int, data binary"), bits // 8)
+
+
+def holds(place, filled: np.ndarray, spark: SparkSession):
+    """Whether the bit at `place`, a long column, is set in a packed array: it comes from a scalar subquery, so no Python runs."""
+    words = np.packbits(np.unpackbits(filled), bitorder="little").view(np.int64)
+    given = spark.createDataFrame([(words.tolist(),)], "words array<long>").select("words").scalar()
+    return F.getbit(F.element_at(given, (F.shiftright(place, 6) + 1).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1

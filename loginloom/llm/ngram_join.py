@@ -14,7 +14,7 @@ Documents with equal sets are one node. Candidates come in rounds, so that a gro
 to its size: in the first ones a document is verified against the representatives of its postings (a few drawn by hash) that it
 meets most often, where these lie in another component; in the last, between documents that are not yet in one component,
 every pair of the prefix filter. No link between components is lost, and links within one change nothing. The sets of
-candidates are made again from the texts, by a pass over the documents that a bit filter lets through; the intersection is
+candidates are made again from the texts in each round, from the documents that a bit filter lets through; the intersection is
 exact over 64-bit hashes of the shingles.
 
 Cases: null, empty and blank texts have empty sets, are linked with nothing and are their own component. Repeated rows are
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M1, M2, drop_spool, mix, spool, text_chunks, tidy, words_of
+from .common import M1, M2, bits_of, drop_spool, holds, mix, spool, text_chunks, tidy, words_of
 from .graph import components
 
 WORDS = 5
@@ -47,6 +47,8 @@ WORTH = 0.02
 #: Counters of the frequency estimate for each million documents, and at most; filters have eight bits for each of them. The
 #: blocks in which both are summed.
 CELLS, MOST_CELLS, BLOCKS = 1 << 20, 1 << 24, 64
+#: Bits of the filter of documents to verify.
+NODE_BITS = 1 << 23
 
 _FACTOR = np.random.default_rng(21).integers(0, 2**64, WORDS, np.uint64) | np.uint64(1)
 
@@ -227,53 +229,36 @@ def _postings(prefixes: DataFrame, several: DataFrame, bits: int) -> DataFrame:
     return prefixes.select("node", "n", "level", "tokens").mapInArrow(tidy(run), "token long, node long, n long, level int, place int")
 
 
-def _bit_places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(ids.view(np.uint64) + M1)
-    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _sets(docs: DataFrame, nodes: DataFrame, n_bits: int) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, members: the sets of the documents in nodes (a long column `node`), and of few others."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(NODE_BITS))
+    filled = bits_of(nodes.select(place("node").alias("place")), NODE_BITS)
 
-    def mark(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bits = np.zeros(n_bits, bool)
         for batch in batches:
-            for places in _bit_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n_bits):
-                bits[places] = True
-        blocks, n = _blocks(np.packbits(bits))
-        if n:
-            yield pa.RecordBatch.from_arrays([blocks["block"], blocks["data"]], ["block", "data"])
+            for a, b, raw, at in text_chunks(batch.column(1)):
+                sets = shingles(raw, at)
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                cuts = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(cuts, flat)], ["node", "members"])
 
-    packed = _merged(nodes.select("node").coalesce(BLOCKS).mapInArrow(tidy(mark), "block int, data binary"), np.uint8, n_bits // 8, False)
-    given = docs.sparkSession.sparkContext.broadcast(packed)
+    return docs.filter(holds(place("key"), filled, docs.sparkSession)).select("key", "text").mapInArrow(tidy(run), "node long, members array<long>")
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        bits = np.unpackbits(given.value).view(bool)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            one, two = _bit_places(ids, n_bits)
-            chosen = np.flatnonzero(bits[one] & bits[two])
-            for lo in range(0, len(chosen), 512):
-                part = batch.take(pa.array(chosen[lo : lo + 512]))
-                for a, b, raw, at in text_chunks(part.column(1)):
-                    sets = shingles(raw, at)
-                    flat = pa.array(np.concatenate(sets).view(np.int64))
-                    cuts = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.ListArray.from_arrays(cuts, flat)], ["node", "members"])
-
-    return docs.select("key", "text").mapInArrow(tidy(run), "node long, members array<long>")
-
-
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets, rows (node, members), link."""
+def _links(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int, int]:
+    """The pairs (a, b) whose sets link, how many they are, and how many were verified."""
+    pairs = spool(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = spool(_sets(docs, nodes).join(nodes, "node", "left_semi"), "sets")
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.filter(common * DENOMINATOR >= (F.size("of_a") + F.size("of_b") - common) * NUMERATOR).select("a", "b")
+    linked = spool(both.filter(common * DENOMINATOR >= (F.size("of_a") + F.size("of_b") - common) * NUMERATOR).select("a", "b"), "links")
+    n_linked, n_tried = linked.count(), pairs.count()
+    drop_spool(pairs, sets)
+    return linked, n_linked, n_tried
 
 
 def _near(n, m):
@@ -380,18 +365,14 @@ def classes(docs: DataFrame) -> DataFrame:
     posts = _postings(prefixes, several, 8 * cells)
     shared = spool(posts.join(several, "token", "left_semi"), "shared")
     drop_spool(prefixes, several)
-    sets = spool(_sets(docs, shared.select("node").distinct(), 8 * cells), "sets")
     linked = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     grouped, open_, k = None, shared, 0
     while True:
         after = spool(_still_open(open_.drop("component", "major"), grouped), "open")
         drop_spool(open_)
         open_, k = after, k + 1
-        pairs = spool(_with_representatives(open_, k), "pairs")
-        found = spool(_verified(sets, pairs), "links")
+        found, n_found, n_tried = _links(docs, _with_representatives(open_, k))
         linked = linked.union(found)
-        n_found, n_tried = found.count(), pairs.count()
-        drop_spool(pairs)
         if n_found:
             if grouped is not None:
                 drop_spool(grouped)
@@ -401,10 +382,10 @@ def classes(docs: DataFrame) -> DataFrame:
     after = spool(_still_open(open_.drop("component", "major"), grouped), "open")
     drop_spool(open_)
     pairs, may = _all_pairs(after)
-    found = spool(_verified(sets, pairs), "links")
+    found, n_found, _ = _links(docs, pairs)
     linked = linked.union(found)
-    drop_spool(after, may, sets)
-    if grouped is None or found.limit(1).count():
+    drop_spool(after, may)
+    if grouped is None or n_found:
         grouped = spool(components(linked), "components")
     member = grouped.select(F.col("node").alias("member"), "component")
     placed = nodes.join(member, F.col("node") == F.col("member"), "left").select("s1", "s2", "n", "least_id", F.coalesce("component", "node").alias("component"))

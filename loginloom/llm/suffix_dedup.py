@@ -27,12 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_spool, mix, spool, text_chunks, tidy
+from .common import bits_of, drop_spool, holds, mix, spool, text_chunks, tidy
 from .induced import permuted_prefixes, suffix_array
 
 SPAN, GRAM = 100, 48
-#: Bits of the filter of repeated pieces, the blocks in which it is merged, and the bits of the filter of cut documents.
-BITS, BLOCKS, TOUCHED = 1 << 26, 64, 1 << 22
+#: Bits of the filter of repeated pieces and of that of cut documents.
+BITS, TOUCHED = 1 << 26, 1 << 22
 #: Bytes of a suffix array, and of one piece's segments before they are cut into single strings.
 SHARD, HOT = 700_000, 2_000_000
 
@@ -107,45 +107,6 @@ def segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[cut], places[cut] - at[doc[cut]], count, low[cut], named, inner
 
 
-def _merge_blocks(rows: DataFrame, size: int) -> np.ndarray:
-    """Bit blocks of all tasks, joined on the executors; `size` bytes reach the driver, packed."""
-    import zlib
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        merged: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(data), np.uint8)
-                merged[block] = merged[block] | x if block in merged else x
-        for block, x in merged.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "data"])
-
-    out = np.zeros((BLOCKS, size // BLOCKS), np.uint8)
-    for r in rows.repartition(BLOCKS // 4, "block").mapInArrow(tidy(run), "block int, data binary").toLocalIterator():
-        out[r.block] = np.frombuffer(zlib.decompress(r.data), np.uint8)
-    return out.reshape(-1)
-
-
-def _bits(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit array with a bit for each value of the one long column."""
-    import zlib
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        seen = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            place = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(seen, place >> 3, np.uint8(128) >> (place & 7).astype(np.uint8))
-        for i, x in enumerate(np.split(seen, BLOCKS)):
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "data"])
-
-    return _merge_blocks(hashes.mapInArrow(tidy(run), "block int, data binary"), bits // 8)
-
-
 def _with_bit(rows: DataFrame, column: str, filled: np.ndarray, bits: int) -> DataFrame:
     """The rows whose value has its bit set, so that a join need not move the others."""
     given = rows.sparkSession.sparkContext.broadcast(filled)
@@ -284,7 +245,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), "version", F.col("text").cast("string").alias("text"))
     repeated = spool(_pieces(rows).groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").select("piece"), "pieces")
-    filled = _bits(repeated, BITS)
+    filled = bits_of(repeated, BITS)
     occ = spool(_occurrences(rows, filled), "occurrences")
     drop_spool(repeated)
     place = F.struct("doc", "version", "start")
@@ -295,7 +256,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     # where a piece has one kind of segment, which repeats nothing in itself, the collapsed segment is all there is to find
     weight = groups.groupBy("piece").agg(F.sum(F.col("strings") + SPAN).alias("weight"), F.count("*").alias("kinds"), F.max("inner").alias("any_inner"))
     unsettled = spool(weight.filter("kinds > 1 OR any_inner").select("piece", "weight"), "unsettled")
-    groups_ = _with_bit(groups, "piece", _bits(unsettled.select("piece"), BITS), BITS).join(unsettled, "piece")
+    groups_ = _with_bit(groups, "piece", bits_of(unsettled.select("piece"), BITS), BITS).join(unsettled, "piece")
     flat = [F.col("first.doc").alias("doc"), F.col("first.version").alias("version"), F.col("first.start").cast("long").alias("start"), "bytes"]
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     even = groups_.filter(F.col("weight") <= HOT).select(F.col("piece").alias("key"), *flat)
@@ -341,13 +302,10 @@ def remove(docs: DataFrame, as_text: bool = False) -> DataFrame:
     version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     spans = find_spans(docs.select("doc_id", version.alias("version"), "text"))
     spans = spans.select(F.col("doc").alias("dedup_doc"), F.col("version").alias("dedup_version"), F.col("spans").alias("dedup_spans"))
-    # the bit of a document's key, looked up in a filter of fixed size that a scalar subquery gives to every task
+    # a filter of fixed size; where it is full, more documents take the join
     place = F.pmod(F.xxhash64("dedup_doc", "dedup_version"), F.lit(TOUCHED))
-    words = np.packbits(np.unpackbits(_bits(spans.select(place.alias("place")), TOUCHED)), bitorder="little").view(np.int64)
-    filter_ = docs.sparkSession.createDataFrame([(words.tolist(),)], "words array<long>")
-    marked = docs.withColumns({"dedup_doc": doc, "dedup_version": version})
-    word = F.element_at(filter_.select("words").scalar(), (F.shiftright(place, 6) + 1).cast("int"))
-    marked = marked.withColumn("dedup_touched", F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
+    filled = bits_of(spans.select(place.alias("place")), TOUCHED)
+    marked = docs.withColumns({"dedup_doc": doc, "dedup_version": version}).withColumn("dedup_touched", holds(place, filled, docs.sparkSession))
     cut = marked.filter("dedup_touched").join(spans, ["dedup_doc", "dedup_version"], "left").select(*docs.columns, "dedup_spans")
     plain = marked.filter("NOT dedup_touched")
     names = [*docs.columns, left, "n_bytes", "n_removed", "n_spans"]
