@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import closed_left
+from ..functions.scalars import severity
+from .windows import earlier_in_window
 
 HOUR, DAY = 3_600, 86_400
 
@@ -49,33 +50,38 @@ def review_queue(scores: DataFrame, share: float) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).join(F.broadcast(n), "day").filter("_n <= k").select("day", "event_id", "score")
 
 
-def lock_policy(alerts: DataFrame, prior: int = 1, window: int = HOUR, hold: int = 7_200, per_hour: int = 20) -> DataFrame:
-    """day, locks, refused: alerts with enough earlier alerts of the account lock it for `hold`, at most per_hour an hour.
+def lock_policy(alerts: DataFrame, action: float, prior: int = 1, window: int = HOUR, hold: int = 7_200, per_hour: int = 20, by: str = "usr") -> DataFrame:
+    """day, benign_locks, benign_accounts, attack_locks, attack_hosts, refused of each day, replayed on its own.
 
-    The hold and the cap depend on the order of locks, so the fold runs in time order for each day; alerts are few.
+    alerts: event_id, t, usr, src, label, score of the rows above the alert threshold. One above `action` with `prior` earlier
+    alerts of its account (or of its source, by="src") in (t - window, t] locks the account for `hold`, unless it is locked
+    or there were per_hour locks in the last hour (refused). What may lock is found by windows over all alerts; only these
+    rows, which the action budget keeps few, are replayed in order, as the hourly cap ties all accounts of a day together.
     """
-    ready = alerts.withColumn("_prior", F.count("*").over(closed_left(window, "usr"))).filter(F.col("_prior") >= prior).withColumn("day", F.floor(F.col("t") / DAY))
+    rows = alerts.withColumn("day", F.floor(F.col("t") / DAY))
+    ready = rows.withColumn("_prior", earlier_in_window(window, "day", by)).filter((F.col("score") > action) & (F.col("_prior") >= prior))
+
+    def replay(frame):
+        import bisect
 
-    def fold(frame):
         import pandas as pd
 
-        held: dict[int, int] = {}
-        recent: list[int] = []
+        taken: list[tuple[int, int, int, int]] = []  # t, usr, src, label of each lock, by time
+        until: dict[int, int] = {}
         refused = 0
-        total = 0
-        for r in frame.sort_values(["t", "event_id"]).itertuples():
-            if held.get(r.usr, -1) > r.t:
+        for t, _, usr, src, label in sorted(zip(*(frame[c] for c in ("t", "event_id", "usr", "src", "label")))):
+            if until.get(usr, t) > t:
                 continue
-            recent = [x for x in recent if x > r.t - 3_600]
-            if len(recent) >= per_hour:
+            if len(taken) - bisect.bisect_right(taken, t - HOUR, key=lambda x: x[0]) >= per_hour:
                 refused += 1
-                continue
-            held[r.usr] = r.t + hold
-            recent.append(r.t)
-            total += 1
-        return pd.DataFrame({"day": [frame["day"].iloc[0]], "locks": [total], "refused": [refused]})
+            else:
+                taken.append((t, usr, src, label))
+                until[usr] = t + hold
+        benign, attack = [x for x in taken if not x[3]], [x for x in taken if x[3]]
+        return pd.DataFrame({"day": [frame["day"].iloc[0]], "benign_locks": [len(benign)], "benign_accounts": [len({x[1] for x in benign})], "attack_locks": [len(attack)], "attack_hosts": [len({x[2] for x in attack})], "refused": [refused]})
 
-    return ready.select("day", "t", "event_id", "usr").groupBy("day").applyInPandas(fold, "day long, locks long, refused long")
+    schema = "day long, benign_locks long, benign_accounts long, attack_locks long, attack_hosts long, refused long"
+    return ready.select("day", "t", "event_id", "usr", "src", "label").groupBy("day").applyInPandas(replay, schema)
 
 
 def score_rule(x: DataFrame) -> DataFrame:
@@ -171,29 +177,54 @@ def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], tree
 
 # ---- response -------------------------------------------------------------------------------------------------------
 
-# The actions of each technique in order, with the least risk for each and whether it needs approval.
-PLAYBOOK = (
-    ("T1021", 1, "collect_evidence", 0.0, 0),
-    ("T1021", 2, "isolate_host", 0.75, 1),
-    ("T1021", 3, "lock_account", 0.85, 1),
-    ("T1110", 1, "collect_evidence", 0.0, 0),
-    ("T1110", 2, "lock_account", 0.70, 0),
-    ("T1087", 1, "watch_account", 0.0, 0),
-    ("T1078", 1, "require_mfa", 0.5, 0),
-    ("T1078", 2, "lock_account", 0.85, 1),
-)
-
-
-def response_plan(alerts: DataFrame) -> DataFrame:
-    """event_id, step, action, mode of alerts (event_id, technique, risk): the playbook is a dimension table."""
-    book = alerts.sparkSession.createDataFrame(list(PLAYBOOK), "technique string, step int, action string, least double, approval int")
-    rows = alerts.join(F.broadcast(book), "technique").filter(F.col("risk") >= F.col("least"))
-    return rows.select("event_id", "technique", "step", "action", F.when(F.col("approval") == 1, "approval").otherwise("auto").alias("mode"))
+# The actions of each technique, in order; '' is an alert without technique.
+PLAYBOOKS = {
+    "T1021": ("increase_monitoring", "notify_soc", "force_reauth", "block_network_path", "isolate_host"),
+    "T1110": ("increase_monitoring", "notify_soc", "lock_account"),
+    "T1087": ("increase_monitoring", "notify_soc"),
+    "T1078": ("increase_monitoring", "notify_soc", "force_reauth", "reset_credentials"),
+    "T1550.003": ("increase_monitoring", "notify_soc", "force_reauth", "reset_credentials"),
+    "T1078.002": ("increase_monitoring", "notify_soc", "disable_service_account", "isolate_host"),
+    "T1550.002": ("increase_monitoring", "notify_soc", "block_network_path", "reset_credentials"),
+    "": ("increase_monitoring", "notify_soc"),
+}
+# Whether an action needs approval, can be undone, and how much it disrupts.
+ACTIONS = {
+    "increase_monitoring": (False, True, 0),
+    "notify_soc": (False, True, 0),
+    "force_reauth": (False, True, 1),
+    "lock_account": (True, True, 3),
+    "block_network_path": (True, True, 3),
+    "reset_credentials": (True, False, 4),
+    "isolate_host": (True, True, 5),
+    "disable_service_account": (True, True, 4),
+}
+# How many actions of a playbook a confidence reaches.
+DEPTH = {"high": 5, "medium": 3, "low": 2, "none": 2}
+
+
+def playbook(spark) -> DataFrame:
+    """book, step, action, held, disruption: the playbooks as a dimension table; held: never without approval."""
+    rows = [(k, i, a, ACTIONS[a][0] or not ACTIONS[a][1], ACTIONS[a][2]) for k, actions in PLAYBOOKS.items() for i, a in enumerate(actions, 1)]
+    return spark.createDataFrame(rows, "book string, step int, action string, held boolean, disruption int")
+
+
+def response_plan(alerts: DataFrame, auto: float = 0.846394) -> DataFrame:
+    """event_id, technique, step, action, mode of every alert (event_id, technique, confidence, risk).
+
+    A technique outside the playbooks, or none, is watched. Actions that disrupt run on their own only at high confidence and
+    a risk from `auto`; those that need approval or can't be undone never do.
+    """
+    known = F.col("technique").isin(*[k for k in PLAYBOOKS if k])
+    reach = F.coalesce(*[F.when(F.col("confidence") == k, F.lit(v)) for k, v in DEPTH.items()], F.lit(2))
+    rows = alerts.withColumn("book", F.when(known, F.col("technique")).otherwise("")).join(F.broadcast(playbook(alerts.sparkSession)), "book").filter(F.col("step") <= reach)
+    alone = ~F.col("held") & ((F.col("disruption") == 0) | ((F.col("confidence") == "high") & (F.col("risk") >= auto)))
+    return rows.select("event_id", "technique", "step", "action", F.when(alone, "auto").otherwise("approval").alias("mode"))
 
 
 def corroborated(alerts: DataFrame, need: int = 2, window: int = HOUR) -> DataFrame:
-    """alerts with earlier ones of the account or of the source in [t-w, t), and whether they suffice."""
-    by_user, by_host = F.count("*").over(closed_left(window, "usr")), F.count("*").over(closed_left(window, "src"))
+    """alerts with earlier ones of the account or of the source in (t-w, t], in stream order, and whether they suffice."""
+    by_user, by_host = earlier_in_window(window, "usr"), earlier_in_window(window, "src")
     return alerts.select("event_id", by_user.alias("user_before"), by_host.alias("host_before")).withColumn("corroborated", (F.greatest("user_before", "host_before") >= need).cast("int"))
 
 
@@ -225,10 +256,15 @@ def incident_rollup(alerts: DataFrame, top_k: int = 50) -> DataFrame:
     return rows.orderBy(F.desc("max_risk"), F.desc("n_alerts"), "usr").limit(top_k)
 
 
-def overview(scored: DataFrame, threshold: float) -> DataFrame:
-    """kind, key, value: totals, severities and a histogram of risk."""
-    level = F.when(F.col("risk") >= 0.9, "critical").when(F.col("risk") >= 0.75, "high").when(F.col("risk") >= 0.5, "medium").otherwise("low")
-    total = scored.agg(F.count("*").alias("scored"), F.sum((F.col("risk") >= threshold).cast("int")).cast("long").alias("alerts"))
-    out = total.select(F.lit("total").alias("kind"), F.expr("stack(2, 'scored', scored, 'alerts', alerts) AS (key, value)"))
-    out = out.union(scored.groupBy(level.alias("key")).count().select(F.lit("severity"), "key", "count"))
-    return out.union(scored.groupBy(F.least(F.floor(F.col("risk") * 5), F.lit(4)).cast("string").alias("key")).count().select(F.lit("bin"), "key", "count"))
+def overview(scored: DataFrame, threshold: float, top: int = 8) -> DataFrame:
+    """kind, key, value: totals; severities, a histogram of risk and the top entities of the alerts."""
+    fired = scored.filter(F.col("risk") >= threshold)
+    level = severity(F.col("risk"), "console")
+    value = lambda kind, key, v: [F.lit(kind).alias("kind"), key.cast("string").alias("key"), v.cast("double").alias("value")]
+    out = scored.agg(F.count("*").alias("n")).select(*value("total", F.lit("scored"), F.col("n")))
+    out = out.union(fired.agg(F.count("*").alias("n")).select(*value("total", F.lit("alerts"), F.col("n"))))
+    out = out.union(fired.groupBy(level.alias("key")).count().select(*value("severity", F.col("key"), F.col("count"))))
+    out = out.union(fired.groupBy(F.least(F.floor(F.col("risk") * 5), F.lit(4)).alias("key")).count().select(*value("bin", F.col("key"), F.col("count"))))
+    sides = F.explode(F.array(*[F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("user:", "usr"), ("host:", "src"), ("host:", "dst"))])).alias("entity")
+    best = fired.select("risk", sides).groupBy("entity").agg(F.max("risk").alias("most"), F.count("*").alias("n")).orderBy(F.desc("most"), F.desc("n"), "entity").limit(top)
+    return out.union(best.select(*value("entity_alerts", F.col("entity"), F.col("n")))).union(best.select(*value("entity_risk", F.col("entity"), F.col("most"))))

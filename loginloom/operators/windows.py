@@ -24,6 +24,18 @@ def closed_left(seconds: int, *keys: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("t").rangeBetween(-seconds, -1)
 
 
+def earlier_in_window(seconds: int, *keys: str) -> Column:
+    """How many rows of the keys come before this one in stream order with a time in (t - seconds, t].
+
+    The time frame also holds the row itself and those of its second that come after it; their number in stream order is
+    taken off. One sort by (t, event_id) serves all of it.
+    """
+    rows = Window.partitionBy(*keys).orderBy("t", "event_id")
+    upto = F.count("*").over(rows.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.count("*").over(Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, -seconds))
+    return upto - before
+
+
 def stream_past(*keys: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
 

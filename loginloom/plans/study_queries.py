@@ -58,20 +58,31 @@ def j05(spark, sf_dir):
     return rounded(both.agg(F.avg(F.col("full_user_auth_rate_5m") - F.col("user_auth_rate_5m")).alias("rate_shift"), F.avg(F.col("full_pair_frequency_1h") - F.col("pair_frequency_1h")).alias("pair_shift")), "rate_shift", "pair_shift")
 
 
-@registered("j06_host_day_rank", f"{SCORES_CTE}, b AS (SELECT t // 86400 AS day, src, score FROM x QUALIFY row_number() OVER (PARTITION BY t // 86400, src ORDER BY score DESC, event_id) <= 3), h AS (SELECT day, src, round(avg(score), 9) AS hs FROM b GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY day ORDER BY hs DESC) AS rank FROM h) SELECT day, src, round(hs, 6) AS host_score, CAST(rank AS INTEGER) AS rank FROM r WHERE src IN (3, 7)")
-def j06(spark, sf_dir):
-    rows = scores(spark, sf_dir)
-    return rounded(studies.host_day_rank(rows, rows.filter("src IN (3, 7)").select("src").distinct()), "day", "src", "host_score", "rank")
-
-
 @registered("j11_feedback_review_queue", f"{SCORES_CTE}, r AS (SELECT t // 86400 AS day, event_id, score, row_number() OVER (PARTITION BY t // 86400 ORDER BY score DESC, event_id) AS n, count(*) OVER (PARTITION BY t // 86400) AS k FROM x) SELECT day, event_id, round(score, 6) + 0.0 AS score FROM r WHERE n <= greatest(1, floor(k * 0.02::DOUBLE))")
 def j11(spark, sf_dir):
     return rounded(studies.review_queue(scores(spark, sf_dir), 0.02), "day", "event_id", "score")
 
 
-@registered("j08_lock_policy")
+@registered(
+    "j08_lock_policy",
+    f"""{ALERTS_CTE}, p AS (SELECT *, t // 86400 AS day FROM a), w AS (
+        SELECT *, (SELECT count(*) FROM p b WHERE b.usr = p.usr AND b.day = p.day AND b.t > p.t - 3600 AND (b.t < p.t OR b.t = p.t AND b.event_id < p.event_id)) AS prior FROM p
+    ), ready AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY t, event_id) AS n FROM w WHERE risk > 0.9 AND prior >= 1),
+    st(day, n, locks, label, usr, src, took, refused) AS (
+        SELECT day, 0::BIGINT, [{{'t': 0::BIGINT, 'usr': -1::BIGINT}}], 0, 0::BIGINT, 0::BIGINT, 0, 0 FROM ready GROUP BY day
+        UNION ALL
+        SELECT day, n, CASE WHEN take THEN list_append(locks, {{'t': t, 'usr': usr}}) ELSE locks END, label, usr, src, take::INTEGER, (NOT held AND full_)::INTEGER
+        FROM (SELECT *, NOT held AND NOT full_ AS take FROM (
+            SELECT r.day, r.n, r.t, r.usr, r.src, r.label, s.locks, len(list_filter(s.locks, lambda x: x.usr = r.usr AND x.t + 7200 > r.t)) > 0 AS held,
+                len(list_filter(s.locks, lambda x: x.t > r.t - 3600)) >= 20 AS full_
+            FROM st s JOIN ready r ON r.day = s.day AND r.n = s.n + 1))
+    )
+    SELECT day, count(*) FILTER (took = 1 AND label = 0) AS benign_locks, count(DISTINCT usr) FILTER (took = 1 AND label = 0) AS benign_accounts,
+        count(*) FILTER (took = 1 AND label = 1) AS attack_locks, count(DISTINCT src) FILTER (took = 1 AND label = 1) AS attack_hosts, CAST(sum(refused) AS BIGINT) AS refused
+    FROM st WHERE n > 0 GROUP BY day""",
+)
 def j08(spark, sf_dir):
-    return studies.lock_policy(alerts(spark, sf_dir))
+    return studies.lock_policy(alerts(spark, sf_dir).withColumnRenamed("risk", "score"), action=0.9)
 
 
 _RULE = "2.0::DOUBLE * is_new_pair + 0.3::DOUBLE * least(user_unique_dst_5m, 10) + 0.5::DOUBLE * least(failures_before_success_15m, 5) - 3"
@@ -137,16 +148,36 @@ def g11(spark, sf_dir):
     return rounded(rows.groupBy("technique").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("labelled"), F.max("technique_score").alias("best")), "technique", "n", "labelled", "best")
 
 
-_BOOK = ", ".join(f"('{t}', {s}, '{a}', {m}::DOUBLE, {p})" for t, s, a, m, p in studies.PLAYBOOK)
+_BOOK = """book(technique, actions) AS (VALUES
+    ('T1021', ['increase_monitoring', 'notify_soc', 'force_reauth', 'block_network_path', 'isolate_host']),
+    ('T1110', ['increase_monitoring', 'notify_soc', 'lock_account']),
+    ('T1087', ['increase_monitoring', 'notify_soc']),
+    ('T1078', ['increase_monitoring', 'notify_soc', 'force_reauth', 'reset_credentials']),
+    ('T1550.003', ['increase_monitoring', 'notify_soc', 'force_reauth', 'reset_credentials']),
+    ('T1078.002', ['increase_monitoring', 'notify_soc', 'disable_service_account', 'isolate_host']),
+    ('T1550.002', ['increase_monitoring', 'notify_soc', 'block_network_path', 'reset_credentials']))"""
+_CONFIDENCE = """CASE WHEN technique IS NULL THEN 'none' WHEN chain_hop = 1 AND technique = 'T1021' THEN 'high'
+    WHEN technique_score >= 0.65 AND technique_score - second >= 0.15 THEN 'high' WHEN technique_score >= 0.45 THEN 'medium' ELSE 'low' END"""
 
 
-@registered("k01_response_plan", f"{DENSE_SQL}{TACTIC_CTE}, book(technique, step, action, least_risk, approval) AS (VALUES {_BOOK}) SELECT event_id, q.technique, CAST(step AS INTEGER) AS step, action, CASE WHEN approval = 1 THEN 'approval' ELSE 'auto' END AS mode FROM q JOIN book ON book.technique = q.technique WHERE round(risk, 6) >= least_risk AND round(risk, 6) >= 0.8")
+@registered(
+    "k01_response_plan",
+    f"""{DENSE_SQL}{TACTIC_CTE}, {_BOOK}, conf AS (SELECT event_id, q.technique, round(risk, 6) AS risk, {_CONFIDENCE.replace('technique IS', 'q.technique IS').replace('technique =', 'q.technique =')} AS confidence,
+        coalesce(actions, ['increase_monitoring', 'notify_soc']) AS actions FROM q LEFT JOIN book ON book.technique = q.technique WHERE round(risk, 6) >= 0.8),
+    reached AS (SELECT *, CASE confidence WHEN 'high' THEN 5 WHEN 'medium' THEN 3 ELSE 2 END AS reach FROM conf),
+    u AS (SELECT event_id, technique, risk, confidence, unnest(actions[1:reach]) AS action, unnest(range(1, least(reach, len(actions)) + 1)) AS step FROM reached)
+    SELECT event_id, technique, CAST(step AS INTEGER) AS step, action, CASE WHEN action IN ('increase_monitoring', 'notify_soc') THEN 'auto'
+        WHEN action = 'force_reauth' AND confidence = 'high' AND risk >= 0.846394 THEN 'auto' ELSE 'approval' END AS mode FROM u""",
+)
 def k01(spark, sf_dir):
-    rows = classified(spark, sf_dir).withColumn("risk", F.round("risk", 6)).filter("risk >= 0.8 AND technique IS NOT NULL")
-    return studies.response_plan(rows.select("event_id", "technique", "risk"))
+    rows = classified(spark, sf_dir).withColumn("risk", F.round("risk", 6)).filter("risk >= 0.8")
+    return studies.response_plan(rows.select("event_id", "technique", "confidence", "risk"))
+
 
+_BEFORE = "(SELECT count(*) FROM a b WHERE b.{c} = a.{c} AND b.t > a.t - 3600 AND (b.t < a.t OR b.t = a.t AND b.event_id < a.event_id))"
 
-@registered("k04_corroborated_lock", f"{ALERTS_CTE}, z AS (SELECT event_id, count(*) OVER (PARTITION BY usr ORDER BY t RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS user_before, count(*) OVER (PARTITION BY src ORDER BY t RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS host_before FROM a) SELECT *, CAST(greatest(user_before, host_before) >= 2 AS INTEGER) AS corroborated FROM z")
+
+@registered("k04_corroborated_lock", f"{ALERTS_CTE}, z AS (SELECT event_id, {_BEFORE.format(c='usr')} AS user_before, {_BEFORE.format(c='src')} AS host_before FROM a) SELECT *, CAST(greatest(user_before, host_before) >= 2 AS INTEGER) AS corroborated FROM z")
 def k04(spark, sf_dir):
     return studies.corroborated(alerts(spark, sf_dir))
 
@@ -174,7 +205,15 @@ def k10(spark, sf_dir):
     return studies.incident_rollup(alerts(spark, sf_dir))
 
 
-@registered("l01_overview", f"{DENSE_SQL}{SCORE_CTE}, r AS (SELECT round(risk, 6) AS risk FROM s) SELECT 'total' AS kind, 'scored' AS key, count(*) AS value FROM r UNION ALL SELECT 'total', 'alerts', count(*) FILTER (risk >= 0.8) FROM r UNION ALL SELECT 'severity', CASE WHEN risk >= 0.9 THEN 'critical' WHEN risk >= 0.75 THEN 'high' WHEN risk >= 0.5 THEN 'medium' ELSE 'low' END, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'bin', least(floor(risk * 5)::BIGINT, 4)::VARCHAR, count(*) FROM r GROUP BY 2")
+@registered(
+    "l01_overview",
+    f"""{DENSE_SQL}{SCORE_CTE}, r AS (SELECT usr, src, dst, round(risk, 6) AS risk FROM s), a AS (SELECT * FROM r WHERE risk >= 0.8),
+    n AS (SELECT entity, max(risk) AS most, count(*) AS n FROM (SELECT risk, unnest(['user:' || usr, 'host:' || src, 'host:' || dst]) AS entity FROM a) GROUP BY entity ORDER BY most DESC, n DESC, entity LIMIT 8)
+    SELECT 'total' AS kind, 'scored' AS key, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'total', 'alerts', count(*)::DOUBLE FROM a
+    UNION ALL SELECT 'severity', CASE WHEN risk >= 0.85 THEN 'critical' WHEN risk >= 0.70 THEN 'high' WHEN risk >= 0.50 THEN 'medium' ELSE 'low' END, count(*)::DOUBLE FROM a GROUP BY 2
+    UNION ALL SELECT 'bin', least(floor(risk * 5)::BIGINT, 4)::VARCHAR, count(*)::DOUBLE FROM a GROUP BY 2
+    UNION ALL SELECT 'entity_alerts', entity, n::DOUBLE FROM n UNION ALL SELECT 'entity_risk', entity, most::DOUBLE FROM n""",
+)
 def l01(spark, sf_dir):
     return studies.overview(scored(spark, sf_dir).withColumn("risk", F.round("risk", 6)), 0.8)
 
@@ -191,26 +230,24 @@ def l03(spark, sf_dir):
     return rounded(scores(spark, sf_dir).agg(F.avg("score").alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"), disc(0.5).alias("p50"), disc(0.95).alias("p95")), "mean", "least", "most", "p50", "p95")
 
 
-@registered("d24_incremental_features", f"{SPARSE_SQL}{FEATURE_CTE} SELECT event_id, " + ", ".join(r6(n) if n in ("delta_user_log", "delta_pair_log", "pair_rarity", "destination_novelty") else n for n in incremental.FEATURES) + " FROM f WHERE t // 86400 IN (SELECT DISTINCT t // 86400 FROM e ORDER BY 1 LIMIT 3)")
-def d24(spark, sf_dir):
-    """The first three days, one after another, each from the state that the days before left."""
-    e = auth_sparse(spark, sf_dir)
-    days = [r[0] for r in e.select(F.floor(F.col("t") / 86_400).alias("day")).distinct().orderBy("day").limit(3).collect()]
-    state, out = incremental.empty_state(spark), None
-    for day in days:
-        x, state = incremental.advance_day(e.filter(F.floor(F.col("t") / 86_400) == day), state)
-        out = x if out is None else out.unionByName(x)
-    return rounded(out, "event_id", *incremental.FEATURES)
+_D24 = f"{SPARSE_SQL}{FEATURE_CTE} SELECT event_id, " + ", ".join(r6(n) if n in ("delta_user_log", "delta_pair_log", "pair_rarity", "destination_novelty") else n for n in incremental.FEATURES) + " FROM f"
 
 
-@registered("d24_incremental_features_all_days")
+@registered("d24_incremental_features", _D24)
+@registered("d24_incremental_features_all_days", _D24)
 def d24_all_days(spark, sf_dir):
     """Every day, one after another; equals d23_causal_features_sparse in these features."""
     out, _ = incremental.advance_days(auth_sparse(spark, sf_dir))
     return rounded(out, "event_id", *incremental.FEATURES)
 
 
-@registered("j06_host_day_rank_attackers", f"{SCORES_CTE}, b AS (SELECT t // 86400 AS day, src, score FROM x QUALIFY row_number() OVER (PARTITION BY t // 86400, src ORDER BY score DESC, event_id) <= 3), h AS (SELECT day, src, round(avg(score), 9) AS hs FROM b GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY day ORDER BY hs DESC) AS rank FROM h) SELECT day, src, round(hs, 6) AS host_score, CAST(rank AS INTEGER) AS rank FROM r WHERE src IN (SELECT src FROM x WHERE label = 1)")
+_J06 = (
+    f"{SCORES_CTE}, b AS (SELECT t // 86400 AS day, src, score FROM x QUALIFY row_number() OVER (PARTITION BY t // 86400, src ORDER BY score DESC, event_id) <= 3), h AS (SELECT day, src, round(avg(score), 9) AS hs FROM b GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY day ORDER BY hs DESC) AS rank FROM h) SELECT day, src, round(hs, 6) AS host_score, CAST(rank AS INTEGER) AS rank FROM r WHERE src IN (SELECT src FROM x WHERE label = 1)"
+)
+
+
+@registered("j06_host_day_rank", _J06)
+@registered("j06_host_day_rank_attackers", _J06)
 def j06_attackers(spark, sf_dir):
     """Attackers are the hosts that labelled rows leave."""
     rows = scores(spark, sf_dir)

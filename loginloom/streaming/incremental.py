@@ -60,7 +60,8 @@ def advance_day(events: DataFrame, state: dict[str, DataFrame], cut: bool = True
     added = _kinds(events).groupBy("kind", "a", "b").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
     registry = known.unionByName(added).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.max("last_t").alias("last_t"))
     recent = tail.unionByName(events.select("event_id", "t", "usr", "src", "dst", "success"))
-    edge = events.agg(F.max("t").alias("edge"))
+    # of both, so that a batch without rows drops nothing
+    edge = recent.agg(F.max("t").alias("edge"))
     kept = recent.join(F.broadcast(edge), F.col("t") > F.col("edge") - DAY).drop("edge")
     return out, {"registry": registry.checkpoint() if cut and events.sparkSession.conf.get("spark.checkpoint.dir", None) else registry, "tail": kept}
 
