@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from .common import kept
 
 #: Bytes of the words that a worker keeps with their ids, and what one costs beside its own bytes and ids.
-CACHE, ENTRY = 110_000_000, 330
+CACHE, ENTRY = 80_000_000, 330
 #: Bytes of text between two queries.
-CHUNK = 4_000_000
+CHUNK = 2_500_000
 #: Bytes of new words in one query.
-QUERY_BYTES = 1_000_000
+QUERY_BYTES = 500_000
 #: Longer words contract all places of a pair at once.
 LONG = 48
 
@@ -123,7 +123,7 @@ class Codec:
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.whole = ranks
         # no temp folder: queries are small, and nothing may spill to a machine's own disk
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         rows = merge_rows(ranks)
         least: dict[int, int] = {}
         for left, right, merged in rows:
