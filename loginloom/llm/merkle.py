@@ -5,8 +5,9 @@ length; every cut is decided by the text around it alone, so an edit changes the
 leaf's digest is of its piece's bytes, a node's of its children's digests. Equal roots mean equal texts; where they differ,
 `compare` descends into differing branches only and gives the spans that were edited.
 
-A fingerprint is the root digest, a colon, and three bytes of each leaf digest in order. The likeness of two fingerprints is the share of
-leaves that they have in common, counted with repeats (2 * common / all), and 1 for equal ones.
+A fingerprint is the root digest, a colon, and the tree with four bytes of each inner digest and three of each leaf's. The
+likeness of two fingerprints is the share of leaves that they have in common, counted with repeats (2 * common / all), and 1 for
+equal ones; it descends both trees and enters only branches that differ.
 
 Cases: a null text counts as empty; the empty text has a root and no leaf, and likeness 0 to any other text. Very long
 lines are cut every PIECE code points. Repeated rows give repeated rows; ties of doc_id are ordered by the text.
@@ -65,19 +66,69 @@ def node(children: list[bytes], level: bytes) -> bytes:
 
 
 def fingerprint(text: str) -> str:
-    sections = tree(text)
-    root = node([node([node(leaves, b"p") for leaves in s], b"s") for s in sections], b"d")
-    return root.hex() + ":" + "".join(leaf[:3].hex() for s in sections for p in s for leaf in p)
+    """The root, a colon, and the tree: each section's digest with its paragraphs in brackets, each paragraph's with its leaves."""
+    root, parts = [], []
+    for s in tree(text):
+        own, inner = [], []
+        for leaves in s:
+            own.append(node(leaves, b"p"))
+            inner.append(own[-1][:4].hex() + "(" + "".join(leaf[:3].hex() for leaf in leaves) + ")")
+        root.append(node(own, b"s"))
+        parts.append(root[-1][:4].hex() + "[" + "".join(inner) + "]")
+    return node(root, b"d").hex() + ":" + "".join(parts)
+
+
+def branches(body: str, closing: str) -> Counter:
+    """How often each child stands in a node's body: sections end in `]`, paragraphs in `)`."""
+    return Counter(x + closing for x in body.split(closing)[:-1])
+
+
+def _paragraphs(sections: Counter) -> Counter:
+    out: Counter = Counter()
+    for section, n in sections.items():
+        for paragraph, k in branches(section[9:-1], ")").items():
+            out[paragraph] += n * k
+    return out
+
+
+def _leaves(children: Counter) -> Counter:
+    """The leaves under paragraphs, counted."""
+    out: Counter = Counter()
+    for child, n in children.items():
+        text = child[9:-1]
+        for i in range(0, len(text), 6):
+            out[text[i : i + 6]] += n
+    return out
+
+
+def _size(children: Counter, sections: bool) -> int:
+    """How many leaves lie under the children, without cutting them apart."""
+    total = 0
+    for child, n in children.items():
+        marks = child.count("(")
+        total += n * ((len(child) - 10 - 10 * marks if sections else len(child) - 10) // 6)
+    return total
 
 
 def likeness(a: str, b: str) -> float:
-    """From 0, no leaf in common, to 1, equal."""
-    if a == b:
+    """From 0, no leaf in common, to 1, equal: the share of common leaves, counted with repeats.
+
+    The trees are compared from the root: children that both sides have are common as a whole and are not entered; only those
+    that differ are compared at the next level. As what is taken as common is taken off both sides, the share is that of all leaves.
+    """
+    if a.partition(":")[0] == b.partition(":")[0]:
         return 1.0
-    x, y = a.partition(":")[2], b.partition(":")[2]
-    x, y = [x[i : i + 6] for i in range(0, len(x), 6)], [y[i : i + 6] for i in range(0, len(y), 6)]
-    n = len(x) + len(y)
-    return 2 * (Counter(x) & Counter(y)).total() / n if n else 0.0
+    x, y = (branches(f.partition(":")[2], "]") for f in (a, b))
+    n = _size(x, True) + _size(y, True)
+    if not n:
+        return 0.0
+    both = x & y
+    common = _size(both, True)
+    x, y = _paragraphs(x - both), _paragraphs(y - both)
+    both = x & y
+    common += _size(both, False)
+    common += (_leaves(x - both) & _leaves(y - both)).total()
+    return 2 * common / n
 
 
 def compare(a: str, b: str) -> list[tuple[int, int]]:

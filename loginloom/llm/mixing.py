@@ -4,7 +4,8 @@ Every source is hashed into blocks, permuted by the hash itself. A source whose
 once and the rest again, never more than twice. The last, partial pass takes whole blocks in permuted order and ends inside
 one block, at a whole document. The blocks of each pass are a source's quota; a binary tree over the output shards splits
 all quotas: at each node a multivariate hypergeometric draw says how many of each source's blocks go left. The leaves draw
-disjoint ranges of each source's permuted blocks, and each shard is shuffled by a hash of its documents.
+disjoint ranges of each source's permuted blocks: a document has as many copies as shards have drawn its block. Each shard is
+shuffled by a hash of its documents.
 
 Targets: sources by code point, null last, weigh 3, 1, 2, repeating; together they share `share` of all words; a target
 stops at `most` times its source's size and the excess is shared again by weight until none is above.
@@ -27,6 +28,8 @@ from .common import WORD, spool
 BLOCKS = 128
 #: Sources that the driver takes on; a mixture is stated over far fewer.
 MAX_SOURCES = 20_000
+#: Rows of a plan that is broadcast; a larger one is joined by a shuffle.
+BROADCAST = 100_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -118,30 +121,38 @@ def _plan(slim: DataFrame, shards: int, share: float, most: float, seed: int) ->
     for i, name in enumerate(names):
         passes, whole, inside = ends_in[i]
         for at, b in enumerate(orders[i].tolist()):
-            ends = last.get(name) if at == whole and inside > 0 else None
-            places = [min(int(np.searchsorted(upto[:, 2 * i + k], at, side="right")), shards - 1) for k in (0, 1)]
-            rows.append((name, b, sizes[i], goal[i], passes + (at < whole), ends, places))
-    return spark.createDataFrame(rows, "mix_source string, mix_plan int, mix_source_size long, mix_target double, mix_copies int, mix_last long, mix_places array<int>")
+            # the shards whose drawn ranges hold this block, in either pass
+            drawn = [int(np.searchsorted(upto[:, 2 * i + k], at, side="right")) for k in (0, 1)]
+            places = [p for p in drawn if p < shards]
+            cut = at == whole and inside > 0
+            rows.append((name, b, sizes[i], goal[i], cut, last.get(name) if cut else None, places))
+    plan = spark.createDataFrame(rows, "mix_source string, mix_plan int, mix_source_size long, mix_target double, mix_cut boolean, mix_last long, mix_drawn array<int>")
+    return F.broadcast(plan) if len(rows) <= BROADCAST else plan
 
 
 def mix(docs: DataFrame, shards: int = 16, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_copies (0 to `most`) and mix_places, the output shard of each copy.
+    """docs with mix_size, mix_source_size, mix_target and mix_places, the output shard of each copy that the mix takes.
 
-    One pass over the texts sums the blocks; the plan, a row for each source and block, is broadcast and applied in a
-    second pass. Rows repeated in full share a key and so their copies.
+    One pass over the texts sums the blocks; the plan, a row for each source and block with the shards that drew it, is applied
+    in a second pass. In the block where a source's last pass ends, documents behind the end lose that pass's copy. Rows
+    repeated in full share a key and so their copies.
     """
     keyed = _keyed(docs, seed)
     slim = spool(keyed.select("source", "mix_size", "mix_key", "mix_block"), "mix")
-    plan = _plan(slim, shards, share, most, seed)
-    rows = keyed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_block") == F.col("mix_plan")))
-    more = (F.col("mix_key") <= F.col("mix_last")).cast("int")
-    copies = F.when(F.col("mix_size") == 0, 0).otherwise(F.col("mix_copies") + F.coalesce(more, F.lit(0)))
-    return rows.withColumn("mix_copies", copies).drop("mix_source", "mix_plan", "mix_last")
+    rows = keyed.join(_plan(slim, shards, share, most, seed), F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_block") == F.col("mix_plan")))
+    behind = F.col("mix_cut") & ~F.coalesce(F.col("mix_key") <= F.col("mix_last"), F.lit(False))
+    places = F.when(F.col("mix_size") == 0, F.array().cast("array<int>")).when(behind, F.slice("mix_drawn", 1, F.size("mix_drawn") - 1)).otherwise(F.col("mix_drawn"))
+    return rows.withColumn("mix_places", places).drop("mix_source", "mix_plan", "mix_cut", "mix_last", "mix_drawn")
+
+
+def orders(seed: int = 17):
+    """Where each copy stands in its shard: a hash of its own, by which the shard is shuffled."""
+    return F.transform("mix_places", lambda _, i: F.xxhash64(F.lit(seed), F.col("mix_key"), i + 1))
 
 
 def draw(mixed: DataFrame, columns: list[str], seed: int = 17) -> DataFrame:
     """The documents of the mix: a row for each copy, dealt to its shard and shuffled there by a hash."""
-    rows = mixed.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    rows = rows.withColumns({"mix_shard": F.element_at("mix_places", F.col("mix_copy")), "mix_order": F.xxhash64(F.lit(seed), "mix_key", "mix_copy")})
+    copy = F.explode(F.arrays_zip(F.col("mix_places").alias("shard"), orders(seed).alias("order"))).alias("mix_copy")
+    rows = mixed.select("*", copy).withColumns({"mix_shard": F.col("mix_copy.shard"), "mix_order": F.col("mix_copy.order")})
     dealt = rows.repartition("mix_shard", F.pmod("mix_order", F.lit(16))).sortWithinPartitions("mix_shard", "mix_order")
     return dealt.select(*columns)

@@ -25,7 +25,7 @@ def op3_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("mix_size").alias("size"), "source", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+    return rows.select("doc_id", F.col("mix_size").alias("size"), "source", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.size("mix_places") * F.col("mix_size")).alias("taken"), F.col("mix_places").alias("shards"), mixing.orders().alias("shard_orders"))
 
 
 def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,18 +49,18 @@ def op9_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     rows = quality.score(docs, model)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return rows.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three edits of each text (a replacement, an insertion, a deletion at the end), counted from its kept tree."""
+    """Three edits of each text, of any length (a replacement, an insertion, a deletion at the end), counted from its kept tree."""
     trees = token_tree.build(table(spark, sf_dir, "documents"))
     n = F.col("n_chars")
-    spans = [(F.floor(n / 3), F.floor(n / 3) + F.least(F.lit(7), n - F.floor(n / 3)), F.lit(" re-edited")), (F.floor(n / 2) + 8, F.floor(n / 2) + 8, F.lit("2024's ")), (n - F.floor(n / 10), n, F.lit(""))]
+    quarter, half = F.floor(n / 4), F.floor(n / 2)
+    spans = [(quarter, F.least(quarter + 7, half), F.lit(" re-edited")), (half, half, F.lit("2024's ")), (n - F.floor(n / 10), n, F.lit(""))]
     edits = F.array(*[F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), t.alias("text")) for a, b, t in spans])
-    usable = F.when(n >= 40, edits).otherwise(F.slice(edits, 1, 1))
-    return token_tree.recount(trees.withColumn("edits", usable)).select("doc_id", "n_tokens", "n_tokens_edited", "n_chars", "n_chars_reencoded")
+    return token_tree.recount(trees.withColumn("edits", edits)).select("doc_id", "n_tokens", "n_tokens_edited", "n_chars", "n_chars_reencoded")
 
 
 QUERIES = {
