@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from loginloom.llm import bpe, induced, merkle, mixing, ngram_join, quality, queries, sharding, suffix_dedup, token_tree, topk
+from loginloom.llm import bpe, induced, merkle, mixing, ngram_join, quality, queries, sharding, suffix_dedup, token_tree, topk, url_filter
 from loginloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -51,10 +53,21 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, texts, tokenizer):
 
 
 def test_bpe_long_words(tokenizer):
-    codec = bpe.codec_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    for word in ("ab" * 150, "é" * 90, "=-" * 100, "中文" * 40):
-        line, back = codec.contract([word.encode()])
-        assert list(map(int, line[0].split(","))) == tokenizer.encode_ordinary(word) and back[0] == word.encode()
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rnd = random.Random(8)
+    words = ["ab" * 150, "é" * 90, "=-" * 100, "中文" * 40, "a" * 20_000, *("".join(rnd.choices("abcdeinrst", k=rnd.randint(49, 400))) for _ in range(60))]
+    for word, (line, back) in zip(words, codec.contract([w.encode() for w in words], long=True)):
+        assert list(map(int, line.split(","))) == tokenizer.encode_ordinary(word) and back == word.encode()
+
+
+def test_bpe_forgets_older_words(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 40_000)
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    for k in range(6):
+        asked = {f"wörd{k * 20 + i}" for i in range(60)}
+        codec.ready(asked)
+        assert all(list(map(int, codec.known[w][0].split(","))) == tokenizer.encode_ordinary(w) for w in ("wörd",) if w in codec.known) and asked <= set(codec.known)
+    assert len(codec.known) < 160
 
 
 def test_suffix_arrays():
@@ -155,17 +168,165 @@ def test_rewrite_keeps_other_shards_and_every_row(spark, tmp_path):
 
 
 def test_mixing_targets(spark):
-    rows = mixing.mix(table(spark, SF, "documents")).collect()
-    taken, target, most = {}, {}, {}
+    docs = duckdb.sql(f"SELECT doc_id, source, text FROM '{SF}/documents.parquet'").fetchall()
+    sizes = {k: len(re.findall(r"[^ \t-\r]+", t or "")) for k, _, t in docs}
+    by_source: dict = {}
+    for k, source, _ in docs:
+        by_source[source] = by_source.get(source, 0) + sizes[k]
+    names = sorted(by_source, key=lambda x: (x is None, x or ""))
+    goal = dict(zip(names, mixing.targets([by_source[x] for x in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5, 2.0)))
+    taken, most, shards = {}, {}, {}
+    rows = queries.op4_source_mixing(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(sizes)
     for r in rows:
-        taken[r.source] = taken.get(r.source, 0) + r.mix_copies * r.mix_size
-        target[r.source] = r.mix_target
-        most[r.source] = max(most.get(r.source, 0), r.mix_size)
-        assert 0 <= r.mix_copies <= 2
-    assert all(abs(taken[s] - target[s]) <= most[s] for s in taken)
+        assert r.size == sizes[r.doc_id] and r.source_size == by_source[r.source] and r.target == pytest.approx(goal[r.source])
+        assert r.taken == r.size * len(r.shards) <= 2 * r.size and len(r.shard_orders) == len(r.shards) and set(r.shards) <= set(range(16))
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        most[r.source] = max(most.get(r.source, 0), r.size)
+        for shard in r.shards:
+            shards[shard] = shards.get(shard, 0) + r.size
+    assert all(abs(taken[s] - goal[s]) <= most[s] for s in taken) and len(shards) == 16
+    assert sum(goal.values()) == pytest.approx(min(1.5 * sum(sizes.values()), 2 * sum(sizes.values())))
     assert mixing.targets([10, 90], [3, 1], 1.5, 2.0) == [20.0, 130.0]
     split = mixing.split_tree(np.array([5, 7, 0, 9]), 4, np.random.default_rng(0))
     assert split.sum(0).tolist() == [5, 7, 0, 9] and split.sum(1).max() - split.sum(1).min() <= 1
+    again = {r.doc_id: (r.shards, r.shard_orders) for r in queries.op4_source_mixing(spark, SF).collect()}
+    assert again == {r.doc_id: (r.shards, r.shard_orders) for r in rows}
+
+
+def test_mix_draws_every_copy(spark):
+    docs = table(spark, SF, "documents")
+    mixed = mixing.mix(docs)
+    want = {r.doc_id: r.n for r in mixed.select("doc_id", F.size("mix_places").alias("n")).collect()}
+    got: dict = {}
+    for r in mixing.draw(mixed, docs.columns).select("doc_id").collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def _page_rank(edges, seeds, hosts, damping=0.85):
+    rank = dict(seeds)
+    for _ in range(200):
+        new = {h: (1 - damping) * seeds.get(h, 0.0) for h in hosts}
+        loose = sum(rank.get(h, 0.0) for h in hosts if h not in edges)
+        for h in hosts:
+            new[h] += damping * loose * seeds.get(h, 0.0)
+        for a, to in edges.items():
+            for b, share in to.items():
+                new[b] += damping * rank.get(a, 0.0) * share
+        rank = new
+    return rank
+
+
+def test_url_propagation_equals_page_rank(spark):
+    link = lambda *to: " ".join(f'<a href="https://{h}/x">' for h in to)
+    pages = [
+        (1, "http://spam.net/a", link("shop.net", "ring.com")),
+        (2, "http://shop.net/b", link("spam.net")),
+        (3, "http://ring.com/", link("spam.net", "shop.net")),
+        (4, "http://ring.com/2", link("spam.net")),
+        (5, "http://good.org/fr/x", link("friend.org", "good.org")),
+        (6, "http://friend.org/", link("good.org", "other.de")),
+        (7, "http://other.de/", "<a href='/local'>"),
+        (8, "http://lone.com/", None),
+        (9, "http://echo.com/", link("ring.com")),
+        *[(20 + i, f"http://calm{i}.com/", link("good.org")) for i in range(12)],
+    ]
+    links = {("spam.net", "shop.net"): 1, ("spam.net", "ring.com"): 1, ("shop.net", "spam.net"): 1, ("ring.com", "spam.net"): 2, ("ring.com", "shop.net"): 1, ("good.org", "friend.org"): 1, ("friend.org", "good.org"): 1, ("friend.org", "other.de"): 1, ("echo.com", "ring.com"): 1} | {(f"calm{i}.com", "good.org"): 1 for i in range(12)}
+    hosts = {h for pair in links for h in pair}
+    ahead, back = {}, {}
+    for (a, b), n in links.items():
+        ahead.setdefault(a, {})[b] = n / sum(m for (x, _), m in links.items() if x == a)
+        back.setdefault(b, {})[a] = n / sum(m for (_, y), m in links.items() if y == b)
+    trust, distrust = _page_rank(ahead, {"good.org": 1.0}, hosts), _page_rank(back, {"spam.net": 0.5, "shop.net": 0.5}, hosts)
+    n_hosts = 8 + 12  # hosts with pages
+    bad = {h for h in hosts if distrust[h] > trust[h] and distrust[h] * n_hosts > 2.0}
+    assert "ring.com" in bad and "good.org" not in bad
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df).collect()}
+    for page_id, url, _ in pages:
+        host = url.split("/")[2]
+        want = "allow" if page_id == 5 else "block" if host.endswith(".net") or host in bad else "allow"
+        assert got[page_id] == want, url
+
+
+def test_token_counts_of_every_text(spark, texts, tokenizer):
+    rows = queries.op10_edit_aware_token_counts(spark, SF).collect()
+    more = spark.createDataFrame([(i, "word's "[: i % 8] * (i // 8 + 1)) for i in range(60)] + [(99, ""), (98, None)], "doc_id long, text string")
+    for found, of in ((rows, texts),):
+        assert len(found) == len(of)
+        for r in found:
+            text = of[r.doc_id]
+            n = len(text)
+            a, b, cut = n // 4, n // 2, n - n // 10
+            new = text[:a] + " re-edited" + text[min(a + 7, b) : b] + "2024's " + text[b:cut]
+            assert (r.n_tokens, r.n_tokens_edited) == (len(tokenizer.encode_ordinary(text)), len(tokenizer.encode_ordinary(new)))
+    short = token_tree.recount(token_tree.build(more).withColumn("edits", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("end"), F.lit("all new").alias("text"))))).collect()
+    assert {r.n_tokens_edited for r in short} == {len(tokenizer.encode_ordinary("all new"))}
+
+
+def test_merkle_likeness_is_that_of_all_leaves(texts):
+    some = [texts[k] for k in sorted(texts)]
+    for a, b in zip(some, some[1:]):
+        for other in (b, a[: len(a) - len(a) // 4] + b[: len(a) // 4]):
+            x, y = ([leaf[:3] for s in merkle.tree(t) for p in s for leaf in p] for t in (a, other))
+            both = sum((Counter(x) & Counter(y)).values())
+            want = 1.0 if a == other else 2 * both / (len(x) + len(y)) if x or y else 0.0
+            assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(other)) == pytest.approx(want)
+
+
+def _components(docs):
+    sets = []
+    for _, text in docs:
+        w = (text or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    group = list(range(len(docs)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x and y and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y):
+                group[root(i)] = root(j)
+    least: dict = {}
+    for i, (k, _) in enumerate(docs):
+        least.setdefault(root(i), []).append(k)
+    return {i: min((k for k in least[root(i)] if k is not None), default=None) for i in range(len(docs))}, sets
+
+
+def test_large_group_of_near_copies(spark):
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(90)]
+    docs = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(3000)}"
+        docs.append((i if i % 50 else None, " ".join(words)))
+    docs += [(1000 + i, f"short {i % 3}") for i in range(6)] + [(2000, ""), (2001, None)]
+    want, sets = _components(docs)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted(((k, len(sets[i]), want[i] if sets[i] else k) for i, (k, _) in enumerate(docs)), key=repr)
+
+
+def test_resharding_moves_few_bytes(spark, texts):
+    rows = sharding.assign(table(spark, SF, "documents"), shards=16, old_shards=8).collect()
+    total = sum(r.size for r in rows)
+    held: dict = {}
+    for r in rows:
+        held[r.old_shard] = held.get(r.old_shard, 0) + r.size
+    least = total - sum(min(n, total / 16) for k, n in held.items() if k < 16)
+    moved = sum(r.size for r in rows if r.shard != r.old_shard)
+    assert moved <= least * 1.1 + max(r.size for r in rows)
+
+
+def test_quality_of_null_ids(spark):
+    docs = spark.createDataFrame([(None, "no id")], "doc_id long, text string")
+    assert queries.F.coalesce is F.coalesce and docs.select(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))).first()[0] is False
 
 
 def test_quality_held_out(spark):
