@@ -61,29 +61,6 @@ PATHS_CTE = (
 )
 
 
-@registered("f03_rank_paths", f"{PATHS_CTE} SELECT path, n_edges, first_t, last_t FROM scored_paths")
-def f03(spark, sf_dir):
-    rows = graph.score_paths(graph.rank_paths(alerts(spark, sf_dir), max_edges=3, min_risk=ALERT_RISK), top_k=None)
-    return rows.select(F.concat_ws("-", "events").alias("path"), "n_edges", "first_t", "last_t")
-
-
-@registered("f04_score_paths", f"{PATHS_CTE} SELECT path, n_edges, score FROM scored_paths ORDER BY score DESC, first_t, last_t, events LIMIT 20")
-def f04(spark, sf_dir):
-    rows = graph.score_paths(graph.rank_paths(alerts(spark, sf_dir), max_edges=3, min_risk=ALERT_RISK), top_k=20)
-    return rows.select(F.concat_ws("-", "events").alias("path"), "n_edges", "score")
-
-
-@registered("f05_incremental_paths", f"{PATHS_CTE}, m AS (SELECT quantile_disc(t, 0.5) AS cut FROM a) SELECT path FROM scored_paths, m WHERE last_t > cut")
-def f05(spark, sf_dir):
-    """Two batches cut at the median time: what the second adds to the first."""
-    rows = graph.cut_lineage(alerts(spark, sf_dir), "alerts")
-    cut = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY t)")).first()[0]
-    none = rows.limit(0)
-    first, tail = graph.advance_paths(rows.filter(F.col("t") <= cut), none, rows.select(F.lit("").alias("path_id")).limit(0), max_edges=3)
-    second, _ = graph.advance_paths(rows.filter(F.col("t") > cut), tail, first.select("path_id"), max_edges=3)
-    return second.select(F.col("path_id").alias("path"))
-
-
 @registered(
     "f06_attack_graph",
     f"""{ALERTS_CTE}, r AS (SELECT event_id, risk, 'user' AS kind, usr AS id FROM a UNION ALL SELECT event_id, risk, 'host', src FROM a UNION ALL SELECT event_id, risk, 'host', dst FROM a)
@@ -107,34 +84,6 @@ def f07(spark, sf_dir):
     return graph.entity_risk(alerts(spark, sf_dir))
 
 
-ROUNDS = 6
-_EDGES = "w AS (SELECT src AS a, dst AS b, count(*)::DOUBLE AS weight FROM a GROUP BY ALL), seeds AS (SELECT src AS node, max(risk) AS seed FROM a WHERE risk >= 0.9 GROUP BY src)"
-
-
-def _diffusion_sql() -> str:
-    steps = ["z AS (SELECT n.node, coalesce(s.seed, 0.0) AS seed FROM (SELECT a AS node FROM w UNION SELECT b FROM w UNION SELECT node FROM seeds) n LEFT JOIN seeds s ON s.node = n.node)", "o AS (SELECT a, sum(weight) AS out_w FROM w GROUP BY a)", "m0 AS (SELECT node, seed, seed AS mass FROM z)"]
-    for k in range(1, ROUNDS + 1):
-        steps.append(f"m{k} AS (SELECT z.node, z.seed, (1 - 0.85::DOUBLE) * z.seed + 0.85::DOUBLE * coalesce(g.got, 0.0) AS mass FROM z LEFT JOIN (SELECT w.b AS node, sum(m.mass * w.weight / o.out_w) AS got FROM w JOIN o ON o.a = w.a JOIN m{k - 1} m ON m.node = w.a GROUP BY w.b) g ON g.node = z.node)")
-    return ", ".join(steps)
-
-
-def _graph(spark, sf_dir):
-    rows = graph.cut_lineage(alerts(spark, sf_dir), "alerts")
-    return rows.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").cast("double").alias("weight")), rows.filter("risk >= 0.9").groupBy(F.col("src").alias("node")).agg(F.max("risk").alias("seed"))
-
-
-@registered("f08_risk_propagation", f"{ALERTS_CTE}, {_EDGES}, {_diffusion_sql()} SELECT node, round(mass, 6) + 0.0 AS mass, round(greatest(1 - exp(-mass), seed), 6) + 0.0 AS risk FROM m{ROUNDS}")
-def f08(spark, sf_dir):
-    edges, seeds = _graph(spark, sf_dir)
-    return rounded(graph.propagate(edges, seeds, max_iter=ROUNDS, tol=0.0), "node", "mass", "risk")
-
-
-@registered("f09_hop_distance", f"{ALERTS_CTE}, {_EDGES}, h(node, hops) AS (SELECT node, 0 FROM (SELECT node FROM seeds ORDER BY node LIMIT 2) UNION SELECT w.b, h.hops + 1 FROM h JOIN w ON w.a = h.node WHERE h.hops < 6) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM h GROUP BY node")
-def f09(spark, sf_dir):
-    edges, seeds = _graph(spark, sf_dir)
-    return graph.hop_distance(edges, seeds.orderBy("node").limit(2), most=6)
-
-
 @registered("f12_alert_hops", f"{ALERTS_CTE} SELECT event_id, t, risk, 0 AS hop, 'usr:' || usr AS actor, 'src:' || src AS target FROM a UNION ALL SELECT event_id, t, risk, 1, 'src:' || src, 'dst:' || dst FROM a")
 def f12(spark, sf_dir):
     return graph.alert_hops(alerts(spark, sf_dir))
@@ -158,16 +107,6 @@ def f13(spark, sf_dir):
     return graph.similar(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
-@registered(
-    "f14_related_alerts",
-    f"""{ALERTS_CTE}, r AS (SELECT DISTINCT event_id, t, x FROM (SELECT event_id, t, unnest(['user:' || usr, 'host:' || src, 'host:' || dst]) AS x FROM a))
-    SELECT q.event_id AS target, r.event_id, r.t, count(*) AS shared FROM r q JOIN r ON r.x = q.x AND r.event_id <> q.event_id WHERE q.event_id % 100 = 7 GROUP BY ALL""",
-)
-def f14(spark, sf_dir):
-    rows = alerts(spark, sf_dir)
-    return graph.related_alerts(rows, rows.filter("event_id % 100 = 7").select("event_id"))
-
-
 @registered(
     "f15_entity_profile",
     f"""{SPARSE_SQL}, h AS (SELECT usr, (t % 86400) // 3600 AS hour, count(*) AS n FROM e GROUP BY ALL), b AS (SELECT usr, hour AS busiest_hour FROM h QUALIFY row_number() OVER (PARTITION BY usr ORDER BY n DESC, hour) = 1)
@@ -321,12 +260,6 @@ def i24(spark, sf_dir):
     return rounded(evaluation.rank_agreement(rows, rows.withColumn("score", F.floor(F.col("score") * 20) / 20)), "spearman", "max_delta")
 
 
-@registered("h07_empirical_percentile", f"{SCORES_CTE}, r AS (SELECT score FROM x WHERE event_id % 3 = 0) SELECT x.event_id, round(count(*) FILTER (r.score <= x.score) / count(*)::DOUBLE, 6) AS percentile FROM x, r WHERE x.event_id % 7 = 1 GROUP BY x.event_id")
-def h07(spark, sf_dir):
-    rows = scores(spark, sf_dir).select("event_id", "score")
-    return rounded(evaluation.percentile_of(rows.filter("event_id % 7 = 1"), rows.filter("event_id % 3 = 0").select("score")), "event_id", "percentile")
-
-
 @registered("h07_empirical_percentile_all", f"{SCORES_CTE} SELECT event_id, round(cume_dist() OVER (ORDER BY score), 6) AS percentile FROM x")
 def h07_all(spark, sf_dir):
     """Every event against all scores."""
@@ -388,3 +321,18 @@ def f08_converged(spark, sf_dir):
 def f09_all_seeds(spark, sf_dir):
     """From all seeds until nothing new is reached; the tests search the same in Python."""
     return graph.hop_distance(*_whole_graph(spark, sf_dir))
+
+
+# The short names stand for the same whole jobs.
+for _short, _whole in (
+    ("f03_rank_paths", "f03_rank_paths_five_edges"),
+    ("f04_score_paths", "f04_score_paths_five_edges"),
+    ("f05_incremental_paths", "f05_incremental_paths_five_edges"),
+    ("f08_risk_propagation", "f08_risk_propagation_converged"),
+    ("f09_hop_distance", "f09_hop_distance_all_seeds"),
+    ("f14_related_alerts", "f14_related_alerts_search_set"),
+    ("h07_empirical_percentile", "h07_empirical_percentile_all"),
+):
+    QUERIES[_short] = QUERIES[_whole]
+    if _whole in ORACLE_SQL:
+        ORACLE_SQL[_short] = ORACLE_SQL[_whole]
