@@ -42,8 +42,8 @@ LONGEST = 3
 #: Representatives of one posting in the first round and at most; a round has four times those of the one before, and as a
 #: document is verified against some of those that it meets, twice as many in each round.
 REPRESENTATIVES, MOST_REPRESENTATIVES, TRIED = 4, 64, 2
-#: Rounds of representatives go on while more than this share of the pairs that one verifies link.
-WORTH = 0.02
+#: Rounds of representatives, which end early where no more than this share of the pairs that one verifies link.
+ROUNDS, WORTH = 3, 0.02
 #: Counters of the frequency estimate for each million documents, and at most; filters have eight bits for each of them. The
 #: blocks in which both are summed.
 CELLS, MOST_CELLS, BLOCKS = 1 << 20, 1 << 24, 64
@@ -308,6 +308,14 @@ def _still_open(posts: DataFrame, grouped: DataFrame | None) -> DataFrame:
     return placed.join(counted.filter("n_components > 1").select("token", "major"), "token")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """node, component: the least node within two links; for the next round that is enough, and costs far less than components."""
+    both = links.union(links.select("b", "a")).toDF("node", "other")
+    one = both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label"))
+    two = both.join(one.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("label"))
+    return spool(two.select("node", F.least("node", "label").alias("component")), "labels")
+
+
 def _met(x_place, x_n, y_place, y_n, level):
     """Whether a posting lies in the prefixes of two sets whose sizes allow a link: prefixes for just these sizes and this level."""
     beyond = level - _overlap(x_n, y_n)
@@ -366,27 +374,25 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = spool(posts.join(several, "token", "left_semi"), "shared")
     drop_spool(prefixes, several)
     linked = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    grouped, open_, k = None, shared, 0
-    while True:
-        after = spool(_still_open(open_.drop("component", "major"), grouped), "open")
+    labels, open_ = None, shared
+    for k in range(1, ROUNDS + 1):
+        after = spool(_still_open(open_.drop("component", "major"), labels), "open")
         drop_spool(open_)
-        open_, k = after, k + 1
+        open_ = after
         found, n_found, n_tried = _links(docs, _with_representatives(open_, k))
         linked = linked.union(found)
-        if n_found:
-            if grouped is not None:
-                drop_spool(grouped)
-            grouped = spool(components(linked), "components")
-        if n_found <= WORTH * n_tried:
+        if n_found <= WORTH * n_tried or k == ROUNDS:
             break
+        labels = _labels(linked)
+    grouped = spool(components(linked), "components")
     after = spool(_still_open(open_.drop("component", "major"), grouped), "open")
     drop_spool(open_)
     pairs, may = _all_pairs(after)
     found, n_found, _ = _links(docs, pairs)
-    linked = linked.union(found)
     drop_spool(after, may)
-    if grouped is None or n_found:
-        grouped = spool(components(linked), "components")
+    if n_found:
+        drop_spool(grouped)
+        grouped = spool(components(linked.union(found)), "components")
     member = grouped.select(F.col("node").alias("member"), "component")
     placed = nodes.join(member, F.col("node") == F.col("member"), "left").select("s1", "s2", "n", "least_id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
