@@ -90,8 +90,7 @@ def assign(docs: DataFrame, shards: int = 16, old_shards: int = 8) -> DataFrame:
         ),
         "slim",
     )
-    home = F.min_by("old_shard", F.struct("doc_id", "old_shard"))
-    sums = slim.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), home.alias("home"))
+    sums = slim.groupBy("text_key").agg(F.sum("size").alias("bytes"))
     total = slim.agg(F.sum("size")).first()[0] or 0
     capacity = [total * (j + 1) // shards - total * j // shards for j in range(shards)]
     # fewer than 2 * shards texts are heavier than half a shard
@@ -100,7 +99,9 @@ def assign(docs: DataFrame, shards: int = 16, old_shards: int = 8) -> DataFrame:
     for key, k in hot:
         piece = F.when(F.col("text_key") == key, F.pmod(F.xxhash64("doc_id"), F.lit(k)).cast("int")).otherwise(piece)
     slim = slim.withColumn("piece", piece)
-    units = slim.groupBy("text_key", "piece").agg(F.sum("size").alias("bytes"), home.alias("home")).withColumn("block", F.pmod(F.xxhash64("text_key", "piece"), F.lit(BLOCKS)).cast("int"))
+    # a unit's home is the old shard that holds most of its bytes
+    held = slim.groupBy("text_key", "piece", "old_shard").agg(F.sum("size").alias("held"))
+    units = held.groupBy("text_key", "piece").agg(F.sum("held").alias("bytes"), F.max_by("old_shard", F.struct("held", -F.col("old_shard"))).alias("home")).withColumn("block", F.pmod(F.xxhash64("text_key", "piece"), F.lit(BLOCKS)).cast("int"))
     units = spool(units, "units")
     is_heavy = F.col("bytes") * shards * HEAVY > total
     free = list(capacity)
