@@ -198,3 +198,33 @@ def telemetry_coverage(events: DataFrame, sources: dict[str, str]) -> DataFrame:
     sums = events.agg(*[F.count_if(F.expr(on)).alias(name) for name, on in sources.items()])
     stacked = ", ".join(f"'{n}', `{n}`" for n in sources)
     return sums.select(F.expr(f"stack({len(sources)}, {stacked}) AS (source, n)")).withColumn("available", (F.col("n") > 0).cast("int"))
+
+
+def clock(events: DataFrame) -> DataFrame:
+    """events with `day` and `hour` of their time."""
+    return events.withColumns({"day": F.floor(F.col("t") / DAY), "hour": F.floor(F.pmod("t", F.lit(DAY)) / HOUR)})
+
+
+def describe(rows: DataFrame) -> DataFrame:
+    """events, attacks, benign, prevalence of labelled rows."""
+    sums = rows.agg(F.count("*").alias("events"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("attacks"))
+    return sums.select("events", "attacks", (F.col("events") - F.col("attacks")).alias("benign"), (F.col("attacks") / F.greatest(F.lit(1), "events")).alias("prevalence"))
+
+
+# The numbered kinds of evidence, and what each says of.
+EVIDENCE = (("E-001", "observed", "t"), ("E-002", "derived", "is_new"), ("E-003", "derived", "fanout"), ("E-004", "derived", "failures"), ("E-005", "model", "model"), ("E-006", "model", "risk"))
+
+
+def evidence_rows(alerts: DataFrame, in_paths: DataFrame, sure: float = 0.8) -> DataFrame:
+    """event_id, evidence_id, category, value, cited, confidence: the evidence of each alert, one row an item.
+
+    in_paths: event_id of the alerts that stand in a path; these have a seventh item. An alert is cited by its observation,
+    the new relationship, the model and the path; confidence is medium in a path from the risk `sure` on, else low.
+    """
+    rows = alerts.join(in_paths.select("event_id", F.lit(1).alias("_path")).distinct(), "event_id", "left")
+    item = lambda k, kind, value: F.struct(F.lit(k).alias("evidence_id"), F.lit(kind).alias("category"), value.cast("double").alias("value"))
+    items = F.array(*[item(k, kind, F.col(c)) for k, kind, c in EVIDENCE])
+    items = F.when(F.col("_path") == 1, F.concat(items, F.array(item("E-007", "derived", F.lit(1))))).otherwise(items)
+    sure_ = F.when((F.col("_path") == 1) & (F.col("risk") >= sure), "medium").otherwise("low")
+    rows = rows.select("event_id", sure_.alias("confidence"), F.explode(items).alias("e"))
+    return rows.select("event_id", "e.evidence_id", "e.category", "e.value", F.col("e.evidence_id").isin("E-001", "E-002", "E-005", "E-007").cast("int").alias("cited"), "confidence")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, reports
-from .analysis_queries import ALERTS_CTE, SCORES_CTE, alerts, scores
-from .detection_queries import TACTIC_CTE, classified, rounded
+from ..operators import evaluation, graph, reports
+from .analysis_queries import ALERT_RISK, ALERTS_CTE, SCORES_CTE, alerts, scores
+from .detection_queries import TACTIC_CTE, classified, rounded, scored
 from .fixtures import DENSE_SQL, SPARSE_SQL, auth_dense, auth_sparse
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -189,3 +189,31 @@ _SOURCES = {"kerberos": "auth_name = 'Kerberos'", "ntlm": "auth_name = 'NTLM'",
 @registered("l04_telemetry_coverage", f"{DENSE_SQL}, z AS (" + " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) FILTER ({on}) AS n FROM e" for n, on in _SOURCES.items()) + ") SELECT source, n, CAST(n > 0 AS INTEGER) AS available FROM z")
 def l04(spark, sf_dir):
     return reports.telemetry_coverage(auth_dense(spark, sf_dir), _SOURCES)
+
+
+@registered("b10_day_hour", f"{SPARSE_SQL} SELECT event_id, t // 86400 AS day, (t % 86400) // 3600 AS hour FROM e")
+def b10(spark, sf_dir):
+    return reports.clock(auth_sparse(spark, sf_dir)).select("event_id", "day", "hour")
+
+
+@registered("i08_describe", f"{SPARSE_SQL} SELECT count(*) AS events, CAST(sum(label) AS BIGINT) AS attacks, count(*) FILTER (label = 0) AS benign, round(avg(label), 6) AS prevalence FROM e")
+def i08_describe(spark, sf_dir):
+    return rounded(reports.describe(auth_sparse(spark, sf_dir)), "events", "attacks", "benign", "prevalence")
+
+
+@registered(
+    "k12_evidence_rows",
+    f"""{ALERTS_CTE}, w AS (SELECT a.*, s.user_unique_dst_5m AS fanout, s.failures_before_success_15m AS failures, round(s.model, 6) AS model FROM a JOIN s ON s.event_id = a.event_id),
+    p AS (SELECT DISTINCT b.event_id FROM a JOIN a b ON b.src = a.dst AND b.t > a.t AND b.t <= a.t + 1800 AND b.dst <> a.src AND b.dst <> a.dst),
+    z AS (SELECT w.*, p.event_id IS NOT NULL AS in_path FROM w LEFT JOIN p ON p.event_id = w.event_id),
+    i AS (SELECT *, unnest([{{'k': 'E-001', 'c': 'observed', 'v': t::DOUBLE}}, {{'k': 'E-002', 'c': 'derived', 'v': is_new::DOUBLE}}, {{'k': 'E-003', 'c': 'derived', 'v': fanout::DOUBLE}}, {{'k': 'E-004', 'c': 'derived', 'v': failures::DOUBLE}},
+        {{'k': 'E-005', 'c': 'model', 'v': model::DOUBLE}}, {{'k': 'E-006', 'c': 'model', 'v': risk::DOUBLE}}, {{'k': 'E-007', 'c': 'derived', 'v': 1::DOUBLE}}]) AS e FROM z)
+    SELECT event_id, e.k AS evidence_id, e.c AS category, e.v AS value, CAST(e.k IN ('E-001', 'E-002', 'E-005', 'E-007') AS INTEGER) AS cited, CASE WHEN in_path AND risk >= 0.8 THEN 'medium' ELSE 'low' END AS confidence
+    FROM i WHERE in_path OR e.k <> 'E-007'""",
+)
+def k12(spark, sf_dir):
+    rows = scored(spark, sf_dir, ["failures_before_success_15m"]).withColumn("risk", F.round("risk", 6)).filter(F.col("risk") >= ALERT_RISK)
+    rows = graph.cut_lineage(rows.select("event_id", "t", "usr", "src", "dst", "risk", F.col("is_new_pair").alias("is_new"), "support", F.col("user_unique_dst_5m").alias("fanout"), F.col("failures_before_success_15m").alias("failures"), F.round("model", 6).alias("model")), "evidence")
+    pairs = graph.rank_paths(rows.select("event_id", "t", "usr", "src", "dst", "risk", "is_new", "support"), max_edges=2, min_risk=ALERT_RISK)
+    # whoever ends a path has one of two edges that ends there
+    return reports.evidence_rows(rows, graph.score_paths(pairs, top_k=None).select(F.element_at("events", -1).alias("event_id")))
