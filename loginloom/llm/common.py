@@ -138,7 +138,7 @@ def column_bytes(array) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Each byte's random value, A-Z as a-z; and odd factors of the places in a word, which repeat after as many bytes.
+#: Each byte's random value, A-Z as a-z; and odd factors of the first places in a word.
 _BYTE = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
 _PLACE = np.random.default_rng(12).integers(0, 2**64, 1 << 16, np.uint64) | np.uint64(1)
@@ -158,7 +158,11 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     first = np.searchsorted(where, starts)
     length = np.diff(np.append(first, len(where)))
     place = where - np.repeat(starts, length)
-    value = _BYTE[raw[where]] * _PLACE[place & 0xFFFF]
+    factor = _PLACE[place & 0xFFFF]
+    late = np.flatnonzero(place > 0xFFFF)
+    if len(late):  # places beyond the table have factors of their own
+        factor[late] = mix(place[late].astype(np.uint64) * M3) | np.uint64(1)
+    value = _BYTE[raw[where]] * factor
     hashed = mix(np.add.reduceat(value, first) + length.astype(np.uint64) * M1)
     return np.searchsorted(at, starts, side="right") - 1, starts, length, hashed
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, mixing, ngram_join, quality, sharding, suffix_dedup, token_tree, topk, url_filter
+from . import bpe, centroids, importance, merkle, minhash, mixing, ngram_join, quality, sharding, suffix_dedup, token_tree, topk, url_filter
 from .common import table
 
 
@@ -63,6 +63,19 @@ def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tree.recount(trees.withColumn("edits", edits)).select("doc_id", "n_tokens", "n_tokens_edited", "n_chars", "n_chars_reencoded")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024.0, dimensions=64, salt="3")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, percent=5, least_words=20, seed=42)
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_min_cost_resharding": op1_min_cost_resharding,
     "op2_byte_bpe": op2_byte_bpe,
@@ -76,27 +89,20 @@ QUERIES["op5_suffix_array_dedup"] = op5_suffix_array_dedup
 QUERIES["op8_ngram_jaccard_join"] = op8_ngram_jaccard_join
 QUERIES["op9_attention_mil_quality"] = op9_attention_mil_quality
 QUERIES["op10_edit_aware_token_counts"] = op10_edit_aware_token_counts
+QUERIES["op11_centroid_clustering"] = op11_centroid_clustering
+QUERIES["op12_importance_resampling"] = op12_importance_resampling
+QUERIES["op13_minhash_near_dedup"] = op13_minhash_near_dedup
 
-ORACLE_SQL: dict[str, str] = {
-    "op3_branch_and_bound_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ),
-        scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-        )
-        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
-        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
-    """,
-    "op8_ngram_jaccard_join": r"""
+
+def _near_sql(words: int, columns: str) -> str:
+    """Links of the sets of `words`-word shingles by an exact join, and the least doc_id that they reach."""
+    return rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
         ),
         s AS (
-            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS items FROM w
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {words} THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - {words - 2}), lambda i: array_to_string(words[i:i + {words - 1}], ' '))) END AS items FROM w
         ),
         flat AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
         pair AS (
@@ -108,8 +114,27 @@ ORACLE_SQL: dict[str, str] = {
             UNION
             SELECT r.doc_id, p.b FROM reach r JOIN pair p ON p.a = r.other
         )
-        SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, min(r.other) AS component_id FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY ALL
+        SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, min(r.other) AS component_id{columns} FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.items
+    """
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_branch_and_bound_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
     """,
+    "op8_ngram_jaccard_join": _near_sql(5, ""),
+    "op13_minhash_near_dedup": _near_sql(4, ", s.doc_id = min(r.other) AS kept"),
+    "op11_centroid_clustering": centroids.sql(k=8, rounds=10, scale=1024, dimensions=64, salt="3"),
+    "op12_importance_resampling": importance.sql(buckets=10_000, percent=5, least_words=20, seed=42),
     "op5_suffix_array_dedup": """
         WITH t AS (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
