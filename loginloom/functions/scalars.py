@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # What logs write for accounts of the system itself, and the names of numeric logon codes.
 NOISE_ACCOUNTS = ("SYSTEM", "LOCAL SERVICE", "NETWORK SERVICE", "ANONYMOUS LOGON", "-", "")
 LOGON_NAMES = {2: "Interactive", 3: "Network", 4: "Batch", 5: "Service", 7: "Unlock", 8: "NetworkCleartext", 9: "NewCredentials", 10: "RemoteInteractive", 11: "CachedInteractive"}
-TRUE_WORDS = ("success", "true", "1", "yes", "ok", "accepted")
+TRUE_WORDS = ("true", "1", "yes", "y", "success", "succeeded", "ok", "accept", "accepted", "allow")
 
 
 def parse_event_time(c: Column, assume_year: int | None = None) -> Column:
@@ -66,8 +66,44 @@ def parse_success(c: Column) -> Column:
 
 
 def canonical_auth(c: Column) -> Column:
-    x = F.upper(F.coalesce(c, F.lit("")))
-    return F.when(x.contains("KERBEROS"), "Kerberos").when(x.contains("NTLM"), "NTLM").when(x.contains("NEGOTIATE"), "Negotiate").otherwise("Other")
+    """Kerberos, NTLM (also by the names of its Windows package), Negotiate or Other."""
+    x = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    ntlm = x.contains("ntlm") | x.startswith("microsoft_authentication") | x.isin("msv1_0", "msv")
+    return F.when(x.contains("kerberos"), "Kerberos").when(ntlm, "NTLM").when(x.contains("negotiate"), "Negotiate").otherwise("Other")
+
+
+# The spellings of logon types, without blanks and underscores, and the orientations.
+LOGON_WORDS = {
+    "network": "network networkcleartext 3 8",
+    "interactive": "interactive cachedinteractive unlock 2 7 11",
+    "remote_interactive": "remoteinteractive 10",
+    "service_batch": "service batch 4 5",
+}
+ORIENTATIONS = "logon tgs tgt authmap"
+
+
+def canonical_logon(c: Column) -> Column:
+    x = F.regexp_replace(F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("")))), "[ _]", "")
+    out = F.lit("other")
+    for word, spellings in LOGON_WORDS.items():
+        out = F.when(x.isin(*spellings.split()), word).otherwise(out)
+    return out
+
+
+def canonical_orientation(c: Column) -> Column:
+    x = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.when(x.isin(*ORIENTATIONS.split()), x).otherwise("other")
+
+
+#: Columns of the block of categories, in order.
+CATEGORY_BLOCK = {"auth": "kerberos ntlm negotiate other", "logon": "network interactive remote_interactive service_batch other", "orientation": "logon tgs tgt authmap other"}
+
+
+def category_block(auth: Column, logon: Column, orientation: Column, success: Column) -> dict[str, Column]:
+    """Fifteen 0/1 columns: one of each vocabulary's words, and success."""
+    words = {"auth": F.lower(canonical_auth(auth)), "logon": canonical_logon(logon), "orientation": canonical_orientation(orientation)}
+    out = {f"{kind}_{w}": (words[kind] == w).cast("int") for kind, all_words in CATEGORY_BLOCK.items() for w in all_words.split()}
+    return out | {"success": success.cast("int")}
 
 
 def machine_account(c: Column) -> Column:

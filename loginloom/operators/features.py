@@ -6,7 +6,7 @@ place where an earlier row of the same second counts (stream order).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import distinct_in_window, first_in_stream, open_window, stream_past, strict_past
@@ -20,34 +20,42 @@ def hour_columns():
     return {"hour_sin": F.sin(angle), "hour_cos": F.cos(angle)}
 
 
-def since(*keys: str):
+def _n(spec, on: Column | None) -> Column:
+    return F.count("*" if on is None else F.when(on, 1)).over(spec)
+
+
+def _of(value, on: Column | None) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return value if on is None else F.when(on, value)
+
+
+def since(*keys: str, on: Column | None = None):
     """log(1 + seconds since the keys' last event), 0 if there was none."""
-    last = F.max("t").over(strict_past(*keys))
+    last = F.max(_of("t", on)).over(strict_past(*keys))
     return F.coalesce(F.log1p((F.col("t") - last).cast("double")), F.lit(0.0))
 
 
-def seen(*keys: str):
-    return (F.count("*").over(strict_past(*keys)) > 0).cast("int")
+def seen(*keys: str, on: Column | None = None):
+    return (_n(strict_past(*keys), on) > 0).cast("int")
 
 
-def pair_rarity():
-    return 1 / F.sqrt(F.count("*").over(strict_past("usr", "dst")) + 1.0)
+def pair_rarity(on: Column | None = None):
+    return 1 / F.sqrt(_n(strict_past("usr", "dst"), on) + 1.0)
 
 
-def user_failure_rate_15m():
-    return F.coalesce(F.avg(1.0 - F.col("success")).over(open_window(MINUTE15, "usr")), F.lit(0.0))
+def user_failure_rate_15m(on: Column | None = None):
+    return F.coalesce(F.avg(_of(1.0 - F.col("success"), on)).over(open_window(MINUTE15, "usr")), F.lit(0.0))
 
 
-def failures_before_success_15m():
-    failed = F.coalesce(F.sum(1 - F.col("success")).over(open_window(MINUTE15, "usr")), F.lit(0))
+def failures_before_success_15m(on: Column | None = None):
+    failed = F.coalesce(F.sum(_of(1 - F.col("success"), on)).over(open_window(MINUTE15, "usr")), F.lit(0))
     return F.when(F.col("success") == 1, failed).otherwise(0).cast("long")
 
 
-def rare_logon_score():
+def rare_logon_score(on: Column | None = None):
     """-ln((n of user and logon + 1) / (n of user + kinds + 1)); kinds are the user's past distinct logon types."""
     kinds = F.coalesce(F.sum("_first_logon").over(strict_past("usr")), F.lit(0))
-    n = F.count("*").over(strict_past("usr"))
-    return -F.log((F.count("*").over(strict_past("usr", "logon_id")) + 1.0) / (n + kinds + 1.0))
+    return -F.log((_n(strict_past("usr", "logon_id"), on) + 1.0) / (_n(strict_past("usr"), on) + kinds + 1.0))
 
 
 def past_firsts(flag: str, key: str):
@@ -55,56 +63,73 @@ def past_firsts(flag: str, key: str):
     return F.coalesce(F.sum(flag).over(strict_past(key)), F.lit(0)).cast("long")
 
 
-FLAGS = {"_first_pair": ("usr", "dst"), "_first_hosts": ("src", "dst"), "_first_logon": ("usr", "logon_id")}
+def first_sighting(*keys: str, on: Column | None = None) -> Column:
+    """1 on the first row of the keys in stream order, of the rows that count."""
+    if on is None:
+        return first_in_stream(*keys)
+    order = Window.partitionBy(*keys, on).orderBy("t", "event_id")
+    return (on & (F.row_number().over(order) == 1)).cast("int")
+
 
-#: Features that are window expressions over E with FLAGS.
+#: By the key whose shuffle they need: first sightings, features that are window expressions, and features that count distinct
+#: partners in open windows (partner, {feature: seconds}). Windows over the key and more run inside the key's partitions.
+FLAGS = {"usr": {"_first_pair": ("usr", "dst"), "_first_logon": ("usr", "logon_id")}, "src": {"_first_hosts": ("src", "dst")}, "dst": {}}
 EXPRESSIONS = {
-    "delta_user_log": lambda: since("usr"),
-    "delta_pair_log": lambda: since("usr", "dst"),
-    "user_seen_before": lambda: seen("usr"),
-    "pair_seen_before": lambda: seen("usr", "dst"),
-    "is_new_pair": lambda: 1 - seen("usr", "dst"),
-    "pair_frequency_1h": lambda: F.count("*").over(open_window(HOUR, "usr", "dst")),
-    "pair_rarity": pair_rarity,
-    "user_auth_rate_5m": lambda: F.count("*").over(open_window(MINUTE5, "usr")),
-    "user_failure_rate_15m": user_failure_rate_15m,
-    "failures_before_success_15m": failures_before_success_15m,
-    "user_new_dst_ratio_1h": lambda: F.coalesce(F.avg("_first_pair").over(open_window(HOUR, "usr")), F.lit(0.0)),
-    "destination_novelty": lambda: 1 / (past_firsts("_first_pair", "dst") + 1.0),
-    "user_historical_degree": lambda: past_firsts("_first_pair", "usr"),
-    "src_host_historical_degree": lambda: past_firsts("_first_hosts", "src"),
-    "dst_historical_degree": lambda: past_firsts("_first_pair", "dst"),
-    "rare_logon_score": rare_logon_score,
-    "user_src_seen_before": lambda: seen("usr", "src"),
-    "src_dst_seen_before": lambda: seen("src", "dst"),
+    "usr": {
+        "delta_user_log": lambda on: since("usr", on=on),
+        "delta_pair_log": lambda on: since("usr", "dst", on=on),
+        "user_seen_before": lambda on: seen("usr", on=on),
+        "pair_seen_before": lambda on: seen("usr", "dst", on=on),
+        "is_new_pair": lambda on: 1 - seen("usr", "dst", on=on),
+        "pair_frequency_1h": lambda on: _n(open_window(HOUR, "usr", "dst"), on),
+        "pair_rarity": pair_rarity,
+        "user_auth_rate_5m": lambda on: _n(open_window(MINUTE5, "usr"), on),
+        "user_failure_rate_15m": user_failure_rate_15m,
+        "failures_before_success_15m": failures_before_success_15m,
+        "user_new_dst_ratio_1h": lambda on: F.coalesce(F.avg(_of("_first_pair", on)).over(open_window(HOUR, "usr")), F.lit(0.0)),
+        "user_historical_degree": lambda on: past_firsts("_first_pair", "usr"),
+        "rare_logon_score": rare_logon_score,
+        "user_src_seen_before": lambda on: seen("usr", "src", on=on),
+    },
+    "src": {
+        "src_host_historical_degree": lambda on: past_firsts("_first_hosts", "src"),
+        "src_dst_seen_before": lambda on: seen("src", "dst", on=on),
+    },
+    "dst": {
+        "destination_novelty": lambda on: 1 / (past_firsts("_first_pair", "dst") + 1.0),
+        "dst_historical_degree": lambda on: past_firsts("_first_pair", "dst"),
+    },
 }
+DISTINCT = {
+    "usr": [("dst", {"user_unique_dst_5m": MINUTE5, "user_unique_dst_1h": HOUR, "user_unique_dst_24h": DAY})],
+    "src": [("dst", {"src_host_unique_dst_1h": HOUR}), ("usr", {"src_host_unique_users_1h": HOUR})],
+    "dst": [("usr", {"dst_inbound_users_1h": HOUR})],
+}
+NEEDS = {"_first_pair": {"user_new_dst_ratio_1h", "destination_novelty", "user_historical_degree", "dst_historical_degree"}, "_first_hosts": {"src_host_historical_degree"}, "_first_logon": {"rare_logon_score"}}
+COUNTED = [n for counts in DISTINCT.values() for _, windows in counts for n in windows]
+ALL = ["hour_sin", "hour_cos", *[n for some in EXPRESSIONS.values() for n in some], *COUNTED]
+
 
-#: Features that count distinct partners in open windows: (key, partner, {feature: seconds}).
-DISTINCT = [
-    ("usr", "dst", {"user_unique_dst_5m": MINUTE5, "user_unique_dst_1h": HOUR, "user_unique_dst_24h": DAY}),
-    ("src", "dst", {"src_host_unique_dst_1h": HOUR}),
-    ("dst", "usr", {"dst_inbound_users_1h": HOUR}),
-    ("src", "usr", {"src_host_unique_users_1h": HOUR}),
-]
-COUNTED = [n for _, _, names in DISTINCT for n in names]
-ALL = ["hour_sin", "hour_cos", *EXPRESSIONS, *COUNTED]
-
-
-def with_features(events: DataFrame, names: list[str]) -> DataFrame:
-    """events with the named features; keys are shuffled once each, by the order in which they are computed."""
-    flags = {f: k for f, k in FLAGS.items()}
-    needed = {"_first_pair": {"user_new_dst_ratio_1h", "destination_novelty", "user_historical_degree", "dst_historical_degree"}, "_first_hosts": {"src_host_historical_degree"}, "_first_logon": {"rare_logon_score"}}
+def with_features(events: DataFrame, names: list[str], on: Column | None = None) -> DataFrame:
+    """events with the named features, after one shuffle for each of account, source and destination that they need.
+
+    on: the rows that make history, all if None. Other rows get their features from these and leave no trace.
+    """
     rows = events
-    for flag, keys in flags.items():
-        if needed[flag] & set(names):
-            rows = rows.withColumn(flag, first_in_stream(*keys))
-    for key, partner, windows in DISTINCT:
-        some = {n: w for n, w in windows.items() if n in names}
-        if some:
-            rows = distinct_in_window(rows, key, partner, some, base=events)
-    made = {n: EXPRESSIONS[n]() for n in EXPRESSIONS if n in names}
-    made |= {n: c for n, c in hour_columns().items() if n in names}
-    return rows.withColumns(made).select(*events.columns, *names)
+    for key in ("usr", "src", "dst"):
+        flags = {f: k for f, k in FLAGS[key].items() if NEEDS[f] & set(names)}
+        counts = [(partner, {n: w for n, w in windows.items() if n in names}, on) for partner, windows in DISTINCT[key]]
+        counts = [c for c in counts if c[1]]
+        made = {n: f for n, f in EXPRESSIONS[key].items() if n in names}
+        if counts:
+            rows = distinct_in_window(rows, key, counts)
+        elif flags or made:
+            rows = rows.repartition(key)
+        rows = rows.withColumns({f: first_sighting(*k, on=on) for f, k in flags.items()}) if flags else rows
+        rows = rows.withColumns({n: f(on) for n, f in made.items()}) if made else rows
+    hours = {n: c for n, c in hour_columns().items() if n in names}
+    rows = rows.withColumns(hours) if hours else rows
+    return rows.select(*events.columns, *names)
 
 
 def causal_features(events: DataFrame) -> DataFrame:
@@ -123,23 +148,13 @@ def coverage(events: DataFrame) -> DataFrame:
     )
 
 
-def featurise_probes(events: DataFrame, probes: DataFrame, names: list[str]) -> DataFrame:
-    """Features that probe events would have had against the history of real ones; probes add nothing to any history.
+def featurise_probes(events: DataFrame, probes: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Features (all, if not named) that probe events would have had against the history of real ones; probes add nothing to it.
 
-    probes: the columns of events, with event_ids of their own. Expressed as the features of events up to each probe: a
-    probe joins the stream with weight 0.
+    probes: the columns of events, with event_ids of their own, and others that are kept.
     """
-    both = events.withColumn("_real", F.lit(1)).unionByName(probes.withColumn("_real", F.lit(0)), allowMissingColumns=True)
-    real = F.col("_real")
-    made = {
-        "user_seen_before": (F.coalesce(F.sum(real).over(strict_past("usr")), F.lit(0)) > 0).cast("int"),
-        "pair_seen_before": (F.coalesce(F.sum(real).over(strict_past("usr", "dst")), F.lit(0)) > 0).cast("int"),
-        "pair_frequency_1h": F.coalesce(F.sum(real).over(open_window(HOUR, "usr", "dst")), F.lit(0)),
-        "user_auth_rate_5m": F.coalesce(F.sum(real).over(open_window(MINUTE5, "usr")), F.lit(0)),
-        "delta_user_log": F.coalesce(F.log1p((F.col("t") - F.max(F.when(real == 1, F.col("t"))).over(strict_past("usr"))).cast("double")), F.lit(0.0)),
-        "pair_rarity": 1 / F.sqrt(F.coalesce(F.sum(real).over(strict_past("usr", "dst")), F.lit(0)) + 1.0),
-    }
-    return both.withColumns({n: made[n] for n in names}).filter("_real = 0").drop("_real")
+    both = events.withColumn("_real", F.lit(True)).unionByName(probes.withColumn("_real", F.lit(False)), allowMissingColumns=True)
+    return with_features(both, names or ALL, on=F.col("_real")).filter(~F.col("_real")).drop("_real")
 
 
 #: Kinds of probes of one sampled event, and how many of each.

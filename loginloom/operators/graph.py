@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from .windows import strict_past
 
 WINDOW, MAX_EDGES, MIN_RISK = 1_800, 5, 0.5
@@ -15,11 +16,8 @@ WINDOW, MAX_EDGES, MIN_RISK = 1_800, 5, 0.5
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """df as a checkpoint in the shared folder, so that iterations neither recompute nor depend on lost executors."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -82,10 +80,10 @@ def score_paths(paths: DataFrame, top_k: int | None = 20, most_support: int = 3)
     return rows if top_k is None else rows.orderBy(F.desc("score"), "first_t", "last_t", "events").limit(top_k)
 
 
-def advance_paths(batch: DataFrame, tail: DataFrame, known: DataFrame, window: int = WINDOW, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
+def advance_paths(batch: DataFrame, tail: DataFrame, known: DataFrame, window: int = WINDOW, max_edges: int = MAX_EDGES, min_risk: float = MIN_RISK) -> tuple[DataFrame, DataFrame]:
     """(new paths, next tail): paths over the tail and the batch whose ids aren't known; edges too old to be continued go."""
     both = tail.unionByName(batch)
-    paths = rank_paths(both, window, max_edges).withColumn("path_id", F.concat_ws("-", "events"))
+    paths = rank_paths(both, window, max_edges, min_risk).withColumn("path_id", F.concat_ws("-", "events"))
     last = both.agg(F.max("t").alias("last_t"))
     kept = both.join(F.broadcast(last), F.col("t") > F.col("last_t") - window * max_edges).drop("last_t")
     return paths.join(known.select("path_id"), "path_id", "left_anti"), kept
@@ -248,25 +246,67 @@ def incidents(alerts: DataFrame, gap: int = WINDOW) -> DataFrame:
     return alerts.withColumn("_opens", opens).withColumn("incident", F.concat_ws("@", "usr", F.max("_opens").over(order))).drop("_opens")
 
 
-def kill_chain(hops: DataFrame, by: str = "incident") -> DataFrame:
-    """incident, node, layer, longest: layers relaxed by time-ordered hops, and the incident's longest chronological chain.
+CHAIN_END = "struct<length:bigint,total:double,at:bigint>"
+
 
-    The fold depends on the order of hops, so each incident is folded on its own; an incident holds few hops.
+def chain_lengths(hops: DataFrame, by: str = "incident", every: int = 3) -> DataFrame:
+    """hops with position (from 1, by t, event_id, hop), length, total (risk) and previous: the best chain that ends in each hop.
+
+    A chain goes on with a later hop of the incident whose actor is its last target. Of the chains that reach an actor the longest
+    counts, then the riskiest, then the one whose last hop came first. Hops are relaxed all at once, one layer in a round: a running
+    maximum over each node's arrivals and departures, until nothing changes, after as many rounds as the longest chain has hops.
+    The lineage is cut, and the change looked at, every few rounds.
     """
+    order = Window.partitionBy(by).orderBy("t", "event_id", "hop")
+    first = hops.withColumns({"position": F.row_number().over(order).cast("long"), "length": F.lit(1).cast("long"), "total": F.col("risk").cast("double"), "previous": F.lit(None).cast("long")})
+    now = cut_lineage(first, "chains")
+    arrived = Window.partitionBy(by, "_node").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+    while True:
+        before = now
+        for _ in range(every):
+            here = F.struct("length", "total", (-F.col("position")).alias("at"))
+            ends = F.array(F.struct(F.col("actor").alias("node"), F.lit(None).cast(CHAIN_END).alias("chain")), F.struct(F.col("target").alias("node"), here.alias("chain")))
+            rows = now.withColumn("_e", F.explode(ends)).withColumns({"_node": F.col("_e.node"), "_chain": F.col("_e.chain")})
+            rows = rows.withColumn("_best", F.max("_chain").over(arrived)).filter("_chain IS NULL")
+            made = {"length": F.coalesce(F.col("_best.length"), F.lit(0)) + 1, "total": F.coalesce(F.col("_best.total"), F.lit(0.0)) + F.col("risk"), "previous": -F.col("_best.at")}
+            now = rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in first.columns])
+        now = cut_lineage(now, "chains")
+        old = before.select(by, "position", F.struct("length", "total", "previous").alias("_old"))
+        if now.join(old, [by, "position"]).filter(~F.col("_old").eqNullSafe(F.struct("length", "total", "previous"))).isEmpty():
+            return now
 
-    def fold(frame):
-        import pandas as pd
 
-        layer: dict[str, int] = {}
-        chain: dict[str, tuple[int, float]] = {}
-        frame = frame.sort_values(["t", "event_id", "hop"])
-        for r in frame.itertuples():
-            layer.setdefault(r.actor, 0)
-            layer[r.target] = max(layer.get(r.target, 0), layer[r.actor] + 1)
-            n, risk = chain.get(r.actor, (0, 0.0))
-            chain[r.target] = max(chain.get(r.target, (0, 0.0)), (n + 1, risk + r.risk))
-        longest = max((n for n, _ in chain.values()), default=0)
-        return pd.DataFrame({by: frame[by].iloc[0], "node": list(layer), "layer": list(layer.values()), "longest": longest})
-
-    kind = dict(hops.dtypes)[by]
-    return hops.groupBy(by).applyInPandas(fold, f"{by} {kind}, node string, layer long, longest long")
+def kill_chain(hops: DataFrame, by: str = "incident") -> DataFrame:
+    """incident, node, layer, longest: a node's layer is the length of the longest chain that reaches it, 0 if none does."""
+    best = chain_lengths(hops, by)
+    ends = F.explode(F.array(F.struct(F.col("actor").alias("node"), F.lit(0).cast("long").alias("layer")), F.struct(F.col("target").alias("node"), F.col("length").alias("layer")))).alias("e")
+    layers = best.select(by, ends).groupBy(by, "e.node").agg(F.max("e.layer").alias("layer"))
+    return layers.join(best.groupBy(by).agg(F.max("length").alias("longest")), by)
+
+
+def kill_chain_primary(hops: DataFrame, by: str = "incident") -> DataFrame:
+    """incident, place (from 1), event_id, hop, t, actor, target, risk, length, total: the longest chronological chain of each incident.
+
+    Ties go to the greater total risk, then to the target that was reached first. The chain is walked back from its last hop,
+    a join for each place, all incidents at once.
+    """
+    best = chain_lengths(hops, by)
+    reached = Window.partitionBy(by, "target")
+    ends = best.withColumn("_first", F.min("position").over(reached))
+    winner = ends.groupBy(by).agg(F.max(F.struct("length", "total", (-F.col("_first")).alias("first"), (-F.col("position")).alias("at"))).alias("w"))
+    at = winner.select(by, (-F.col("w.at")).alias("position"), F.col("w.length").alias("length"), F.col("w.total").alias("total"))
+    steps = best.select(by, "position", "previous", "event_id", "hop", "t", "actor", "target", "risk", F.col("length").alias("place"))
+    longest = best.agg(F.max("length")).first()[0] or 0
+    found = None
+    for _ in range(longest):
+        part = cut_lineage(at.join(steps, [by, "position"]), "walk")
+        found = part if found is None else found.union(part)
+        at = part.filter("previous IS NOT NULL").select(by, F.col("previous").alias("position"), "length", "total")
+    columns = [by, "place", "event_id", "hop", "t", "actor", "target", "risk", "length", "total"]
+    return found.select(*columns) if found is not None else at.join(steps, [by, "position"]).select(*columns)
+
+
+def kill_chain_edges(hops: DataFrame, by: str = "incident") -> DataFrame:
+    """hops with primary: whether an alert has a hop on its incident's primary chain."""
+    main = kill_chain_primary(hops, by).select(by, "event_id").distinct().withColumn("primary", F.lit(1))
+    return hops.join(main, [by, "event_id"], "left").fillna({"primary": 0})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from .studies import ACTIONS
 from .windows import global_position
 
@@ -23,8 +24,7 @@ def chronological(events: DataFrame) -> DataFrame:
 
 def resolve_ids(names: DataFrame, dictionary: DataFrame, kind: str, capacity: int, buckets: int) -> DataFrame:
     """name, id: that of the dictionary (name, id), else a bucket behind `capacity` by a hash of kind and name, or 0 for categories."""
-    digest = F.sha2(F.concat(F.lit(f"{kind}\0"), F.col("name")), 256)
-    bucket = F.lit(0).cast("long") if kind == "category" else capacity + F.pmod(F.conv(F.substring(digest, 2, 15), 16, 10).cast("long"), F.lit(buckets))
+    bucket = F.lit(0).cast("long") if kind == "category" else scalars.oov_bucket(kind, F.coalesce("name", F.lit("")), capacity, buckets)
     known = dictionary.select(F.col("name").alias("known"), "id")
     return names.join(known, F.col("name") == F.col("known"), "left").select("name", F.coalesce(F.col("id").cast("long"), bucket).alias("id"))
 
@@ -55,15 +55,30 @@ def process_novelty(events: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def technique_metrics(rows: DataFrame) -> DataFrame:
-    """truth, injected, alerted, attributed, recall, precision: how often injected techniques are alerted on and named rightly.
+    """One row for each technique that is injected or claimed: injected, alerted, attributed, attributed_other, false_attributions,
+    detection_recall, attribution_recall, precision, false_per_10k.
 
-    rows: truth (null for benign), technique (what was attributed), alerted.
+    rows: truth (null for benign), technique (what was attributed), confidence, alerted. A claim is an attribution of high or medium
+    confidence, whether or not the event alerted; a false one is a claim on a benign event. Precision is correct claims over correct
+    and false ones: claims on another technique's events stand in that one's attributed_other. Shares of nothing are 0.
     """
-    hit = F.col("alerted") == 1
-    by = rows.filter("truth IS NOT NULL").groupBy("truth").agg(F.count("*").alias("injected"), F.count_if(hit).alias("alerted"), F.count_if(hit & F.col("technique").eqNullSafe(F.col("truth"))).alias("attributed"))
-    named = rows.filter(hit & F.col("technique").isNotNull()).groupBy("technique").agg(F.count("*").alias("named"))
-    out = by.join(named, F.col("truth") == F.col("technique"), "left")
-    return out.select("truth", "injected", "alerted", "attributed", (F.col("attributed") / F.col("injected")).alias("recall"), F.try_divide(F.col("attributed"), F.coalesce("named", F.lit(0))).alias("precision"))
+    sure = F.col("confidence").isin("high", "medium") & F.col("technique").isNotNull()
+    seen = rows.select("truth", F.when(sure, F.col("technique")).alias("claim"), (F.col("alerted") == 1).alias("alerted"))
+    benign = seen.agg(F.count_if(F.col("truth").isNull()).alias("benign"))
+    roles = F.array(F.struct(F.col("truth").alias("id"), F.lit(True).alias("is_truth")), F.struct(F.col("claim").alias("id"), F.lit(False).alias("is_truth")))
+    each = seen.select("truth", "claim", "alerted", F.explode(roles).alias("role")).filter("role.id IS NOT NULL")
+    injected, right = F.col("role.is_truth"), F.col("claim").eqNullSafe(F.col("truth"))
+    by = each.groupBy(F.col("role.id").alias("technique")).agg(
+        F.count_if(injected).alias("injected"),
+        F.count_if(injected & F.col("alerted")).alias("alerted"),
+        F.count_if(injected & right).alias("attributed"),
+        F.count_if(injected & ~right & F.col("claim").isNotNull()).alias("attributed_other"),
+        F.count_if(~injected & F.col("truth").isNull()).alias("false_attributions"),
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    out = by.join(F.broadcast(benign))
+    correct, false = F.col("attributed"), F.col("false_attributions")
+    return out.select("technique", "injected", "alerted", "attributed", "attributed_other", "false_attributions", share(F.col("alerted"), F.col("injected")).alias("detection_recall"), share(correct, F.col("injected")).alias("attribution_recall"), share(correct, correct + false).alias("precision"), share(10_000 * false, F.col("benign")).alias("false_per_10k"))
 
 
 def combine_percentiles(members: DataFrame, names: list[str]) -> DataFrame:
@@ -216,15 +231,23 @@ EVIDENCE = (("E-001", "observed", "t"), ("E-002", "derived", "is_new"), ("E-003"
 
 
 def evidence_rows(alerts: DataFrame, in_paths: DataFrame, sure: float = 0.8) -> DataFrame:
-    """event_id, evidence_id, category, value, cited, confidence: the evidence of each alert, one row an item.
+    """event_id, evidence_id, category, value, path_id, cited, technique, confidence: the evidence of each alert, one row an item.
 
-    in_paths: event_id of the alerts that stand in a path; these have a seventh item. An alert is cited by its observation,
-    the new relationship, the model and the path; confidence is medium in a path from the risk `sure` on, else low.
+    in_paths: event_id, path_id, score of the best path of each event that stands in one, at any place; such an alert has a seventh item,
+    the path and its score. An alert is cited for its technique by its observation, the new relationship, the model and the
+    path; confidence is medium in a path from the risk `sure` on, else low.
     """
-    rows = alerts.join(in_paths.select("event_id", F.lit(1).alias("_path")).distinct(), "event_id", "left")
-    item = lambda k, kind, value: F.struct(F.lit(k).alias("evidence_id"), F.lit(kind).alias("category"), value.cast("double").alias("value"))
-    items = F.array(*[item(k, kind, F.col(c)) for k, kind, c in EVIDENCE])
-    items = F.when(F.col("_path") == 1, F.concat(items, F.array(item("E-007", "derived", F.lit(1))))).otherwise(items)
-    sure_ = F.when((F.col("_path") == 1) & (F.col("risk") >= sure), "medium").otherwise("low")
-    rows = rows.select("event_id", sure_.alias("confidence"), F.explode(items).alias("e"))
-    return rows.select("event_id", "e.evidence_id", "e.category", "e.value", F.col("e.evidence_id").isin("E-001", "E-002", "E-005", "E-007").cast("int").alias("cited"), "confidence")
+    rows = alerts.join(in_paths.select("event_id", "path_id", "score"), "event_id", "left")
+    none = F.lit(None).cast("string")
+    item = lambda k, kind, value, path=none: F.struct(F.lit(k).alias("evidence_id"), F.lit(kind).alias("category"), value.cast("double").alias("value"), path.alias("path_id"))
+    items, in_path = F.array(*[item(k, kind, F.col(c)) for k, kind, c in EVIDENCE]), F.col("path_id").isNotNull()
+    items = F.when(in_path, F.concat(items, F.array(item("E-007", "derived", F.col("score"), F.col("path_id"))))).otherwise(items)
+    rows = rows.select("event_id", F.when(in_path & (F.col("risk") >= sure), "medium").otherwise("low").alias("confidence"), F.explode(items).alias("e"))
+    return rows.select("event_id", "e.evidence_id", "e.category", "e.value", "e.path_id", F.col("e.evidence_id").isin("E-001", "E-002", "E-005", "E-007").cast("int").alias("cited"), F.lit("T1021").alias("technique"), "confidence")
+
+
+def best_paths(paths: DataFrame) -> DataFrame:
+    """event_id, path_id, score: for every event of scored paths the best path that holds it, ties to the earlier one."""
+    each = paths.select(F.explode("events").alias("event_id"), F.concat_ws("-", "events").alias("path_id"), "score", "first_t", "last_t", "events")
+    best = F.min_by(F.struct("path_id", "score"), F.struct(-F.col("score"), "first_t", "last_t", "events"))
+    return each.groupBy("event_id").agg(best.alias("b")).select("event_id", "b.path_id", "b.score")

@@ -25,12 +25,14 @@ def chain_flags(events: DataFrame, w: int = 1_800, prior: int = 3, novel: bool =
     A hop is a successful logon to a host new to the account, from a host that the account reached within w before it in
     stream order. The chain continues if the account reached the source in [t-w, t) and made `prior` hops in that time.
     """
-    uses = events.withColumns({"_host": F.col("src"), "_reach": F.lit(None).cast("long")})
-    reaches = events.filter("success = 1").select("usr", "t", "event_id", F.col("dst").alias("_host"), F.col("t").alias("_reach"), F.lit(True).alias("_is_reach"))
-    both = uses.unionByName(reaches, allowMissingColumns=True)
-    in_stream = Window.partitionBy("usr", "_host").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(None).cast("long")
+    use = F.struct(F.col("src").alias("host"), none.alias("reach"))
+    reach = F.when(F.col("success") == 1, F.struct(F.col("dst").alias("host"), F.col("t").alias("reach")))
+    both = events.repartition("usr").select("*", F.explode(F.array_compact(F.array(use, reach))).alias("_m")).select(*events.columns, F.col("_m.host").alias("_host"), F.col("_m.reach").alias("_reach"))
+    # a row's own reach comes behind it: it isn't its own past
+    in_stream = Window.partitionBy("usr", "_host").orderBy("t", "event_id", F.col("_reach").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumns({"_last_seen": F.max("_reach").over(in_stream), "_last_strict": F.max("_reach").over(strict_past("usr", "_host"))})
-    rows = both.filter("_is_reach IS NULL").drop("_is_reach", "_reach", "_host")
+    rows = both.filter("_reach IS NULL").drop("_reach", "_host")
     pair = Window.partitionBy("usr", "dst", "success").orderBy("t", "event_id")
     rows = rows.withColumns({"_novel": (F.row_number().over(pair) == 1) if novel else F.lit(True), "_before": F.coalesce(F.sum("success").over(strict_past("usr", "dst")), F.lit(0))})
     rows = rows.withColumn("_hop", F.coalesce((F.col("success") == 1) & F.col("_novel") & (F.col("_last_seen") >= F.col("t") - w), F.lit(False)).cast("int"))
@@ -42,7 +44,7 @@ def chain_flags(events: DataFrame, w: int = 1_800, prior: int = 3, novel: bool =
 
 def fanout_inputs(events: DataFrame, w: int = 3_600) -> DataFrame:
     """events with fanout_accounts, fanout_novel (moves of the open window) and dst_novel (never reached from src before)."""
-    rows = distinct_in_window(events, "src", "usr", {"fanout_accounts": w}, where="success = 1")
+    rows = distinct_in_window(events, "src", [("usr", {"fanout_accounts": w}, F.col("success") == 1)])
     pair = Window.partitionBy("src", "dst", "success").orderBy("t", "event_id")
     rows = rows.withColumns({"_first": ((F.row_number().over(pair) == 1) & (F.col("success") == 1)).cast("int"), "_before": F.coalesce(F.sum("success").over(strict_past("src", "dst")), F.lit(0))})
     novel = F.coalesce(F.sum("_first").over(open_window(w, "src")), F.lit(0)).cast("long")

@@ -114,9 +114,12 @@ def fit_classifier(train: DataFrame, columns: list[str], kind: str = "logistic",
     return Pipeline(stages=[assembler, scaler, model]).fit(weighted)
 
 
-def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], trees: int = 50, size: int = 256, seed: int = 1729) -> DataFrame:
-    """rows with `anomaly`: trees over hashed samples of `size` rows, grown one a task, sent to all tasks (trees * 2 * size
-    nodes at most)."""
+#: Nodes of an isolation tree: node 0 is the root, 2i+1 and 2i+2 the children of i; feature -1 is a leaf that held n rows.
+FOREST = "tree long, node long, feature long, cut double, n long"
+
+
+def fit_forest(train: DataFrame, columns: list[str], trees: int = 50, size: int = 256, seed: int = 1729) -> DataFrame:
+    """The nodes (FOREST) of isolation trees, each grown in a task of its own from a hashed sample of `size` rows."""
     import numpy as np
     import pandas as pd
 
@@ -147,9 +150,15 @@ def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], tree
         split(np.arange(len(x)), 0, 0)
         return pd.DataFrame({"tree": int(frame["tree"].iloc[0]), "node": [o[0] for o in out], "feature": [o[1] for o in out], "cut": [o[2] for o in out], "n": [o[3] for o in out]})
 
-    forest = drawn.groupBy("tree").applyInPandas(grow, "tree long, node long, feature long, cut double, n long").collect()
+    return drawn.groupBy("tree").applyInPandas(grow, FOREST)
+
+
+def score_forest(rows: DataFrame, forest: DataFrame, columns: list[str], size: int = 256) -> DataFrame:
+    """rows with `anomaly` by a forest, whose nodes (trees * 2 * size at most) go to all tasks."""
+    import numpy as np
+
     nodes: dict[int, dict] = {}
-    for r in forest:
+    for r in forest.collect():
         nodes.setdefault(r.tree, {})[r.node] = (r.feature, r.cut, r.n)
 
     def path(k):
@@ -175,6 +184,17 @@ def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], tree
     return rows.mapInPandas(score, f"{schema}, anomaly double")
 
 
+def isolation_forest(train: DataFrame, rows: DataFrame, columns: list[str], trees: int = 50, size: int = 256, seed: int = 1729) -> DataFrame:
+    """rows with `anomaly` by trees grown from train, and `percentile`: the share of training rows with no higher anomaly."""
+    from .evaluation import percentile_of
+
+    forest = fit_forest(train, columns, trees, size, seed)
+    scored = score_forest(rows, forest, columns, size)
+    reference = score_forest(train.select("event_id", *columns), forest, columns, size).select(F.round("anomaly", 9).alias("score"))
+    found = percentile_of(scored.select("event_id", F.round("anomaly", 9).alias("score")), reference)
+    return scored.join(found.select("event_id", "percentile"), "event_id")
+
+
 # ---- response -------------------------------------------------------------------------------------------------------
 
 # The actions of each technique, in order; '' is an alert without technique.

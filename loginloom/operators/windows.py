@@ -6,8 +6,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -45,31 +43,28 @@ def first_in_stream(*keys: str) -> Column:
     return (F.row_number().over(Window.partitionBy(*keys).orderBy("t", "event_id")) == 1).cast("int")
 
 
-def distinct_in_window(df: DataFrame, key: str, value: str, windows: dict[str, int], where: str = "true", base: DataFrame | None = None) -> DataFrame:
-    """df with, for each name, the number of distinct `value` of the same `key` in (t-w, t).
+def distinct_in_window(df: DataFrame, key: str, counts: list[tuple[str, dict[str, int], Column | None]]) -> DataFrame:
+    """df with, for each name, the number of distinct partners of the same `key` in (t-w, t), after one shuffle by key.
 
-    For each (key, value) the times are merged into runs that cover the queries (start, end+w); the answer is a running sum
-    of run starts less run ends. Linear after one shuffle by key, however many rows a window holds. Only rows that satisfy
-    `where` are counted; every row gets an answer. `base` has the same events as df without the columns that df has gained:
-    the runs then come from it, and the plan that made df stands in the plan once.
+    counts: (partner column, {name: seconds}, condition of the rows that count or None). The times of a (key, partner) form runs that
+    cover the queries (start, end+w). A row that opens or closes a run marks that place besides its own; the answer is the running
+    sum of starts less ends over the key's places. Linear in the rows, however many a window holds.
     """
-    times = Window.partitionBy(key, value).orderBy("t")
-    spans = (df if base is None else base).filter(where).select(key, value, "t").distinct()
-    marks = []
-    for name, w in windows.items():
-        runs = spans.withColumn("opens", F.coalesce(F.col("t") >= F.lag("t").over(times) + w, F.lit(True)))
-        runs = runs.withColumn("run", F.sum(F.col("opens").cast("int")).over(times)).groupBy(key, value, "run").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-        ends = F.explode(F.array(F.struct((2 * F.col("a") + 2).alias("place"), F.lit(1).alias("sign")), F.struct((2 * (F.col("b") + w)).alias("place"), F.lit(-1).alias("sign")))).alias("m")
-        runs = runs.select(F.col(key), ends)
-        marks.append(runs.select(F.col(key), F.col("m.place").alias("_place"), *[(F.col("m.sign") if n == name else F.lit(0)).alias(f"_{n}") for n in windows]))
-    own = df.withColumn("_place", 2 * F.col("t") + 1)
-    for n in windows:
-        own = own.withColumn(f"_{n}", F.lit(0))
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marks, own)
-    upto = Window.partitionBy(key).orderBy("_place").rangeBetween(Window.unboundedPreceding, 0)
-    for n in windows:
-        every = every.withColumn(n, F.sum(f"_{n}").over(upto).cast("long"))
-    return every.filter("event_id IS NOT NULL").select(*df.columns, *windows)
+    rows, marks = df.repartition(key), []
+    names = [n for _, windows, _ in counts for n in windows]
+    sign = lambda name=None, value=0: [F.lit(value if n == name else 0).alias(n) for n in names]
+    for i, (partner, windows, on) in enumerate(counts):
+        rows = rows.withColumn(f"_on{i}", F.lit(1) if on is None else F.coalesce(on, F.lit(False)).cast("int"))
+        times = Window.partitionBy(key, partner, f"_on{i}").orderBy("t")
+        rows = rows.withColumns({f"_last{i}": F.lag("t").over(times), f"_next{i}": F.lead("t").over(times)})
+        held, last, after = F.col(f"_on{i}") == 1, F.col(f"_last{i}"), F.col(f"_next{i}")
+        for name, w in windows.items():
+            marks.append(F.when(held & (last.isNull() | (F.col("t") >= last + w)), F.struct((2 * F.col("t") + 2).alias("place"), F.lit(False).alias("own"), *sign(name, 1))))
+            marks.append(F.when(held & (after.isNull() | (after >= F.col("t") + w)), F.struct((2 * (F.col("t") + w)).alias("place"), F.lit(False).alias("own"), *sign(name, -1))))
+    own = F.struct((2 * F.col("t") + 1).alias("place"), F.lit(True).alias("own"), *sign())
+    every = rows.select(*df.columns, F.explode(F.array_compact(F.array(own, *marks))).alias("_m"))
+    upto = Window.partitionBy(key).orderBy("_m.place").rangeBetween(Window.unboundedPreceding, 0)
+    return every.withColumns({n: F.sum(f"_m.{n}").over(upto).cast("long") for n in names}).filter("_m.own").select(*df.columns, *names)
 
 
 def rolling_split(df: DataFrame, seconds: int, keys: list[str], made: dict[str, Column], bucket: int = 86_400) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, graph
+from ..operators import evaluation, graph, uncertainty
 from .detection_queries import SCORE_CTE, rounded, scored
 from .fixtures import DENSE_SQL, SPARSE_SQL, auth_dense, auth_sparse
 
@@ -89,11 +89,20 @@ def f12(spark, sf_dir):
     return graph.alert_hops(alerts(spark, sf_dir))
 
 
+def incident_hops(spark, sf_dir):
+    """The hops of each account's incidents, hosts under one name whether left or reached."""
+    return graph.incidents(alerts(spark, sf_dir)).select("incident", "event_id", "t", F.lit(1).alias("hop"), F.concat(F.lit("host:"), "src").alias("actor"), F.concat(F.lit("host:"), "dst").alias("target"), "risk")
+
+
 @registered("f10_kill_chain")
 def f10(spark, sf_dir):
-    """Layers and longest chains of each incident's hops, hosts under one name whether left or reached."""
-    hops = graph.incidents(alerts(spark, sf_dir)).select("incident", "event_id", "t", F.lit(1).alias("hop"), F.concat(F.lit("host:"), "src").alias("actor"), F.concat(F.lit("host:"), "dst").alias("target"), "risk")
-    return graph.kill_chain(hops)
+    """Layers and longest chains of each incident's hops."""
+    return graph.kill_chain(incident_hops(spark, sf_dir))
+
+
+@registered("f11_kill_chain_primary")
+def f11(spark, sf_dir):
+    return rounded(graph.kill_chain_primary(incident_hops(spark, sf_dir)), "incident", "place", "event_id", "actor", "target", "length", "total")
 
 
 @registered(
@@ -187,6 +196,23 @@ def i10(spark, sf_dir):
     return rounded(evaluation.bootstrap(blocks(spark, sf_dir)), "low", "high", "replicates")
 
 
+@registered("i11_paired_comparison")
+def i11(spark, sf_dir):
+    """Two scorings of the same events on the same resamples; the tests draw the same numbers in numpy."""
+    other = ((F.col("event_id") * 104729 + F.col("src") * 17) % 997 + F.col("label") * 100) / F.lit(1100.0)
+    rows = scores(spark, sf_dir).select(F.col("score").alias("score_a"), F.round(other, 2).alias("score_b"), "label")
+    return rounded(uncertainty.paired_comparison(rows), "difference", "low", "high", "fraction_a_wins", "significant", "replicates")
+
+
+@registered("i13_calibration_report")
+def i13_report(spark, sf_dir):
+    """Equal-frequency bins of scores of which most are 0; the tests follow the same rule in numpy."""
+    rows = scores(spark, sf_dir).select(F.when(F.col("event_id") % 10 < 8, 0.0).otherwise(F.col("score")).alias("score"), "label")
+    table, summary = uncertainty.calibration_report(rows)
+    found = table.join(F.broadcast(summary))
+    return rounded(found, "bin", "n", "positives", "mean_predicted", "observed", "low", "high", "expected_error", "maximum_error", "brier", "reliability", "resolution", "uncertainty")
+
+
 _WILSON = "(p + 1.96::DOUBLE * 1.96 / (2 * n) {s} 1.96::DOUBLE * sqrt(p * (1 - p) / n + 1.96::DOUBLE * 1.96 / (4 * n * n))) / (1 + 1.96::DOUBLE * 1.96 / n)"
 
 
@@ -260,7 +286,7 @@ def i24(spark, sf_dir):
     return rounded(evaluation.rank_agreement(rows, rows.withColumn("score", F.floor(F.col("score") * 20) / 20)), "spearman", "max_delta")
 
 
-@registered("h07_empirical_percentile_all", f"{SCORES_CTE} SELECT event_id, round(cume_dist() OVER (ORDER BY score), 6) AS percentile FROM x")
+@registered("h07_empirical_percentile", f"{SCORES_CTE} SELECT event_id, round(cume_dist() OVER (ORDER BY score), 6) AS percentile FROM x")
 def h07_all(spark, sf_dir):
     """Every event against all scores."""
     rows = scores(spark, sf_dir).select("event_id", "score")
@@ -268,7 +294,7 @@ def h07_all(spark, sf_dir):
 
 
 @registered(
-    "f14_related_alerts_search_set",
+    "f14_related_alerts",
     f"""{ALERTS_CTE}, r AS (SELECT DISTINCT event_id, t, x FROM (SELECT event_id, t, unnest(['user:' || usr, 'host:' || src, 'host:' || dst]) AS x FROM a))
     SELECT q.event_id AS target, r.event_id, r.t, count(*) AS shared FROM r q JOIN r ON r.x = q.x AND r.event_id <> q.event_id WHERE q.event_id % 50 = 0 GROUP BY ALL""",
 )
@@ -283,19 +309,19 @@ PATH_RISK = 0.8
 WHOLE_PATHS_CTE = PATHS_CTE.replace(f"round(risk, 6) >= {ALERT_RISK}", f"round(risk, 6) >= {PATH_RISK}").replace("p.n < 3", f"p.n < {graph.MAX_EDGES}")
 
 
-@registered("f03_rank_paths_five_edges", f"{WHOLE_PATHS_CTE} SELECT path, n_edges, first_t, last_t FROM scored_paths")
+@registered("f03_rank_paths", f"{WHOLE_PATHS_CTE} SELECT path, n_edges, first_t, last_t FROM scored_paths")
 def f03_five_edges(spark, sf_dir):
     rows = graph.score_paths(graph.rank_paths(alerts(spark, sf_dir, PATH_RISK), min_risk=PATH_RISK), top_k=None)
     return rows.select(F.concat_ws("-", "events").alias("path"), "n_edges", "first_t", "last_t")
 
 
-@registered("f04_score_paths_five_edges", f"{WHOLE_PATHS_CTE} SELECT path, n_edges, score FROM scored_paths ORDER BY score DESC, first_t, last_t, events LIMIT 20")
+@registered("f04_score_paths", f"{WHOLE_PATHS_CTE} SELECT path, n_edges, score FROM scored_paths ORDER BY score DESC, first_t, last_t, events LIMIT 20")
 def f04_five_edges(spark, sf_dir):
     rows = graph.score_paths(graph.rank_paths(alerts(spark, sf_dir, PATH_RISK), min_risk=PATH_RISK), top_k=20)
     return rows.select(F.concat_ws("-", "events").alias("path"), "n_edges", "score")
 
 
-@registered("f05_incremental_paths_five_edges", f"{WHOLE_PATHS_CTE}, m AS (SELECT quantile_disc(t, 0.5) AS cut FROM a) SELECT path FROM scored_paths, m WHERE last_t > cut")
+@registered("f05_incremental_paths", f"{WHOLE_PATHS_CTE}, m AS (SELECT quantile_disc(t, 0.5) AS cut FROM a) SELECT path FROM scored_paths, m WHERE last_t > cut")
 def f05_five_edges(spark, sf_dir):
     rows = graph.cut_lineage(alerts(spark, sf_dir, PATH_RISK), "alerts")
     cut = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY t)")).first()[0]
@@ -311,28 +337,13 @@ def _whole_graph(spark, sf_dir):
     return rows.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").cast("double").alias("weight")), hosts.groupBy("node").agg(F.max("risk").alias("seed"))
 
 
-@registered("f08_risk_propagation_converged")
+@registered("f08_risk_propagation")
 def f08_converged(spark, sf_dir):
     """To a change of 1e-6, or 100 rounds; the tests iterate the same in numpy."""
     return rounded(graph.propagate(*_whole_graph(spark, sf_dir)), "node", "mass", "risk")
 
 
-@registered("f09_hop_distance_all_seeds")
+@registered("f09_hop_distance")
 def f09_all_seeds(spark, sf_dir):
     """From all seeds until nothing new is reached; the tests search the same in Python."""
     return graph.hop_distance(*_whole_graph(spark, sf_dir))
-
-
-# The short names stand for the same whole jobs.
-for _short, _whole in (
-    ("f03_rank_paths", "f03_rank_paths_five_edges"),
-    ("f04_score_paths", "f04_score_paths_five_edges"),
-    ("f05_incremental_paths", "f05_incremental_paths_five_edges"),
-    ("f08_risk_propagation", "f08_risk_propagation_converged"),
-    ("f09_hop_distance", "f09_hop_distance_all_seeds"),
-    ("f14_related_alerts", "f14_related_alerts_search_set"),
-    ("h07_empirical_percentile", "h07_empirical_percentile_all"),
-):
-    QUERIES[_short] = QUERIES[_whole]
-    if _whole in ORACLE_SQL:
-        ORACLE_SQL[_short] = ORACLE_SQL[_whole]

@@ -150,10 +150,25 @@ def b05(spark, sf_dir):
     return auth_sparse(spark, sf_dir).select("event_id", S.service_host(text).alias("host"))
 
 
-@registered("b08_canonical_words", f"{SPARSE_SQL} SELECT event_id, auth_name, CAST(auth_name = 'Kerberos' AS INTEGER) AS is_kerberos, CAST(auth_name = 'NTLM' AS INTEGER) AS is_ntlm, CAST(logon_id = 3 AS INTEGER) AS is_network FROM e")
+#: Raw spellings and, hand-made from the rule, the word that each stands for.
+AUTH_SPELLINGS = {"ms kerberos package": "Kerberos", "MSV1_0": "NTLM", " msv ": "NTLM", "MICROSOFT_AUTHENTICATION_PACKAGE_V1_0": "NTLM", "NtLmSsp": "NTLM", "NTLM V2": "NTLM", "Negotiate": "Negotiate", "NegoExtender": "Other", "Wave": "Other", "": "Other", "KERBEROS": "Kerberos"}
+LOGON_SPELLINGS = {"Network": "network", "Network_Cleartext": "network", "3": "network", "8": "network", "Cached Interactive": "interactive", "UNLOCK": "interactive", "2": "interactive", "Remote Interactive": "remote_interactive", "10": "remote_interactive", "Service": "service_batch", "batch": "service_batch", "NewCredentials": "other", "9": "other", "": "other"}
+ORIENTATION_SPELLINGS = {"LogOn": "logon", " TGS ": "tgs", "tgt": "tgt", "AuthMap": "authmap", "LogOff": "other", "ScreenLock": "other"}
+
+
+def spelled(words: dict[str, str], seed: int):
+    """A spelling for each event, dealt by its id."""
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.col("event_id") * seed, F.lit(len(words))) + 1).cast("int"))
+
+
+def spelled_sql(words: dict[str, str], seed: int) -> str:
+    return f"[{', '.join(repr(w) for w in words.values())}][(event_id * {seed}) % {len(words)} + 1]"
+
+
+@registered("b08_canonical_words", f"{SPARSE_SQL} SELECT event_id, {spelled_sql(AUTH_SPELLINGS, 1)} AS auth, {spelled_sql(LOGON_SPELLINGS, 3)} AS logon, {spelled_sql(ORIENTATION_SPELLINGS, 5)} AS orientation FROM e")
 def b08(spark, sf_dir):
-    name = S.canonical_auth(F.concat(F.lit("ms "), F.lower("auth_name"), F.lit(" package")))
-    return auth_sparse(spark, sf_dir).select("event_id", name.alias("auth_name"), (name == "Kerberos").cast("int").alias("is_kerberos"), (name == "NTLM").cast("int").alias("is_ntlm"), (F.col("logon_id") == 3).cast("int").alias("is_network"))
+    auth, logon, orientation = S.canonical_auth(spelled(AUTH_SPELLINGS, 1)), S.canonical_logon(spelled(LOGON_SPELLINGS, 3)), S.canonical_orientation(spelled(ORIENTATION_SPELLINGS, 5))
+    return auth_sparse(spark, sf_dir).select("event_id", auth.alias("auth"), logon.alias("logon"), orientation.alias("orientation"))
 
 
 @registered("b13_sigmoid_saturate_decay", f"{SPARSE_SQL} SELECT event_id, round(1 / (1 + exp(-(logon_id - 1.5::DOUBLE))), 6) AS sigmoid, round(1 - exp(-(logon_id / 4.0::DOUBLE)), 6) + 0.0 AS saturate, round(pow(0.5, (usr % 97) / 24.0::DOUBLE), 6) AS decay, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (logon_id - 1) / 2.0::DOUBLE)), 6) AS ramp FROM e")

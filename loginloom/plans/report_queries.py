@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import evaluation, graph, reports
-from .analysis_queries import ALERT_RISK, ALERTS_CTE, SCORES_CTE, alerts, scores
+from .analysis_queries import ALERTS_CTE, PATH_RISK, SCORES_CTE, WHOLE_PATHS_CTE, alerts, scores
 from .detection_queries import TACTIC_CTE, classified, rounded, scored
 from .fixtures import DENSE_SQL, SPARSE_SQL, auth_dense, auth_sparse
+from .ingest_queries import AUTH_SPELLINGS, LOGON_SPELLINGS, ORIENTATION_SPELLINGS, spelled, spelled_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -22,13 +24,17 @@ def registered(name: str, sql: str | None = None):
     return keep
 
 
-_BLOCKS = {"auth_name": ["NTLM", "Negotiate", "Kerberos"], "orient_name": ["TGT", "TGS", "LogOn"], "logon_id": [0, 1, 2, 3]}
-_HOT = ", ".join(f"CAST({c} = {v!r} AS INTEGER) AS {c}_{v}" for c, values in _BLOCKS.items() for v in values)
+_SPELLED = {"auth": AUTH_SPELLINGS, "logon": LOGON_SPELLINGS, "orientation": ORIENTATION_SPELLINGS}
+_SEEDS = {"auth": 1, "logon": 3, "orientation": 5}
+_HOT = ", ".join(f"CAST(lower({kind}) = '{w}' AS INTEGER) AS {kind}_{w}" for kind, words in scalars.CATEGORY_BLOCK.items() for w in words.split())
 
 
-@registered("b09_one_hot", f"{DENSE_SQL} SELECT event_id, {_HOT}, success FROM e")
+@registered("b09_one_hot", f"{DENSE_SQL}, w AS (SELECT event_id, success, {', '.join(f'{spelled_sql(words, _SEEDS[k])} AS {k}' for k, words in _SPELLED.items())} FROM e) SELECT event_id, {_HOT}, success FROM w")
 def b09(spark, sf_dir):
-    return reports.one_hot(auth_dense(spark, sf_dir), _BLOCKS).select("event_id", *[f"{c}_{v}" for c, values in _BLOCKS.items() for v in values], "success")
+    """Fifteen columns over the canonical words of raw spellings."""
+    raw = {k: spelled(words, _SEEDS[k]) for k, words in _SPELLED.items()}
+    block = scalars.category_block(raw["auth"], raw["logon"], raw["orientation"], F.col("success"))
+    return auth_dense(spark, sf_dir).select("event_id", *[c.alias(name) for name, c in block.items()])
 
 
 @registered("c09_chronological_sort", f"{DENSE_SQL} SELECT event_id, t, row_number() OVER (ORDER BY t, event_id) - 1 AS position FROM e")
@@ -38,11 +44,11 @@ def c09(spark, sf_dir):
 
 @registered(
     "c14_resolve_live_ids",
-    f"{DENSE_SQL}, d AS (SELECT DISTINCT usr, 'u' || usr AS name FROM e), k AS (SELECT name, usr AS id FROM d WHERE usr % 3 <> 0) SELECT d.name, coalesce(k.id, 1000 + ('0x' || substr(sha256('user' || chr(0) || d.name), 2, 15))::BIGINT % 64) AS id FROM d LEFT JOIN k ON k.name = d.name",
+    f"{DENSE_SQL}, d AS (SELECT DISTINCT usr, 'u' || usr AS name FROM e), k AS (SELECT name, usr AS id FROM d WHERE usr % 3 <> 0) SELECT d.name, coalesce(k.id, 1000 + (('0x' || substr(sha256('user' || chr(0) || d.name), 1, 16))::UBIGINT % 1000)::BIGINT) AS id FROM d LEFT JOIN k ON k.name = d.name",
 )
 def c14(spark, sf_dir):
     names = auth_dense(spark, sf_dir).select("usr", F.concat(F.lit("u"), F.col("usr").cast("string")).alias("name")).distinct()
-    return reports.resolve_ids(names.select("name"), names.filter("usr % 3 <> 0").select("name", F.col("usr").alias("id")), "user", 1_000, 64)
+    return reports.resolve_ids(names.select("name"), names.filter("usr % 3 <> 0").select("name", F.col("usr").alias("id")), "user", 1_000, 1_000)
 
 
 @registered(
@@ -73,11 +79,17 @@ _TRUTH = "CASE WHEN label = 0 THEN NULL WHEN usr % 3 = 0 THEN 'T1021' WHEN usr %
 
 @registered(
     "g12_technique_metrics",
-    f"{DENSE_SQL}{TACTIC_CTE}, z AS (SELECT {_TRUTH} AS truth, technique, CAST(round(risk, 6) >= 0.8 AS INTEGER) AS alerted FROM q), n AS (SELECT technique, count(*) AS named FROM z WHERE alerted = 1 AND technique IS NOT NULL GROUP BY technique), g AS (SELECT truth, count(*) AS injected, count(*) FILTER (alerted = 1) AS alerted, count(*) FILTER (alerted = 1 AND coalesce(technique = truth, false)) AS attributed FROM z WHERE truth IS NOT NULL GROUP BY truth) SELECT truth, injected, alerted, attributed, round(attributed / injected::DOUBLE, 6) + 0.0 AS recall, round(attributed / n.named::DOUBLE, 6) + 0.0 AS precision FROM g LEFT JOIN n ON n.technique = g.truth",
+    f"""{DENSE_SQL}{TACTIC_CTE}, z AS (SELECT {_TRUTH} AS truth, technique, round(risk, 6) >= 0.8 AS alerted,
+        technique IS NOT NULL AND (chain_hop = 1 AND technique = 'T1021' OR technique_score >= 0.45) AS sure FROM q),
+    technique_ids AS (SELECT truth AS id FROM z WHERE truth IS NOT NULL UNION SELECT technique FROM z WHERE sure),
+    by_id AS (SELECT id, count(*) FILTER (truth = id) AS injected, count(*) FILTER (truth = id AND alerted) AS alerted, count(*) FILTER (truth = id AND sure AND technique = id) AS attributed,
+        count(*) FILTER (truth = id AND sure AND technique <> id) AS attributed_other, count(*) FILTER (truth IS NULL AND sure AND technique = id) AS false_attributions, count(*) FILTER (truth IS NULL) AS benign FROM technique_ids, z GROUP BY id)
+    SELECT id AS technique, injected, alerted, attributed, attributed_other, false_attributions, round(coalesce(alerted / nullif(injected, 0)::DOUBLE, 0.0), 6) + 0.0 AS detection_recall, round(coalesce(attributed / nullif(injected, 0)::DOUBLE, 0.0), 6) + 0.0 AS attribution_recall,
+        round(coalesce(attributed / nullif(attributed + false_attributions, 0)::DOUBLE, 0.0), 6) + 0.0 AS precision, round(coalesce(10000 * false_attributions / nullif(benign, 0)::DOUBLE, 0.0), 6) + 0.0 AS false_per_10k FROM by_id""",
 )
 def g12(spark, sf_dir):
-    rows = classified(spark, sf_dir).select(F.expr(_TRUTH).alias("truth"), "technique", (F.round("risk", 6) >= 0.8).cast("int").alias("alerted"))
-    return rounded(reports.technique_metrics(rows), "truth", "injected", "alerted", "attributed", "recall", "precision")
+    rows = classified(spark, sf_dir).select(F.expr(_TRUTH).alias("truth"), "technique", "confidence", (F.round("risk", 6) >= 0.8).cast("int").alias("alerted"))
+    return rounded(reports.technique_metrics(rows), "technique", "injected", "alerted", "attributed", "attributed_other", "false_attributions", "detection_recall", "attribution_recall", "precision", "false_per_10k")
 
 
 @registered(
@@ -203,17 +215,16 @@ def i08_describe(spark, sf_dir):
 
 @registered(
     "k12_evidence_rows",
-    f"""{ALERTS_CTE}, w AS (SELECT a.*, s.user_unique_dst_5m AS fanout, s.failures_before_success_15m AS failures, round(s.model, 6) AS model FROM a JOIN s ON s.event_id = a.event_id),
-    p AS (SELECT DISTINCT b.event_id FROM a JOIN a b ON b.src = a.dst AND b.t > a.t AND b.t <= a.t + 1800 AND b.dst <> a.src AND b.dst <> a.dst),
-    z AS (SELECT w.*, p.event_id IS NOT NULL AS in_path FROM w LEFT JOIN p ON p.event_id = w.event_id),
-    i AS (SELECT *, unnest([{{'k': 'E-001', 'c': 'observed', 'v': t::DOUBLE}}, {{'k': 'E-002', 'c': 'derived', 'v': is_new::DOUBLE}}, {{'k': 'E-003', 'c': 'derived', 'v': fanout::DOUBLE}}, {{'k': 'E-004', 'c': 'derived', 'v': failures::DOUBLE}},
-        {{'k': 'E-005', 'c': 'model', 'v': model::DOUBLE}}, {{'k': 'E-006', 'c': 'model', 'v': risk::DOUBLE}}, {{'k': 'E-007', 'c': 'derived', 'v': 1::DOUBLE}}]) AS e FROM z)
-    SELECT event_id, e.k AS evidence_id, e.c AS category, e.v AS value, CAST(e.k IN ('E-001', 'E-002', 'E-005', 'E-007') AS INTEGER) AS cited, CASE WHEN in_path AND risk >= 0.8 THEN 'medium' ELSE 'low' END AS confidence
-    FROM i WHERE in_path OR e.k <> 'E-007'""",
+    f"""{WHOLE_PATHS_CTE}, k_w AS (SELECT a.*, s.user_unique_dst_5m AS fanout, s.failures_before_success_15m AS failures, round(s.model, 6) AS model FROM a JOIN s ON s.event_id = a.event_id),
+    k_p AS (SELECT event_id, path, score FROM (SELECT unnest(events) AS event_id, * EXCLUDE (events), events AS ids FROM scored_paths) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY score DESC, first_t, last_t, ids) = 1),
+    k_z AS (SELECT k_w.*, k_p.path, k_p.score FROM k_w LEFT JOIN k_p ON k_p.event_id = k_w.event_id),
+    k_i AS (SELECT *, unnest([{{'k': 'E-001', 'c': 'observed', 'v': t::DOUBLE}}, {{'k': 'E-002', 'c': 'derived', 'v': is_new::DOUBLE}}, {{'k': 'E-003', 'c': 'derived', 'v': fanout::DOUBLE}}, {{'k': 'E-004', 'c': 'derived', 'v': failures::DOUBLE}},
+        {{'k': 'E-005', 'c': 'model', 'v': model::DOUBLE}}, {{'k': 'E-006', 'c': 'model', 'v': risk::DOUBLE}}, {{'k': 'E-007', 'c': 'derived', 'v': score::DOUBLE}}]) AS e FROM k_z)
+    SELECT event_id, e.k AS evidence_id, e.c AS category, e.v AS value, CASE WHEN e.k = 'E-007' THEN path END AS path_id, CAST(e.k IN ('E-001', 'E-002', 'E-005', 'E-007') AS INTEGER) AS cited, 'T1021' AS technique, CASE WHEN path IS NOT NULL AND risk >= 0.8 THEN 'medium' ELSE 'low' END AS confidence
+    FROM k_i WHERE path IS NOT NULL OR e.k <> 'E-007'""",
 )
 def k12(spark, sf_dir):
-    rows = scored(spark, sf_dir, ["failures_before_success_15m"]).withColumn("risk", F.round("risk", 6)).filter(F.col("risk") >= ALERT_RISK)
+    rows = scored(spark, sf_dir, ["failures_before_success_15m"]).withColumn("risk", F.round("risk", 6)).filter(F.col("risk") >= PATH_RISK)
     rows = graph.cut_lineage(rows.select("event_id", "t", "usr", "src", "dst", "risk", F.col("is_new_pair").alias("is_new"), "support", F.col("user_unique_dst_5m").alias("fanout"), F.col("failures_before_success_15m").alias("failures"), F.round("model", 6).alias("model")), "evidence")
-    pairs = graph.rank_paths(rows.select("event_id", "t", "usr", "src", "dst", "risk", "is_new", "support"), max_edges=2, min_risk=ALERT_RISK)
-    # whoever ends a path has one of two edges that ends there
-    return reports.evidence_rows(rows, graph.score_paths(pairs, top_k=None).select(F.element_at("events", -1).alias("event_id")))
+    paths = graph.score_paths(graph.rank_paths(rows.select("event_id", "t", "usr", "src", "dst", "risk", "is_new", "support"), min_risk=PATH_RISK), top_k=None)
+    return reports.evidence_rows(rows, reports.best_paths(paths))

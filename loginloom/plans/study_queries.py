@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, rules, studies
+from ..operators import deployment, evaluation, features, graph, rules, studies
+from ..shared import fresh_path
 from ..streaming import incremental
 from .analysis_queries import ALERTS_CTE, SCORES_CTE, alerts, scores
 from .detection_queries import CHAIN_CTE, FANOUT_CTE, FEATURE_CTE, SCORE_CTE, TACTIC_CTE, classified, r6, rounded, scored
@@ -127,7 +128,73 @@ QUERIES["h05_fit_gbt"] = _fitted("gbt")
 @registered("h06_isolation_forest")
 def h06(spark, sf_dir):
     x = features.with_features(auth_sparse(spark, sf_dir), ML)
-    return studies.isolation_forest(x, x.select("event_id", *ML), ML).select("event_id", "anomaly")
+    return studies.isolation_forest(x, x.select("event_id", *ML), ML).select("event_id", "anomaly", "percentile")
+
+
+@registered("h10_onboard_calibrate")
+def h10(spark, sf_dir):
+    """A profile from the first half of the days, read again to score all rows."""
+    path = fresh_path(spark, "profile")
+    x = deployed(spark, sf_dir)
+    days = F.floor(F.col("t") / 86_400)
+    half = x.select(F.percentile(days, 0.5).alias("day")).first().day
+    deployment.onboard(x.filter(days <= half), PROFILED, path, alert_budget=0.01, action_budget=0.001)
+    return rounded(deployment.score_with_profile(x, PROFILED, path), "event_id", "p_rarity", "p_iforest", "percentile", "alert", "action")
+
+
+PROFILED = ["is_new_pair", "pair_rarity", "destination_novelty", "user_new_dst_ratio_1h", "user_auth_rate_5m", "delta_user_log", "user_failure_rate_15m"]
+
+
+def deployed(spark, sf_dir):
+    return features.with_features(auth_sparse(spark, sf_dir), PROFILED)
+
+
+@registered("h11_plausibility_model")
+def h11(spark, sf_dir):
+    """The anomaly of every event by a model of real against counterfactual events, which reads no label."""
+    e = auth_dense(spark, sf_dir)
+    model = deployment.fit_plausibility(deployment.plausibility_examples(e, features.ALL, share=0.05), features.ALL)
+    return rounded(deployment.anomaly(model, features.causal_features(e)), "event_id", "anomaly")
+
+
+_PARTS = {"p1": "score", "p2": "((event_id * 104729 + src * 17) % 997 + label * 150) / 1200.0::DOUBLE", "p3": "((t // 60 + usr * 13) % 777 + label * 90) / 900.0::DOUBLE"}
+
+
+def _search_sql() -> str:
+    lists = []
+    for name, op, mask in deployment.combination_names(list(_PARTS)):
+        own = [m for i, m in enumerate(_PARTS) if mask >> i & 1]
+        value = f"({' + '.join(own)}) / {len(own)}" if op == "mean" else f"greatest({', '.join(own)})"
+        lists.append(f"{{'name': '{name}', 'mask': {mask}, 's': round({value}, 9)}}")
+    cdf = ", ".join(f"round(count(*) FILTER (day < {{cut}}) OVER (ORDER BY {m}_raw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / (count(*) FILTER (day < {{cut}}) OVER ())::DOUBLE, 9) AS {m}" for m in _PARTS)
+    return f"""{SCORES_CTE}, d AS (SELECT *, t // 86400 - (SELECT min(t // 86400) FROM x) AS day, {', '.join(f'{v} AS {m}_raw' for m, v in _PARTS.items())} FROM x),
+    m AS (SELECT day, src, label, {cdf.format(cut=10)} FROM d),
+    c AS (SELECT day, src, label, unnest([{', '.join(lists)}]) AS c FROM m), z AS (SELECT day, src, label, c.name, c.mask, c.s FROM c),
+    k AS (SELECT name, mask, budget, list_sort(list(s) FILTER (day < 10))[ceil((count(*) FILTER (day < 10) - 1) * (1 - budget))::BIGINT + 1] AS threshold FROM z, (VALUES (0.01::DOUBLE), (0.001::DOUBLE)) AS b(budget) GROUP BY name, mask, budget)
+    SELECT k.name, CAST(k.mask AS INTEGER) AS mask, budget, round(threshold, 6) AS threshold, count(*) FILTER (s > threshold) AS alerts, CAST(coalesce(sum(label) FILTER (s > threshold), 0) AS BIGINT) AS hits,
+        count(DISTINCT (day, src)) FILTER (label = 1 AND s > threshold) AS campaigns, count(DISTINCT (day, src)) FILTER (label = 1) AS all_campaigns
+    FROM k JOIN z ON z.name = k.name AND z.day >= 10 GROUP BY ALL"""
+
+
+@registered("j09_combination_search", _search_sql())
+def j09(spark, sf_dir):
+    """Three detectors, ten combinations, thresholds from the first ten days."""
+    x = scores(spark, sf_dir)
+    first = F.broadcast(x.agg(F.floor(F.min("t") / 86_400).alias("first")))
+    rows = x.join(first).withColumns({"day": F.floor(F.col("t") / 86_400) - F.col("first"), "p2": ((F.col("event_id") * 104729 + F.col("src") * 17) % 997 + F.col("label") * 150) / F.lit(1200.0), "p3": ((F.floor(F.col("t") / 60) + F.col("usr") * 13) % 777 + F.col("label") * 90) / F.lit(900.0)})
+    found = graph.cut_lineage(rows.withColumnRenamed("score", "p1"), "members")
+    for m in _PARTS:
+        reference = found.filter("day < 10").select(F.col(f"{m}").alias("score"))
+        own = evaluation.percentile_of(found.select("event_id", F.col(m).alias("score")), reference)
+        found = found.drop(m).join(own.select("event_id", F.round("percentile", 9).alias(m)), "event_id")
+    return rounded(deployment.combination_search(found, list(_PARTS), F.col("day") < 10), "name", "mask", "budget", "threshold", "alerts", "hits", "campaigns", "all_campaigns")
+
+
+@registered("j10_leave_one_attacker_out")
+def j10(spark, sf_dir):
+    """Every labelled source left out in turn, ranked among all rows of the days that it attacked on."""
+    x = features.with_features(auth_sparse(spark, sf_dir), ML).withColumn("day", F.floor(F.col("t") / 86_400))
+    return rounded(deployment.leave_one_attacker_out(x, ML), "src", "day", "best_rank", "attacks", "average_precision")
 
 
 @registered("h09_percentile_to_risk", f"{SCORES_CTE}, p AS (SELECT event_id, (event_id % 1000) / 999.0::DOUBLE AS p FROM x) SELECT event_id, round(CASE WHEN p < 0.9 THEN p / 0.9::DOUBLE * 0.329195::DOUBLE WHEN p < 0.99 THEN 0.329195::DOUBLE + (p - 0.9::DOUBLE) / (0.99::DOUBLE - 0.9::DOUBLE) * (0.846394::DOUBLE - 0.329195::DOUBLE) ELSE 0.846394::DOUBLE + (p - 0.99::DOUBLE) / (1 - 0.99::DOUBLE) * (1 - 0.846394::DOUBLE) END, 6) + 0.0 AS risk FROM p")
@@ -234,7 +301,6 @@ _D24 = f"{SPARSE_SQL}{FEATURE_CTE} SELECT event_id, " + ", ".join(r6(n) if n in
 
 
 @registered("d24_incremental_features", _D24)
-@registered("d24_incremental_features_all_days", _D24)
 def d24_all_days(spark, sf_dir):
     """Every day, one after another; equals d23_causal_features_sparse in these features."""
     out, _ = incremental.advance_days(auth_sparse(spark, sf_dir))
@@ -247,7 +313,6 @@ _J06 = (
 
 
 @registered("j06_host_day_rank", _J06)
-@registered("j06_host_day_rank_attackers", _J06)
 def j06_attackers(spark, sf_dir):
     """Attackers are the hosts that labelled rows leave."""
     rows = scores(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +26,30 @@ def read_auth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_redteam(spark: SparkSession, path: str) -> DataFrame:
-    """Label rows with the number of their repetitions; a bad row is an error."""
-    return spark.read.schema(REDTEAM_SCHEMA).csv(path, mode="FAILFAST").groupBy("time", "user", "src_host", "dst_host").count()
+    """Label rows with the number of their repetitions; a bad row is an error, and so is a file without rows."""
+    rows = spark.read.schema(REDTEAM_SCHEMA).csv(path, mode="FAILFAST").groupBy("time", "user", "src_host", "dst_host").count()
+    if rows.isEmpty():
+        raise ValueError(f"no labels in {path}")
+    return rows
+
 
+def read_generic_labels(spark: SparkSession, path: str) -> DataFrame:
+    """t, user, src_host, dst_host of label files with or without a header, with epoch or ISO times; each label once."""
+    rows = spark.read.schema("time string, user string, src_host string, dst_host string").csv(path)
+    named = rows.select(S.parse_event_time(F.col("time")).alias("t"), F.trim("user").alias("user"), F.trim("src_host").alias("src_host"), F.trim("dst_host").alias("dst_host"), "time")
+    headers = F.lower(F.trim("time")).isin("time", "timestamp", "t")
+    small = F.when(named["time"].rlike("^ *[0-9]{1,8} *$"), F.trim("time").cast("long"))  # seconds since a corpus began
+    return named.filter(~headers).select(F.coalesce("t", small).alias("t"), "user", "src_host", "dst_host").dropDuplicates()
 
-def read_proc_starts(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(PROC_SCHEMA).csv(path).filter("action = 'Start'")
-    return rows.withColumn("proc_hash", F.xxhash64("proc"))
+
+def read_proc_starts(spark: SparkSession, path: str, users: DataFrame | None = None, hosts: DataFrame | None = None) -> DataFrame:
+    """Process starts with day, the hash of the process name and, given dictionaries (name, id), ids; -1 is unknown."""
+    rows = spark.read.schema(PROC_SCHEMA).csv(path).filter("action = 'Start'").withColumns({"proc_hash": F.xxhash64("proc"), "day": F.floor(F.col("time") / 86_400)})
+    for name, known in (("user", users), ("host", hosts)):
+        if known is not None:
+            ids = known.select(F.col("name").alias(name), F.col("id").alias(f"{name}_id"))
+            rows = rows.join(ids, name, "left").withColumn(f"{name}_id", F.coalesce(f"{name}_id", F.lit(-1)))
+    return rows
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
@@ -45,15 +64,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.input_file_name().alias("file"))
 
 
-def _split(rows: DataFrame, reason) -> tuple[DataFrame, DataFrame]:
+def _split(rows: DataFrame, reason, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     marked = rows.withColumn("reason", reason)
-    return marked.filter("reason IS NULL").select(*FIELDS), marked.filter("reason IS NOT NULL").select("value", "reason")
+    return marked.filter("reason IS NULL").select(*FIELDS, *keep), marked.filter("reason IS NOT NULL").select("value", "reason")
 
 
-def normalize_windows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Security events as JSON lines: fields at the top, under EventData, or under winlog.event_data."""
+def normalize_windows(rows: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Security events as JSON lines: fields at the top, under EventData, or under winlog.event_data. keep: columns that go along."""
     get = lambda *names: F.coalesce(*[F.get_json_object("value", f"$.{p}{n}") for n in names for p in ("", "EventData.", "winlog.event_data.")])
-    code = F.coalesce(get("EventID", "event_id"), F.get_json_object("value", "$.event.code")).cast("int")
+    code = F.coalesce(get("EventID", "event_id"), F.get_json_object("value", "$.event.code")).try_cast("int")
     made = rows.withColumns(
         {
             "code": code,
@@ -63,14 +82,48 @@ def normalize_windows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             "destination_host": F.when(code == 4769, S.canonical_host(get("ServiceName"))).otherwise(S.canonical_host(get("Computer", "Hostname"))),
             "destination_user": S.canonical_user(get("TargetUserName"), get("TargetDomainName")),
             "auth_type": F.when(code.isin(4768, 4769), "Kerberos").when(code == 4776, "NTLM").otherwise(S.canonical_auth(get("AuthenticationPackageName"))),
-            "logon_type": S.logon_code_name(get("LogonType").cast("int")),
+            "logon_type": S.logon_code_name(get("LogonType").try_cast("int")),
             "orientation": F.when(code == 4768, "TGT").when(code == 4769, "TGS").otherwise("LogOn"),
             "success": F.when(code == 4624, 1).when(code == 4625, 0).otherwise((F.coalesce(get("Status"), F.lit("0x0")) == "0x0").cast("int")),
             "source": F.lit("windows"),
         }
     )
     reason = F.when(F.get_json_object("value", "$").isNull(), "json").when(code.isNull() | ~code.isin(4624, 4625, 4768, 4769, 4776), "event").when(F.col("t").isNull(), "timestamp").when(S.is_noise_account(get("TargetUserName")), "noise account").when(F.col("destination_host") == "", "destination")
-    return _split(made, reason)
+    return _split(made, reason, keep)
+
+
+WINDOWS_XML = "System struct<EventID struct<_VALUE string>, TimeCreated struct<_SystemTime string>, Computer string>, EventData struct<Data array<struct<_Name string, _VALUE string>>>"
+
+
+def normalize_windows_xml(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Security events as XML documents, one a row, as the event log exports them: rejects that aren't such XML say `xml`.
+
+    Named data become a map, of repeated names the last value; the rules are those of normalize_windows.
+    """
+    data = F.col("doc.EventData.Data")
+    names = F.array_distinct(F.filter(F.transform(data, lambda d: d["_Name"]), lambda n: n.isNotNull()))
+    last = F.transform(names, lambda n: F.trim(F.coalesce(F.element_at(F.filter(data, lambda d: d["_Name"] == n), -1)["_VALUE"], F.lit(""))))
+    parsed = rows.withColumn("doc", F.from_xml("value", WINDOWS_XML))
+    code = F.trim("doc.System.EventID._VALUE")
+    is_event = F.coalesce(code.rlike("^[0-9]+$"), F.lit(False))
+    record = F.struct(code.try_cast("int").alias("EventID"), F.col("doc.System.TimeCreated._SystemTime").alias("TimeCreated"), F.col("doc.System.Computer").alias("Computer"), F.map_from_arrays(names, last).alias("EventData"))
+    good, bad = normalize_windows(parsed.filter(is_event).withColumn("value", F.to_json(record)).drop("doc"))
+    return good, bad.union(parsed.filter(~is_event).select("value", F.lit("xml")))
+
+
+def zeek_tsv_as_json(rows: DataFrame) -> DataFrame:
+    """Tab-separated Zeek lines (value, file) as JSON lines, by the `#fields` line of their file; `-` and `(empty)` are missing.
+
+    A file has one such line, so the table of them is small beside the rows and Spark may broadcast it. Lines of a file without one
+    stay as they are, for the rejects.
+    """
+    fields = rows.filter(F.col("value").startswith("#fields\t")).groupBy("file").agg(F.min("value").alias("_line"))
+    names = F.slice(F.split("_line", "\t"), 2, 10_000)
+    cells = F.transform(F.split("value", "\t"), lambda x: F.when(~x.isin("-", "(empty)", ""), x))
+    held = F.least(F.size(names), F.size(cells))
+    pairs = F.filter(F.arrays_zip(F.slice(names, F.lit(1), held).alias("n"), F.slice(cells, F.lit(1), held).alias("c")), lambda p: p["c"].isNotNull())
+    as_json = F.to_json(F.map_from_arrays(F.transform(pairs, lambda p: p["n"]), F.transform(pairs, lambda p: p["c"])))
+    return rows.filter(~F.col("value").startswith("#")).join(fields, "file", "left").withColumn("value", F.coalesce(as_json, "value")).drop("_line")
 
 
 def normalize_sshd(rows: DataFrame, assume_year: int) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +161,7 @@ def normalize_zeek(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             "auth_type": F.when(kerberos, "Kerberos").otherwise("NTLM"),
             "logon_type": F.lit("Network"),
             "orientation": F.when(get("request_type") == "AS", "TGT").when(get("request_type") == "TGS", "TGS").otherwise("LogOn"),
-            "success": (F.coalesce(get("success"), F.lit("true")) == "true").cast("int"),
+            "success": F.coalesce(get("success"), F.lit("true")).isin("true", "T").cast("int"),
             "source": F.lit("zeek"),
         }
     )
@@ -206,14 +259,47 @@ def to_ndjson(alerts: DataFrame) -> DataFrame:
     return alerts.select("event_id", F.to_json(F.struct(*sorted(alerts.columns))).alias("line"))
 
 
-def write_by_day(events: DataFrame, path: str, column: str = "auth_day") -> None:
-    """Parquet by day; an existing folder is never overwritten."""
-    events.withColumn(column, F.floor(F.col("t") / 86_400).cast("int")).repartition(column).write.mode("errorifexists").partitionBy(column).option("compression", "zstd").parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_by_day(events: DataFrame, path: str, column: str = "auth_day", report: bool = False) -> None:
+    """Parquet by day, all of it or none: written beside the target, then moved there in one step.
+
+    An existing folder is never overwritten, and a write that fails leaves nothing. Days are dealt by size, so a large day
+    has several writers. report: whether `_report`, which readers of the table pass over, holds a JSON line with the counts of each day.
+    """
+    spark = events.sparkSession
+    files, target = _file_system(spark, path)
+    if files.exists(target):
+        raise FileExistsError(path)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    _, at = _file_system(spark, staged)
+    try:
+        events.withColumn(column, F.floor(F.col("t") / 86_400).cast("int")).hint("rebalance", F.col(column)).write.partitionBy(column).option("compression", "zstd").parquet(staged)
+        if report:
+            days = spark.read.parquet(staged).groupBy(column).agg(F.count("*").alias("rows"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+            days.coalesce(1).write.json(f"{staged}/_report")
+        files.mkdirs(target.getParent())
+        if files.exists(target) or not files.rename(at, target):
+            raise FileExistsError(path)
+    except BaseException:
+        files.delete(at, True)
+        raise
+
+
+def write_features(features: DataFrame, path: str, column: str = "feature_day") -> None:
+    """Features by day with a report of their counts, published at once."""
+    write_by_day(features, path, column, report=True)
 
 
-def read_features(spark: SparkSession, path: str, defaults: dict[str, float]) -> DataFrame:
-    """Feature files of several ages: columns that older ones lack get their default."""
+def read_features(spark: SparkSession, path: str, defaults: dict[str, float], required: tuple[str, ...] = ("event_id", "t")) -> DataFrame:
+    """Feature files of several ages: columns that older ones lack get their default; a required column that none has is an error."""
     rows = spark.read.option("mergeSchema", "true").parquet(path)
+    lacking = [c for c in required if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"no column {', '.join(lacking)} in {path}")
     for name, value in defaults.items():
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in rows.columns else F.lit(value))
     return rows

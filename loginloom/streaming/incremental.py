@@ -6,14 +6,12 @@ so on, and `tail`, the events of the last day. Both can be written by day or by
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.features import DAY, HOUR, MINUTE5
 from ..operators.windows import strict_past
+from ..shared import fresh_path
 
 FEATURES = ["delta_user_log", "delta_pair_log", "user_seen_before", "pair_seen_before", "pair_rarity", "pair_frequency_1h", "user_auth_rate_5m", "user_historical_degree", "dst_historical_degree", "destination_novelty"]
 REGISTRY = "kind string, a long, b long, n long, last_t long"
@@ -73,7 +71,7 @@ def advance_days(events: DataFrame, state: dict[str, DataFrame] | None = None) -
     reads them, so no plan grows with the days. t must not be null.
     """
     spark = events.sparkSession
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/days-{uuid.uuid4().hex}"
+    root = fresh_path(spark, "days")
     state = state or empty_state(spark)
     day = F.floor(F.col("t") / DAY).alias("_day")
     events.select("*", day).write.partitionBy("_day").parquet(f"{root}/events")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import fusion
+from ..operators import fusion, graph
 from . import incremental
 
 EVENT = "event_id long, t long, usr long, src long, dst long, logon_id int, success int, label int"
@@ -66,8 +66,38 @@ def start_receipts(batches: DataFrame, receipts: str, accepted: str, checkpoint:
     return batches.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_alert_paths(scored: DataFrame, state_dir: str, out_dir: str, checkpoint: str, threshold: float = fusion.ALERT, window: int = graph.WINDOW, max_edges: int = graph.MAX_EDGES, min_risk: float = graph.MIN_RISK):
+    """Alerts and suspicious paths of each micro-batch: out_dir/paths and out_dir/alerts, partitioned by batch.
+
+    scored: event_id, t, usr, src, dst, risk, is_new, support. The tail of edges that may go on is a version of state_dir for each
+    batch; known paths are those that earlier batches wrote. A batch that is run again reads the version before it and
+    overwrites its own parts, so it adds nothing. An alert names the best of the new paths that hold its event.
+    """
+    spark = scored.sparkSession
+    edge = ("event_id", "t", "src", "dst", "risk", "is_new", "support")
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        batch = graph.cut_lineage(batch, "scored")
+        before = f"{state_dir}/v={batch_id - 1}"
+        tail = spark.read.parquet(before) if batch_id and _exists(spark, before) else batch.select(*edge).limit(0)
+        known = spark.createDataFrame([], "path_id string")
+        if _exists(spark, f"{out_dir}/paths"):
+            known = spark.read.parquet(f"{out_dir}/paths").filter(F.col("batch") < batch_id).select("path_id")
+        paths, after = graph.advance_paths(batch.select(*edge), tail, known, window, max_edges, min_risk)
+        graph.score_paths(paths, top_k=None).write.mode("overwrite").parquet(f"{out_dir}/paths/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
+        new = spark.read.parquet(f"{out_dir}/paths/batch={batch_id}")
+        best = new.select(F.explode("events").alias("event_id"), "path_id", "score", "first_t").groupBy("event_id").agg(F.min_by("path_id", F.struct(-F.col("score"), "first_t", "path_id")).alias("path_id"))
+        batch.filter(F.col("risk") >= threshold).join(best, "event_id", "left").write.mode("overwrite").parquet(f"{out_dir}/alerts/batch={batch_id}")
+
+    return scored.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class ChainState(StatefulProcessor):
-    """The chain rule of one account: hosts reached with their last times, and the times of hops."""
+    """The chain rule of one account: hosts reached with their last times, and the times of hops.
+
+    Hosts that were reached before the window are let go of after each batch; novelty needs `known` for good.
+    """
 
     def __init__(self, window: int = 1_800, prior: int = 3):
         self.window, self.prior = window, prior
@@ -101,6 +131,10 @@ class ChainState(StatefulProcessor):
                 if new:
                     self.known.updateValue((r.dst,), (int(t),))
         self.hops.update((hops,))
+        newest = int(frame["t"].max())
+        for host, (t,) in list(self.reached.iterator()):
+            if t < newest - self.window:
+                self.reached.removeKey(host)
         yield pd.DataFrame(out, columns=["event_id", "usr", "chain_continues", "chain_hop"])
 
     def close(self) -> None:
