@@ -8,6 +8,11 @@ decodes to the bytes of its words' ids. A task keeps the words that it has encod
 Words of more than LONG bytes take a second query that contracts all places of the pair of minimum rank in one step, where
 the merge table shows that this is the same: no pair with the merged token may rank before it.
 
+Words of more than SPAN bytes go through that query span by span, so that memory doesn't grow with the word. A sequence of tokens is
+the encoding of its bytes if, and only if, each two neighbours are the encoding of theirs. The last CARRY tokens of a span are
+taken back and encoded again with the bytes that follow; where a span's first token and the one before it aren't the
+encoding of their bytes, more tokens are taken back.
+
 Cases: a null or empty text has no ids (n_tokens 0, the digests of nothing). Ranks tie only between occurrences of one
 merged token; the leftmost goes first. Words may have any length. Repeated rows give repeated rows. Other columns of the
 input are ignored.
@@ -31,6 +36,8 @@ CHUNK = 2_500_000
 QUERY_BYTES = 500_000
 #: Longer words contract all places of a pair at once.
 LONG = 48
+#: Longer words are encoded in spans of as many bytes, after each of which as many tokens are open.
+SPAN, CARRY = 4_096, 4
 
 
 def vocabulary(path: str) -> list[tuple[bytes, int]]:
@@ -159,11 +166,51 @@ class Codec:
             out[w] = line, text
         return out
 
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        return [list(map(int, line.split(","))) for line, _ in self.contract(words, long=True)]
+
+    def spans(self, word: bytes) -> list[int]:
+        """The ids of a word of any length, with the memory of a span: see the module's text."""
+        if not hasattr(self, "bytes_of"):
+            self.bytes_of = {i: t for t, i in self.whole.items()}
+        out: list[int] = []
+        lo, open_ = 0, CARRY
+        agree: dict[tuple[int, int], bool] = {}
+        buffer = b""
+        while True:
+            part = word[lo : lo + SPAN]
+            lo += len(part)
+            buffer += part
+            while True:
+                ids = self._ids([buffer])[0]
+                if out:
+                    pair = (out[-1], ids[0])
+                    if pair not in agree:
+                        agree[pair] = self._ids([self.bytes_of[pair[0]] + self.bytes_of[pair[1]]])[0] == list(pair)
+                    if not agree[pair]:
+                        back = out[-open_:]
+                        del out[-open_:]
+                        buffer = b"".join(map(self.bytes_of.__getitem__, back)) + buffer
+                        open_ *= 2
+                        continue
+                break
+            if lo >= len(word):
+                return out + ids
+            keep = max(0, len(ids) - CARRY)
+            out += ids[:keep]
+            buffer = b"".join(map(self.bytes_of.__getitem__, ids[keep:]))
+            open_ = CARRY
+
     def learn(self, words) -> None:
         """Encodes new words and keeps their ids and what these decode to."""
         raws = {w: w.encode() for w in words}
         alike: dict[tuple[bool, bool], list[str]] = {}
         for word, raw in raws.items():
+            if len(raw) > SPAN and raw not in self.whole:
+                ids = self.spans(raw)
+                self.known[word] = ",".join(map(str, ids)), self.decode([ids])[0]
+                self.held += ENTRY + 4 * len(raw)
+                continue
             alike.setdefault((raw in self.whole, len(raw) > LONG), []).append(word)
         for (whole, long), some in alike.items():
             some.sort(key=lambda w: len(raws[w]))

@@ -44,7 +44,7 @@ def first_centroids(rows: DataFrame, k: int, salt: str) -> np.ndarray:
     """The vectors with the k least hashes of `salt:vec_id`."""
     hashed = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("vec_id").cast("string")), 256)
     least = rows.filter("vec_id IS NOT NULL").orderBy(hashed, "v").limit(k).collect()
-    return np.array([r.v for r in least], np.int64).reshape(len(least), -1)
+    return np.array([r.v for r in least], np.int64).reshape(len(least), -1 if least else 0)
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -139,8 +139,6 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, scale: float = 102
     spark = vectors.sparkSession
     kept = spool(_integers(vectors, scale, dimensions), "integers")
     centroids = first_centroids(kept, k, salt)
-    if not len(centroids):
-        centroids = np.zeros((0, dimensions), np.int64)
     for _ in range(rounds if len(centroids) else 0):
         moved = [[total // n for total in sums] if n else old for (n, sums), old in zip(_sums(kept, centroids), centroids.tolist())]
         centroids = np.array(moved, np.int64)
