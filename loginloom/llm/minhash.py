@@ -227,7 +227,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
                 yield pa.RecordBatch.from_arrays([node, members.cast(pa.binary())], ["made", "members"])
 
     made = _only(docs, "text_key", some.select("text_key")).select("text").mapInArrow(tidy(run), "made binary, members binary")
-    one = made.join(some.select("node"), F.col("made") == F.col("node"), "left_semi").groupBy("made").agg(F.first("members").alias("members"))
+    one = made.groupBy("made").agg(F.first("members").alias("members"))  # of many copies a task sends one
     sets = spool(some.select("node", "n", "signature").join(one, F.col("node") == F.col("made")).drop("made"), "sets")
     drop_spool(some)
     return sets
