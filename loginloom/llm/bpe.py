@@ -3,7 +3,8 @@
 Each step of the recursion joins the token-position rows of the words at hand with the merge table and contracts every
 word's leftmost pair of minimum rank; a word that has no pair left leaves the recursion. Every word's ids, also those of a
 word that is a token itself, are then joined with the vocabulary, whose bytes an ordered aggregation puts together: a text
-decodes to the bytes of its words' ids. A task keeps the words that it has encoded, up to a bound; beyond it the older half goes.
+decodes to the bytes of its words' ids. A worker keeps the words that it has encoded, up to a bound in bytes; beyond it the
+quarter goes that was asked for longest ago.
 
 Words of more than LONG bytes take a second query that contracts all places of the pair of minimum rank in one step, where
 the merge table shows that this is the same: no pair with the merged token may rank before it.
@@ -143,9 +144,9 @@ class Codec:
         self.con.register("given_vocab", words)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given_merges")
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM given_vocab")
-        #: word to its ids, written with commas, and the bytes that these decode to
+        #: word to its ids, written with commas, and the bytes that these decode to; those asked for last come last
         self.known: dict[str, tuple[str, bytes]] = {}
-        self.held = 0
+        self.held, self.cache = 0, CACHE
 
     def contract(self, words: list[bytes], whole: bool = False, long: bool = False) -> list[tuple[str, bytes]]:
         """The ids of each word, written with commas, and the bytes that these decode to. whole: all words are tokens, which stay so."""
@@ -225,14 +226,17 @@ class Codec:
                 lo = hi
 
     def ready(self, asked: set[str]) -> None:
-        """Learns what is new of the words asked for; before, if there would be too many, the older half of the others goes."""
-        fresh = asked.difference(self.known)
-        if self.held + ENTRY * len(fresh) > CACHE:
-            old = list(self.known)
-            for word in old[: len(old) // 2]:
+        """Learns what is new of the words asked for; before, if there would be too many, a quarter of the others goes."""
+        known = self.known
+        fresh = asked.difference(known)
+        for word in asked.intersection(known):
+            known[word] = known.pop(word)
+        if self.held + ENTRY * len(fresh) > self.cache:
+            old = list(known)
+            for word in old[: len(old) // 4]:
                 if word not in asked:
-                    del self.known[word]
-            self.known = dict(self.known)
+                    del known[word]
+            self.known = dict(known)
             self.held = sum(ENTRY + 4 * len(x) for _, x in self.known.values())
         if fresh:
             self.learn(fresh)
@@ -248,7 +252,7 @@ class Codec:
         return out
 
 
-def encode_batches(batches: Iterator, path: str, pattern: str, emit_ids: bool) -> Iterator:
+def encode_batches(batches: Iterator, path: str, pattern: str, emit_ids: bool, cache: int = CACHE) -> Iterator:
     """Arrow batches (doc_id, text) with the digests of each text; with emit_ids also its ids."""
     import pyarrow as pa
     import regex
@@ -257,6 +261,7 @@ def encode_batches(batches: Iterator, path: str, pattern: str, emit_ids: bool) -
     for batch in batches:
         docs, texts = batch.column(0), batch.column(1)
         codec = kept(("bpe", path), lambda: Codec(path))
+        codec.cache = cache
         lo = 0
         while lo < len(texts):
             words, total, hi = [], 0, lo
@@ -285,18 +290,19 @@ def encode_batches(batches: Iterator, path: str, pattern: str, emit_ids: bool) -
             lo = hi
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, emit_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, emit_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, and with emit_ids the ids themselves.
 
     path: a file of ranks in tiktoken's format that every executor has; by default byte_bpe_multi_50k of the installed
-    public tokenizers. pattern: what a word of the text is. No shuffle: each partition works alone.
+    public tokenizers. pattern: what a word of the text is. cache: bytes of encoded words that a worker keeps. No shuffle: each
+    partition works alone.
     """
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * emit_ids
-    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(lambda it: encode_batches(it, path, pattern, emit_ids), schema)
+    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(lambda it: encode_batches(it, path, pattern, emit_ids, cache), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ def op1_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"))
+    return bpe.encode(table(spark, sf_dir, "documents"), cache=240_000_000)
 
 
 def op3_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
