@@ -15,11 +15,12 @@ def block_table(scores: DataFrame) -> DataFrame:
 
 
 def chronological_split(events: DataFrame, train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """events with `partition`, cut by position and moved past ties in time."""
+    """events with `partition`, cut by position and moved past ties in time. A part that would hold no event stays empty."""
     n = events.count()
     cuts = [int(n * train), int(n * (train + validation))]
-    at = global_position(events.select("t", "event_id"), ["t", "event_id"]).filter(F.col("position").isin([c - 1 for c in cuts])).orderBy("position")
-    first, second = (r.t for r in at.collect())
+    placed = global_position(events.select("t", "event_id"), ["t", "event_id"]).filter(F.col("position").isin([c - 1 for c in cuts]))
+    at = {r.position: r.t for r in placed.collect()}
+    first, second = (F.lit(at.get(c - 1)).cast("long") for c in cuts)
     return events.withColumn("partition", F.when(F.col("t") <= first, "train").when(F.col("t") <= second, "validation").otherwise("test"))
 
 
@@ -29,24 +30,24 @@ def _ranked(blocks: DataFrame) -> DataFrame:
 
 
 def average_precision(blocks: DataFrame) -> DataFrame:
-    """Each block's positives are credited with the precision at the block's end."""
+    """Each block's positives are credited with the precision at the block's end; null without positives, as are the other metrics."""
     rows = _ranked(blocks)
     part = F.col("n_pos") * F.col("cum_n_pos") / (F.col("cum_n_pos") + F.col("cum_n_neg"))
-    return rows.agg((F.sum(part) / F.sum("n_pos")).alias("average_precision"))
+    return rows.agg(F.try_divide(F.sum(part), F.sum("n_pos")).alias("average_precision"))
 
 
 def roc_auc(blocks: DataFrame) -> DataFrame:
     """A tied pair counts half."""
     rows = _ranked(blocks)
     below = F.sum(F.col("n_pos") * (F.lit(0.5) * F.col("n_neg") + F.col("cum_n_neg") - F.col("n_neg")))
-    return rows.agg((1 - below / (F.sum("n_pos") * F.sum("n_neg"))).alias("roc_auc"))
+    return rows.agg((1 - F.try_divide(below, F.sum("n_pos") * F.sum("n_neg"))).alias("roc_auc"))
 
 
 def at_k(scores: DataFrame, k: int) -> DataFrame:
     """recall and precision of the k highest scores; ties go against the detector."""
     top = scores.orderBy(F.desc("score"), "label").limit(k)
     total = scores.agg(F.sum("label").alias("positives"))
-    return top.agg(F.sum("label").alias("hits"), F.count("*").alias("taken")).join(F.broadcast(total)).select((F.col("hits") / F.col("positives")).alias("recall"), (F.col("hits") / F.col("taken")).alias("precision"))
+    return top.agg(F.sum("label").alias("hits"), F.count("*").alias("taken")).join(F.broadcast(total)).select(F.try_divide("hits", "positives").alias("recall"), F.try_divide("hits", "taken").alias("precision"))
 
 
 def threshold_at_budget(scores: DataFrame, per_10k: float) -> DataFrame:
@@ -66,7 +67,7 @@ def select_threshold(blocks: DataFrame, per_10k: float) -> DataFrame:
 def operating_point(scores: DataFrame, threshold: float) -> DataFrame:
     fired = (F.col("score") >= threshold).cast("int")
     row = scores.agg(F.sum(fired).alias("alerts"), F.sum(fired * F.col("label")).alias("tp"), F.sum(fired * (1 - F.col("label"))).alias("fp"), F.sum("label").alias("p"), F.count("*").alias("n"))
-    return row.select("alerts", "tp", "fp", (F.col("tp") / F.col("p")).alias("recall"), F.when(F.col("alerts") > 0, F.col("tp") / F.col("alerts")).otherwise(0.0).alias("precision"), (F.col("fp") * 10_000 / F.col("n")).alias("fp_per_10k"))
+    return row.select("alerts", "tp", "fp", F.try_divide("tp", "p").alias("recall"), F.when(F.col("alerts") > 0, F.col("tp") / F.col("alerts")).otherwise(0.0).alias("precision"), F.try_divide(F.col("fp") * 10_000, F.col("n")).alias("fp_per_10k"))
 
 
 def brier(scores: DataFrame) -> DataFrame:
@@ -111,18 +112,6 @@ def attack_only(events: DataFrame, entity: str) -> DataFrame:
     return rows.filter("least = 1").select("entity", "n")
 
 
-def holdouts(scores: DataFrame, entity: str, k: int = 10) -> DataFrame:
-    """entity, average_precision without it, for the k entities with most attacks.
-
-    The entities are few, so each row is kept once for each entity that it isn't of; ranks are taken per held-out entity.
-    """
-    top = scores.filter("label = 1").groupBy(F.col(entity).alias("held_out")).count().orderBy(F.desc("count"), "held_out").limit(k).select("held_out")
-    rows = scores.join(F.broadcast(top), F.col(entity) != F.col("held_out")).groupBy("held_out", "score").agg(F.sum("label").alias("n_pos"), F.count("*").alias("n"))
-    w = Window.partitionBy("held_out").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"cum_pos": F.sum("n_pos").over(w), "cum": F.sum("n").over(w)})
-    return rows.groupBy("held_out").agg((F.sum(F.col("n_pos") * F.col("cum_pos") / F.col("cum")) / F.sum("n_pos")).alias("average_precision"))
-
-
 def drift(baseline: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
     """psi over equal bins of [0, 1] with a floor of 1e-4, and the two-sample ks distance, of scores."""
     at = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))

@@ -12,11 +12,6 @@ from .windows import global_position
 HOUR, DAY = 3_600, 86_400
 
 
-def one_hot(events: DataFrame, blocks: dict[str, list]) -> DataFrame:
-    """events with a 0/1 column for each known value of each column, named column_value; anything else is 0 in all."""
-    return events.withColumns({f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for c, values in blocks.items() for v in values})
-
-
 def chronological(events: DataFrame) -> DataFrame:
     """events with `position`, from 0, by (t, event_id): range partitions numbered apart."""
     return global_position(events, ["t", "event_id"])
@@ -81,9 +76,9 @@ def technique_metrics(rows: DataFrame) -> DataFrame:
     return out.select("technique", "injected", "alerted", "attributed", "attributed_other", "false_attributions", share(F.col("alerted"), F.col("injected")).alias("detection_recall"), share(correct, F.col("injected")).alias("attribution_recall"), share(correct, correct + false).alias("precision"), share(10_000 * false, F.col("benign")).alias("false_per_10k"))
 
 
-def combine_percentiles(members: DataFrame, names: list[str]) -> DataFrame:
-    """members (event_id and percentiles) with `combined`: the mean of the members, as a percentile of all means."""
-    mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)
+def combine_percentiles(members: DataFrame, names: list[str], how: str = "mean") -> DataFrame:
+    """members (event_id and percentiles) with `combined`: the mean (or the `max`) of the members, as a percentile of all of these."""
+    mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names) if how == "mean" else F.greatest(*names)
     rows = members.withColumn("mean", F.round(mean, 9))
     # equal means share a place: counts per mean, then a running total over the ordered means
     counts = rows.groupBy("mean").agg(F.count("*").alias("n"))
@@ -127,15 +122,44 @@ def truth_match(events: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def hop_latency(hops: DataFrame) -> DataFrame:
-    """campaign, hops, first_alert_hop, first_action_hop, prevented: what an action at a hop still stops of its campaign.
+    """campaign, family, interval, hops, first_alert_hop, first_action_hop, prevented, prevented_account of each campaign.
 
-    hops: campaign, hop (from 1), alerted, acted.
+    hops: campaign, family, interval, hop (from 1), usr, alerted, acted. An action stops the rest of its campaign (prevented),
+    or only what its account would have gone on to do (prevented_account).
     """
     first = lambda c: F.min(F.when(F.col(c) == 1, F.col("hop")))
-    rows = hops.groupBy("campaign").agg(F.max("hop").alias("hops"), first("alerted").alias("first_alert_hop"), first("acted").alias("first_action_hop"))
+    rows = hops.withColumn("_stopped", first("acted").over(Window.partitionBy("campaign", "usr")))
+    rows = rows.groupBy("campaign", "family", "interval").agg(F.max("hop").alias("hops"), first("alerted").alias("first_alert_hop"), first("acted").alias("first_action_hop"), F.count_if(F.col("hop") > F.col("_stopped")).alias("prevented_account"))
     return rows.withColumn("prevented", F.coalesce(F.col("hops") - F.col("first_action_hop"), F.lit(0)))
 
 
+def latency_summary(campaigns: DataFrame) -> DataFrame:
+    """by (all, family, interval), value, and over the campaigns of hop_latency: campaigns, detected, detection_rate, median and mean
+    first alert, and the prevented share of all hops in both meanings: one pass with grouping sets."""
+    share = lambda c: F.sum(c) / F.sum("hops")
+    detected = F.count("first_alert_hop")
+    rows = campaigns.groupingSets([[], ["family"], ["interval"]], "family", "interval").agg(
+        F.grouping_id().alias("level"),
+        F.count("*").alias("campaigns"),
+        detected.alias("detected"),
+        (detected / F.count("*")).alias("detection_rate"),
+        F.percentile("first_alert_hop", 0.5).alias("median_latency"),
+        F.avg("first_alert_hop").alias("mean_latency"),
+        share("prevented").alias("prevented_campaign"),
+        share("prevented_account").alias("prevented_account"),
+    )
+    by = F.when(F.col("level") == 3, "all").when(F.col("level") == 1, "family").otherwise("interval")
+    return rows.select(by.alias("by"), F.coalesce(F.col("family").cast("string"), F.col("interval").cast("string")).alias("value"), *[c for c in rows.columns if c not in ("family", "interval", "level")])
+
+
+def benign_cost(events: DataFrame) -> DataFrame:
+    """benign_events, alerted, acted, users_hit and both rates per 10,000 of events (usr, alerted, acted) outside campaigns."""
+    on = lambda c: F.col(c) == 1
+    rows = events.agg(F.count("*").alias("benign_events"), F.count_if(on("alerted")).alias("alerted"), F.count_if(on("acted")).alias("acted"), F.count_distinct(F.when(on("acted"), F.col("usr"))).alias("users_hit"))
+    rate = lambda c: F.coalesce(F.try_divide(10_000 * F.col(c), F.col("benign_events")), F.lit(0.0))
+    return rows.withColumns({"alerted_per_10k": rate("alerted"), "acted_per_10k": rate("acted")})
+
+
 def feedback_labels(records: DataFrame) -> DataFrame:
     """alert_id, label, source, decided_by, decided_at: one verdict for each alert that analysts have settled.
 
@@ -170,14 +194,16 @@ def training_rows(verdicts: DataFrame, alerts: DataFrame, features: DataFrame, b
 def budget_gate(actions: DataFrame, per_hour: int = 20, cooldown: int = HOUR) -> DataFrame:
     """event_id, verdict (allowed, hourly, cooldown) of unattended actions (tenant, t, event_id, usr) in stream order.
 
-    At most per_hour an hour in a tenant, and one an account in `cooldown`. What is allowed depends on what was before, so
+    At most per_hour an hour in a tenant, and one an account in `cooldown`; a row whose `escalation`, if there is that column, is 1 is another
+    rung on an account that was acted on, so only the hourly limit holds it. What is allowed depends on what was before, so
     it is replayed; a pause longer than both windows forgets all, so a tenant's stream is cut there, and each part is a
     group of its own.
     """
     pause = max(HOUR, cooldown)
     w = Window.partitionBy("tenant").orderBy("t", "event_id")
     opens = F.coalesce((F.col("t") - F.lag("t").over(w) >= pause).cast("int"), F.lit(0))
-    parts = actions.select("tenant", "t", "event_id", "usr").withColumn("_opens", opens).withColumn("part", F.sum("_opens").over(w)).drop("_opens")
+    rung = F.coalesce(F.col("escalation").cast("int"), F.lit(0)) if "escalation" in actions.columns else F.lit(0)
+    parts = actions.select("tenant", "t", "event_id", "usr", rung.alias("rung")).withColumn("_opens", opens).withColumn("part", F.sum("_opens").over(w)).drop("_opens")
 
     def replay(frame):
         import bisect
@@ -187,10 +213,10 @@ def budget_gate(actions: DataFrame, per_hour: int = 20, cooldown: int = HOUR) ->
         spent: list[int] = []
         last: dict[int, int] = {}
         out = []
-        for t, event_id, usr in sorted(zip(frame["t"], frame["event_id"], frame["usr"])):
+        for t, event_id, usr, rung in sorted(zip(frame["t"], frame["event_id"], frame["usr"], frame["rung"])):
             if len(spent) - bisect.bisect_right(spent, t - HOUR) >= per_hour:
                 out.append((event_id, "hourly"))
-            elif cooldown and usr in last and t - last[usr] < cooldown:
+            elif cooldown and not rung and usr in last and t - last[usr] < cooldown:
                 out.append((event_id, "cooldown"))
             else:
                 out.append((event_id, "allowed"))

@@ -241,17 +241,6 @@ def i15(spark, sf_dir):
     return evaluation.attack_only(auth_sparse(spark, sf_dir), "dst")
 
 
-@registered(
-    "i16_entity_holdout",
-    f"""{SCORES_CTE}, top AS (SELECT usr AS held_out FROM x WHERE label = 1 GROUP BY usr ORDER BY count(*) DESC, usr LIMIT 10),
-    g AS (SELECT held_out, score, sum(label) AS n_pos, count(*) AS n FROM x JOIN top ON usr <> held_out GROUP BY held_out, score),
-    h AS (SELECT *, sum(n_pos) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY held_out ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT held_out, round(sum(n_pos * cp / cn::DOUBLE) / sum(n_pos), 6) AS average_precision FROM h GROUP BY held_out""",
-)
-def i16(spark, sf_dir):
-    return rounded(evaluation.holdouts(scores(spark, sf_dir), "usr"), "held_out", "average_precision")
-
-
 @registered(
     "i18_drift_psi_ks",
     f"""{SCORES_CTE}, k AS (SELECT quantile_disc(t, 0.5) AS cut FROM x), y AS (SELECT score, (t <= cut)::INTEGER AS old, (t > cut)::INTEGER AS new FROM x, k), n AS (SELECT sum(old)::DOUBLE AS n_old, sum(new)::DOUBLE AS n_new FROM y),

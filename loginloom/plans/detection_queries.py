@@ -137,27 +137,6 @@ def registered(name: str, sql: str | None = None):
     return keep
 
 
-PROBED = ["user_seen_before", "pair_seen_before", "pair_frequency_1h", "user_auth_rate_5m", "delta_user_log", "pair_rarity"]
-
-
-@registered(
-    "d25_counterfactual_features",
-    f"""{DENSE_SQL}, p AS (SELECT -1 - event_id AS event_id, t, usr, src, (dst + 1) % 97 AS dst FROM e WHERE event_id % 10 = 3)
-    SELECT p.event_id,
-        CAST(count(*) FILTER (e.usr = p.usr) > 0 AS INTEGER) AS user_seen_before,
-        CAST(count(*) FILTER (e.usr = p.usr AND e.dst = p.dst) > 0 AS INTEGER) AS pair_seen_before,
-        count(*) FILTER (e.usr = p.usr AND e.dst = p.dst AND e.t > p.t - 3600) AS pair_frequency_1h,
-        count(*) FILTER (e.usr = p.usr AND e.t > p.t - 300) AS user_auth_rate_5m,
-        round(coalesce(ln(1.0 + any_value(p.t) - max(e.t) FILTER (e.usr = p.usr)), 0.0), 6) + 0.0 AS delta_user_log,
-        round(1 / sqrt(count(*) FILTER (e.usr = p.usr AND e.dst = p.dst) + 1.0), 6) + 0.0 AS pair_rarity
-    FROM p LEFT JOIN e ON e.usr = p.usr AND e.t < p.t GROUP BY p.event_id""",
-)
-def d25(spark, sf_dir):
-    e = auth_dense(spark, sf_dir)
-    probes = e.filter("event_id % 10 = 3").withColumns({"event_id": -1 - F.col("event_id"), "dst": (F.col("dst") + 1) % 97})
-    return rounded(features.featurise_probes(e, probes, PROBED), "event_id", *PROBED)
-
-
 @registered("d26_sample_counterfactuals")
 def d26(spark, sf_dir):
     return features.counterfactuals(auth_dense(spark, sf_dir), share=0.02)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, detection_queries, ingest_queries, landing_queries, report_queries, study_queries
+from . import analysis_queries, detection_queries, incident_queries, ingest_queries, landing_queries, report_queries, study_queries
 
-MODULES = (detection_queries, analysis_queries, ingest_queries, landing_queries, study_queries, report_queries)
+MODULES = (detection_queries, analysis_queries, ingest_queries, landing_queries, study_queries, report_queries, incident_queries)
 
 
 def queries() -> dict:

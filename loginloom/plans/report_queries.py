@@ -103,6 +103,18 @@ def h08(spark, sf_dir):
     return rounded(reports.combine_percentiles(members, ["a", "b"]), "event_id", "combined")
 
 
+@registered(
+    "h08_combine_percentiles_max",
+    f"{SCORES_CTE}, m AS (SELECT event_id, cume_dist() OVER (ORDER BY score) AS a, cume_dist() OVER (ORDER BY (event_id * 104729 + src * 17) % 997) AS b FROM x), z AS (SELECT event_id, round(greatest(round(a, 9), round(b, 9)), 9) AS most FROM m) SELECT event_id, round(cume_dist() OVER (ORDER BY most), 6) AS combined FROM z",
+)
+def h08_max(spark, sf_dir):
+    """The greater percentile of two scorings of the same events."""
+    x = scores(spark, sf_dir)
+    other = x.select("event_id", ((F.col("event_id") * 104729 + F.col("src") * 17) % 997).cast("double").alias("score"))
+    own = [evaluation.percentile_of(rows, rows.select("score")).select("event_id", F.round("percentile", 9).alias(name)) for rows, name in ((x.select("event_id", "score"), "a"), (other, "b"))]
+    return rounded(reports.combine_percentiles(own[0].join(own[1], "event_id"), ["a", "b"], "max"), "event_id", "combined")
+
+
 @registered(
     "i19_rank_statistics",
     f"{SCORES_CTE}, b AS (SELECT score FROM x WHERE label = 0) SELECT event_id, (SELECT count(*) FROM b WHERE b.score > x.score) AS above, (SELECT count(*) FROM b WHERE b.score = x.score) AS tied FROM x WHERE label = 1",
@@ -133,18 +145,40 @@ def j07(spark, sf_dir):
     return rounded(reports.host_ranking(scores(spark, sf_dir)), "day", "src", "host_score", "rank")
 
 
-@registered(
-    "j12_hop_latency_metrics",
-    f"{DENSE_SQL}, c AS (SELECT usr AS campaign, row_number() OVER (PARTITION BY usr ORDER BY t, event_id) AS hop, CAST(event_id % 5 = 3 AS INTEGER) AS alerted, CAST(event_id % 11 = 4 AS INTEGER) AS acted FROM e WHERE label = 1) SELECT campaign, max(hop) AS hops, min(hop) FILTER (alerted = 1) AS first_alert_hop, min(hop) FILTER (acted = 1) AS first_action_hop, coalesce(max(hop) - min(hop) FILTER (acted = 1), 0) AS prevented FROM c GROUP BY campaign",
-)
-def j12(spark, sf_dir):
+_HOPS_CTE = f"""{DENSE_SQL}, h0 AS (SELECT src AS campaign, src % 4 AS family, (src % 3) * 300 AS interval, usr, row_number() OVER (PARTITION BY src ORDER BY t, event_id) AS hop, CAST(event_id % 5 = 3 AS INTEGER) AS alerted, CAST(event_id % 7 = 4 AS INTEGER) AS acted FROM e WHERE label = 1),
+    h1 AS (SELECT *, min(hop) FILTER (acted = 1) OVER (PARTITION BY campaign, usr) AS stopped FROM h0),
+    lat AS (SELECT campaign, family, interval, max(hop) AS hops, min(hop) FILTER (alerted = 1) AS first_alert_hop, min(hop) FILTER (acted = 1) AS first_action_hop, coalesce(max(hop) - min(hop) FILTER (acted = 1), 0) AS prevented, count(*) FILTER (hop > stopped) AS prevented_account FROM h1 GROUP BY campaign, family, interval)"""
+
+
+def _campaigns(spark, sf_dir):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("usr").orderBy("t", "event_id")
-    rows = auth_dense(spark, sf_dir).filter("label = 1").select(F.col("usr").alias("campaign"), F.row_number().over(w).cast("long").alias("hop"), (F.col("event_id") % 5 == 3).cast("int").alias("alerted"), (F.col("event_id") % 11 == 4).cast("int").alias("acted"))
+    w = Window.partitionBy("src").orderBy("t", "event_id")
+    flag = lambda n, at: (F.col("event_id") % n == at).cast("int")
+    rows = auth_dense(spark, sf_dir).filter("label = 1").select(F.col("src").alias("campaign"), (F.col("src") % 4).alias("family"), ((F.col("src") % 3) * 300).alias("interval"), "usr", F.row_number().over(w).cast("long").alias("hop"), flag(5, 3).alias("alerted"), flag(7, 4).alias("acted"))
     return reports.hop_latency(rows)
 
 
+@registered("j12_hop_latency_metrics", f"{_HOPS_CTE} SELECT * FROM lat")
+def j12(spark, sf_dir):
+    return _campaigns(spark, sf_dir)
+
+
+_SUMMED = "count(*) AS campaigns, count(first_alert_hop) AS detected, round(count(first_alert_hop) / count(*)::DOUBLE, 6) + 0.0 AS detection_rate, round(median(first_alert_hop), 6) AS median_latency, round(avg(first_alert_hop), 6) AS mean_latency, round(sum(prevented) / sum(hops)::DOUBLE, 6) + 0.0 AS prevented_campaign, round(sum(prevented_account) / sum(hops)::DOUBLE, 6) + 0.0 AS prevented_account"
+
+
+@registered("j12_latency_summary", f"{_HOPS_CTE} SELECT 'all' AS by, NULL::VARCHAR AS value, {_SUMMED} FROM lat UNION ALL SELECT 'family', family::VARCHAR, {_SUMMED} FROM lat GROUP BY family UNION ALL SELECT 'interval', interval::VARCHAR, {_SUMMED} FROM lat GROUP BY interval")
+def j12_summary(spark, sf_dir):
+    return rounded(reports.latency_summary(_campaigns(spark, sf_dir)), "by", "value", "campaigns", "detected", "detection_rate", "median_latency", "mean_latency", "prevented_campaign", "prevented_account")
+
+
+@registered("j12_benign_cost", f"{DENSE_SQL}, b AS (SELECT usr, event_id % 50 = 3 AS alerted, event_id % 70 = 4 AS acted FROM e WHERE label = 0) SELECT count(*) AS benign_events, count(*) FILTER (alerted) AS alerted, count(*) FILTER (acted) AS acted, count(DISTINCT usr) FILTER (acted) AS users_hit, round(10000 * count(*) FILTER (alerted) / count(*)::DOUBLE, 6) AS alerted_per_10k, round(10000 * count(*) FILTER (acted) / count(*)::DOUBLE, 6) AS acted_per_10k FROM b")
+def j12_cost(spark, sf_dir):
+    flag = lambda n, at: (F.col("event_id") % n == at).cast("int")
+    rows = auth_dense(spark, sf_dir).filter("label = 0").select("usr", flag(50, 3).alias("alerted"), flag(70, 4).alias("acted"))
+    return rounded(reports.benign_cost(rows), "benign_events", "alerted", "acted", "users_hit", "alerted_per_10k", "acted_per_10k")
+
+
 _RECORDS = """SELECT event_id AS seq, usr * 40 + k % 40 AS alert_id, t, CASE logon_id WHEN 0 THEN 'force_reauth' WHEN 1 THEN 'lock_account' WHEN 2 THEN 'notify_soc' ELSE 'isolate_host' END AS action,
     CASE k % 6 WHEN 0 THEN 'pending_approval' WHEN 1 THEN 'rejected' WHEN 2 THEN 'executed' WHEN 3 THEN 'kept' WHEN 4 THEN 'reverted' ELSE 'dry_run' END AS outcome,
     CASE WHEN orient_name = 'LogOn' THEN 'policy' ELSE 'approval' END AS authority, concat('analyst', src % 4) AS approved_by,
@@ -187,12 +221,12 @@ def k09(spark, sf_dir):
         UNION ALL
         SELECT tenant, n, event_id, CASE WHEN verdict = 'allowed' THEN list_append(spent, {{'t': t, 'usr': usr}}) ELSE spent END, verdict
         FROM (SELECT n.tenant, n.n, n.event_id, n.t, n.usr, list_filter(s.spent, lambda x: x.t > n.t - 3600) AS spent, CASE WHEN len(list_filter(s.spent, lambda x: x.t > n.t - 3600)) >= 20 THEN 'hourly'
-            WHEN len(list_filter(s.spent, lambda x: x.usr = n.usr AND x.t > n.t - 3600)) > 0 THEN 'cooldown' ELSE 'allowed' END AS verdict
+            WHEN n.event_id % 6 <> 0 AND len(list_filter(s.spent, lambda x: x.usr = n.usr AND x.t > n.t - 3600)) > 0 THEN 'cooldown' ELSE 'allowed' END AS verdict
             FROM st s JOIN n ON n.tenant = s.tenant AND n.n = s.n + 1)
     ) SELECT event_id, verdict FROM st WHERE n > 0""",
 )
 def k03(spark, sf_dir):
-    return reports.budget_gate(alerts(spark, sf_dir).withColumn("tenant", F.col("src") % 7))
+    return reports.budget_gate(alerts(spark, sf_dir).withColumns({"tenant": F.col("src") % 7, "escalation": (F.col("event_id") % 6 == 0).cast("int")}))
 
 
 _SOURCES = {"kerberos": "auth_name = 'Kerberos'", "ntlm": "auth_name = 'NTLM'", "tickets": "orient_name IN ('TGT', 'TGS')", "failures": "success = 0", "process": "false"}

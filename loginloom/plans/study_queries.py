@@ -8,7 +8,7 @@ from ..operators import deployment, evaluation, features, graph, rules, studies
 from ..shared import fresh_path
 from ..streaming import incremental
 from .analysis_queries import ALERTS_CTE, SCORES_CTE, alerts, scores
-from .detection_queries import CHAIN_CTE, FANOUT_CTE, FEATURE_CTE, SCORE_CTE, TACTIC_CTE, classified, r6, rounded, scored
+from .detection_queries import CHAIN_CTE, FANOUT_CTE, FEATURE_CTE, SCORE_CTE, TACTIC_CTE, classified, r6, rounded, scored, selected
 from .fixtures import DENSE_SQL, SPARSE_SQL, auth_dense, auth_sparse
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -267,11 +267,6 @@ def k07(spark, sf_dir):
     return studies.approval_status(e.select(F.col("usr").alias("alert_id"), (F.col("src") % 3).alias("action"), "t", F.col("event_id").alias("seq"), outcome.alias("outcome")))
 
 
-@registered("k10_incident_rollup", f"{ALERTS_CTE} SELECT usr, count(*) AS n_alerts, max(risk) AS max_risk, min(t) AS first_t, max(t) AS last_t, count(DISTINCT dst) AS n_hosts FROM a GROUP BY usr ORDER BY max_risk DESC, n_alerts DESC, usr LIMIT 50")
-def k10(spark, sf_dir):
-    return studies.incident_rollup(alerts(spark, sf_dir))
-
-
 @registered(
     "l01_overview",
     f"""{DENSE_SQL}{SCORE_CTE}, r AS (SELECT usr, src, dst, round(risk, 6) AS risk FROM s), a AS (SELECT * FROM r WHERE risk >= 0.8),
@@ -297,13 +292,10 @@ def l03(spark, sf_dir):
     return rounded(scores(spark, sf_dir).agg(F.avg("score").alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"), disc(0.5).alias("p50"), disc(0.95).alias("p95")), "mean", "least", "most", "p50", "p95")
 
 
-_D24 = f"{SPARSE_SQL}{FEATURE_CTE} SELECT event_id, " + ", ".join(r6(n) if n in ("delta_user_log", "delta_pair_log", "pair_rarity", "destination_novelty") else n for n in incremental.FEATURES) + " FROM f"
-
-
-@registered("d24_incremental_features", _D24)
-def d24_all_days(spark, sf_dir):
-    """Every day, one after another; equals d23_causal_features_sparse in these features."""
-    out, _ = incremental.advance_days(auth_sparse(spark, sf_dir))
+@registered("d24_incremental_features", f"{SPARSE_SQL}{FEATURE_CTE} SELECT event_id, {selected(incremental.FEATURES)} FROM f")
+def d24(spark, sf_dir):
+    """All features, three days after three days, each from what the days before left; equals d23_causal_features_sparse."""
+    out, _ = incremental.advance_days(auth_sparse(spark, sf_dir), step=3)
     return rounded(out, "event_id", *incremental.FEATURES)
 
 

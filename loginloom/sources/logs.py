@@ -310,3 +310,15 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("sha256"))
     whole = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "file", "sha256"))), "\n"), 256).alias("dataset_sha256"))
     return files.join(F.broadcast(whole))
+
+
+def one_format(profile: DataFrame) -> str:
+    """The format that all files of a profile have; several formats, or one that isn't known, are an error that names files."""
+    found = profile.groupBy("format").agg(F.min("file").alias("file")).orderBy("format").collect()  # a row for each format
+    if not found:
+        raise ValueError("no lines to tell a format from")
+    if len(found) > 1:
+        raise ValueError("one format at a time: " + ", ".join(f"{r.format} in {r.file}" for r in found))
+    if found[0].format == "unknown":
+        raise ValueError(f"nothing in {found[0].file} tells its format")
+    return found[0].format

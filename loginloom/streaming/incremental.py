@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.features import DAY, HOUR, MINUTE5
-from ..operators.windows import strict_past
+from ..operators.features import ALL, COUNTED, DAY, HOUR, hour_columns, with_features
+from ..operators.windows import open_window, strict_past
 from ..shared import fresh_path
 
-FEATURES = ["delta_user_log", "delta_pair_log", "user_seen_before", "pair_seen_before", "pair_rarity", "pair_frequency_1h", "user_auth_rate_5m", "user_historical_degree", "dst_historical_degree", "destination_novelty"]
+#: Features that look back a day at most, so that the tail and the new rows give them; all others need what is known.
+BOUNDED = ["pair_frequency_1h", "user_auth_rate_5m", "user_failure_rate_15m", "failures_before_success_15m", *COUNTED]
+FEATURES = ALL
 REGISTRY = "kind string, a long, b long, n long, last_t long"
-TAIL = "event_id long, t long, usr long, src long, dst long, success int"
+TAIL = "event_id long, t long, usr long, src long, dst long, logon_id int, success int, first_pair int"
+#: What the registry knows, by kind: the columns that name it.
+KINDS = {"usr": ("usr", None), "pair": ("usr", "dst"), "hosts": ("src", "dst"), "logon": ("usr", "logon_id"), "route": ("usr", "src")}
 
 
 def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
@@ -23,57 +27,70 @@ def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def _kinds(events: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("long")
-    rows = F.explode(F.array(F.struct(F.lit("usr").alias("kind"), F.col("usr").alias("a"), none.alias("b")), F.struct(F.lit("pair").alias("kind"), F.col("usr").alias("a"), F.col("dst").alias("b")))).alias("k")
+    name = lambda c: (F.col(c) if c else F.lit(None)).cast("long")
+    rows = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), name(a).alias("a"), name(b).alias("b")) for kind, (a, b) in KINDS.items()])).alias("k")
     return events.select("t", rows).select("k.*", "t")
 
 
+def _known(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """rows with, for each kind, n_<kind> and last_<kind> of what their columns name, and how many partners a usr, src, dst has had."""
+    for kind, (a, b) in KINDS.items():
+        held = registry.filter(F.col("kind") == kind).select(F.col("a").alias(a), *([F.col("b").alias(b)] if b else []), F.col("n").alias(f"n_{kind}"), F.col("last_t").alias(f"last_{kind}"))
+        rows = rows.join(held, [a, b] if b else [a], "left")
+    for name, kind, side, column in (("k_usr", "pair", "a", "usr"), ("k_dst", "pair", "b", "dst"), ("k_src", "hosts", "a", "src"), ("k_logon", "logon", "a", "usr")):
+        rows = rows.join(registry.filter(F.col("kind") == kind).groupBy(F.col(side).alias(column)).agg(F.count("*").alias(name)), column, "left")
+    return rows.fillna(0, [*[f"n_{k}" for k in KINDS], "k_usr", "k_dst", "k_src", "k_logon"])
+
+
 def advance_day(events: DataFrame, state: dict[str, DataFrame], cut: bool = True) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(events with FEATURES, the next state). events: later than all of the state. cut: whether the registry's lineage is."""
     known, tail = state["registry"], state["tail"]
-    users = known.filter("kind = 'usr'").select(F.col("a").alias("usr"), F.col("n").alias("k_n"), F.col("last_t").alias("k_last"))
-    pairs = known.filter("kind = 'pair'").select(F.col("a").alias("usr"), F.col("b").alias("dst"), F.col("n").alias("p_n"), F.col("last_t").alias("p_last"))
-    degree = lambda c, name: known.filter("kind = 'pair'").groupBy(F.col("a" if c == "usr" else "b").alias(c)).agg(F.count("*").alias(name))
-    rows = events.join(users, "usr", "left").join(pairs, ["usr", "dst"], "left").join(degree("usr", "d_usr"), "usr", "left").join(degree("dst", "d_dst"), "dst", "left").fillna(0, ["k_n", "p_n", "d_usr", "d_dst"])
-    past = lambda *k: F.count("*").over(strict_past(*k))
-    last = lambda old, *k: F.greatest(F.col(old), F.max("t").over(strict_past(*k)))
-    fresh = ((F.row_number().over(Window.partitionBy("usr", "dst").orderBy("t", "event_id")) == 1) & (F.col("p_n") == 0)).cast("int")
-    rows = rows.withColumn("_fresh", fresh)
-    firsts = lambda k: F.coalesce(F.sum("_fresh").over(strict_past(k)), F.lit(0))
+    rows = _known(events, known)
+    past = lambda kind: F.col(f"n_{kind}") + F.count("*").over(strict_past(*[c for c in KINDS[kind] if c]))
+    seen = lambda kind: (past(kind) > 0).cast("int")
+    first = lambda kind: ((F.row_number().over(Window.partitionBy(*KINDS[kind]).orderBy("t", "event_id")) == 1) & (F.col(f"n_{kind}") == 0)).cast("int")
+    since = lambda kind: F.coalesce(F.log1p((F.col("t") - F.greatest(f"last_{kind}", F.max("t").over(strict_past(*[c for c in KINDS[kind] if c])))).cast("double")), F.lit(0.0))
+    rows = rows.withColumns({"first_pair": first("pair"), "_first_hosts": first("hosts"), "_first_logon": first("logon")})
+    firsts = lambda name, flag, key: (F.col(name) + F.coalesce(F.sum(flag).over(strict_past(key)), F.lit(0))).cast("long")
     rows = rows.withColumns(
         {
-            "user_seen_before": (F.col("k_n") + past("usr") > 0).cast("int"),
-            "pair_seen_before": (F.col("p_n") + past("usr", "dst") > 0).cast("int"),
-            "delta_user_log": F.coalesce(F.log1p((F.col("t") - last("k_last", "usr")).cast("double")), F.lit(0.0)),
-            "delta_pair_log": F.coalesce(F.log1p((F.col("t") - last("p_last", "usr", "dst")).cast("double")), F.lit(0.0)),
-            "pair_rarity": 1 / F.sqrt(F.col("p_n") + past("usr", "dst") + 1.0),
-            "user_historical_degree": (F.col("d_usr") + firsts("usr")).cast("long"),
-            "dst_historical_degree": (F.col("d_dst") + firsts("dst")).cast("long"),
+            "user_seen_before": seen("usr"),
+            "pair_seen_before": seen("pair"),
+            "is_new_pair": 1 - seen("pair"),
+            "user_src_seen_before": seen("route"),
+            "src_dst_seen_before": seen("hosts"),
+            "delta_user_log": since("usr"),
+            "delta_pair_log": since("pair"),
+            "pair_rarity": 1 / F.sqrt(past("pair") + 1.0),
+            "user_historical_degree": firsts("k_usr", "first_pair", "usr"),
+            "src_host_historical_degree": firsts("k_src", "_first_hosts", "src"),
+            "dst_historical_degree": firsts("k_dst", "first_pair", "dst"),
+            "rare_logon_score": -F.log((past("logon") + 1.0) / (past("usr") + firsts("k_logon", "_first_logon", "usr") + 1.0)),
         }
-    ).withColumn("destination_novelty", 1 / (F.col("dst_historical_degree") + 1.0))
-    # rolling counts need the tail's rows in the window, not in the result
+    ).withColumns({"destination_novelty": 1 / (F.col("dst_historical_degree") + 1.0), **hour_columns()})
+    # windows reach back into the tail's rows, which stand in the result of an earlier call
     both = rows.withColumn("_new", F.lit(1)).unionByName(tail.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-    rolling = lambda w, *k: F.count("*").over(Window.partitionBy(*k).orderBy("t").rangeBetween(-(w - 1), -1))
-    out = both.withColumns({"pair_frequency_1h": rolling(HOUR, "usr", "dst"), "user_auth_rate_5m": rolling(MINUTE5, "usr")}).filter("_new = 1").select(*events.columns, *FEATURES)
+    ratio = F.coalesce(F.avg("first_pair").over(open_window(HOUR, "usr")), F.lit(0.0))
+    out = with_features(both, BOUNDED).withColumn("user_new_dst_ratio_1h", ratio).filter("_new = 1")
     added = _kinds(events).groupBy("kind", "a", "b").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
     registry = known.unionByName(added).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.max("last_t").alias("last_t"))
-    recent = tail.unionByName(events.select("event_id", "t", "usr", "src", "dst", "success"))
+    recent = tail.unionByName(rows.select([F.col(f.name).cast(f.dataType) for f in tail.schema.fields]))
     # of both, so that a batch without rows drops nothing
     edge = recent.agg(F.max("t").alias("edge"))
     kept = recent.join(F.broadcast(edge), F.col("t") > F.col("edge") - DAY).drop("edge")
-    return out, {"registry": registry.checkpoint() if cut and events.sparkSession.conf.get("spark.checkpoint.dir", None) else registry, "tail": kept}
+    return out.select(*events.columns, *FEATURES), {"registry": registry.checkpoint() if cut and events.sparkSession.conf.get("spark.checkpoint.dir", None) else registry, "tail": kept}
 
 
-def advance_days(events: DataFrame, state: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(events with FEATURES, the last state) over every day of events, each from the state that the days before left.
+def advance_days(events: DataFrame, state: dict[str, DataFrame] | None = None, step: int = 1) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(events with FEATURES, the last state) over every `step` days of events, each from the state that the days before left.
 
-    Events are dealt by day once; a day's features, registry and tail are written to the shared folder before the next day
+    Events are dealt by step once; a step's features, registry and tail are written to the shared folder before the next
     reads them, so no plan grows with the days. t must not be null.
     """
     spark = events.sparkSession
     root = fresh_path(spark, "days")
     state = state or empty_state(spark)
-    day = F.floor(F.col("t") / DAY).alias("_day")
+    day = F.floor(F.col("t") / (DAY * step)).alias("_day")
     events.select("*", day).write.partitionBy("_day").parquet(f"{root}/events")
     days = sorted(r[0] for r in events.select(day).distinct().collect())
     if not days:

@@ -164,3 +164,15 @@ def test_provenance_of_the_bytes(spark, tmp_path):
     assert {(r.file, r.sha256, r.dataset_sha256) for r in logs.provenance(spark, str(tmp_path)).collect()} == {(n, h, whole) for n, h in sha.items()}
     rows = registry.queries()["a24_dataset_provenance"](spark, SF).collect()
     assert len({r.dataset_sha256 for r in rows}) == 1 and all(len(r.sha256) == 64 for r in rows)
+
+
+def test_one_format_at_a_time(spark):
+    sshd, okta = "Jan 1 00:00:00 h sshd[1]: x", '{"actor": {}, "published": "x"}'
+    profile = lambda rows: logs.profile_log_format(spark.createDataFrame(rows, "value string, file string"))
+    assert logs.one_format(profile([(sshd, "a"), (sshd, "b")])) == "sshd"
+    with pytest.raises(ValueError, match="one format at a time"):
+        logs.one_format(profile([(sshd, "a"), (okta, "b")]))
+    with pytest.raises(ValueError, match="nothing in"):
+        logs.one_format(profile([("the quick brown fox", "a")]))
+    with pytest.raises(ValueError, match="no lines"):
+        logs.one_format(profile([("", "a")]))

@@ -48,7 +48,7 @@ def test_plans_keep_every_alert(spark):
 
 
 def test_empty_batch_keeps_the_tail(spark):
-    events = spark.createDataFrame([(1, 100, 1, 2, 3, 1)], incremental.TAIL)
+    events = spark.createDataFrame([(1, 100, 1, 2, 3, 0, 1)], incremental.TAIL.rpartition(",")[0])
     _, state = incremental.advance_day(events, incremental.empty_state(spark))
     _, after = incremental.advance_day(events.limit(0), state)
     assert after["tail"].count() == 1 and after["registry"].count() == state["registry"].count()

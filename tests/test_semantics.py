@@ -91,7 +91,7 @@ def test_split_windows_equal_whole_ones(spark):
 
 def test_incremental_features_of_all_days_equal_batch(spark):
     sf, names = "/root/testdata/sf0.001", streams.incremental.FEATURES
-    got = registry.queries()["d24_incremental_features_all_days"](spark, sf).select("event_id", *names).collect()
+    got = registry.queries()["d24_incremental_features"](spark, sf).select("event_id", *names).collect()
     e = auth_sparse(spark, sf)
     want = {r.event_id: r for r in rounded(features.with_features(e, names), "event_id", *names).collect()}
     assert e.select(F.floor(F.col("t") / 86_400)).distinct().count() > 3 and len(got) == len(want)
