@@ -294,8 +294,8 @@ def l03(spark, sf_dir):
 
 @registered("d24_incremental_features", f"{SPARSE_SQL}{FEATURE_CTE} SELECT event_id, {selected(incremental.FEATURES)} FROM f")
 def d24(spark, sf_dir):
-    """All features, three days after three days, each from what the days before left; equals d23_causal_features_sparse."""
-    out, _ = incremental.advance_days(auth_sparse(spark, sf_dir), step=3)
+    """All features, week after week, each from what the weeks before left; equals d23_causal_features_sparse."""
+    out, _ = incremental.advance_days(auth_sparse(spark, sf_dir), step=7)
     return rounded(out, "event_id", *incremental.FEATURES)
 
 
