@@ -140,3 +140,9 @@ def severity(c: Column, scale: str) -> Column:
     for bound, name in reversed(SEVERITY[scale]):
         out = F.when(c >= bound, name).otherwise(out)
     return out
+
+
+def incident_severity(risk: Column, escalated: Column, above_gate: Column) -> Column:
+    """The band of an account's incident: critical if it was escalated or the gate's alerts reach 0.9, high with any alert above the gate."""
+    gated = F.coalesce(above_gate > 0, F.lit(False))
+    return F.when(F.coalesce(escalated, F.lit(False)) | (gated & (risk >= 0.9)), "critical").when(gated, "high").when(risk >= 0.5, "medium").otherwise("low")

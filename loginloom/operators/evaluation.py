@@ -140,6 +140,38 @@ def grouped_auc(scores: DataFrame, group: str) -> DataFrame:
     return found.filter("p > 0 AND q > 0").select(group, (F.col("u") / (F.col("p") * F.col("q"))).alias("auc"))
 
 
+def group_summary(scores: DataFrame, group: str, threshold: float) -> DataFrame:
+    """One row over the groups (recordings, say) with an attack: groups, attacks, benign, detected (an attack at or above the threshold),
+    benign_alerts, with_benign, attack_first and attack_first_by_chance among those, pooled_auc of all their rows, mean_auc within groups.
+
+    scores: event_id, score, label and the group. A group's first is its highest score, ties to the smaller event_id; by chance it is an
+    attack with the share of attacks in the group.
+    """
+    attack, benign = F.col("label") == 1, F.col("label") == 0
+    by = scores.groupBy(group).agg(
+        F.count_if(attack).alias("attacks"),
+        F.count_if(benign).alias("benign"),
+        F.max((attack & (F.col("score") >= threshold)).cast("int")).alias("detected"),
+        F.count_if(benign & (F.col("score") >= threshold)).alias("benign_alerts"),
+        F.max_by("label", F.struct("score", -F.col("event_id"))).alias("first"),
+    ).filter("attacks > 0")
+    mixed = F.col("benign") > 0
+    total = by.agg(
+        F.count("*").alias("groups"),
+        F.sum("attacks").alias("attacks"),
+        F.sum("benign").alias("benign"),
+        F.sum("detected").cast("long").alias("detected"),
+        F.sum("benign_alerts").alias("benign_alerts"),
+        F.count_if(mixed).alias("with_benign"),
+        F.count_if(mixed & (F.col("first") == 1)).alias("attack_first"),
+        F.sum(F.when(mixed, F.col("attacks") / (F.col("attacks") + F.col("benign")))).alias("attack_first_by_chance"),
+    )
+    held = scores.join(by.select(group), group, "left_semi")
+    pooled = roc_auc(block_table(held)).withColumnRenamed("roc_auc", "pooled_auc")
+    within = grouped_auc(scores, group).agg(F.avg("auc").alias("mean_auc"))
+    return total.join(F.broadcast(pooled)).join(F.broadcast(within))
+
+
 def budget_curve(scores: DataFrame, budgets: list[float]) -> DataFrame:
     """budget, threshold, benign_rate, recall: thresholds at shares of benign rows, the k-th greatest."""
     out = None

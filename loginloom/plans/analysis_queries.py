@@ -269,6 +269,22 @@ def i22(spark, sf_dir):
     return rounded(evaluation.grouped_auc(scores(spark, sf_dir), "src"), "src", "auc")
 
 
+_RECORDED = "x1 AS (SELECT *, t // 3600 AS g FROM x), a1 AS (SELECT * FROM x1 WHERE g IN (SELECT g FROM x1 WHERE label = 1))"
+
+
+@registered(
+    "i22_group_summary",
+    f"""{SCORES_CTE}, {_RECORDED}, by_g AS (SELECT g, sum(label) AS p, sum(1 - label) AS q, max((label = 1 AND score >= 0.8)::INTEGER) AS hit, sum((label = 0 AND score >= 0.8)::INTEGER) AS fp, arg_max(label, (score, -event_id)) AS first FROM a1 GROUP BY g),
+    pr AS (SELECT p.g AS g, n.g AS h, CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END::DOUBLE AS win FROM (SELECT * FROM a1 WHERE label = 1) p, (SELECT * FROM a1 WHERE label = 0) n)
+    SELECT count(*) AS groups, CAST(sum(p) AS BIGINT) AS attacks, CAST(sum(q) AS BIGINT) AS benign, CAST(sum(hit) AS BIGINT) AS detected, CAST(sum(fp) AS BIGINT) AS benign_alerts, count(*) FILTER (q > 0) AS with_benign, count(*) FILTER (q > 0 AND first = 1) AS attack_first,
+        round(sum(p / (p + q)::DOUBLE) FILTER (q > 0), 6) AS attack_first_by_chance, (SELECT round(avg(win), 6) FROM pr) AS pooled_auc, (SELECT round(avg(w), 6) FROM (SELECT avg(win) AS w FROM pr WHERE g = h GROUP BY g)) AS mean_auc FROM by_g""",
+)
+def i22_summary(spark, sf_dir):
+    """Hours of the stream as recordings."""
+    rows = scores(spark, sf_dir).withColumn("g", F.floor(F.col("t") / 3_600))
+    return rounded(evaluation.group_summary(rows, "g", 0.8), "groups", "attacks", "benign", "detected", "benign_alerts", "with_benign", "attack_first", "attack_first_by_chance", "pooled_auc", "mean_auc")
+
+
 @registered("i24_rank_agreement", f"{SCORES_CTE}, y AS (SELECT event_id, score AS a, floor(score * 20) / 20 AS b FROM x), z AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM y) SELECT round(corr(ra, rb), 6) AS spearman, round(max(abs(a - b)), 6) AS max_delta FROM z")
 def i24(spark, sf_dir):
     rows = scores(spark, sf_dir).select("event_id", "score")

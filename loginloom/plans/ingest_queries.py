@@ -182,10 +182,10 @@ def b14(spark, sf_dir):
     return auth_sparse(spark, sf_dir).select("event_id", S.oov_bucket("user", F.concat(F.lit("u"), "usr"), 1_000, 4_096).alias("bucket"))
 
 
-@registered("b15_severity_bands", f"{SPARSE_SQL}, r AS (SELECT event_id, (event_id % 100) / 100.0::DOUBLE AS risk FROM e) SELECT event_id, CASE WHEN risk >= 0.9 THEN 'critical' WHEN risk >= 0.75 THEN 'high' WHEN risk >= 0.5 THEN 'medium' ELSE 'low' END AS intelligence, CASE WHEN risk >= 0.85 THEN 'critical' WHEN risk >= 0.7 THEN 'high' WHEN risk >= 0.5 THEN 'medium' ELSE 'low' END AS console FROM r")
+@registered("b15_severity_bands", f"{SPARSE_SQL}, r AS (SELECT event_id, (event_id % 100) / 100.0::DOUBLE AS risk FROM e) SELECT event_id, CASE WHEN risk >= 0.9 THEN 'critical' WHEN risk >= 0.75 THEN 'high' WHEN risk >= 0.5 THEN 'medium' ELSE 'low' END AS intelligence, CASE WHEN risk >= 0.85 THEN 'critical' WHEN risk >= 0.7 THEN 'high' WHEN risk >= 0.5 THEN 'medium' ELSE 'low' END AS console, CASE WHEN event_id % 13 = 0 OR event_id % 4 = 0 AND risk >= 0.9 THEN 'critical' WHEN event_id % 4 = 0 THEN 'high' WHEN risk >= 0.5 THEN 'medium' ELSE 'low' END AS incident FROM r")
 def b15(spark, sf_dir):
     risk = (F.col("event_id") % 100) / 100.0
-    return auth_sparse(spark, sf_dir).select("event_id", S.severity(risk, "intelligence").alias("intelligence"), S.severity(risk, "console").alias("console"))
+    return auth_sparse(spark, sf_dir).select("event_id", S.severity(risk, "intelligence").alias("intelligence"), S.severity(risk, "console").alias("console"), S.incident_severity(risk, F.col("event_id") % 13 == 0, (F.col("event_id") % 4 == 0).cast("int")).alias("incident"))
 
 
 # ---- ingest ---------------------------------------------------------------------------------------------------------
