@@ -64,6 +64,29 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.input_file_name().alias("file"))
 
 
+def _once(rows: DataFrame, made: dict) -> DataFrame:
+    """rows with further columns, each computed once a row.
+
+    A filter on computed columns moves below their projection and repeats their expressions at every use, and those of the lines that
+    they read; it doesn't move below a generator.
+    """
+    kept = [c for c in rows.columns if c not in made]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
+class _Json:
+    """Paths of the JSON lines in `value` as columns; `read` gives the rows with these columns, each path looked up once a row."""
+
+    def __init__(self):
+        self.columns = {}
+
+    def __call__(self, path: str):
+        return F.col(self.columns.setdefault(path, f"_json{len(self.columns)}"))
+
+    def read(self, rows: DataFrame) -> DataFrame:
+        return _once(rows, {n: F.get_json_object("value", p) for p, n in self.columns.items()})
+
+
 def _split(rows: DataFrame, reason, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     marked = rows.withColumn("reason", reason)
     return marked.filter("reason IS NULL").select(*FIELDS, *keep), marked.filter("reason IS NOT NULL").select("value", "reason")
@@ -71,25 +94,24 @@ def _split(rows: DataFrame, reason, keep: tuple[str, ...] = ()) -> tuple[DataFra
 
 def normalize_windows(rows: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Security events as JSON lines: fields at the top, under EventData, or under winlog.event_data. keep: columns that go along."""
-    get = lambda *names: F.coalesce(*[F.get_json_object("value", f"$.{p}{n}") for n in names for p in ("", "EventData.", "winlog.event_data.")])
-    code = F.coalesce(get("EventID", "event_id"), F.get_json_object("value", "$.event.code")).try_cast("int")
-    made = rows.withColumns(
-        {
-            "code": code,
-            "t": S.parse_event_time(F.coalesce(get("TimeCreated", "EventTime"), F.get_json_object("value", "$['@timestamp']"))),
-            "user": S.canonical_user(get("TargetUserName"), get("TargetDomainName")),
-            "source_host": S.canonical_host(F.coalesce(get("IpAddress"), get("WorkstationName"), get("Workstation"))),
-            "destination_host": F.when(code == 4769, S.canonical_host(get("ServiceName"))).otherwise(S.canonical_host(get("Computer", "Hostname"))),
-            "destination_user": S.canonical_user(get("TargetUserName"), get("TargetDomainName")),
-            "auth_type": F.when(code.isin(4768, 4769), "Kerberos").when(code == 4776, "NTLM").otherwise(S.canonical_auth(get("AuthenticationPackageName"))),
-            "logon_type": S.logon_code_name(get("LogonType").try_cast("int")),
-            "orientation": F.when(code == 4768, "TGT").when(code == 4769, "TGS").otherwise("LogOn"),
-            "success": F.when(code == 4624, 1).when(code == 4625, 0).otherwise((F.coalesce(get("Status"), F.lit("0x0")) == "0x0").cast("int")),
-            "source": F.lit("windows"),
-        }
-    )
-    reason = F.when(F.get_json_object("value", "$").isNull(), "json").when(code.isNull() | ~code.isin(4624, 4625, 4768, 4769, 4776), "event").when(F.col("t").isNull(), "timestamp").when(S.is_noise_account(get("TargetUserName")), "noise account").when(F.col("destination_host") == "", "destination")
-    return _split(made, reason, keep)
+    path = _Json()
+    get = lambda *names: F.coalesce(*[path(f"$.{p}{n}") for n in names for p in ("", "EventData.", "winlog.event_data.")])
+    code = F.coalesce(get("EventID", "event_id"), path("$.event.code")).try_cast("int")
+    fields = {
+        "code": code,
+        "t": S.parse_event_time(F.coalesce(get("TimeCreated", "EventTime"), path("$['@timestamp']"))),
+        "user": S.canonical_user(get("TargetUserName"), get("TargetDomainName")),
+        "source_host": S.canonical_host(F.coalesce(get("IpAddress"), get("WorkstationName"), get("Workstation"))),
+        "destination_host": F.when(code == 4769, S.canonical_host(get("ServiceName"))).otherwise(S.canonical_host(get("Computer", "Hostname"))),
+        "destination_user": S.canonical_user(get("TargetUserName"), get("TargetDomainName")),
+        "auth_type": F.when(code.isin(4768, 4769), "Kerberos").when(code == 4776, "NTLM").otherwise(S.canonical_auth(get("AuthenticationPackageName"))),
+        "logon_type": S.logon_code_name(get("LogonType").try_cast("int")),
+        "orientation": F.when(code == 4768, "TGT").when(code == 4769, "TGS").otherwise("LogOn"),
+        "success": F.when(code == 4624, 1).when(code == 4625, 0).otherwise((F.coalesce(get("Status"), F.lit("0x0")) == "0x0").cast("int")),
+        "source": F.lit("windows"),
+    }
+    reason = F.when(path("$").isNull(), "json").when(F.col("code").isNull() | ~F.col("code").isin(4624, 4625, 4768, 4769, 4776), "event").when(F.col("t").isNull(), "timestamp").when(S.is_noise_account(get("TargetUserName")), "noise account").when(F.col("destination_host") == "", "destination")
+    return _split(_once(path.read(rows), fields), reason, keep)
 
 
 WINDOWS_XML = "System struct<EventID struct<_VALUE string>, TimeCreated struct<_SystemTime string>, Computer string>, EventData struct<Data array<struct<_Name string, _VALUE string>>>"
@@ -103,7 +125,7 @@ def normalize_windows_xml(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     data = F.col("doc.EventData.Data")
     names = F.array_distinct(F.filter(F.transform(data, lambda d: d["_Name"]), lambda n: n.isNotNull()))
     last = F.transform(names, lambda n: F.trim(F.coalesce(F.element_at(F.filter(data, lambda d: d["_Name"] == n), -1)["_VALUE"], F.lit(""))))
-    parsed = rows.withColumn("doc", F.from_xml("value", WINDOWS_XML))
+    parsed = _once(rows, {"doc": F.from_xml("value", WINDOWS_XML)})
     code = F.trim("doc.System.EventID._VALUE")
     is_event = F.coalesce(code.rlike("^[0-9]+$"), F.lit(False))
     record = F.struct(code.try_cast("int").alias("EventID"), F.col("doc.System.TimeCreated._SystemTime").alias("TimeCreated"), F.col("doc.System.Computer").alias("Computer"), F.map_from_arrays(names, last).alias("EventData"))
@@ -129,43 +151,42 @@ def zeek_tsv_as_json(rows: DataFrame) -> DataFrame:
 def normalize_sshd(rows: DataFrame, assume_year: int) -> tuple[DataFrame, DataFrame]:
     """Accepted, failed and invalid-user lines with syslog or ISO stamps."""
     line = r"^(\S+ +\d+ [\d:]{8}|\d{4}-\S+) (\S+) sshd\[\d+\]: (Accepted|Failed) (\S+) for (?:invalid user )?(\S+) from (\S+) port"
-    part = lambda i: F.regexp_extract("value", line, i)
-    made = rows.withColumns(
-        {
-            "t": S.parse_event_time(part(1), assume_year),
-            "user": F.lower(part(5)),
-            "source_host": S.canonical_host(part(6)),
-            "destination_host": S.canonical_host(part(2)),
-            "destination_user": F.lower(part(5)),
-            "auth_type": F.when(part(4) == "publickey", "Key").otherwise("Password"),
-            "logon_type": F.lit("RemoteInteractive"),
-            "orientation": F.lit("LogOn"),
-            "success": (part(3) == "Accepted").cast("int"),
-            "source": F.lit("sshd"),
-        }
-    )
-    return _split(made, F.when(part(5) == "", "no logon").when(F.col("t").isNull(), "timestamp"))
+    part = lambda i: F.col(f"_part{i}")
+    fields = {
+        "t": S.parse_event_time(part(1), assume_year),
+        "user": F.lower(part(5)),
+        "source_host": S.canonical_host(part(6)),
+        "destination_host": S.canonical_host(part(2)),
+        "destination_user": F.lower(part(5)),
+        "auth_type": F.when(part(4) == "publickey", "Key").otherwise("Password"),
+        "logon_type": F.lit("RemoteInteractive"),
+        "orientation": F.lit("LogOn"),
+        "success": (part(3) == "Accepted").cast("int"),
+        "source": F.lit("sshd"),
+    }
+    parts = _once(rows, {f"_part{i}": F.regexp_extract("value", line, i) for i in (1, 2, 3, 4, 5, 6)})
+    return _split(_once(parts, fields), F.when(part(5) == "", "no logon").when(F.col("t").isNull(), "timestamp"))
 
 
 def normalize_zeek(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kerberos and NTLM records as JSON lines."""
-    get = lambda n: F.get_json_object("value", f"$['{n}']")
+    path = _Json()
+    get = lambda n: path(f"$['{n}']")
     kerberos = get("client").isNotNull()
-    made = rows.withColumns(
-        {
-            "t": F.floor(get("ts").cast("double")).cast("long"),
-            "user": F.when(kerberos, S.canonical_user(F.split_part(get("client"), F.lit("/"), F.lit(1)), F.split_part(get("client"), F.lit("/"), F.lit(2)))).otherwise(S.canonical_user(get("username"), get("domainname"))),
-            "source_host": S.canonical_host(get("id.orig_h")),
-            "destination_host": F.when(kerberos & (S.service_host(get("service")) != ""), S.service_host(get("service"))).otherwise(S.canonical_host(F.coalesce(get("server_nb_computer_name"), get("id.resp_h")))),
-            "destination_user": F.lit(None).cast("string"),
-            "auth_type": F.when(kerberos, "Kerberos").otherwise("NTLM"),
-            "logon_type": F.lit("Network"),
-            "orientation": F.when(get("request_type") == "AS", "TGT").when(get("request_type") == "TGS", "TGS").otherwise("LogOn"),
-            "success": F.coalesce(get("success"), F.lit("true")).isin("true", "T").cast("int"),
-            "source": F.lit("zeek"),
-        }
-    )
-    return _split(made, F.when(F.col("t").isNull(), "timestamp").when(F.coalesce(get("client"), get("username")).isNull(), "user"))
+    fields = {
+        "t": F.floor(get("ts").cast("double")).cast("long"),
+        "user": F.when(kerberos, S.canonical_user(F.split_part(get("client"), F.lit("/"), F.lit(1)), F.split_part(get("client"), F.lit("/"), F.lit(2)))).otherwise(S.canonical_user(get("username"), get("domainname"))),
+        "source_host": S.canonical_host(get("id.orig_h")),
+        "destination_host": F.when(kerberos & (S.service_host(get("service")) != ""), S.service_host(get("service"))).otherwise(S.canonical_host(F.coalesce(get("server_nb_computer_name"), get("id.resp_h")))),
+        "destination_user": F.lit(None).cast("string"),
+        "auth_type": F.when(kerberos, "Kerberos").otherwise("NTLM"),
+        "logon_type": F.lit("Network"),
+        "orientation": F.when(get("request_type") == "AS", "TGT").when(get("request_type") == "TGS", "TGS").otherwise("LogOn"),
+        "success": F.coalesce(get("success"), F.lit("true")).isin("true", "T").cast("int"),
+        "source": F.lit("zeek"),
+    }
+    reason = F.when(F.col("t").isNull(), "timestamp").when(F.coalesce(get("client"), get("username")).isNull(), "user")
+    return _split(_once(path.read(rows), fields), reason)
 
 
 def normalize_entra(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,45 +194,43 @@ def normalize_entra(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = [c for c in rows.columns if c != "value"]
     many = F.from_json(F.get_json_object("value", "$.value"), T.ArrayType(T.StringType()))
     rows = rows.select(*kept, F.explode(F.coalesce(many, F.array("value"))).alias("value"))
-    get = lambda p: F.get_json_object("value", f"$.{p}")
-    made = rows.withColumns(
-        {
-            "t": S.parse_event_time(get("createdDateTime")),
-            "user": S.canonical_user(get("userPrincipalName"), F.lit("")),
-            "source_host": S.canonical_host(get("ipAddress")),
-            "destination_host": F.upper(F.coalesce(get("resourceDisplayName"), get("appDisplayName"), F.lit(""))),
-            "destination_user": F.lit(None).cast("string"),
-            "auth_type": F.lit("Other"),
-            "logon_type": F.lit("Network"),
-            "orientation": F.lit("LogOn"),
-            "success": (F.coalesce(get("status.errorCode"), F.lit("0")) == "0").cast("int"),
-            "source": F.lit("entra"),
-        }
-    )
-    return _split(made, F.when(F.col("t").isNull(), "timestamp").when(F.col("user") == "", "user"))
+    path = _Json()
+    get = lambda p: path(f"$.{p}")
+    fields = {
+        "t": S.parse_event_time(get("createdDateTime")),
+        "user": S.canonical_user(get("userPrincipalName"), F.lit("")),
+        "source_host": S.canonical_host(get("ipAddress")),
+        "destination_host": F.upper(F.coalesce(get("resourceDisplayName"), get("appDisplayName"), F.lit(""))),
+        "destination_user": F.lit(None).cast("string"),
+        "auth_type": F.lit("Other"),
+        "logon_type": F.lit("Network"),
+        "orientation": F.lit("LogOn"),
+        "success": (F.coalesce(get("status.errorCode"), F.lit("0")) == "0").cast("int"),
+        "source": F.lit("entra"),
+    }
+    return _split(_once(path.read(rows), fields), F.when(F.col("t").isNull(), "timestamp").when(F.col("user") == "", "user"))
 
 
 def normalize_okta(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Session and authentication events; the target is the first application, else a constant host."""
-    get = lambda p: F.get_json_object("value", f"$.{p}")
+    path = _Json()
+    get = lambda p: path(f"$.{p}")
     targets = F.from_json(get("target"), "array<struct<type:string,displayName:string>>")
     app = F.get(F.filter(targets, lambda x: x["type"] == "AppInstance"), F.lit(0))["displayName"]
-    made = rows.withColumns(
-        {
-            "t": S.parse_event_time(get("published")),
-            "user": S.canonical_user(get("actor.alternateId"), F.lit("")),
-            "source_host": S.canonical_host(get("client.ipAddress")),
-            "destination_host": F.upper(F.coalesce(app, F.lit("OKTA"))),
-            "destination_user": F.lit(None).cast("string"),
-            "auth_type": F.lit("Other"),
-            "logon_type": F.lit("Network"),
-            "orientation": F.lit("LogOn"),
-            "success": (F.coalesce(get("outcome.result"), F.lit("")) == "SUCCESS").cast("int"),
-            "source": F.lit("okta"),
-        }
-    )
+    fields = {
+        "t": S.parse_event_time(get("published")),
+        "user": S.canonical_user(get("actor.alternateId"), F.lit("")),
+        "source_host": S.canonical_host(get("client.ipAddress")),
+        "destination_host": F.upper(F.coalesce(app, F.lit("OKTA"))),
+        "destination_user": F.lit(None).cast("string"),
+        "auth_type": F.lit("Other"),
+        "logon_type": F.lit("Network"),
+        "orientation": F.lit("LogOn"),
+        "success": (F.coalesce(get("outcome.result"), F.lit("")) == "SUCCESS").cast("int"),
+        "source": F.lit("okta"),
+    }
     reason = F.when(~F.coalesce(get("eventType"), F.lit("")).rlike(r"^user\.(session|authentication)"), "event").when(F.col("t").isNull(), "timestamp")
-    return _split(made, reason)
+    return _split(_once(path.read(rows), fields), reason)
 
 
 def normalize_tabular(df: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +241,7 @@ def normalize_tabular(df: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame
         success = (F.col(column).cast("string") == word).cast("int")
     else:
         success = S.parse_success(field("success")) if "success" in mapping else F.lit(1)
-    made = df.withColumns({"value": F.to_json(F.struct(*df.columns)), "t": S.parse_event_time(field("timestamp")), "user": F.lower(field("user")), "source_host": S.canonical_host(field("source_host")), "destination_host": S.canonical_host(field("destination_host")), "destination_user": field("destination_user"), "auth_type": S.canonical_auth(field("auth_type")), "logon_type": F.coalesce(field("logon_type"), F.lit("Network")), "orientation": F.coalesce(field("orientation"), F.lit("LogOn")), "success": success, "source": F.lit("tabular")})
+    made = _once(df, {"value": F.to_json(F.struct(*df.columns)), "t": S.parse_event_time(field("timestamp")), "user": F.lower(field("user")), "source_host": S.canonical_host(field("source_host")), "destination_host": S.canonical_host(field("destination_host")), "destination_user": field("destination_user"), "auth_type": S.canonical_auth(field("auth_type")), "logon_type": F.coalesce(field("logon_type"), F.lit("Network")), "orientation": F.coalesce(field("orientation"), F.lit("LogOn")), "success": success, "source": F.lit("tabular")})
     return _split(made, F.when(F.col("t").isNull(), "timestamp").when(F.coalesce("user", F.lit("")) == "", "user"))
 
 

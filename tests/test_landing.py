@@ -176,3 +176,13 @@ def test_one_format_at_a_time(spark):
         logs.one_format(profile([("the quick brown fox", "a")]))
     with pytest.raises(ValueError, match="no lines"):
         logs.one_format(profile([("", "a")]))
+
+
+def test_lines_are_parsed_once(spark):
+    """A line is made, parsed and looked up once a row, however many fields and rejects read it."""
+    from loginloom.plans import registry
+
+    for name, made, paths in (("a06_normalize_windows", 1, 53), ("a08_normalize_windows_xml", 2, 53), ("a10_normalize_zeek", 1, 11), ("a12_normalize_okta", 1, 6), ("a10_zeek_tsv", 0, 11)):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("format_string(") == made, name
+        assert plan.count("get_json_object(value") <= paths and plan.count("XmlToStructs") + plan.count("from_xml(") + plan.count("xmltostructs(") <= 1, name
