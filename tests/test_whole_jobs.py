@@ -115,3 +115,19 @@ def test_incidents_are_cut_by_gaps(spark):
     assert {r.event_id: r.incident for r in graph.incidents(a).collect()} == {1: "7@0", 2: "7@0", 3: "7@3601", 4: "8@10", 5: "7@3601"}
     f10 = registry.queries()["f10_kill_chain"](spark, SF).select("incident").distinct().collect()
     assert f10 and all("@" in r.incident for r in f10)
+
+
+def test_features_share_sorts_and_keep_keys_apart(spark):
+    """Windows of a key and partner share one sort, small partitions of keys aren't merged, and marks of runs carry no columns."""
+    from loginloom.operators import features
+    from loginloom.plans import registry
+
+    for name in ("d23_causal_features", "d25_counterfactual_features"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") <= 13 and plan.count("REPARTITION_BY_NUM") == 3 and "REPARTITION_BY_COL" not in plan
+    events = spark.createDataFrame([(i, 100 * (i % 7), i % 2, i % 3, i % 5, 0, 1) for i in range(40)], "event_id long, t long, usr long, src long, dst long, logon_id int, success int")
+    got = features.with_features(events, ["user_unique_dst_5m", "pair_seen_before"], on=events["event_id"] % 4 != 0).collect()
+    assert len(got) == 40
+    for r in got:
+        past = [o for o in got if o.event_id % 4 != 0 and o.usr == r.usr and o.t < r.t]
+        assert r.user_unique_dst_5m == len({o.dst for o in past if o.t > r.t - 300}) and r.pair_seen_before == int(any(o.dst == r.dst for o in past))
