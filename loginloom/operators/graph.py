@@ -29,17 +29,17 @@ def temporal_edges(events: DataFrame) -> DataFrame:
 def recent_neighbors(events: DataFrame, k: int = 20, window: int | None = None) -> DataFrame:
     """event_id, n_neighbors, neighbors: the account's last k destinations strictly before the event, newest first.
 
-    Rows of a node are numbered; an event reads the k numbers below its own place, an equi-join, so no window holds more
-    than its node's history. Within a second the order is that of event_id.
+    The first event of an account's second collects the k rows above it, in one sort of the account's history; the others of that
+    second take its list. Within a second the order is that of event_id. Without an account there are none.
     """
     order = Window.partitionBy("usr").orderBy("t", "event_id")
-    rows = events.select("event_id", "t", "usr", "dst", F.row_number().over(order).alias("n"), F.count("*").over(strict_past("usr")).alias("before"))
-    asked = rows.filter("before > 0").select("event_id", "t", "usr", F.explode(F.sequence(F.greatest(F.col("before") - k + 1, F.lit(1)), F.col("before"))).alias("n"))
-    met = asked.join(rows.select("usr", "n", "dst", F.col("t").alias("seen")), ["usr", "n"])
-    if window:
-        met = met.filter(F.col("seen") > F.col("t") - window)
-    found = met.groupBy("event_id").agg(F.count("*").alias("n_neighbors"), F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "dst")))), lambda x: x["dst"].cast("string")), ",").alias("neighbors"))
-    return events.select("event_id").join(found, "event_id", "left").fillna({"n_neighbors": 0, "neighbors": ""})
+    opens = F.coalesce(F.lag("t").over(order) < F.col("t"), F.lit(True))
+    above = F.collect_list(F.struct(F.col("t").alias("seen"), "dst")).over(order.rowsBetween(-k, -1))
+    rows = events.select("event_id", "t", "usr", F.when(opens, above).alias("above"))
+    rows = rows.withColumn("above", F.last("above", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    near = F.filter("above", lambda x: x["seen"] > F.col("t") - window) if window else F.col("above")
+    near = F.when(F.col("usr").isNotNull(), F.reverse(near)).otherwise(F.array().cast(rows.schema["above"].dataType))
+    return rows.withColumn("above", near).select("event_id", F.size("above").cast("long").alias("n_neighbors"), F.array_join(F.transform("above", lambda x: x["dst"].cast("string")), ",").alias("neighbors"))
 
 
 def rank_paths(scored: DataFrame, window: int = WINDOW, max_edges: int = MAX_EDGES, min_risk: float = MIN_RISK) -> DataFrame:

@@ -131,3 +131,18 @@ def test_features_share_sorts_and_keep_keys_apart(spark):
     for r in got:
         past = [o for o in got if o.event_id % 4 != 0 and o.usr == r.usr and o.t < r.t]
         assert r.user_unique_dst_5m == len({o.dst for o in past if o.t > r.t - 300}) and r.pair_seen_before == int(any(o.dst == r.dst for o in past))
+
+
+def test_recent_neighbors_need_one_shuffle(spark):
+    from loginloom.operators import graph
+
+    events = spark.createDataFrame([(i, i // 3, None if i % 11 == 0 else i % 2, None if i % 7 == 0 else i % 5) for i in range(60)], "event_id long, t long, usr long, dst long")
+    for window in (None, 6):
+        found = graph.recent_neighbors(events, 4, window)
+        rows = events.collect()
+        for r, got in ((r, {g.event_id: g for g in found.collect()}[r.event_id]) for r in rows):
+            past = [o for o in rows if r.usr is not None and o.usr == r.usr and o.t < r.t][::-1][:4]
+            past = [o for o in past if not window or o.t > r.t - window]
+            assert (got.n_neighbors, got.neighbors) == (len(past), ",".join(str(o.dst) for o in past if o.dst is not None))
+    plan = graph.recent_neighbors(events, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
