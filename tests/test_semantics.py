@@ -99,6 +99,22 @@ def test_incremental_features_of_all_days_equal_batch(spark):
         assert tuple(r)[1:] == pytest.approx(tuple(want[r.event_id])[1:], abs=2e-6)
 
 
+def test_incremental_features_know_null_accounts_and_shuffle_once_a_key(spark):
+    """What is known of events without an account or a logon type isn't lost with the day, and a step deals its rows three times."""
+    rows = [(i, 1_700_000_000 + i * 9_000, [1, None, 2][i % 3], i % 4, 10 + i % 5, [0, None][i % 2], i % 2, 0) for i in range(60)]
+    e = spark.createDataFrame(rows, "event_id long, t long, usr long, src long, dst long, logon_id int, success int, label int")
+    incremental, names = streams.incremental, streams.incremental.FEATURES
+    want = {r.event_id: r for r in features.with_features(e, names).select("event_id", *names).collect()}
+    got, _ = incremental.advance_days(e, step=2)
+    got = got.select("event_id", *names).collect()
+    assert len(got) == 60
+    for r in got:
+        assert tuple(r)[1:] == pytest.approx(tuple(want[r.event_id])[1:], abs=1e-9)
+    x, _ = incremental.advance_day(e, incremental.empty_state(spark), cut=False)
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3 and plan.count("Join") == 0
+
+
 def _batches(tmp_path, rows):
     (tmp_path / "in").mkdir()
     for i, part in enumerate(rows):
