@@ -115,6 +115,29 @@ def test_incremental_features_know_null_accounts_and_shuffle_once_a_key(spark):
     assert plan.count("RepartitionByExpression") == 3 and plan.count("Join") == 0
 
 
+def test_stream_context_equals_a_plain_loop_and_joins_no_events(spark):
+    from loginloom.operators import tactics
+    from loginloom.plans.detection_queries import classified
+
+    n, rows = 7, [(i, 1_000 + i * 13 % 97, i % 5, ["TGT", "TGS", "LogOn"][i * 7 % 11 % 3], ["Kerberos", "NTLM"][i * 5 % 7 % 2]) for i in range(200)]
+    e = spark.createDataFrame(rows, "event_id long, t long, usr long, orient_name string, auth_name string")
+    got = {r.event_id: r for r in tactics.stream_context(e, n).collect()}
+    last, asked, done = {}, set(), []
+    for i, t, usr, orient, auth in sorted(rows, key=lambda r: (r[1], r[0])):
+        r = got[i]
+        assert r.seconds_since_tgt == (t - last[usr] if usr in last else None)
+        assert r.tgt_coverage == pytest.approx(len(last) / len(asked) if asked else 0.0)
+        assert r.kerberos_share == pytest.approx(sum(done[-n:]) / len(done[-n:]) if done else 0.0)
+        if orient == "TGT":
+            last[usr] = t
+        if orient != "LogOn":
+            asked.add(usr)
+        done.append(auth == "Kerberos")
+    # joins with the small tables of partitions' starts and ends only, none of events with events
+    plan = classified(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == plan.count("strategy=broadcast") == 3
+
+
 def _batches(tmp_path, rows):
     (tmp_path / "in").mkdir()
     for i, part in enumerate(rows):
