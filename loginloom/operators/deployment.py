@@ -51,7 +51,8 @@ def anomaly(model, rows: DataFrame) -> DataFrame:
 
 def _members(rows: DataFrame, forest: DataFrame, columns: list[str]) -> DataFrame:
     """event_id, rarity, iforest of scaled rows."""
-    return studies.score_forest(rows, forest, columns).select("event_id", F.col("rarity"), F.col("anomaly").alias("iforest"))
+    narrow = rows.select("event_id", "rarity", *columns)
+    return studies.score_forest(narrow, forest, columns).select("event_id", F.col("rarity"), F.col("anomaly").alias("iforest"))
 
 
 MEMBERS = ("rarity", "iforest")
@@ -59,8 +60,7 @@ MEMBERS = ("rarity", "iforest")
 
 def _scaled(rows: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
     """Scaled columns, and the rarity score of the unscaled ones."""
-    rarity = studies.score_rarity(rows).select("event_id", F.col("score").alias("rarity"))
-    return features.apply_scaler(rows, scaler, 10.0, logs=True).join(rarity, "event_id")
+    return features.apply_scaler(studies.score_rarity(rows).withColumnRenamed("score", "rarity"), scaler, 10.0, logs=True)
 
 
 def onboard(rows: DataFrame, columns: list[str], path: str, alert_budget: float = 1e-3, action_budget: float = 1e-4, seed: int = 1729) -> None:
@@ -107,7 +107,8 @@ def score_with_profile(rows: DataFrame, columns: list[str], path: str) -> DataFr
     """event_id, member percentiles, percentile, alert, action of rows, by the profile below path and nothing else."""
     spark = rows.sparkSession
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    members = _members(_scaled(rows, read("scaler"), columns), read("forest"), columns)
+    # percentiles read their rows twice each, so the forest's answers are kept
+    members = cut_lineage(_members(_scaled(rows, read("scaler"), columns), read("forest"), columns), "members")
     found = percentiles_in(combined(members, read("reference")), read("combined"), "mean", "percentile")
     limits = read("manifest").select("alert_budget", "action_budget")
     over = lambda c: (F.col("percentile") > 1 - F.col(c)).cast("int")

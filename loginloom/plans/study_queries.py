@@ -135,9 +135,9 @@ def h06(spark, sf_dir):
 def h10(spark, sf_dir):
     """A profile from the first half of the days, read again to score all rows."""
     path = fresh_path(spark, "profile")
-    x = deployed(spark, sf_dir)
     days = F.floor(F.col("t") / 86_400)
-    half = x.select(F.percentile(days, 0.5).alias("day")).first().day
+    half = auth_sparse(spark, sf_dir).select(F.percentile(days, 0.5).alias("day")).first().day
+    x = graph.cut_lineage(deployed(spark, sf_dir), "deployed")
     deployment.onboard(x.filter(days <= half), PROFILED, path, alert_budget=0.01, action_budget=0.001)
     return rounded(deployment.score_with_profile(x, PROFILED, path), "event_id", "p_rarity", "p_iforest", "percentile", "alert", "action")
 

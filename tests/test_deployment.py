@@ -57,6 +57,17 @@ def test_probes_see_history_as_a_real_event_would(spark):
             assert got[p.event_id][c] == pytest.approx(alone[c], abs=1e-9), c
 
 
+def test_a_profile_runs_its_forest_once_over_the_rows(spark, tmp_path):
+    """Percentiles read their rows several times; the forest's answers are kept, and rows aren't joined with themselves for the rarity."""
+    x = study_queries.deployed(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "profile")
+    deployment.onboard(x, study_queries.PROFILED, path)
+    plan = deployment.score_with_profile(x, study_queries.PROFILED, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan
+    scaled = deployment._scaled(x, spark.read.parquet(f"{path}/scaler"), study_queries.PROFILED)
+    assert "Join" not in scaled._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_profile_scores_like_the_rows_it_came_from(spark, tmp_path):
     x = study_queries.deployed(spark, "/root/testdata/sf0.001").cache()
     path = str(tmp_path / "profile")
