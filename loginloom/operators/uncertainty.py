@@ -60,6 +60,8 @@ def paired_comparison(scores: DataFrame, n: int = 2_000, seed: int = 1729, chunk
     if not sums or not totals[0].sum():
         return spark.createDataFrame([(None, None, None, None, None, 0)], schema)
     n_pos = int(totals[0].sum())
+    # a draw is at most its class's total; the narrow kind halves what tasks hold and send
+    kinds = [np.int32 if t.sum() < 1 << 31 else np.int64 for t in totals]
 
     def drawn(frame):
         import pandas as pd
@@ -67,14 +69,16 @@ def paired_comparison(scores: DataFrame, n: int = 2_000, seed: int = 1729, chunk
         frame = frame.sort_values("position")
         k, batch = int(frame["chunk"].iloc[0]), int(frame["batch"].iloc[0])
         own = [frame[c].to_numpy() for c in ("n_pos", "n_neg")]
-        draws = [resample(totals, own, k, seed, r) for r in range(batch * together, min(n, (batch + 1) * together))]
-        p, q = (np.array([d[i] for d in draws], np.int64) for i in (0, 1))
+        replicates = range(batch * together, min(n, (batch + 1) * together))
+        p, q = (np.empty((len(replicates), len(frame)), kind) for kind in kinds)
+        for i, r in enumerate(replicates):
+            p[i], q[i] = resample(totals, own, k, seed, r)
         out = []
         for detector, name in enumerate(("at_a", "at_b")):
             at = frame[name].to_numpy()
             order = np.argsort(at, kind="stable")
             level, first = np.unique(at[order], return_index=True)
-            by_level = [np.add.reduceat(x[:, order], first, axis=1) for x in (p, q)]
+            by_level = [np.add.reduceat(x[:, order], first, axis=1, dtype=x.dtype) for x in (p, q)]
             for part in np.unique(level // chunk):
                 own_levels = level // chunk == part
                 x, y = (m[:, own_levels] for m in by_level)
@@ -94,17 +98,18 @@ def paired_comparison(scores: DataFrame, n: int = 2_000, seed: int = 1729, chunk
 
         detector, _, batch = key
         before = frame["before"].iloc[0]
-        level, place = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in frame["level"]]), return_inverse=True)
-        size = len(before)
+        levels = [np.frombuffer(x, np.int64) for x in frame["level"]]
+        level, size = np.unique(np.concatenate(levels)), len(before)
         summed = []
-        for c in ("p", "q"):
-            whole = np.concatenate([np.frombuffer(x, np.int64).reshape(size, -1) for x in frame[c]], axis=1)
-            out = np.zeros((size, len(level)), np.int64)
-            np.add.at(out, (slice(None), place), whole)
+        for c, kind in zip(("p", "q"), kinds):
+            out = np.zeros((size, len(level)), kind)
+            for own, x in zip(levels, frame[c]):  # a chunk holds a level once
+                out[:, np.searchsorted(level, own)] += np.frombuffer(x, kind).reshape(size, -1)
             summed.append(out)
-        p, q = summed
-        cp, cq = (np.array([b[c] for b in before])[:, None] + x.cumsum(1) for c, x in (("p", p), ("q", q)))
-        value = (p * cp / np.maximum(1, cp + cq)).sum(1) / n_pos
+        value = np.empty(size)
+        for i, (p, q) in enumerate(zip(*summed)):  # one replicate's running counts at a time
+            cp, cq = (b + x.cumsum(dtype=np.int64) for b, x in ((before[i]["p"], p), (before[i]["q"], q)))
+            value[i] = (p * cp / np.maximum(1, cp + cq)).sum() / n_pos
         return pd.DataFrame({"detector": detector, "replicate": batch * together + np.arange(size), "value": value})
 
     values = parts.join(before, ["detector", "part", "batch"]).groupBy("detector", "part", "batch").applyInPandas(rated, "detector int, replicate long, value double")

@@ -101,3 +101,16 @@ def test_calibration_survives_ties(spark, kind):
     assert got.brier == pytest.approx(((s - y) ** 2).mean()) and got.uncertainty == pytest.approx(y.mean() * (1 - y.mean()))
     if kind == "ties":
         assert len(table) > 8  # though nine of ten quantiles coincide
+
+
+def test_draws_of_a_comparison_are_sent_in_four_bytes(spark, monkeypatch):
+    """Chunks of few blocks, so that a level of one detector comes from several; a draw takes four bytes on its way."""
+    rng, kept, cut = np.random.default_rng(11), {}, uncertainty.cut_lineage
+    monkeypatch.setattr(uncertainty, "cut_lineage", lambda df, name: kept.update({name: cut(df, name)}) or kept[name])
+    rows = [(float(rng.integers(0, 40)), float(rng.integers(0, 6)), int(rng.random() < 0.2)) for _ in range(600)]
+    scores = spark.createDataFrame(rows, "score_a double, score_b double, label int")
+    one, many = (uncertainty.paired_comparison(scores, n=60, chunk=c, together=20).first() for c in (20_000, 30))
+    assert one.replicates == many.replicates == 60 and one.difference == pytest.approx(many.difference)
+    assert abs(one.low - many.low) < 0.05 and abs(one.high - many.high) < 0.05
+    parts = kept["drawn"].selectExpr("length(level) / 8 AS levels", "length(p) AS p", "length(q) AS q").collect()
+    assert len(parts) > 6 and all(r.p == r.q == 4 * 20 * r.levels for r in parts)
