@@ -220,7 +220,7 @@ def baseline_experiment(rows: DataFrame, columns: list[str], per_10k: float = 25
     }
     out = []
     for name, x in scored.items():
-        x = cut_lineage(judged.select(*kept).join(x.select("event_id", "score"), "event_id"), name)
+        x = cut_lineage(x.select(*kept, "score"), name)
         part = {p: x.filter(F.col("partition") == p) for p in ("validation", "test")}
         ap = {p: evaluation.average_precision(evaluation.block_table(d)).first()[0] for p, d in part.items()}
         threshold = evaluation.threshold_at_budget(part["validation"], per_10k).first()[0]

@@ -100,6 +100,18 @@ def test_baselines_are_judged_on_rows_they_never_saw(spark):
     assert got["rule"].test_ap == pytest.approx(evaluation.average_precision(evaluation.block_table(model)).first()[0])
 
 
+def test_baselines_count_a_row_once_where_ids_repeat(spark):
+    """Scores stay on their rows instead of coming back by event_id, where rows of one id were multiplied."""
+    rng = np.random.default_rng(3)
+    n, columns = 400, ["is_new_pair", "user_unique_dst_5m", "failures_before_success_15m", "pair_rarity", "destination_novelty", "user_new_dst_ratio_1h"]
+    part = ["train" if i < 200 else "validation" if i < 300 else "test" for i in range(n)]
+    same = [i if i < 300 else 300 + (i - 300) // 2 for i in range(n)]
+    rows = spark.createDataFrame([(same[i], part[i], int(i % 7 == 0), *(float(v) for v in rng.random(6))) for i in range(n)], "event_id long, partition string, label int, " + ", ".join(f"{c} double" for c in columns))
+    got = {r.detector: r for r in studies.baseline_experiment(rows, columns, per_10k=500).collect()}
+    want = evaluation.average_precision(evaluation.block_table(studies.score_rarity(rows.filter("partition = 'test'")))).first()[0]
+    assert got["rarity"].test_ap == pytest.approx(want)
+
+
 @pytest.mark.parametrize("name", sorted(incident_queries.ORACLE_SQL))
 def test_incident_queries_equal_sql(spark, name):
     import duckdb
