@@ -10,6 +10,11 @@ For a pair both prefixes are cut to what just their two sizes need: of sets of n
 common ones lie in the first n - o + L and m - o + L. Near copies with edits enough to miss the bound begin with rare shingles
 that nothing shares, so they hardly meet.
 
+Each set has a sketch, the parities of how many shingles fall into each of its cells. Two sets differ by at least as many
+shingles as parities, so a pair whose sketches differ by more than a link allows is passed over: where postings meet by 512
+cells, and of the pairs that are left by two cells or more for each shingle. No link is lost by that, and the sets of hardly any
+pair but those that link, or nearly so, are made.
+
 Documents with equal sets are one node. Candidates come in rounds, so that a group of near copies costs in proportion
 to its size: in the first ones a document is verified against the representatives of its postings (a few drawn by hash) that it
 meets most often, where these lie in another component; in the last, between documents that are not yet in one component,
@@ -26,6 +31,8 @@ words. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -47,6 +54,9 @@ ROUNDS, WORTH = 3, 0.02
 #: Counters of the frequency estimate for each million documents, and at most; filters have eight bits for each of them. The
 #: blocks in which both are summed.
 CELLS, MOST_CELLS, BLOCKS = 1 << 20, 1 << 24, 64
+#: Cells of the least sketch, a power of two, and its words, which postings carry in the last round.
+SKETCH = 512
+PARITIES = [f"p{k}" for k in range(SKETCH // 64)]
 #: Bits of the filter of documents to verify.
 NODE_BITS = 1 << 23
 
@@ -74,6 +84,22 @@ def shingles(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Words of the parities of a set: a power of two of cells, at least SKETCH and two for each shingle."""
+    cells = max(SKETCH, 1 << (2 * len(tokens) - 1).bit_length())
+    cell = (tokens >> np.uint64(32)) & np.uint64(cells - 1)
+    out = np.zeros(cells // 64, np.uint64)
+    np.bitwise_xor.at(out, (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return out
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set with `size` words."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def _blocks(array: np.ndarray):
     import pyarrow as pa
     import zlib
@@ -169,7 +195,7 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _prefixes(docs: DataFrame, cells: np.ndarray) -> DataFrame:
-    """key, n, level, tokens of every text with a set."""
+    """key, n, level, tokens, sketch of every text with a set."""
     # what other shingles add to a cell is taken off, with a margin for its spread
     mean = float(cells.mean())
     load = np.maximum(0.0, cells - 1 - mean - 4 * np.sqrt(mean) * (mean > 0.5)).astype(np.float32)
@@ -185,14 +211,14 @@ def _prefixes(docs: DataFrame, cells: np.ndarray) -> DataFrame:
                 for i, x in enumerate(shingles(raw, at), lo):
                     if len(x):
                         tokens, level = prefix(x, load[(x & np.uint64(len(load) - 1)).astype(np.int64)].astype(np.float64))
-                        rows.append((i, len(x), level, tokens.view(np.int64)))
+                        rows.append((i, len(x), level, tokens.view(np.int64), sketch(x).tobytes()))
                 if rows:
-                    at_row, n, level, tokens = zip(*rows)
+                    at_row, n, level, tokens, parities = zip(*rows)
                     flat = pa.array(np.concatenate(tokens))
                     cuts = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_row)), pa.array(n, pa.int64()), pa.array(level, pa.int32()), pa.ListArray.from_arrays(cuts, flat)], ["key", "n", "level", "tokens"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_row)), pa.array(n, pa.int64()), pa.array(level, pa.int32()), pa.ListArray.from_arrays(cuts, flat), pa.array(parities, pa.binary())], ["key", "n", "level", "tokens", "sketch"])
 
-    return docs.select("key", "text").mapInArrow(tidy(run), "key long, n long, level int, tokens array<long>")
+    return docs.select("key", "text").mapInArrow(tidy(run), "key long, n long, level int, tokens array<long>, sketch binary")
 
 
 def _postings(prefixes: DataFrame, several: DataFrame, bits: int) -> DataFrame:
@@ -247,16 +273,42 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.filter(holds(place("key"), filled, docs.sparkSession)).select("key", "text").mapInArrow(tidy(run), "node long, members array<long>")
 
 
-def _links(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int, int]:
-    """The pairs (a, b) whose sets link, how many they are, and how many were verified."""
-    pairs = spool(pairs, "pairs")
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches differ by no more parities than linked sets of their sizes do."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = size - 2 * -(-size * NUMERATOR // (NUMERATOR + DENOMINATOR))
+            kept = []
+            for i, (of_a, of_b) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (of_a, of_b))
+                words = min(len(x), len(y))
+                if np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64) <= most[i]:
+                    kept.append(i)
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
+
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return both.mapInArrow(tidy(run), "a long, b long")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, int, int]:
+    """The pairs (a, b) whose sets link, how many they are, and how many were given."""
+    given = spool(pairs, "pairs")
+    n_tried = given.count()
+    pairs = spool(_likely(given, sketches), "likely")
+    drop_spool(given)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = spool(_sets(docs, nodes).join(nodes, "node", "left_semi"), "sets")
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
     linked = spool(both.filter(common * DENOMINATOR >= (F.size("of_a") + F.size("of_b") - common) * NUMERATOR).select("a", "b"), "links")
-    n_linked, n_tried = linked.count(), pairs.count()
+    n_linked = linked.count()
     drop_spool(pairs, sets)
     return linked, n_linked, n_tried
 
@@ -339,19 +391,35 @@ def _with_representatives(open_: DataFrame, round_: int) -> DataFrame:
     return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _all_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _short(sketches: DataFrame) -> DataFrame:
+    """node and the words of its sketch folded to SKETCH cells."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            words = [folded(np.frombuffer(x.as_buffer(), np.uint64), len(PARITIES)) for x in batch.column(1)]
+            columns = np.array(words, np.uint64).reshape(-1, len(PARITIES)).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], ["node", *PARITIES])
+
+    return sketches.select("node", "sketch").mapInArrow(tidy(run), "node long, " + ", ".join(f"{p} long" for p in PARITIES))
+
+
+def _all_pairs(open_: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b: every pair of the prefix filter between documents of different components; and a table to drop afterwards."""
     open_ = open_.withColumn("band", _band(F.col("n")))
-    may = spool(_possible(open_), "possible")
+    may = spool(_possible(open_).join(_short(sketches), "node"), "possible")
     sides = open_.join(may, ["node", "band"])
     sides = sides.filter(F.col("place") < F.col("n") - _overlap(F.col("n"), _least_of_band(F.col("to_band"), F.col("n"))) + F.col("level"))
-    columns = ("node", "n", "level", "place", "component", "band", "to_band")
+    columns = ("node", "n", "level", "place", "component", "band", "to_band", *PARITIES)
     x = sides.filter("component <> major").select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
     y = sides.select(F.col("token").alias("y_token"), "major", *[F.col(c).alias(f"y_{c}") for c in columns])
     level = F.least("x_level", "y_level")
     once = (F.col("y_component") == F.col("major")) | (F.col("x_node") < F.col("y_node"))
     place = [F.col(c) for c in ("x_place", "x_n", "y_place", "y_n")]
-    meets = (F.col("x_component") != F.col("y_component")) & once & _met(*place, level)
+    unlike = reduce(add, [F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in PARITIES])
+    alike = unlike <= F.col("x_n") + F.col("y_n") - 2 * _overlap(F.col("x_n"), F.col("y_n"))
+    meets = (F.col("x_component") != F.col("y_component")) & once & _met(*place, level) & alike
     same = (F.col("token") == F.col("y_token")) & (F.col("x_to_band") == F.col("y_band")) & (F.col("y_to_band") == F.col("x_band"))
     pairs = x.join(y, same & meets).groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), level.alias("level")).agg(F.count("*").alias("common"), F.max(_met(*place, F.lit(1))).alias("met"))
     return pairs.filter(F.col("met") & (F.col("common") >= F.col("level"))).select("a", "b"), may
@@ -372,6 +440,7 @@ def classes(docs: DataFrame) -> DataFrame:
     several = spool(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1").select("token"), "several")
     posts = _postings(prefixes, several, 8 * cells)
     shared = spool(posts.join(several, "token", "left_semi"), "shared")
+    sketches = spool(prefixes.select("node", "n", "sketch").join(shared.select("node").distinct(), "node", "left_semi"), "sketches")
     drop_spool(prefixes, several)
     linked = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     labels, open_ = None, shared
@@ -379,7 +448,7 @@ def classes(docs: DataFrame) -> DataFrame:
         after = spool(_still_open(open_.drop("component", "major"), labels), "open")
         drop_spool(open_)
         open_ = after
-        found, n_found, n_tried = _links(docs, _with_representatives(open_, k))
+        found, n_found, n_tried = _links(docs, _with_representatives(open_, k), sketches)
         linked = linked.union(found)
         if n_found <= WORTH * n_tried or k == ROUNDS:
             break
@@ -387,9 +456,9 @@ def classes(docs: DataFrame) -> DataFrame:
     grouped = spool(components(linked), "components")
     after = spool(_still_open(open_.drop("component", "major"), grouped), "open")
     drop_spool(open_)
-    pairs, may = _all_pairs(after)
-    found, n_found, _ = _links(docs, pairs)
-    drop_spool(after, may)
+    pairs, may = _all_pairs(after, sketches)
+    found, n_found, _ = _links(docs, pairs, sketches)
+    drop_spool(after, may, sketches)
     if n_found:
         drop_spool(grouped)
         grouped = spool(components(linked.union(found)), "components")

@@ -326,6 +326,36 @@ def test_large_group_of_near_copies(spark):
     assert got == sorted(((k, len(sets[i]), want[i] if sets[i] else k) for i, (k, _) in enumerate(docs)), key=repr)
 
 
+def test_ngram_join_makes_sets_of_likely_pairs_only(spark, monkeypatch):
+    passages = [" ".join(f"p{k}w{i}" for i in range(100)) for k in range(3)]
+    one, two, three = (f"{passages[a]} {passages[b]}" for a, b in ((0, 1), (0, 2), (1, 2)))
+    docs = [(1, one), (2, two), (3, three), (4, one.replace("p0w3 ", "other "))]  # 1 to 3 meet in many shingles, but only 1 and 4 link
+    made, spool = [], ngram_join.spool
+
+    def counted(df, name):
+        out = spool(df, name)
+        if name == "sets":
+            made.extend(r.node for r in out.select("node").collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "spool", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+    assert set(made) == {1, 4}
+
+
+def test_sketches_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 60, 255, 256, 257, 511, 513, 1030, 4000):
+        for cut in (0, n // 20, n // 9):
+            a = rng.integers(0, 2**64, n, np.uint64)
+            a, b = np.unique(a), np.unique(np.concatenate([a[cut:], rng.integers(0, 2**64, n // 11, np.uint64)]))
+            x, y = ngram_join.sketch(a), ngram_join.sketch(b)
+            for words in {8, min(len(x), len(y))}:
+                differ = np.bitwise_count(ngram_join.folded(x, words) ^ ngram_join.folded(y, words)).sum()
+                assert differ <= len(np.setxor1d(a, b))
+
+
 def test_resharding_moves_few_bytes(spark, texts):
     rows = sharding.assign(table(spark, SF, "documents"), shards=16, old_shards=8).collect()
     total = sum(r.size for r in rows)
