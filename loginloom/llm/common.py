@@ -52,6 +52,8 @@ def text_key(text):
 
 #: What an operator keeps in a Python worker from one task to the next.
 _KEPT: dict[tuple, object] = {}
+#: Whether this worker's modules are set aside, so that collecting garbage doesn't walk through them in every task.
+_FROZEN: list[bool] = []
 
 
 def kept(key: tuple, make):
@@ -71,6 +73,9 @@ def give_back() -> None:
 
     _KEPT.clear()
     gc.collect()
+    if not _FROZEN:
+        gc.freeze()
+        _FROZEN.append(True)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -189,7 +194,7 @@ def _merge_bits(rows: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "data"])
 
     out = np.zeros((BIT_BLOCKS, size // BIT_BLOCKS), np.uint8)
-    for r in rows.repartition(BIT_BLOCKS // 4, "block").mapInArrow(tidy(run), "block int, data binary").toLocalIterator():
+    for r in rows.repartition(BIT_BLOCKS // 4, "block").mapInArrow(tidy(run), "block int, data binary").collect():
         out[r.block] = np.frombuffer(zlib.decompress(r.data), np.uint8)
     return out.reshape(-1)
 

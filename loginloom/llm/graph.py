@@ -18,19 +18,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         tied = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u"), F.col("m")))
-    return tied.filter("a <> b").distinct()
+    return tied.filter("a <> b")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether edges (a, b), a > b, without repeated ones, tie every node straight to the least node of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.filter(F.col("up") + F.col("down") > 1).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that edges (a, b) reach from it), for every node with an edge."""
     pair = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    held, mark = spool(pair, "edges"), None
-    while True:
-        after = spool(_star(_star(held, True), False), "edges")
+    held = spool(pair, "edges")
+    while not _stars(held):
+        after = spool(_star(_star(held, True), False).distinct(), "edges")
         drop_spool(held)
         held = after
-        now = tuple(held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == mark or not now[0]:
-            break
-        mark = now
     return held.select(F.col("a").alias("node"), F.col("b").alias("component")).union(held.select(F.col("b"), F.col("b")).distinct())

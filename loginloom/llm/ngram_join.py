@@ -274,7 +274,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches differ by no more parities than linked sets of their sizes do."""
+    """a, b of the pairs, and `alike`: whether their sketches differ by no more parities than linked sets of their sizes do."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -282,34 +282,31 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         for batch in batches:
             size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             most = size - 2 * -(-size * NUMERATOR // (NUMERATOR + DENOMINATOR))
-            kept = []
+            alike = np.zeros(batch.num_rows, bool)
             for i, (of_a, of_b) in enumerate(zip(batch.column(4), batch.column(5))):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (of_a, of_b))
                 words = min(len(x), len(y))
-                if np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64) <= most[i]:
-                    kept.append(i)
-            rows = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
+                alike[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64) <= most[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike)], ["a", "b", "alike"])
 
     side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    return both.mapInArrow(tidy(run), "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long, alike boolean")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, int, int]:
     """The pairs (a, b) whose sets link, how many they are, and how many were given."""
-    given = spool(pairs, "pairs")
-    n_tried = given.count()
-    pairs = spool(_likely(given, sketches), "likely")
-    drop_spool(given)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    tried = spool(_likely(pairs, sketches), "tried")
+    n_tried = tried.count()
+    pairs = tried.filter("alike").select("a", "b")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     sets = spool(_sets(docs, nodes).join(nodes, "node", "left_semi"), "sets")
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
     linked = spool(both.filter(common * DENOMINATOR >= (F.size("of_a") + F.size("of_b") - common) * NUMERATOR).select("a", "b"), "links")
     n_linked = linked.count()
-    drop_spool(pairs, sets)
+    drop_spool(tried, sets)
     return linked, n_linked, n_tried
 
 
@@ -459,11 +456,14 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs, may = _all_pairs(after, sketches)
     found, n_found, _ = _links(docs, pairs, sketches)
     drop_spool(after, may, sketches)
-    if n_found:
-        drop_spool(grouped)
-        grouped = spool(components(linked.union(found)), "components")
     member = grouped.select(F.col("node").alias("member"), "component")
     placed = nodes.join(member, F.col("node") == F.col("member"), "left").select("s1", "s2", "n", "least_id", F.coalesce("component", "node").alias("component"))
+    if n_found:
+        between = found
+        for c in ("a", "b"):
+            between = between.join(grouped.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(c, F.coalesce(f"of_{c}", c))
+        tied = components(between.select("a", "b")).toDF("part", "whole")
+        placed = placed.join(tied, F.col("component") == F.col("part"), "left").select("s1", "s2", "n", "least_id", F.coalesce("whole", "component").alias("component"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "component").select("s1", "s2", "n", "component_id")
     out = rows.filter("n > 0").join(named, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

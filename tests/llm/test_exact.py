@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from loginloom.llm import bpe, induced, merkle, mixing, ngram_join, quality, queries, sharding, suffix_dedup, token_tree, topk, url_filter
+from loginloom.llm import bpe, common, graph, induced, merkle, mixing, ngram_join, quality, queries, sharding, suffix_dedup, token_tree, topk, url_filter
 from loginloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -405,3 +405,30 @@ def test_prefix_filter_keeps_every_link():
         level = min(la, lb)
         cut = lambda p, x, own: p[: len(p) - own + level]
         assert len(np.intersect1d(cut(pa, a, la), cut(pb, b, lb))) >= level
+
+
+def _jobs(spark, run):
+    """What `run` returns, and how many Spark jobs it started."""
+    context, group = spark.sparkContext, f"counted-{random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(context.statusTracker().getJobIdsForGroup(group))
+
+
+def test_bit_filters_take_jobs_that_do_not_grow_with_partitions(spark):
+    packed, jobs = _jobs(spark, lambda: common.bits_of(spark.range(0, 4096, 3, 4).select("id"), 1 << 12))
+    assert np.flatnonzero(np.unpackbits(packed)).tolist() == list(range(0, 4096, 3))
+    assert jobs <= 3  # one for each partition before
+
+
+def test_components_of_stars_and_chains(spark):
+    stars = [(k, k - k % 10) for k in range(1, 200) if k % 10]
+    chain = [(1000 + k, 1001 + k) for k in range(40)]
+    for edges, most in ((stars, 12), (stars + chain + chain[:3] + [(7, 7)], 200)):
+        frame = spark.createDataFrame(edges, "a long, b long")
+        got, jobs = _jobs(spark, lambda: {r.node: r.component for r in graph.components(frame).collect()})
+        assert got == {x: 1000 if x >= 1000 else x - x % 10 for e in edges for x in e}
+        assert jobs <= most  # stars need no round: they are written and looked at
