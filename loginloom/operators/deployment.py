@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path
 from . import features, studies
 from .evaluation import percentile_of
 from .graph import cut_lineage
@@ -20,17 +21,37 @@ DAY = 86_400
 # ---- plausibility ----------------------------------------------------------------------------------------------------
 
 
+def plausibility_rows(events: DataFrame, columns: list[str], share: float = 0.02, seed: int = 1729) -> tuple[DataFrame, DataFrame]:
+    """Events (event_id, t and columns), and the examples of them that plausibility_examples gives. Both lie in the shared folder.
+
+    Events and counterfactuals get their features in one pass, which is written and read again: a fit reads its examples several times,
+    and the real ones are events of that pass. Examples are dealt and sorted by event_id, so that what a fit draws from them and the order of
+    its sums don't hang on the order in which shuffles arrive.
+    """
+    n_parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = _written(events.select("event_id", "t", "usr", "src", "dst", "logon_id", "success"), "events")
+    probes = features.counterfactuals(events, share, seed).drop("kind")
+    rows = _written(features.with_probes(events, probes, columns).select("event_id", "t", "real_id", "_real", *columns), "plausibility")
+    real, probes = rows.filter("_real").select("event_id", "t", *columns), rows.filter("NOT _real")
+    own = real.filter(features.picked(share, seed)).join(probes.select(F.col("real_id").alias("event_id")), "event_id", "left_semi")
+    label = lambda x, n: x.select("event_id", "t", F.lit(n).alias("label"), *columns)
+    examples = label(own, 1).unionByName(label(probes, 0)).repartition(n_parts, "event_id").sortWithinPartitions("event_id")
+    return real, cut_lineage(examples, "examples")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, made once; its reads skip the columns that they don't need."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def plausibility_examples(events: DataFrame, columns: list[str], share: float = 0.02, seed: int = 1729) -> DataFrame:
     """event_id, t, label and columns: a hashed share of events (label 1) and their counterfactuals (label 0), five for each.
 
     Both have the features that they would have had at their time; the counterfactuals leave no trace in any history.
     """
-    probes = cut_lineage(features.counterfactuals(events, share, seed), "probes")
-    real = events.join(probes.select(F.col("real_id").alias("event_id")).distinct(), "event_id", "left_semi")
-    both = probes.select(*events.columns, F.lit(0).alias("_kind")).unionByName(real.withColumns({"event_id": -F.col("event_id") - (1 << 61), "_kind": F.lit(1)}))
-    rows = features.featurise_probes(events, both, columns)
-    label = F.col("_kind").alias("label")
-    return rows.select(F.when(F.col("_kind") == 1, -F.col("event_id") - (1 << 61)).otherwise(F.col("event_id")).alias("event_id"), "t", label, *columns)
+    return plausibility_rows(events, columns, share, seed)[1]
 
 
 def fit_plausibility(examples: DataFrame, columns: list[str], seed: int = 1729):

@@ -152,9 +152,8 @@ def deployed(spark, sf_dir):
 @registered("h11_plausibility_model")
 def h11(spark, sf_dir):
     """The anomaly of every event by a model of real against counterfactual events, which reads no label."""
-    e = auth_dense(spark, sf_dir)
-    model = deployment.fit_plausibility(deployment.plausibility_examples(e, features.ALL, share=0.05), features.ALL)
-    return rounded(deployment.anomaly(model, features.causal_features(e)), "event_id", "anomaly")
+    real, examples = deployment.plausibility_rows(auth_dense(spark, sf_dir), features.ALL, share=0.05)
+    return rounded(deployment.anomaly(deployment.fit_plausibility(examples, features.ALL), real), "event_id", "anomaly")
 
 
 _PARTS = {"p1": "score", "p2": "((event_id * 104729 + src * 17) % 997 + label * 150) / 1200.0::DOUBLE", "p3": "((t // 60 + usr * 13) % 777 + label * 90) / 900.0::DOUBLE"}

@@ -44,6 +44,37 @@ def test_plausibility_tells_counterfactuals_on_later_days(spark):
         assert all(mine[k][c] == pytest.approx(by_id[k][c]) for c in features.ALL)  # counterfactuals left no trace
 
 
+def test_plausibility_makes_its_features_once(spark, monkeypatch):
+    """One pass gives the features of all events and probes; a fit and the scores read them again and don't make them."""
+    made, whole = [], features.with_features
+    monkeypatch.setattr(features, "with_features", lambda *a, **b: made.append(1) or whole(*a, **b))
+    scored = study_queries.h11(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    e = auth_dense(spark, "/root/testdata/sf0.001")
+    assert sorted(r.event_id for r in scored.collect()) == sorted(r.event_id for r in e.select("event_id").collect())
+    examples = deployment.plausibility_examples(e, features.ALL, share=0.1)
+    assert "Window" not in examples._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plausibility_takes_real_examples_from_the_events(spark):
+    """Features of all events are those without probes; examples are the picked events and their probes, however the events arrive."""
+    e = auth_dense(spark, "/root/testdata/sf0.001")
+    real, examples = deployment.plausibility_rows(e, features.ALL, share=0.1)
+    want = {r.event_id: r for r in features.causal_features(e).select("event_id", "t", *features.ALL).collect()}
+    assert {r.event_id: r for r in real.collect()} == want
+    probes = {r.event_id: r.real_id for r in features.counterfactuals(e, share=0.1).collect()}
+    got = examples.collect()
+    assert sorted(r.event_id for r in got if r.label == 0) == sorted(probes)
+    own = {r.event_id: r for r in got if r.label == 1}
+    assert set(own) == set(probes.values()) and len(own) + len(probes) == len(got)
+    assert all(tuple(r[c] for c in want[k].__fields__) == tuple(want[k]) for k, r in own.items())
+    again = deployment.plausibility_examples(e.orderBy(F.desc("event_id")), features.ALL, share=0.1)
+    assert again.collect() == got
+    lone = spark.createDataFrame([(1, 5, 0, 3, 4, 0, 1)], "event_id long, t long, usr long, src long, dst long, logon_id int, success int")
+    real, examples = deployment.plausibility_rows(lone, features.ALL, share=1.0)  # no third host, so no probe and no example
+    assert real.count() == 1 and examples.collect() == []
+
+
 def test_probes_see_history_as_a_real_event_would(spark):
     """A probe's 24 features are those of the same row put into the stream alone."""
     e = auth_dense(spark, "/root/testdata/sf0.001").drop("auth_name", "orient_name")
