@@ -213,3 +213,12 @@ def test_claims_need_confidence_and_not_an_alert(spark):
 def test_hot_account_needs_three_shuffles(spark):
     plan = features.causal_features(auth_sparse(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_shuffles_of_destinations_carry_no_account_features(spark):
+    """The account's features are most of the columns and come last; novelty of a destination needs its own shuffle only."""
+    e = auth_sparse(spark, "/root/testdata/sf0.001")
+    shuffles = lambda names: [line for line in features.with_features(e, names)._jdf.queryExecution().sparkPlan().toString().split("\n") if "RepartitionByExpression" in line or "Exchange" in line]
+    assert len(shuffles(["destination_novelty"])) == 1 and len(shuffles(["user_new_dst_ratio_1h"])) == 1
+    last, *_, first = shuffles(features.ALL)
+    assert "(usr#" in last and "(dst#" in first
